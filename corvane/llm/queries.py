@@ -81,6 +81,26 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(texts).unionByName(same_look_as(names, register))
 
 
+def _p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.overlap import same_questions
+
+    hold = one_per_key(table(spark, sf_dir, "private_holdout").select(F.lit("holdout").alias("split"), F.col("id").alias("eval_id"), F.array("query_original", "query_formal").alias("forms"), F.col("retrieval_gt.required_chunk_ids").alias("required")), "eval_id")
+    case = one_per_key(table(spark, sf_dir, "evaluation_case").select(F.lower(F.trim("split")).alias("split"), F.col("query_id").alias("eval_id"), F.array("query_original", "query_formal").alias("forms"), F.col("required_chunk_ids").alias("required")), "eval_id")
+    train = one_per_key(table(spark, sf_dir, "sft_candidate").select(F.col("id").alias("train_id"), F.col("query_original").alias("text"), F.col("required_chunk_ids").alias("required")), "train_id")
+    return same_questions(hold.unionByName(case), train)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p5_pairs(spark, sf_dir).select("split", "eval_id", "train_id")
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked questions and the training records that hold them, by split and by source of the training records."""
+    source = one_per_key(table(spark, sf_dir, "sft_candidate").select(F.col("id").alias("train_id"), uniform_label(F.col("source")).alias("source")), "train_id")
+    pairs = _p5_pairs(spark, sf_dir).join(source, "train_id")
+    return pairs.groupBy("split", "source").agg(F.countDistinct("eval_id").alias("questions"), F.countDistinct("train_id").alias("records"), F.count(F.lit(1)).alias("pairs"))
+
+
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all oversized articles and units."""
     from corvane.llm.splitting import split_oversized
@@ -99,8 +119,27 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.leakage import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_item"), "doc_id", "text", "item_id", "text")
+
+
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of every document that has readable text."""
+    from corvane.llm.reading import reading_levels
+
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"), "doc_id", "text", "doc_id", "reading_level")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_levels(spark, sf_dir).filter("reading_level = 4").select("doc_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_mix, p1_found, p2_tokens, p3_top, p3_found, p4_forms, p4_found, p6_pieces, p6_found, p7_ids)}
+    """Of each problem, the query of its cases first."""
+    all_ = (p1_found, p1_mix, p2_tokens, p3_found, p3_top, p4_found, p4_forms, p5_found, p5_counts, p6_found, p6_pieces, p7_ids, p8_found, p9_found, p9_levels)
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
