@@ -9,29 +9,60 @@ the threshold share a term of both fronts. Their exact dot product is then taken
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from corvane.llm.lookalike import _translated, base_table
+from corvane.llm.codepoints import flat, slices
+from corvane.llm.leakage import fold
+from corvane.runtime import materialize
 
 THRESHOLD = 0.5
 
 
-def compared(column: str | Column) -> Column:
-    """Letters and digits of the text in one form: look-alikes, accents, case, blanks and punctuation don't count."""
-    return F.regexp_replace(F.lower(_translated(column, base_table())), r"[^\p{L}\p{N}]+", "")
-
-
-def terms(text: Column) -> Column:
-    """The distinct pairs of neighbouring signs, but for pairs of digits, and the whole numbers."""
-    signs = F.split(text, "")
-    n = F.size(signs)
-    pairs = F.zip_with(F.slice(signs, F.lit(1), n - 1), F.slice(signs, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    pairs = F.when(n > 1, F.filter(pairs, lambda p: ~p.rlike(r"^\d\d$") & (F.char_length(p) > 1))).otherwise(F.array(text))
-    return F.array_distinct(F.concat(pairs, F.transform(numbers(text), lambda x: F.concat(F.lit("#"), x))))
+def prepared(rows: DataFrame) -> DataFrame:
+    """side, d, block, terms and numbers of each row (side, d, block, text); texts without letters and digits are left out.
 
+    Letters and digits are compared in one form: look-alikes, accents, case, blanks and punctuation don't count. Terms are
+    the distinct pairs of neighbouring signs, but for pairs of digits, as integers of both code points, and the whole
+    numbers, as negative hashes. numbers: all of them in order of their digits.
+    """
 
-def numbers(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for part in slices(batch, 3):
+                _, cps, bounds = flat(part.column(3))
+                signs, at = fold(cps)
+                limits = np.searchsorted(at, bounds)
+                n = np.diff(limits)
+                doc = np.repeat(np.arange(len(n)), n)
+                c = signs.astype(np.int64)
+                digit = (c >= 0x30) & (c <= 0x39)
+                same = np.flatnonzero((doc[:-1] == doc[1:]) & ~(digit[:-1] & digit[1:])) if len(c) > 1 else np.zeros(0, np.int64)
+                alone = limits[:-1][n == 1]
+                text = signs.tobytes().decode("utf-32-le")
+                first = np.flatnonzero(digit & ~(np.r_[False, digit[:-1]] & np.r_[True, doc[:-1] == doc[1:]])) if len(c) else np.zeros(0, np.int64)
+                last = np.flatnonzero(digit & ~(np.r_[digit[1:], False] & np.r_[doc[:-1] == doc[1:], True])) + 1 if len(c) else first
+                runs = [text[a:b] for a, b in zip(first.tolist(), last.tolist())]
+                hashed = np.array([-(xxhash.xxh64_intdigest(r) >> 2) - 1 for r in runs], np.int64)
+                key = np.concatenate([c[same] << 21 | c[same + 1], c[alone], hashed])
+                own = np.concatenate([doc[same], doc[alone], doc[first]]).astype(np.int64)
+                order = np.lexsort((key, own))
+                key, own = key[order], own[order]
+                fresh = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])] if len(key) else np.zeros(0, bool)
+                key, own = key[fresh], own[fresh]
+                numbers: list[list[str]] = [[] for _ in n]
+                for r, d in zip(runs, doc[first].tolist()):
+                    numbers[d].append(r)
+                terms = pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(len(n) + 1)).astype(np.int32)), pa.array(key))
+                out = pa.RecordBatch.from_arrays([*part.columns[:3], terms, pa.array([",".join(sorted(x)) for x in numbers], pa.string())], ["side", "d", "block", "terms", "numbers"])
+                yield out.filter(pa.array(n > 0))
+
+    return rows.select("side", "d", "block", "text").mapInArrow(run, "side int, d string, block string, terms array<long>, numbers string")
 
 
 def _fronts(vectors: DataFrame, threshold: float) -> DataFrame:
@@ -41,39 +72,41 @@ def _fronts(vectors: DataFrame, threshold: float) -> DataFrame:
     x = vectors.join(other, ["side", "term"], "left").withColumn("most", F.coalesce("most", F.lit(0.0)))
     rest = W.partitionBy("side", "d").orderBy(F.desc("n"), F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
     x = x.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).withColumn("reach", F.sum(F.col("w") * F.col("most")).over(rest))
-    return x.filter((F.least("norm", "reach") >= threshold - 1e-9) & (F.col("most") > 0)).select("side", "d", "block", "term")
+    return x.filter((F.least("norm", "reach") >= threshold - 1e-9) & (F.col("most") > 0)).select("side", "d", "b", "term")
 
 
 def cosine_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of rows of left and right (both: d, block, text) of one block with a cosine of at least threshold: left_d, right_d, cosine.
+    """Pairs of rows of left and right (both: d, block, text) of one block with a cosine of at least threshold:
+    left_d, right_d, cosine and same_numbers, whether both texts hold the same numbers.
 
     block is a column that must be equal, such as a key that both records need to share; with a constant there the join is
     over all rows. Rows with a null d, block or text, and texts without letters and digits, match nothing. d must be
     unique on each side. Equal texts have cosine 1. No pair at or above the threshold is lost.
     """
-    both = left.select(F.lit(0).alias("side"), F.col("d").cast("string").alias("d"), F.col("block").cast("string").alias("block"), compared("text").alias("text"))
-    both = both.unionByName(right.select(F.lit(1).alias("side"), F.col("d").cast("string").alias("d"), F.col("block").cast("string").alias("block"), compared("text").alias("text")))
-    both = both.filter("d is not null and block is not null and text <> ''")
-    every = both.select("side", "d", "block", terms(F.col("text")).alias("terms"))
-    lists = every.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    total = both.agg(F.count(F.lit(1)).alias("total"))
+    side = lambda df, k: df.select(F.lit(k).alias("side"), F.col("d").cast("string").alias("d"), F.col("block").cast("string").alias("block"), "text")
+    both = side(left, 0).unionByName(side(right, 1)).filter("d is not null and block is not null and text is not null")
+    both = materialize(prepared(both), "prepared")
+    lists = both.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    total = both.count()
     # Only rows whose block is on the other side too can have a partner; the frequencies above count all rows.
-    blocks = both.groupBy("block").agg(F.min("side").alias("a"), F.max("side").alias("b")).filter("a = 0 and b = 1").select("block")
-    rows = every.join(blocks, "block", "left_semi").select("side", "d", "block", F.explode("terms").alias("term"))
-    raw = rows.join(lists, "term").join(F.broadcast(total), how="cross").withColumn("idf", F.log1p(F.col("total") / F.col("n")))
+    hashed = both.withColumn("b", F.xxhash64("block"))
+    blocks = hashed.groupBy("b").agg(F.min("side").alias("x"), F.max("side").alias("y")).filter("x = 0 and y = 1").select("b")
+    rows = hashed.join(blocks, "b", "left_semi").select("side", "d", "b", F.explode("terms").alias("term"))
+    raw = rows.join(lists, "term").withColumn("idf", F.log1p(total / F.col("n")))
     own = W.partitionBy("side", "d")
-    vectors = raw.withColumn("w", F.col("idf") / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(own))).select("side", "d", "block", "term", "n", "w")
-    from corvane.runtime import materialize
-
+    vectors = raw.withColumn("w", F.col("idf") / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(own))).select("side", "d", "b", "term", "n", "w")
     vectors = materialize(vectors, "vectors")
     fronts = _fronts(vectors, threshold)
-    a = fronts.filter("side = 0").select(F.col("d").alias("left_d"), "block", "term")
-    b = fronts.filter("side = 1").select(F.col("d").alias("right_d"), "block", "term")
-    pairs = a.join(b, ["block", "term"]).select("left_d", "right_d").distinct()
+    a = fronts.filter("side = 0").select(F.col("d").alias("left_d"), "b", "term")
+    b = fronts.filter("side = 1").select(F.col("d").alias("right_d"), "b", "term")
+    pairs = a.join(b, ["b", "term"]).select("left_d", "right_d").distinct()
     x = vectors.filter("side = 0").select(F.col("d").alias("left_d"), "term", F.col("w").alias("wa"))
     y = vectors.filter("side = 1").select(F.col("d").alias("right_d"), "term", F.col("w").alias("wb"))
     dots = pairs.join(x, "left_d").join(y, ["right_d", "term"]).groupBy("left_d", "right_d").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-    return dots.filter(F.col("cosine") >= threshold - 1e-9)
+    near = dots.filter(F.col("cosine") >= threshold - 1e-9)
+    facts = lambda k, name: both.filter(F.col("side") == k).select(F.col("d").alias(f"{name}_d"), F.col("block").alias(f"{name}_block"), F.col("numbers").alias(f"{name}_numbers"))
+    sure = near.join(facts(0, "left"), "left_d").join(facts(1, "right"), "right_d").filter("left_block = right_block")
+    return sure.select("left_d", "right_d", "cosine", (F.col("left_numbers") == F.col("right_numbers")).alias("same_numbers"))
 
 
 def same_questions(evaluation: DataFrame, training: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -84,11 +117,9 @@ def same_questions(evaluation: DataFrame, training: DataFrame, threshold: float
     the same are dropped. A pair counts once, with its highest cosine. Null texts match nothing.
     """
     block = lambda c: F.to_json(F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))))
-    forms = evaluation.select("split", "eval_id", block(F.col("required")).alias("block"), F.posexplode("forms").alias("form", "text")).filter("text is not null and eval_id is not null")
+    forms = evaluation.select("split", "eval_id", block(F.col("required")).alias("block"), F.posexplode("forms").alias("form", "text")).filter("eval_id is not null")
     left = forms.withColumn("d", F.to_json(F.struct("split", "eval_id", "form")))
-    right = training.filter("text is not null and train_id is not null").select(F.col("train_id").alias("d"), block(F.col("required")).alias("block"), "text")
-    found = cosine_join(left, right, threshold)
-    facts = lambda df, name: df.select(F.col("d").alias(f"{name}_d"), F.array_sort(numbers(compared("text"))).alias(f"{name}_facts"))
-    sure = found.join(facts(left, "left"), "left_d").join(facts(right, "right"), "right_d").filter("left_facts = right_facts")
+    right = training.filter("train_id is not null").select(F.col("train_id").alias("d"), block(F.col("required")).alias("block"), "text")
+    sure = cosine_join(left, right, threshold).filter("same_numbers")
     key = F.from_json("left_d", "split string, eval_id string, form int")
     return sure.groupBy(key["split"].alias("split"), key["eval_id"].alias("eval_id"), F.col("right_d").alias("train_id")).agg(F.max("cosine").alias("cosine"))
