@@ -68,9 +68,9 @@ def pivot_years(t):
     return t("orders").groupBy("o_orderstatus").agg(F.count_if(F.year("o_orderdate") == 1995).alias("y1995"), F.count_if(F.year("o_orderdate") == 1996).alias("y1996"))
 
 
-@query("SELECT event_type, date_trunc('day', ts)::DATE AS day, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")
+@query("SELECT event_type, date_trunc('day', ts)::DATE AS day, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def daily_events(t):
-    return t("events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return t("events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM events GROUP BY 1")
