@@ -66,13 +66,13 @@ def prepared(rows: DataFrame) -> DataFrame:
 
 
 def _fronts(vectors: DataFrame, threshold: float) -> DataFrame:
-    """The rows (side, d, block, term) of the vectors' fronts."""
+    """The rows (side, v, b, term) of the vectors' fronts."""
     most = vectors.groupBy("side", "term").agg(F.max("w").alias("most"))
     other = most.select((1 - F.col("side")).alias("side"), "term", "most")
     x = vectors.join(other, ["side", "term"], "left").withColumn("most", F.coalesce("most", F.lit(0.0)))
-    rest = W.partitionBy("side", "d").orderBy(F.desc("n"), F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
+    rest = W.partitionBy("v").orderBy(F.desc("n"), F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
     x = x.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).withColumn("reach", F.sum(F.col("w") * F.col("most")).over(rest))
-    return x.filter((F.least("norm", "reach") >= threshold - 1e-9) & (F.col("most") > 0)).select("side", "d", "b", "term")
+    return x.filter((F.least("norm", "reach") >= threshold - 1e-9) & (F.col("most") > 0)).select("side", "v", "b", "term")
 
 
 def cosine_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -85,27 +85,28 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD)
     """
     side = lambda df, k: df.select(F.lit(k).alias("side"), F.col("d").cast("string").alias("d"), F.col("block").cast("string").alias("block"), "text")
     both = side(left, 0).unionByName(side(right, 1)).filter("d is not null and block is not null and text is not null")
-    both = materialize(prepared(both), "prepared")
+    # Rows go by a number from here on, which is fixed as it is written with them.
+    both = materialize(prepared(both).withColumn("v", F.monotonically_increasing_id()), "prepared")
     lists = both.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     total = both.count()
     # Only rows whose block is on the other side too can have a partner; the frequencies above count all rows.
     hashed = both.withColumn("b", F.xxhash64("block"))
     blocks = hashed.groupBy("b").agg(F.min("side").alias("x"), F.max("side").alias("y")).filter("x = 0 and y = 1").select("b")
-    rows = hashed.join(blocks, "b", "left_semi").select("side", "d", "b", F.explode("terms").alias("term"))
+    rows = hashed.join(blocks, "b", "left_semi").select("side", "v", "b", F.explode("terms").alias("term"))
     raw = rows.join(lists, "term").withColumn("idf", F.log1p(total / F.col("n")))
-    own = W.partitionBy("side", "d")
-    vectors = raw.withColumn("w", F.col("idf") / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(own))).select("side", "d", "b", "term", "n", "w")
+    own = W.partitionBy("v")
+    vectors = raw.withColumn("w", (F.col("idf") / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(own)))).select("side", "v", "b", "term", "n", "w")
     vectors = materialize(vectors, "vectors")
     fronts = _fronts(vectors, threshold)
-    a = fronts.filter("side = 0").select(F.col("d").alias("left_d"), "b", "term")
-    b = fronts.filter("side = 1").select(F.col("d").alias("right_d"), "b", "term")
-    pairs = a.join(b, ["b", "term"]).select("left_d", "right_d").distinct()
-    x = vectors.filter("side = 0").select(F.col("d").alias("left_d"), "term", F.col("w").alias("wa"))
-    y = vectors.filter("side = 1").select(F.col("d").alias("right_d"), "term", F.col("w").alias("wb"))
-    dots = pairs.join(x, "left_d").join(y, ["right_d", "term"]).groupBy("left_d", "right_d").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    a = fronts.filter("side = 0").select(F.col("v").alias("left_v"), "b", "term")
+    b = fronts.filter("side = 1").select(F.col("v").alias("right_v"), "b", "term")
+    pairs = a.join(b, ["b", "term"]).select("left_v", "right_v").distinct()
+    x = vectors.filter("side = 0").select(F.col("v").alias("left_v"), "term", F.col("w").alias("wa"))
+    y = vectors.filter("side = 1").select(F.col("v").alias("right_v"), "term", F.col("w").alias("wb"))
+    dots = pairs.join(x, "left_v").join(y, ["right_v", "term"]).groupBy("left_v", "right_v").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
     near = dots.filter(F.col("cosine") >= threshold - 1e-9)
-    facts = lambda k, name: both.filter(F.col("side") == k).select(F.col("d").alias(f"{name}_d"), F.col("block").alias(f"{name}_block"), F.col("numbers").alias(f"{name}_numbers"))
-    sure = near.join(facts(0, "left"), "left_d").join(facts(1, "right"), "right_d").filter("left_block = right_block")
+    facts = lambda k, name: both.filter(F.col("side") == k).select(F.col("v").alias(f"{name}_v"), F.col("d").alias(f"{name}_d"), F.col("block").alias(f"{name}_block"), F.col("numbers").alias(f"{name}_numbers"))
+    sure = near.join(facts(0, "left"), "left_v").join(facts(1, "right"), "right_v").filter("left_block = right_block")
     return sure.select("left_d", "right_d", "cosine", (F.col("left_numbers") == F.col("right_numbers")).alias("same_numbers"))
 
 
