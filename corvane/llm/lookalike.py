@@ -12,6 +12,8 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corvane.runtime import materialize
+
 # Letters that look like a Latin letter or another sign, each before the sign it looks like.
 LOOK_ALIKE = (
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo ϹC ϲc ϳj "
@@ -110,14 +112,16 @@ def canonical(values: DataFrame) -> DataFrame:
 
 
 def _candidates(values: DataFrame) -> DataFrame:
-    """The rows of values in classes that may have more than one raw form, and no others with a form of its own.
+    """kind, key, raw, look: the rows of values, each key once, in classes that may have more than one raw form.
 
-    Strings that the collation holds equal have the same base signs, so a hash of these brings every class together.
-    Only hashes are exchanged of the rows, until it is known which may matter; those go on to the collation.
+    Strings that the collation holds equal have the same base signs, so a hash of these brings every class together. Only
+    hashes are exchanged to learn which classes have several forms; what is in those is written, and all that follows,
+    the collation first of all, works on that.
     """
-    hashed = values.filter("raw is not null").withColumn("h", F.xxhash64("kind", _translated("raw", base_table())))
+    hashed = values.filter("raw is not null and key is not null").withColumn("h", F.xxhash64("kind", _translated("raw", base_table())))
     various = hashed.groupBy("h").agg(F.min(F.xxhash64("raw")).alias("a"), F.max(F.xxhash64("raw")).alias("b")).filter("a <> b").select("h")
-    return _collated(hashed.join(various, "h", "left_semi"))
+    kept = materialize(hashed.join(various, "h", "left_semi").select("kind", "key", "raw"), "lookalike")
+    return _collated(kept.dropDuplicates(["kind", "key"]))
 
 
 def same_look_pairs(values: DataFrame) -> DataFrame:
@@ -127,7 +131,7 @@ def same_look_pairs(values: DataFrame) -> DataFrame:
     the classes are paired form by form, so copies are only expanded into what the result holds. A key that stands there
     more than once counts once.
     """
-    rows = _candidates(values.filter("key is not null").dropDuplicates(["kind", "key"]))
+    rows = _candidates(values)
     named = rows.join(rows.groupBy("kind", "look").agg(F.min("raw").alias("canonical")), ["kind", "look"]).select("kind", "key", "raw", "canonical")
     forms = named.select("kind", "canonical", "raw").distinct()
     pairs = forms.withColumnRenamed("raw", "raw_a").join(forms.withColumnRenamed("raw", "raw_b"), ["kind", "canonical"]).filter("raw_a < raw_b").drop("canonical")
@@ -139,7 +143,7 @@ def same_look_pairs(values: DataFrame) -> DataFrame:
 
 def same_look_as(values: DataFrame, clean: DataFrame) -> DataFrame:
     """kind, key_a, key_b: keys of clean (kind, key, raw) and of values with a text that looks the same but isn't the same."""
-    marked = lambda df, side: df.filter("key is not null").dropDuplicates(["kind", "key"]).withColumn("key", F.concat(F.lit(side), "key"))
+    marked = lambda df, side: df.withColumn("key", F.concat(F.lit(side), "key"))
     rows = _candidates(marked(clean, "a").unionByName(marked(values, "b")))
     named = rows.join(rows.groupBy("kind", "look").agg(F.min("raw").alias("canonical")), ["kind", "look"]).select("kind", "canonical", "key", "raw")
     side = lambda s: named.filter(F.col("key").startswith(s)).select("kind", "canonical", F.substring("key", 2, 1 << 30).alias(f"key_{s}"), F.col("raw").alias(f"raw_{s}"))
