@@ -1 +1,71 @@
-"""sources of the engine."""
+"""Sources and sinks: strict JSON lines, verified files, folders of documents, immutable publishing."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+from corvane.runtime import work_path
+
+
+def strict_json(spark: SparkSession, path: str, schema: StructType, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Records of a JSON-lines file or folder, and the lines that aren't records with the reason.
+
+    Reasons: no_json, missing (a required field is null or blank). Blank lines are neither. A file without records gives
+    an empty first frame.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file")).filter(F.col("line").rlike(r"\S"))
+    bad = "_corrupt"
+    shape = StructType(list(schema.fields)).add(bad, "string")
+    x = lines.withColumn("r", F.from_json("line", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}))
+    blank = F.lit(False)
+    for c in required:
+        v = F.col("r")[c]
+        blank = blank | v.isNull() | (F.trim(v.cast("string")) == "")
+    reason = F.when(F.col("r").isNull() | F.col("r")[bad].isNotNull(), "no_json").when(blank, "missing")
+    x = x.withColumn("reason", reason)
+    return x.filter("reason is null").select("r.*").drop(bad), x.filter("reason is not null").select("file", "line", "reason")
+
+
+def documents_in_folders(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """Files below path with the given suffix: department (the folder), title and date (from title_YYYYMMDD), content.
+
+    The date is null where the name has none or one that doesn't exist.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path)
+    parts = F.split("path", "/")
+    name = F.regexp_replace(F.element_at(parts, -1), re.escape(suffix) + "$", "")
+    stamp = F.regexp_extract(name, r"_(\d{8})$", 1)
+    date = F.try_to_timestamp(stamp, F.lit("yyyyMMdd")).cast("date")
+    return files.select(F.element_at(parts, -2).alias("department"), F.regexp_replace(name, r"_\d{8}$", "").alias("title"), F.when(stamp != "", date).alias("date"), F.decode("content", "UTF-8").alias("content"))
+
+
+def identity(df: DataFrame) -> DataFrame:
+    """records and digest of a frame, independent of the order of rows and of partitioning."""
+    h = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"}))
+    return df.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+
+
+def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) -> dict:
+    """Write df to a path that must not exist, by way of a staging folder; give its identity as it was read back.
+
+    The staging folder is renamed in one step after its identity is the same as df's, so readers never see a part.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(target):
+        raise FileExistsError(path)
+    staged = jvm.org.apache.hadoop.fs.Path(work_path(spark, "staged"))
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(staged.toString())
+    read = identity(spark.read.schema(df.schema).parquet(staged.toString())).first().asDict()
+    if read["records"] != df.count():
+        raise OSError(f"{path}: {read['records']} records were written")
+    system.mkdirs(target.getParent())
+    if not system.rename(staged, target):
+        raise OSError(f"{path}: renaming failed")
+    return read
