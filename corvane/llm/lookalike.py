@@ -112,16 +112,19 @@ def canonical(values: DataFrame) -> DataFrame:
 
 
 def _candidates(values: DataFrame) -> DataFrame:
-    """kind, key, raw, look: the rows of values, each key once, in classes that may have more than one raw form.
+    """kind, key, raw and the class's first raw form of the rows of values, each key once, in classes that may have more forms.
 
     Strings that the collation holds equal have the same base signs, so a hash of these brings every class together. Only
     hashes are exchanged to learn which classes have several forms; what is in those is written, and all that follows,
     the collation first of all, works on that.
     """
-    hashed = values.filter("raw is not null and key is not null").withColumn("h", F.xxhash64("kind", _translated("raw", base_table())))
-    various = hashed.groupBy("h").agg(F.min(F.xxhash64("raw")).alias("a"), F.max(F.xxhash64("raw")).alias("b")).filter("a <> b").select("h")
-    kept = materialize(hashed.join(various, "h", "left_semi").select("kind", "key", "raw"), "lookalike")
-    return _collated(kept.dropDuplicates(["kind", "key"]))
+    there = values.filter("raw is not null and key is not null")
+    hashes = materialize(there.select("kind", "key", F.xxhash64("kind", _translated("raw", base_table())).alias("h"), F.xxhash64("raw").alias("r")), "looks")
+    various = hashes.groupBy("h").agg(F.min("r").alias("a"), F.max("r").alias("b")).filter("a <> b").select("h")
+    keys = hashes.join(various, "h", "left_semi").select("kind", "key").distinct()
+    kept = materialize(there.join(keys, ["kind", "key"], "left_semi"), "lookalike").dropDuplicates(["kind", "key"])
+    rows = _collated(kept)
+    return materialize(rows.join(rows.groupBy("kind", "look").agg(F.min("raw").alias("canonical")), ["kind", "look"]).select("kind", "key", "raw", "canonical"), "forms")
 
 
 def same_look_pairs(values: DataFrame) -> DataFrame:
@@ -131,8 +134,7 @@ def same_look_pairs(values: DataFrame) -> DataFrame:
     the classes are paired form by form, so copies are only expanded into what the result holds. A key that stands there
     more than once counts once.
     """
-    rows = _candidates(values)
-    named = rows.join(rows.groupBy("kind", "look").agg(F.min("raw").alias("canonical")), ["kind", "look"]).select("kind", "key", "raw", "canonical")
+    named = _candidates(values)
     forms = named.select("kind", "canonical", "raw").distinct()
     pairs = forms.withColumnRenamed("raw", "raw_a").join(forms.withColumnRenamed("raw", "raw_b"), ["kind", "canonical"]).filter("raw_a < raw_b").drop("canonical")
     a = named.select("kind", F.col("raw").alias("raw_a"), F.col("key").alias("a"))
@@ -144,7 +146,6 @@ def same_look_pairs(values: DataFrame) -> DataFrame:
 def same_look_as(values: DataFrame, clean: DataFrame) -> DataFrame:
     """kind, key_a, key_b: keys of clean (kind, key, raw) and of values with a text that looks the same but isn't the same."""
     marked = lambda df, side: df.withColumn("key", F.concat(F.lit(side), "key"))
-    rows = _candidates(marked(clean, "a").unionByName(marked(values, "b")))
-    named = rows.join(rows.groupBy("kind", "look").agg(F.min("raw").alias("canonical")), ["kind", "look"]).select("kind", "canonical", "key", "raw")
+    named = _candidates(marked(clean, "a").unionByName(marked(values, "b")))
     side = lambda s: named.filter(F.col("key").startswith(s)).select("kind", "canonical", F.substring("key", 2, 1 << 30).alias(f"key_{s}"), F.col("raw").alias(f"raw_{s}"))
     return side("a").join(side("b"), ["kind", "canonical"]).filter("raw_a <> raw_b").select("kind", "key_a", "key_b")
