@@ -66,13 +66,14 @@ def prepared(rows: DataFrame) -> DataFrame:
 
 
 def _fronts(vectors: DataFrame, threshold: float) -> DataFrame:
-    """The rows (side, v, b, term) of the vectors' fronts."""
-    most = vectors.groupBy("side", "term").agg(F.max("w").alias("most"))
-    other = most.select((1 - F.col("side")).alias("side"), "term", "most")
-    x = vectors.join(other, ["side", "term"], "left").withColumn("most", F.coalesce("most", F.lit(0.0)))
-    rest = W.partitionBy("v").orderBy(F.desc("n"), F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
-    x = x.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).withColumn("reach", F.sum(F.col("w") * F.col("most")).over(rest))
-    return x.filter((F.least("norm", "reach") >= threshold - 1e-9) & (F.col("most") > 0)).select("side", "v", "b", "term")
+    """The rows (side, v, term) of the vectors' fronts. vectors: side, v, term, idf and the norm of the row's vector."""
+    # A term's highest weight on a side is its idf by the smallest norm there.
+    least = vectors.groupBy("side", "term").agg(F.min("norm").alias("least")).select((1 - F.col("side")).cast("tinyint").alias("side"), "term", "least")
+    x = vectors.join(least, ["side", "term"])  # a term that the other side doesn't have adds to no product
+    behind = W.partitionBy("v").orderBy("idf", F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
+    w = F.col("idf") / F.col("norm")
+    x = x.withColumn("rest", F.sqrt(F.sum(w * w).over(behind))).withColumn("reach", F.sum(w * F.col("idf") / F.col("least")).over(behind))
+    return x.filter(F.least("rest", "reach") >= threshold - 1e-9).select("side", "v", "term")
 
 
 def cosine_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -92,17 +93,16 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD)
     # Only rows whose block is on the other side too can have a partner; the frequencies above count all rows.
     hashed = both.withColumn("b", F.xxhash64("block"))
     blocks = hashed.groupBy("b").agg(F.min("side").alias("x"), F.max("side").alias("y")).filter("x = 0 and y = 1").select("b")
-    rows = hashed.join(blocks, "b", "left_semi").select("side", "v", "b", F.explode("terms").alias("term"))
-    raw = rows.join(lists, "term").withColumn("idf", F.log1p(total / F.col("n")))
-    own = W.partitionBy("v")
-    vectors = raw.withColumn("w", (F.col("idf") / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(own)))).select("side", "v", "b", "term", "n", "w")
-    vectors = materialize(vectors, "vectors")
-    fronts = _fronts(vectors, threshold)
+    rows = hashed.join(blocks, "b", "left_semi").select(F.col("side").cast("tinyint").alias("side"), "v", F.explode("terms").alias("term"))
+    raw = rows.join(lists, "term").withColumn("idf", F.log1p(total / F.col("n"))).drop("n")
+    vectors = raw.withColumn("norm", F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(W.partitionBy("v"))))
+    vectors = materialize(vectors.select("side", "v", "term", "idf", "norm"), "vectors")
+    fronts = _fronts(vectors, threshold).join(hashed.select("v", "b"), "v")
     a = fronts.filter("side = 0").select(F.col("v").alias("left_v"), "b", "term")
     b = fronts.filter("side = 1").select(F.col("v").alias("right_v"), "b", "term")
     pairs = a.join(b, ["b", "term"]).select("left_v", "right_v").distinct()
-    x = vectors.filter("side = 0").select(F.col("v").alias("left_v"), "term", F.col("w").alias("wa"))
-    y = vectors.filter("side = 1").select(F.col("v").alias("right_v"), "term", F.col("w").alias("wb"))
+    x = vectors.filter("side = 0").select(F.col("v").alias("left_v"), "term", (F.col("idf") / F.col("norm")).alias("wa"))
+    y = vectors.filter("side = 1").select(F.col("v").alias("right_v"), "term", (F.col("idf") / F.col("norm")).alias("wb"))
     dots = pairs.join(x, "left_v").join(y, ["right_v", "term"]).groupBy("left_v", "right_v").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
     near = dots.filter(F.col("cosine") >= threshold - 1e-9)
     facts = lambda k, name: both.filter(F.col("side") == k).select(F.col("v").alias(f"{name}_v"), F.col("d").alias(f"{name}_d"), F.col("block").alias(f"{name}_block"), F.col("numbers").alias(f"{name}_numbers"))
