@@ -11,7 +11,12 @@ def hash_key(salt: str, *columns: str) -> Column:
 
 
 def first_by_hash(df: DataFrame, groups: list[str], key: str, salt: str, n: int) -> DataFrame:
-    """The first n rows of each group in hash order, ties by key. The cut is a group limit before the exchange."""
+    """The first n rows of each group in hash order, ties by key, with place. The cut is a group limit before the exchange.
+
+    Without groups each partition's first n go on to the one in which they are placed.
+    """
+    if not groups:
+        df = df.orderBy(hash_key(salt, key), F.col(key)).limit(n)
     order = W.partitionBy(*groups).orderBy(hash_key(salt, key), F.col(key))
     return df.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
