@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corvane.runtime import materialize
@@ -66,14 +67,38 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 20
 
 
 def tokens(text: Column) -> Column:
-    """Search terms: article numbers kept whole, runs of Latin letters and digits, and single Han characters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(第[零〇一二三四五六七八九十百千0-9]+条(?:之[一二三四五六七八九十]+)?|[a-z0-9]+|[\x{4E00}-\x{9FFF}])"), F.lit(1))
+    """Search terms: article numbers kept whole, runs of Latin letters and digits, and pairs of neighbouring Han characters.
 
+    Single characters would stand in most documents, so that a question's postings were the whole corpus.
+    """
+    low = F.lower(text)
+    whole = F.regexp_extract_all(low, F.lit(r"(第[零〇一二三四五六七八九十百千0-9]+条(?:之[一二三四五六七八九十]+)?|[a-z0-9]+)"), F.lit(1))
+
+    def pairs(run: Column) -> Column:
+        signs = F.split(run, "")
+        n = F.size(signs)
+        return F.zip_with(F.slice(signs, F.lit(1), n - 1), F.slice(signs, F.lit(2), n - 1), lambda a, b: F.concat(a, b))
+
+    return F.concat(whole, F.flatten(F.transform(F.regexp_extract_all(low, F.lit(r"([\x{4E00}-\x{9FFF}]{2,})"), F.lit(1)), pairs)))
+
+
+def postings(docs: DataFrame, key: str, terms: Column) -> DataFrame:
+    """Postings (term, key, tf, len) of an inverted index, len being the document's number of terms. docs has one row for each key.
+
+    A document's terms are counted where its row lies, in Arrow batches, so the terms aren't exchanged to be counted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            n = max(1, len(coded.dictionary))
+            pair, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + code, return_counts=True)
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(pair % n)), batch.column(0).take(pa.array(pair // n)), pa.array(tf.astype(np.int64)), pa.array(sizes[pair // n])], ["term", key, "tf", "len"])
 
-def postings(docs: DataFrame, key: str, terms: Column) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, key, tf) and documents (key, len) of an inverted index."""
-    listed = docs.select(key, terms.alias("terms"))
-    return listed.select(key, F.explode("terms").alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf")), listed.select(key, F.size("terms").alias("len"))
+    return docs.select(key, terms.alias("terms")).mapInArrow(run, f"term string, `{key}` {docs.schema[key].dataType.simpleString()}, tf long, len long")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, query: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -82,13 +107,13 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, query: str, k: int, k1:
     docs: key, text; queries: query, text. idf = ln((N - n + 0.5) / (n + 0.5)); negative ones count as a quarter of the
     mean idf. Only the postings of the queries' terms take part in the join.
     """
-    post, lengths = postings(docs, key, tokens(F.col("text")))
-    stats = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avgdl"))
+    post = materialize(postings(docs, key, tokens(F.col("text"))), "postings")
+    stats = docs.agg(F.count(F.lit(1)).alias("docs")).crossJoin(post.agg(F.sum("tf").alias("all"))).select("docs", (F.col("all") / F.col("docs")).alias("avgdl"))  # one row
     idf = post.groupBy("term").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(stats)).withColumn("raw", F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
     mean = idf.agg(F.avg("raw").alias("mean"))
     idf = idf.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select(query, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("times")).join(idf, "term")
-    rows = asked.join(post, "term").join(lengths, key)
+    rows = asked.join(post, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     scored = rows.groupBy(query, key).agg(F.round(F.sum(part), 5).alias("score")).filter("score > 0")
     return cut(scored, k, [query], key)

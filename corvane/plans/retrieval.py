@@ -77,14 +77,17 @@ def dense_topk(t):
     return R.dense_search(e, e.filter("vec_id % 20 = 0"), 10).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-_TOKENS = "regexp_extract_all(lower({}), '第[零〇一二三四五六七八九十百千0-9]+条(?:之[一二三四五六七八九十]+)?|[a-z0-9]+|[\\x{{4E00}}-\\x{{9FFF}}]')"
+_TOKENS = (
+    "list_concat(regexp_extract_all(lower({0}), '第[零〇一二三四五六七八九十百千0-9]+条(?:之[一二三四五六七八九十]+)?|[a-z0-9]+'), "
+    "flatten(list_transform(regexp_extract_all(lower({0}), '[\\x{{4E00}}-\\x{{9FFF}}]{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))))"
+)
 
 
 @query("WITH" + ARTICLES + ", d AS (SELECT article_id, unnest(" + _TOKENS.format("content") + """) AS term FROM a),
 pt AS (SELECT term, article_id, count(*) AS tf FROM d GROUP BY 1, 2)
 SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf FROM pt GROUP BY 1""")
 def postings_stats(t):
-    post, _ = R.postings(articles(t), "article_id", R.tokens(F.col("content")))
+    post = R.postings(articles(t), "article_id", R.tokens(F.col("content")))
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
