@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 _NUMBER = "[零〇一二三四五六七八九十百千0-9]+"
 
 
-def references(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, place, law (null: none named before), no: every reference of the form 《law》第n条 or 第n条 in its order.
+def references(docs: DataFrame, key: str, text: str, unit: str = "条") -> DataFrame:
+    """key, place, law (null: none named before), no: every reference of the form 《law》第n条 or 第n条 (or another unit) in its order.
 
     Members of an enumeration such as 第3、5条 are references of their own. Texts without a reference give no rows.
     """
-    whole = F.regexp_extract_all(text, F.lit(f"((?:《[^》]{{1,60}}》)?第{_NUMBER}(?:、{_NUMBER})*条)"), F.lit(1))
+    whole = F.regexp_extract_all(text, F.lit(f"((?:《[^》]{{1,60}}》)?第{_NUMBER}(?:、{_NUMBER})*{unit})"), F.lit(1))
     found = docs.filter(F.contains(text, F.lit("第"))).select(key, F.posexplode(whole).alias("place", "ref"))
     law = F.nullif(F.regexp_extract("ref", "《([^》]+)》", 1), F.lit(""))
     upto = W.partitionBy(key).orderBy("place").rowsBetween(W.unboundedPreceding, 0)
     named = found.withColumn("law", F.last(law, True).over(upto))
-    return named.select(key, "place", "law", F.explode(F.split(F.regexp_extract("ref", "第([^条]+)条", 1), "、")).alias("no"))
+    return named.select(key, "place", "law", F.explode(F.split(F.regexp_extract("ref", f"第([^{unit}]+){unit}", 1), "、")).alias("no"))

@@ -104,3 +104,47 @@ def headings_of_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     x = lines.withColumn("level", level)
     x = x.withColumn("h1", F.last(F.when(F.col("level") == 1, F.col("line_no")), True).over(upto)).withColumn("h2", F.last(F.when(F.col("level") == 2, F.col("line_no")), True).over(upto))
     return x.select(key, "line_no", "h1", F.when(F.col("h1").isNull() | (F.col("h2") > F.col("h1")), F.col("h2")).alias("h2")).filter("h1 is not null or h2 is not null")
+
+
+_OPEN = re.compile(r"[^。！？!?；;：:」』”\s]\s*$")
+
+
+def merged_paragraphs(text: str) -> list[tuple[int, int]]:
+    """Spans of paragraphs: lines without outer blanks, a line joining the one before if that isn't closed by a sign of
+    its own and the line is no list item."""
+    out: list[tuple[int, int]] = []
+    for m in re.finditer(r"[^\n]+", text):
+        part = m.group()
+        a, b = m.start() + len(part) - len(part.lstrip()), m.end() - len(part) + len(part.rstrip())
+        if a >= b:
+            continue
+        if out and _OPEN.search(text, out[-1][0], out[-1][1]) and not _ITEM.match(text, a):
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, paragraph, start_char and end_char of the merged paragraphs of all texts; null and blank texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merged_paragraphs(x or "") for x in batch.column(1).to_pylist()]
+            row = [k for k, s in enumerate(spans) for _ in s]
+            flat = [x for s in spans for x in s]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array([j for s in spans for j in range(len(s))], pa.int32()), pa.array([a for a, _ in flat], pa.int32()), pa.array([b for _, b in flat], pa.int32())], [key, "paragraph", "start_char", "end_char"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, paragraph int, start_char int, end_char int")
+
+
+def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, heading_line, no, line_count and n_chars of the parts of texts that begin with a line such as 第三条 or ## Part.
+
+    Lines before the first heading belong to part 0. Texts without headings are one part.
+    """
+    lines = docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    no = F.regexp_extract("line", r"^(?:第([零〇一二三四五六七八九十百千0-9]+)条|#{1,6} )", 0)
+    upto = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    x = lines.withColumn("no", F.nullif(no, F.lit(""))).withColumn("part", F.count("no").over(upto))
+    return x.groupBy(key, "part").agg(F.min("line_no").alias("heading_line"), F.min_by("no", "line_no").alias("no"), F.count(F.lit(1)).alias("line_count"), F.sum(F.length("line")).alias("n_chars"))

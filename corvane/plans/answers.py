@@ -110,10 +110,10 @@ def digest_union(t):
 
 @query()
 def cn_numeral_strict(t):
-    """Numerals in the headings of documents that are in canonical spelling: read, spelt and equal to what stood there."""
-    x = t("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("第([零〇一二三四五六七八九十百千两]+)[条章节]"), F.lit(1))).alias("s"))
+    """Numerals in the headings of articles: read, and whether they are in canonical spelling, that is spelt again the same."""
+    x = articles(t).select("article_id", F.explode(F.map_values("hierarchy")).alias("h")).select("article_id", F.nullif(F.regexp_extract("h", "第([零〇一二三四五六七八九十百千两]+)[编章节]", 1), F.lit("")).alias("s")).filter("s is not null")
     v = N.chinese_number(F.col("s"))
-    return x.select("doc_id", "s", v.alias("value"), F.coalesce(N.format_number(v) == F.col("s"), F.lit(False)).alias("canonical"))
+    return x.select("article_id", "s", v.alias("value"), F.coalesce(N.format_number(v) == F.col("s"), F.lit(False)).alias("canonical"))
 
 
 @query(r"WITH x AS (SELECT id, lower(trim(regexp_replace(query_original, '\s+', ' ', 'g'))) AS p FROM (SELECT DISTINCT id, query_original FROM sft_candidate)) SELECT md5(p) AS prompt, min(id) AS id, count(*) AS n FROM x GROUP BY p")
@@ -161,10 +161,11 @@ def chain_link(t):
 
 @query()
 def exact_references(t):
-    """References to articles in documents, a number without a law's name taking the one before it; enumerations spelt out."""
+    """References to articles and chapters in articles, a number without a law's name taking the one before it."""
     from corvane.functions.references import references
 
-    return references(t("documents").select("doc_id", "text"), "doc_id", "text")
+    a = articles(t).select("article_id", "content")
+    return references(a, "article_id", "content", "条").unionByName(references(a, "article_id", "content", "章"))
 
 
 @query("WITH " + _H + """SELECT id, length(query_formal) <= greatest(160, 2 * length(query_original)) AS short, len(list_intersect(list_distinct(string_split(query_original, '')), list_distinct(string_split(query_formal, '')))) >= least(4, greatest(2, length(query_original) // 10)) AS related FROM hq WHERE query_formal IS NOT NULL AND query_original IS NOT NULL""")
@@ -285,3 +286,16 @@ def tool_log_validate(t):
 def shared_rerank(t):
     """Each candidate scored once for its query, whatever lists it stood in."""
     return reranked(t).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("queries"), F.min("rerank").cast("long").alias("best"), F.round(F.max("lexical"), 6).alias("top"))
+
+
+@query("WITH " + _H + "SELECT id, length(query_formal) <= 112 AS short, query_formal <> query_original AS changed, length(query_formal) - length(replace(query_formal, '？', '')) <= 1 AS single FROM hq WHERE query_formal IS NOT NULL AND query_original IS NOT NULL")
+def enhancement_validate(t):
+    h = holdout(t).filter("query_formal is not null and query_original is not null")
+    return h.select("id", (F.length("query_formal") <= 112).alias("short"), (F.col("query_formal") != F.col("query_original")).alias("changed"), (F.length("query_formal") - F.length(F.replace("query_formal", F.lit("？"), F.lit(""))) <= 1).alias("single"))
+
+
+@query("WITH d AS (SELECT DISTINCT query_id, unnest(list_distinct(required_chunk_ids)) AS chunk_id FROM evaluation_case) SELECT len(string_split(chunk_id, '#')) = 2 AS formed, count(*) AS n FROM d GROUP BY 1")
+def reference_expand(t):
+    """Lists of references, each on a row of its own, and whether it is a law and a number."""
+    d = one_per_key(t("evaluation_case"), "query_id").select("query_id", F.explode(F.array_distinct("required_chunk_ids")).alias("chunk_id"))
+    return d.groupBy((F.size(F.split("chunk_id", "#")) == 2).alias("formed")).agg(F.count(F.lit(1)).alias("n"))

@@ -200,3 +200,39 @@ def canonical_row_digest(t):
 def uniform_labels(t):
     low = F.lower(F.trim("lang"))
     return t("documents").select("doc_id", F.when(low.startswith("zh"), "zh").when(low.startswith("en"), "en").alias("lang"), uniform_label(F.col("source")).alias("source"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '<[a-z/][^<>]*>')) AS tags, length(regexp_replace(text, '<[a-z/][^<>]*>', '', 'g')) AS visible FROM documents WHERE text IS NOT NULL")
+def page_extract_stats(t):
+    tag = r"<[a-z/][^<>]*>"
+    return t("documents").filter("text is not null").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(f"({tag})"), F.lit(1))).cast("long").alias("tags"), F.length(F.regexp_replace("text", tag, "")).cast("long").alias("visible"))
+
+
+@query("""WITH s AS (SELECT source, doc_id // 1000 AS shard, sum(coalesce(n_chars, 0)) AS tokens FROM documents GROUP BY 1, 2), m AS (SELECT source, sum(coalesce(n_chars, 0)) AS total FROM documents GROUP BY 1)
+SELECT s.source AS source, count(*) AS shards, any_value(total)::BIGINT AS total, sum(tokens) = any_value(total) AS closed FROM s JOIN m ON s.source IS NOT DISTINCT FROM m.source GROUP BY 1""")
+def shard_manifest_closure(t):
+    n = F.coalesce("n_chars", F.lit(0))
+    s = t("documents").groupBy("source", F.floor(F.col("doc_id") / 1000).alias("shard")).agg(F.sum(n).alias("tokens")).groupBy("source").agg(F.count(F.lit(1)).alias("shards"), F.sum("tokens").alias("listed"))
+    m = t("documents").groupBy(F.col("source").alias("s")).agg(F.sum(n).alias("total"))
+    return s.join(m, F.col("source").eqNullSafe(F.col("s"))).select("source", "shards", F.col("total").cast("long").alias("total"), (F.col("listed") == F.col("total")).alias("closed"))
+
+
+@query()
+def paragraph_merge(t):
+    """Paragraphs of all articles with their spans, unfinished lines joined."""
+    return S.paragraphs(articles(t).select("article_id", "content"), "article_id", "content")
+
+
+@query()
+def segment_articles(t):
+    """Parts of documents under headings of articles or sections."""
+    return S.segments(t("documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query("WITH" + ARTICLES + """, x AS (SELECT article_id, regexp_extract_all(content, '（([一二三四五六七八九十]+)）', 1) AS m FROM a), k AS (SELECT ['一','二','三','四','五','六','七','八','九','十','十一','十二','十三','十四','十五','十六','十七','十八','十九','二十'] AS k)
+SELECT article_id, len(m) AS markers, m = k[1:len(m)] AS contiguous FROM x, k WHERE len(m) BETWEEN 2 AND 20""")
+def paragraph_markers(t):
+    """Whether the items of an article are numbered from one on without a gap."""
+    x = articles(t).select("article_id", F.regexp_extract_all("content", F.lit("（([一二三四五六七八九十]+)）"), F.lit(1)).alias("m")).filter("size(m) between 2 and 20")
+    want = F.transform(F.sequence(F.lit(1), F.size("m")), N.format_number)
+    return x.select("article_id", F.size("m").cast("long").alias("markers"), (F.col("m") == want).alias("contiguous"))

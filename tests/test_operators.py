@@ -135,3 +135,38 @@ def test_group_limit_stands_before_the_exchange(spark):
     hits = spark.range(1000).select((F.col("id") % 3).alias("query_id"), F.col("id").cast("string").alias("chunk_id"), F.rand(1).alias("score"))
     plan = retrieval.rank_lists(hits, 5, ["query_id"])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_references_take_the_law_named_before(spark):
+    from corvane.functions.references import references
+
+    df = spark.createDataFrame([("a", "依《民法典》第五百七十七条和第264、266条，另见《刑法》第60条。"), ("b", "第3条"), ("c", None), ("d", "无")], "k string, t string")
+    got = sorted(tuple(r) for r in references(df, "k", "t").select("k", "place", F.coalesce("law", F.lit("-")), "no").collect())
+    assert got == [("a", 0, "民法典", "五百七十七"), ("a", 1, "民法典", "264"), ("a", 1, "民法典", "266"), ("a", 2, "刑法", "60"), ("b", 0, "-", "3")]
+
+
+def test_merged_paragraphs():
+    spans = segmentation.merged_paragraphs("第一行没有\n  完，\n现在完。\n（一）项目\n  \n")
+    assert [s for s in spans] == [(0, 15), (16, 21)] and segmentation.merged_paragraphs(" \n") == []
+
+
+def test_bm25_against_the_formula(spark):
+    import math
+    import re
+    from collections import Counter
+
+    docs = {"a": "猫吃鱼 abc", "b": "狗吃鱼吃鱼", "c": "鸟 第三条", "d": "", "e": "abc abc"}
+    toks = lambda s: re.findall("第[一二三]条|[a-z]+", s) + [r[i : i + 2] for r in re.findall("[一-鿿]{2,}", s) for i in range(len(r) - 1)]
+    bags = {k: Counter(toks(v)) for k, v in docs.items()}
+    avg = sum(sum(b.values()) for b in bags.values()) / len(docs)
+    df = Counter(x for b in bags.values() for x in b)
+    raw = {x: math.log((len(docs) - n + 0.5) / (n + 0.5)) for x, n in df.items()}
+    mean = sum(raw.values()) / len(raw)
+    idf = {x: 0.25 * mean if v < 0 else v for x, v in raw.items()}
+    want = {}
+    for k, b in bags.items():
+        s = sum(idf[x] * b[x] * 2.5 / (b[x] + 1.5 * (0.25 + 0.75 * sum(b.values()) / avg)) for x in toks("吃鱼 abc") if b[x])
+        if s > 0:
+            want[k] = round(s, 5)
+    got = retrieval.bm25(spark.createDataFrame(list(docs.items()), "k string, text string"), spark.createDataFrame([("q", "吃鱼 abc"), ("none", "")], "q string, text string"), "k", "q", 9)
+    assert {r.k: r.score for r in got.collect()} == want
