@@ -99,32 +99,33 @@ def _collated(df: DataFrame) -> DataFrame:
 
 
 def canonical(values: DataFrame) -> DataFrame:
-    """kind, key, raw and canonical of all rows of values (kind, key, raw), raw being any text; null stays null.
+    """kind, key, raw and canonical of values (kind, key, raw), raw being any text; null stays null.
 
     The canonical member of a class is the one that mapping doesn't change, else the first by code points; if no member
-    is as mapped, the class still gets a member of its own and no invented value. Empty and blank texts are values like
-    any other. Rows aren't merged, so repeated rows stay.
+    is as mapped, the class still gets a member of its own and no invented value. A class of one form has that form.
+    Empty and blank texts are values like any other. A key that stands there more than once counts once; null is a key. Other columns are ignored.
     """
-    plain = F.struct((F.col("raw") != F.collate("look", "UTF8_BINARY")).alias("changed"), F.col("raw").alias("raw"))
-    classes = _collated(values).groupBy("kind", "look").agg(F.min(plain)["raw"].alias("canonical"))
-    same = _collated(values).join(classes, ["kind", "look"]).select("kind", "key", "raw", "canonical")
-    return same.unionByName(values.filter("raw is null").select("kind", "key", "raw", F.lit(None).cast("string").alias("canonical")))
+    values = values.select("kind", "key", "raw")
+    classes = _candidates(values).select("kind", "key", "canonical")
+    return values.dropDuplicates(["kind", "key"]).join(classes, ["kind", "key"], "left").select("kind", "key", "raw", F.coalesce("canonical", "raw").alias("canonical"))
 
 
 def _candidates(values: DataFrame) -> DataFrame:
-    """kind, key, raw and the class's first raw form of the rows of values, each key once, in classes that may have more forms.
+    """kind, key, raw and the class's canonical form of the rows of values, each key once, in classes that may have more forms.
 
     Strings that the collation holds equal have the same base signs, so a hash of these brings every class together. Only
     hashes are exchanged to learn which classes have several forms; what is in those is written, and all that follows,
     the collation first of all, works on that.
     """
-    there = values.filter("raw is not null and key is not null")
+    there = values.select("kind", "key", "raw").filter("raw is not null and key is not null")
     hashes = materialize(there.select("kind", "key", F.xxhash64("kind", _translated("raw", base_table())).alias("h"), F.xxhash64("raw").alias("r")), "looks")
     various = hashes.groupBy("h").agg(F.min("r").alias("a"), F.max("r").alias("b")).filter("a <> b").select("h")
     keys = hashes.join(various, "h", "left_semi").select("kind", "key").distinct()
     kept = materialize(there.join(keys, ["kind", "key"], "left_semi"), "lookalike").dropDuplicates(["kind", "key"])
     rows = _collated(kept)
-    return materialize(rows.join(rows.groupBy("kind", "look").agg(F.min("raw").alias("canonical")), ["kind", "look"]).select("kind", "key", "raw", "canonical"), "forms")
+    plain = F.struct((F.col("raw") != F.collate("look", "UTF8_BINARY")).alias("changed"), F.col("raw").alias("raw"))
+    classes = rows.groupBy("kind", "look").agg(F.min(plain)["raw"].alias("canonical"))
+    return materialize(rows.join(classes, ["kind", "look"]).select("kind", "key", "raw", "canonical"), "forms")
 
 
 def same_look_pairs(values: DataFrame) -> DataFrame:

@@ -70,8 +70,7 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.lookalike import canonical
 
     texts, names, _ = _p4_values(spark, sf_dir)
-    every = canonical(one_per_key(texts.unionByName(names), "kind", "key"))
-    return every.select("kind", "key", "canonical")
+    return canonical(texts.unionByName(names)).select("kind", "key", "canonical")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
