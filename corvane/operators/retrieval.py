@@ -58,9 +58,9 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 20
                 system, name = fs.FileSystem.from_uri(uri)
                 for q in pq.ParquetFile(system.open_input_file(name)).iter_batches(block):
                     s = np.round(np.array(q.column(1).flatten(), np.float64).reshape(q.num_rows, -1) @ m.T, 5) + 0.0
-                    best = np.lexsort((np.broadcast_to(ids, s.shape), -s))[:, :k]
-                    qid = np.repeat(q.column(0).to_numpy(), best.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], ["query_id", "vec_id", "score"])
+                    least = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
+                    row, col = np.nonzero(s >= least[:, None])  # with all that tie with the k-th
+                    yield pa.RecordBatch.from_arrays([q.column(0).take(pa.array(row)), pa.array(ids[col]), pa.array(s[row, col])], ["query_id", "vec_id", "score"])
 
     part = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
     return cut(part, k, ["query_id"], "vec_id")
