@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def session(app: str = "corvane", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -38,8 +39,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; release() removes what lies there."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the intermediate tables of this application, once no frame that reads them is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, tag: str = "part") -> DataFrame:
