@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from corvane.runtime import materialize
+
 BUCKET_BITS = 12
 
 
@@ -42,12 +44,13 @@ def mix(records: DataFrame, targets: DataFrame, block: int = 4096) -> DataFrame:
     """
     rec = records.select(F.col("pool"), F.col("source"), F.col("id").cast("string").alias("id"), F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(0)), F.lit(0)).alias("size"))
     rec = rec.filter("pool is not null and source is not null and id is not null and size > 0").dropDuplicates(["pool", "source", "id"])
-    want = wanted(targets)
+    rec, want = materialize(rec, "mix-records"), materialize(wanted(targets), "mix-targets")
     salts = 32
     draws = want.filter("target > 0").select("pool", "source", "seed").distinct().withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     queue = rec.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(draws, ["pool", "source", "__salt"]).drop("__salt")
     queue = queue.withColumn("__h", F.xxhash64(F.col("seed"), F.col("id"))).withColumn("__b", F.shiftrightunsigned("__h", 64 - BUCKET_BITS))
     queue = prefix_in_order(queue, ["pool", "source", "seed"], "__b", [F.asc("__h"), F.asc("id")], F.col("size"), "upto").drop("__h", "__b")
+    queue = materialize(queue, "mix-queue")
     total = rec.groupBy("pool", "source").agg(F.sum("size").alias("total"))
     want = want.join(total, ["pool", "source"]).withColumn("take", F.least("target", F.col("total") * F.col("max_repeat"))).filter("take > 0")
     # Plans meet their pool's queue block by block, so that neither a large pool nor a large plan is one task's work.
@@ -56,7 +59,7 @@ def mix(records: DataFrame, targets: DataFrame, block: int = 4096) -> DataFrame:
     drawn = drawn.filter(F.col("upto") <= F.col("take"))
     drawn = drawn.withColumn("use", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("take") - F.col("upto")) / F.col("total")))))
     drawn = drawn.withColumn("finish", (F.col("use") * F.col("total") + F.col("upto")) / F.col("target"))
-    drawn = drawn.withColumn("__b", F.floor(F.col("finish") * 4096).cast("long"))
+    drawn = materialize(drawn.withColumn("__b", F.floor(F.col("finish") * 4096).cast("long")), "mix-drawn")
     placed = prefix_in_order(drawn, ["plan"], "__b", [F.asc("finish"), F.asc("source"), F.asc("id")], F.lit(1), "position")
     return placed.select("plan", "position", "source", "id", (F.col("use") + 1).alias("use"), "finish", "size")
 

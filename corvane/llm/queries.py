@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.runtime import one_per_key, table, uniform_label
+from corvane.runtime import materialize, one_per_key, table, uniform_label
 
 TOP = 5
 ARTICLE_LIMIT, ARTICLE_OVERLAP = 600, 60
@@ -16,7 +16,7 @@ def p1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm import mixing
 
     records, targets = mixing.plan_inputs(table(spark, sf_dir, "sft_candidate"), table(spark, sf_dir, "clean_scale_plan"))
-    mixed = mixing.mix(records, targets)
+    mixed = materialize(mixing.mix(records, targets), "mixed")
     shares = mixing.report(mixed, targets).select("plan", "source", "target_share", "actual_share")
     out = mixed.join(shares, ["plan", "source"])
     return out.select(F.col("plan").alias("plan_id"), F.col("position").cast("long").alias("position"), F.col("source").alias("slice"), "id", "use", "target_share", "actual_share")
