@@ -22,7 +22,7 @@ from corvane.runtime import materialize
 
 #: Shares of documents from which a word belongs to a familiar list. Words on the longest list number at most the average
 #: count of distinct words in a document divided by the lowest share, which bounds what is sent to all tasks.
-SHARES = (0.002, 0.01, 0.03, 0.08)
+SHARES = (0.002, 0.005, 0.01, 0.02, 0.03, 0.045, 0.06, 0.08, 0.1, 0.13, 0.17, 0.22, 0.3)
 #: Labelled documents the formula is fitted on, at most.
 SAMPLE = 20_000
 LEVELS = (1, 2, 3, 4)
