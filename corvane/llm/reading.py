@@ -24,7 +24,7 @@ from corvane.runtime import materialize
 #: count of distinct words in a document divided by the lowest share, which bounds what is sent to all tasks.
 SHARES = (0.002, 0.005, 0.01, 0.02, 0.03, 0.045, 0.06, 0.08, 0.1, 0.13, 0.17, 0.22, 0.3)
 #: Labelled documents the formula is fitted on, at most.
-SAMPLE = 20_000
+SAMPLE = 6_000
 LEVELS = (1, 2, 3, 4)
 HAN, ALPHA = 0, 1
 _FEATURES = [f"u{k}" for k in range(len(SHARES))] + [f"m{k}" for k in range(len(SHARES))] + ["length"]
