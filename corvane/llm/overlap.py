@@ -19,7 +19,7 @@ from corvane.llm.codepoints import flat, slices
 from corvane.llm.leakage import fold
 from corvane.runtime import materialize
 
-#: Cosine from which two questions are held against each other's numbers. Light changes of wording leave 0.5 or more in
+#: Cosine from which two questions with the same numbers are the same. Light changes of wording leave 0.5 or more in
 #: all records looked at; other questions with the same numbers stay below 0.3.
 THRESHOLD = 0.45
 
@@ -78,9 +78,12 @@ def _fronts(vectors: DataFrame, threshold: float) -> DataFrame:
     return x.filter(F.least("rest", "reach") >= threshold - 1e-9).select("side", "v", "term")
 
 
-def cosine_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def cosine_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD, equal_numbers: bool = False) -> DataFrame:
     """Pairs of rows of left and right (both: d, block, text) of one block with a cosine of at least threshold:
-    left_d, right_d, cosine and same_numbers, whether both texts hold the same numbers.
+    left_d, right_d, cosine.
+
+    equal_numbers: only pairs whose texts hold the same numbers. They are then part of the block, so that a block that
+    holds a third of all rows is split by them before its lists meet.
 
     block is a column that must be equal, such as a key that both records need to share; with a constant there the join is
     over all rows. Rows with a null d, block or text, and texts without letters and digits, match nothing. d must be
@@ -93,7 +96,7 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD)
     lists = both.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     total = both.count()
     # Only rows whose block is on the other side too can have a partner; the frequencies above count all rows.
-    hashed = both.withColumn("b", F.xxhash64("block"))
+    hashed = both.withColumn("b", F.xxhash64("block", "numbers") if equal_numbers else F.xxhash64("block"))
     blocks = hashed.groupBy("b").agg(F.min("side").alias("x"), F.max("side").alias("y")).filter("x = 0 and y = 1").select("b")
     rows = hashed.join(blocks, "b", "left_semi").select(F.col("side").cast("tinyint").alias("side"), "v", F.explode("terms").alias("term"))
     raw = rows.join(lists, "term").withColumn("idf", F.log1p(total / F.col("n"))).drop("n")
@@ -109,20 +112,22 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD)
     near = dots.filter(F.col("cosine") >= threshold - 1e-9)
     facts = lambda k, name: both.filter(F.col("side") == k).select(F.col("v").alias(f"{name}_v"), F.col("d").alias(f"{name}_d"), F.col("block").alias(f"{name}_block"), F.col("numbers").alias(f"{name}_numbers"))
     sure = near.join(facts(0, "left"), "left_v").join(facts(1, "right"), "right_v").filter("left_block = right_block")
-    return sure.select("left_d", "right_d", "cosine", (F.col("left_numbers") == F.col("right_numbers")).alias("same_numbers"))
+    if equal_numbers:
+        sure = sure.filter("left_numbers = right_numbers")
+    return sure.select("left_d", "right_d", "cosine")
 
 
 def same_questions(evaluation: DataFrame, training: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """split, eval_id, train_id, cosine: training questions that are a question of an evaluation record, exactly or nearly.
 
     evaluation: split, eval_id, forms (array of texts), required (array); training: train_id, text, required. Both must
-    require the same set; null and empty sets are alike. Of the pairs the cosine join finds, those whose numbers aren't
-    the same are dropped. A pair counts once, with its highest cosine. Null texts match nothing.
+    require the same set, null and empty sets being alike, and hold the same numbers; questions with other sums or periods
+    are others. A pair counts once, with its highest cosine. Null texts match nothing.
     """
     block = lambda c: F.to_json(F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))))
     forms = evaluation.select("split", "eval_id", block(F.col("required")).alias("block"), F.posexplode("forms").alias("form", "text")).filter("eval_id is not null")
     left = forms.withColumn("d", F.to_json(F.struct("split", "eval_id", "form")))
     right = training.filter("train_id is not null").select(F.col("train_id").alias("d"), block(F.col("required")).alias("block"), "text")
-    sure = cosine_join(left, right, threshold).filter("same_numbers")
+    sure = cosine_join(left, right, threshold, equal_numbers=True)
     key = F.from_json("left_d", "split string, eval_id string, form int")
     return sure.groupBy(key["split"].alias("split"), key["eval_id"].alias("eval_id"), F.col("right_d").alias("train_id")).agg(F.max("cosine").alias("cosine"))
