@@ -89,8 +89,9 @@ class DoubleArray:
     def step(self, node: np.ndarray, cps: np.ndarray) -> np.ndarray:
         """The child of each node by each code point, -1 where there is none."""
         c = self.symbol[cps]
-        to = np.minimum(self.base[node] + c, len(self.check) - 1)
-        return np.where((c > 0) & (self.base[node] > 0) & (self.check[to] == node), to, -1)
+        to = self.base[node] + c
+        inside = (c > 0) & (self.base[node] > 0) & (to < len(self.check))
+        return np.where(inside & (self.check[np.minimum(to, len(self.check) - 1)] == node), to, -1)
 
     def matches(self, cps: np.ndarray, last: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each length from 1: positions and numbers of the words of that length that begin there; last[p]: end of p's segment."""

@@ -82,12 +82,13 @@ def test_top_n_leaves_out_most_row_groups_of_a_hot_group(spark, monkeypatch):
 
 
 # --- token counts ----------------------------------------------------------------------------------------------------
-def test_unigram_counts_are_those_of_viterbi():
+@pytest.mark.parametrize("seed", range(20))
+def test_unigram_counts_are_those_of_viterbi(seed):
     from tokenizers import Tokenizer, models
 
-    r = random.Random(5)
+    r = random.Random(seed)
     letters = "abcd"
-    pieces = list(letters) + list({"".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(60)})
+    pieces = list(letters) + sorted({"".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(60)})
     scores = [-9.0 - k * 0.013 for k in range(4)] + [-r.uniform(3, 12) for _ in pieces[4:]]
     counter = token_budget.Counter(pieces, scores, "unigram")
     model = Tokenizer(models.Unigram([("<unk>", -30.0), *zip(pieces, scores)], 0, False))
@@ -96,6 +97,17 @@ def test_unigram_counts_are_those_of_viterbi():
     assert counter.texts(cps, bounds, {}).tolist() == [len(model.encode(w).ids) for w in words]
 
 
+def test_trie_holds_its_words_and_no_others():
+    r = random.Random(1)
+    for _ in range(50):
+        words = sorted({"".join(r.choice("abcé") for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 25))})
+        trie = token_budget.DoubleArray(words)
+        for text in ["".join(r.choice("abcéz") for _ in range(12)) for _ in range(20)]:
+            cps = np.array([ord(c) for c in text], np.uint32)
+            got = {(a, words[w]) for at, word in trie.matches(cps, np.full(12, 12)) for a, w in zip(at.tolist(), word.tolist())}
+            assert got == {(a, text[a:b]) for a in range(12) for b in range(a + 1, 13) if text[a:b] in words}
+
+
 def test_bpe_counts_are_the_tokenizers(spark):
     import sentencepiece
 
