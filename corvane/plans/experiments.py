@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Window as W, functions as F
 
@@ -243,27 +245,49 @@ def toc_islands(t):
     return y.groupBy("doc_id", "island").agg(F.count_if("short").alias("n")).groupBy("doc_id").agg(F.max("n").alias("longest")).filter("longest > 5")
 
 
+def match_nearest(group: pd.DataFrame) -> pd.DataFrame:
+    """Of one pool (v, id, n): each hard negative, in order of id, with the free clean record nearest by n, and next by id.
+
+    Free records lie in lists by n. Lists that are used up are skipped by links to the next one on either side, which are
+    shortened as they are followed; so a choice costs about the same however large the pool is.
+    """
+    ordered = group.sort_values("id")
+    clean, hard = ordered[ordered.v == "clean"], ordered[ordered.v == "hard_negative"]
+    free = {n: list(reversed(ids)) for n, ids in clean.groupby("n").id.agg(list).items()}
+    sizes = sorted(free)
+    down, up = list(range(len(sizes) + 1)), list(range(len(sizes) + 1))  # down is shifted by one: 0 is below all, as up's last is above all
+
+    def follow(links: list[int], k: int) -> int:
+        end = k
+        while links[end] != end:
+            end = links[end]
+        while links[k] != end:
+            links[k], k = end, links[k]
+        return end
+
+    out = []
+    for id_, n in zip(hard.id, hard.n):
+        at = bisect_left(sizes, n)
+        low, high = follow(down, at) - 1, follow(up, at)
+        near = [(abs(sizes[k] - n), free[sizes[k]][-1], k) for k in (low, high) if 0 <= k < len(sizes)]
+        if not near:
+            break
+        distance, control, k = min(near)
+        free[sizes[k]].pop()
+        if not free[sizes[k]]:
+            down[k + 1], up[k] = k, k + 1
+        out.append((id_, control, distance))
+    return pd.DataFrame(out, columns=["id", "control", "distance"])
+
+
 @query()
 def greedy_matched_controls(t):
-    """To each hard negative of a pool the clean record nearest in length, and next by id, that isn't taken yet.
+    """To each hard negative of a pool, in order of id, the clean record nearest in length, and next by id, that isn't taken yet.
 
-    Records are compared within their pool and length bucket, and buckets are dealt out to 16 parts by a hash of the id;
-    so one group never grows with the pool alone. Within a group each choice depends on those before it.
+    Each choice depends on those before it, so a pool is one task's work; it holds ids and lengths only.
     """
     r = train(t).select("pool_no", "id", variant().alias("v"), F.length("query_original").alias("n")).filter("v in ('clean', 'hard_negative') and n is not null")
-
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        free = {row.id: row.n for row in group[group.v == "clean"].sort_values("id").itertuples()}
-        out = []
-        for row in group[group.v == "hard_negative"].sort_values("id").itertuples():
-            if not free:
-                break
-            best = min(free, key=lambda k: (abs(free[k] - row.n), k))
-            out.append((row.id, best, abs(free.pop(best) - row.n)))
-        return pd.DataFrame(out, columns=["id", "control", "distance"])
-
-    parts = r.withColumn("bucket", F.floor(F.col("n") / 8)).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(16)))
-    return parts.groupBy("pool_no", "bucket", "part").applyInPandas(match, "id string, control string, distance int")
+    return r.groupBy("pool_no").applyInPandas(match_nearest, "id string, control string, distance int")
 
 
 @query()
