@@ -3,8 +3,8 @@
 Texts are compared by their letters and digits only, in one form. An item is cut into pieces, PIECES to a half of it. With
 edits in up to ERRORS places, a half keeps at least REMAIN pieces whole, in one part or in two. Exact hits of pieces are
 found in all documents by hashes in NumPy. From hits that lie on one line of item and document positions, parts are drawn
-out block by block as far as Myers' bit-parallel edit distance allows, and then verified as a whole by it; an item is
-found if verified large parts make up half of it.
+out block by block as far as Myers' bit-parallel edit distance allows, from there sign by sign into the blocks that they
+end in, and then verified as a whole by it; an item is found if verified large parts make up half of it.
 
 The items are sent to all tasks; their number and size is checked (MAX_ITEM_CHARS), beyond it the items are taken in groups.
 """
@@ -24,9 +24,9 @@ from corvane.llm.codepoints import flat, slices
 from corvane.llm.lookalike import base_table
 
 #: Pieces of half an item, places that edits may spoil in it, and pieces that then remain whole: half of an item in two
-#: parts covers all of its PIECES but those cut by the four ends, no more than two in sum.
+#: parts covers all of its PIECES but those cut by the four ends, no more than three in sum.
 PIECES, ERRORS = 12, 6
-REMAIN = PIECES - 2 - ERRORS
+REMAIN = PIECES - 3 - ERRORS
 #: Largest share of edits in a part; smallest part that counts, least sum of parts and most drift in a part, as shares of
 #: the item; failing blocks between two that hold.
 RATE, LARGE, NEEDED, SLACK, GAP = 0.25, 0.15, 0.5, 0.06, 2
@@ -91,6 +91,34 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def reach(item: str, text: str, drop: int) -> int:
+    """How many of the item's first signs the text's first signs hold: as many as give most signs less twice the edits.
+
+    By furthest-reaching diagonals: of each number of edits and shift the last sign of the item that can be reached. It
+    ends where the balance is more than drop below the best.
+    """
+
+    def slide(i: int, shift: int) -> int:
+        while i < len(item) and i + shift < len(text) and item[i] == text[i + shift]:
+            i += 1
+        return i
+
+    row, edits, best, length = {0: slide(0, 0)}, 0, 0, 0
+    while True:
+        far = max(row.values(), default=0)
+        if far - 2 * edits > best:
+            best, length = far - 2 * edits, far
+        if far >= len(item) or far - 2 * edits < best - drop:
+            return length
+        edits += 1
+        new = {}
+        for shift in range(-edits, edits + 1):
+            i = min(len(item), len(text) - shift, max(row.get(shift, -1) + 1, row.get(shift - 1, -1), row.get(shift + 1, -1) + 1))
+            if i >= max(0, -shift):
+                new[shift] = slide(i, shift)
+        row = new
+
+
 class Index:
     """The items' pieces by hash, by length of piece."""
 
@@ -156,57 +184,70 @@ def _hashes(cps: np.ndarray, p: int) -> np.ndarray:
     return _hashes_at(cps, p, np.arange(max(0, len(cps) - p + 1)))
 
 
+def holds(block: str, text: str) -> bool:
+    """Whether a part of the text is the block but for the edits allowed. Signs that the text lacks are an edit each."""
+    most, there = max(1, int(RATE * len(block))), set(text)
+    return sum(c not in there for c in block) <= most and myers(block, text)[0] <= most
+
+
 def held(item: str, piece: int, doc: str, hits: list[tuple[int, int]]) -> float:
     """The share of the item that the document holds in large parts; hits: (document position, item position) of pieces.
 
     Pieces on one line, that is with about one shift between item and document, make a part. Fewer than REMAIN pieces on
-    lines can't be half of the item, see above.
+    any two lines can't be half of the item, see above.
     """
     m = len(item)
     slack = max(4, int(SLACK * m))
-    lines: list[tuple[int, int, set[int]]] = []
+    lines: list[tuple[int, int, dict[int, list[int]]]] = []
     for shift, a in sorted((d - a, a) for d, a in hits):
-        if lines and shift - lines[-1][1] <= slack:
-            lines[-1] = (lines[-1][0], shift, lines[-1][2] | {a})
-        else:
-            lines.append((shift, shift, {a}))
-    lines = [x for x in lines if len(x[2]) > 1]
-    if len(set().union(*(x[2] for x in lines))) < REMAIN:
+        if not lines or shift - lines[-1][1] > slack:
+            lines.append((shift, shift, {}))
+        lines[-1][2].setdefault(a // piece, []).append(a + shift)
+        lines[-1] = (lines[-1][0], shift, lines[-1][2])
+    if sum(sorted(len(x[2]) for x in lines)[-2:]) < REMAIN:
         return 0.0
-    n = -(-m // piece)
+    n, far = -(-m // piece), 2 * piece  # far: how far an end is looked for in the blocks that don't hold
     parts = []
-    bound = np.zeros(n + 1, bool)
+    bound = np.zeros(m, bool)
     for low, high, exact in lines:
-        ok = [False] * n
-        for a in exact:
-            ok[a // piece] = True
+        where = lambda a, b: doc[max(0, a + low - slack) : max(0, b + high + slack)]
         runs: list[list[int]] = []
-        for k in sorted(a // piece for a in exact):
+        for k in sorted(exact):
             if runs and k - runs[-1][1] <= GAP + 1:
                 runs[-1][1] = k
             else:
                 runs.append([k, k])
-        for first, last in runs:
-            bound[max(0, first - 1) : last + 2] = True
-        parts.append((low, high, ok, runs))
-    if bound.sum() * piece < NEEDED * m:
-        return 0.0
-    covered = np.zeros(m, bool)
-    for low, high, ok, runs in parts:
-        where = lambda a, b: doc[max(0, a + low - slack) : max(0, b + high + slack)]
         for first, last in runs:
             for way, k in ((-1, first), (1, last)):  # further, as long as blocks hold
                 missed = 0
                 while 0 <= k + way < n and missed <= GAP:
                     k += way
                     block = item[k * piece : (k + 1) * piece]
-                    if ok[k] or myers(block, where(k * piece, k * piece + len(block)))[0] <= max(1, int(RATE * len(block))):
+                    if k in exact or holds(block, where(k * piece, k * piece + len(block))):
                         first, last, missed = min(first, k), max(last, k), 0
                     else:
                         missed += 1
             a, b = first * piece, min(m, (last + 1) * piece)
-            if b - a >= LARGE * m and not covered[a:b].all() and myers(item[a:b], where(a, b))[0] <= RATE * (b - a):
-                covered[a:b] = True
+            if b - a + 2 * far >= LARGE * m:
+                parts.append((low, high, exact, a, b))
+                bound[max(0, a - far) : b + far] = True
+    if bound.sum() < NEEDED * m:
+        return 0.0
+    covered = np.zeros(m, bool)
+    for low, high, exact, a, b in parts:
+        window = lambda a, b: (max(0, a + low - slack), max(0, b + high + slack))
+        where = lambda a, b: doc[slice(*window(a, b))]
+        first, last = a // piece, (b - 1) // piece
+        if a:  # from where the first block that holds stands in the document
+            right = min(window(a, a + piece)[1], len(doc))
+            starts = exact.get(first) or [right - myers(item[a : a + piece][::-1], where(a, a + piece)[::-1])[1]]
+            a -= max(reach(item[max(0, a - far) : a][::-1], doc[max(0, d - 2 * far) : d][::-1], piece) for d in starts)
+        if b < m:
+            left = window(b - piece, b)[0]
+            ends = [d + piece for d in exact.get(last, [])] or [left + myers(item[b - piece : b], where(b - piece, b))[1]]
+            b += max(reach(item[b : b + far], doc[d : d + 2 * far], piece) for d in ends)
+        if b - a >= LARGE * m and not covered[a:b].all() and myers(item[a:b], where(a, b))[0] <= RATE * (b - a):
+            covered[a:b] = True
     return float(covered.sum()) / m
 
 

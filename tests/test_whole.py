@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 
+from corvane.llm import leakage
 from corvane.plans import experiments
 
 
@@ -36,3 +38,31 @@ def test_choices_in_small_and_large_pools():
         records = [(1, f"{k:03}", r.choice(["clean", "hard_negative", "hard_negative"][: 2 + seed % 2]), r.randrange(1, r.choice([3, 20, 90]))) for k in r.sample(range(999), r.randrange(90))]
         got = experiments.match_nearest(pd.DataFrame([x[1:] for x in records], columns=["id", "v", "n"]))
         assert sorted(got.itertuples(index=False, name=None)) == brute_match(records)
+
+
+# --- leaks -----------------------------------------------------------------------------------------------------------
+def leaked(item, doc):
+    index = leakage.Index([(1, item)])
+    hits = [(d, a) for d, _, a in index.hits(np.frombuffer(doc.encode("utf-32-le"), np.uint32))]
+    return leakage.held(item, index.size[1], doc, hits)
+
+
+def test_parts_count_to_their_ends():
+    r = random.Random(2)
+    noise = lambda n: "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n))
+    item = noise(480)
+    assert 0.5 <= leaked(item, noise(90) + item[10:250] + noise(90)) < 0.51
+    assert 0.57 <= leaked(item, noise(90) + item[6:134] + noise(200) + item[206:354] + noise(90)) < 0.59
+    words = item[:205] + "改" * 5 + item[210:225] + "动" * 5 + item[230:240]  # a changed word in each of the last two pieces
+    assert leaked(item, noise(90) + words + noise(90)) >= 0.5
+    spoilt = list(item[10:140] + noise(300) + item[250:364])  # two parts: three pieces are cut by the ends, six are changed
+    for k in (45, 65, 85, 105, 440 + 35, 440 + 55):
+        spoilt[k] = "改"
+    assert leaked(item, "".join(spoilt)) >= 0.5
+    assert leaked(item, noise(90) + item[10:240] + noise(90)) < 0.5
+
+
+def test_reach_ends_where_the_copy_ends():
+    assert leakage.reach("abcdefgh", "abcdefgh", 8) == 8 and leakage.reach("abcdefgh", "abcdxyzw", 8) == 4
+    assert leakage.reach("abcdefghijkl", "abcXefghijkl", 8) == 12 and leakage.reach("abcdefghijkl", "abcefghijkl", 8) == 12
+    assert leakage.reach("abc", "", 8) == 0 and leakage.reach("", "abc", 8) == 0 and leakage.reach("abcd", "xyzw", 8) == 0
