@@ -105,10 +105,19 @@ def group_standardize(t):
 
 @query()
 def gae_reverse_fold(t):
-    """Of each user the discounted sum from the last event back: a fold over the reversed array."""
+    """Of each user and day the discounted sum from the user's last event of all back to the first of the day.
+
+    Events are folded by day, over the reversed array, and days by user: what comes after a day counts 0.95 to the power
+    of the day's events. So no array holds more than one day's events or one user's days.
+    """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"])
     x = t("events").groupBy("user_id", F.to_date("ts").alias("day")).agg(ordered.alias("v"))
-    return x.select("user_id", "day", F.round(F.aggregate(F.reverse("v"), F.lit(0.0), lambda acc, r: r + 0.95 * acc), 6).alias("advantage"))
+    x = x.select("user_id", "day", F.aggregate(F.reverse("v"), F.lit(0.0), lambda acc, r: r + 0.95 * acc).alias("own"), F.pow(F.lit(0.95), F.size("v")).alias("carry"))
+    days = F.sort_array(F.collect_list(F.struct("day", "own", "carry")), asc=False)
+    none = F.array().cast("array<struct<day:date,advantage:double>>")
+    after = lambda acc: F.when(F.size(acc) == 0, 0.0).otherwise(F.try_element_at(acc, F.lit(-1))["advantage"])
+    back = F.aggregate(days, none, lambda acc, d: F.concat(acc, F.array(F.struct(d["day"].alias("day"), (d["own"] + d["carry"] * after(acc)).alias("advantage")))))
+    return x.groupBy("user_id").agg(back.alias("days")).select("user_id", F.explode("days").alias("d")).select("user_id", "d.day", F.round("d.advantage", 6).alias("advantage"))
 
 
 @query("SELECT source, doc_id, (sum(coalesce(n_chars, 0)) OVER (PARTITION BY source ORDER BY doc_id))::BIGINT AS upto, ((sum(coalesce(n_chars, 0)) OVER (PARTITION BY source ORDER BY doc_id)) // 100000)::BIGINT AS shard FROM documents")

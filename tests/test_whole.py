@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from corvane.llm import leakage
-from corvane.plans import experiments
+from corvane.plans import experiments, sampling
 
 
 def candidates(spark, records):
@@ -66,3 +67,18 @@ def test_reach_ends_where_the_copy_ends():
     assert leakage.reach("abcdefgh", "abcdefgh", 8) == 8 and leakage.reach("abcdefgh", "abcdxyzw", 8) == 4
     assert leakage.reach("abcdefghijkl", "abcXefghijkl", 8) == 12 and leakage.reach("abcdefghijkl", "abcefghijkl", 8) == 12
     assert leakage.reach("abc", "", 8) == 0 and leakage.reach("", "abc", 8) == 0 and leakage.reach("abcd", "xyzw", 8) == 0
+
+
+# --- folds and orders ------------------------------------------------------------------------------------------------
+def test_the_fold_goes_on_over_days(spark):
+    r = random.Random(4)
+    events = [(k, f"2024-01-{1 + k // 7:02} 10:00:00", u, round(r.random() * 9, 2)) for k in range(60) for u in (1, 2) if r.random() < 0.8]
+    df = spark.createDataFrame(events, "event_id long, ts string, user_id long, value double").withColumn("ts", F.to_timestamp("ts")).repartition(3)
+    want = {}
+    for user in (1, 2):
+        acc = 0.0
+        for _, ts, _, value in sorted((e for e in events if e[2] == user), reverse=True):
+            acc = value + 0.95 * acc
+            want[user, ts[:10]] = acc
+    got = {(x.user_id, str(x.day)): x.advantage for x in sampling.gae_reverse_fold(lambda name: df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
