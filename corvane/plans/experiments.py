@@ -181,10 +181,17 @@ def non_degrading_select(t):
 
 
 @query()
-def deterministic_shuffle(t):
-    """Records in the order of a seeded hash, from position 100 on for 50: the cut needs no global sort of all rows."""
-    r = train(t).select("id").withColumn("h", F.xxhash64(F.lit(43), "id"))
-    return r.orderBy("h", "id").offset(100).limit(50).select("id")
+def deterministic_shuffle(t, start: int = 0):
+    """All records with their position, from 0, in the order of a seeded hash; a resumed run takes those from start on.
+
+    The hash's upper bits are buckets in that order. Only rows of one bucket are sorted together; counts of the buckets
+    before give the offset.
+    """
+    r = train(t).select("id").withColumn("h", F.xxhash64(F.lit(43), "id")).withColumn("b", F.shiftright("h", 52))
+    before = F.coalesce(F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = r.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", before.alias("offset"))  # at most 4,096 rows
+    placed = r.withColumn("place", F.row_number().over(W.partitionBy("b").orderBy("h", "id"))).join(offsets, "b")
+    return placed.select("id", (F.col("offset") + F.col("place") - 1).alias("position")).filter(F.col("position") >= start)
 
 
 @query("WITH " + _R + "SELECT id, len(visible_chunk_ids) AS n, array_to_string(list_resize(visible_chunk_ids, 6, '<pad>'), '|') AS padded FROM r")

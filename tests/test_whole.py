@@ -82,3 +82,12 @@ def test_the_fold_goes_on_over_days(spark):
             want[user, ts[:10]] = acc
     got = {(x.user_id, str(x.day)): x.advantage for x in sampling.gae_reverse_fold(lambda name: df).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_shuffle_places_every_record(spark):
+    df = candidates(spark, [(1, f"r{k}", "clean", 3) for k in range(500)]).repartition(3)
+    order = [x.id for x in df.select("id", F.xxhash64(F.lit(43), "id").alias("h")).orderBy("h", "id").collect()]
+    got = experiments.deterministic_shuffle(lambda name: df).orderBy("position").collect()
+    assert [(x.id, x.position) for x in got] == [(i, k) for k, i in enumerate(order)]
+    rest = experiments.deterministic_shuffle(lambda name: df, start=490).orderBy("position").collect()
+    assert [(x.id, x.position) for x in rest] == [(i, k) for k, i in enumerate(order)][490:]
