@@ -80,6 +80,12 @@ def base_table() -> dict[str, str]:
             table[chr(cp)] = ""
         elif chr(cp) not in table and (base := unicodedata.normalize("NFD", chr(cp))[0]) != chr(cp):
             table[chr(cp)] = table.get(base, base)
+    for cp in [*range(0xC0, 0x3100), *range(0xFB1D, 0xFB50), *range(0x11000, 0x11940), *range(0x1D100, 0x1D200)]:
+        for mark in unicodedata.normalize("NFD", chr(cp))[1:]:  # vowel signs and the like, which no class marks as combining
+            table[mark] = ""
+    for sign, to in table.items():  # what a sign is drawn like may itself be accented, or an accent
+        base = unicodedata.normalize("NFD", to)[:1]
+        table[sign] = "" if base and unicodedata.combining(base) else table.get(base, base)
     return table
 
 

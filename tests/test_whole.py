@@ -1,12 +1,13 @@
 """Operators that once did a part of their job, against the whole of it."""
 
 import random
+import unicodedata
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from corvane.llm import leakage
+from corvane.llm import leakage, lookalike
 from corvane.plans import experiments, sampling
 
 
@@ -91,3 +92,18 @@ def test_shuffle_places_every_record(spark):
     assert [(x.id, x.position) for x in got] == [(i, k) for k, i in enumerate(order)]
     rest = experiments.deterministic_shuffle(lambda name: df, start=490).orderBy("position").collect()
     assert [(x.id, x.position) for x in rest] == [(i, k) for k, i in enumerate(order)][490:]
+
+
+# --- look-alikes -----------------------------------------------------------------------------------------------------
+def test_a_sign_has_the_base_of_its_composed_form():
+    table = lookalike.base_table()
+    base = lambda text: "".join(table.get(c, c) for c in text)
+    assert not [hex(ord(c)) for c in table if base(c) != base(unicodedata.normalize("NFC", c))]
+    assert not [hex(ord(c)) for c, to in table.items() if base(to) != to]
+
+
+def test_glyphs_coded_otherwise_meet(spark):
+    pairs = [("ｶﾞ", "ガ"), ("Å", "Å"), ("ά", "ά"), ("ﾊﾟ", "パ")]
+    rows = [("k", f"{side}{k}", f"x{pair[side]}y") for k, pair in enumerate(pairs) for side in (0, 1)]
+    got = lookalike.same_look_pairs(spark.createDataFrame(rows, "kind string, key string, raw string")).collect()
+    assert {(r.key_a, r.key_b) for r in got} == {(f"0{k}", f"1{k}") for k in range(len(pairs))}
