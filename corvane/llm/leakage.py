@@ -1,10 +1,15 @@
 """Test passages inside a large corpus: pigeonhole pieces and bit-parallel edit distance.
 
-Texts are compared by their letters and digits only, in one form. An item is cut into pieces, PIECES to a half of it. With
-edits in up to ERRORS places, a half keeps at least REMAIN pieces whole, in one part or in two. Exact hits of pieces are
-found in all documents by hashes in NumPy. From hits that lie on one line of item and document positions, parts are drawn
-out block by block as far as Myers' bit-parallel edit distance allows, from there sign by sign into the blocks that they
-end in, and then verified as a whole by it; an item is found if verified large parts make up half of it.
+Texts are compared by their letters and digits only, in one form. The error budget is a rate: one edit in ten signs, in
+alphabetic scripts one in sixteen, whatever the length of the item. A quarter of an item with its budget of k edits is to
+hold k + 2 whole pieces, which fixes the length of the pieces that the item is split into. By the pigeonhole principle one
+of them stands in the document unchanged, and beside it a piece with at most one edit: were two edits in every neighbour
+of a whole piece, there would be k + 1 edits at least. So a single exact hit is asked for, and a neighbour of which half
+the signs stand on one diagonal; both are found in NumPy for all documents of a batch at once.
+
+From such a hit the part is drawn out to both sides along furthest-reaching diagonals, and Myers' bit-parallel distance
+then verifies it as a whole. Where large parts are found that don't make up half of the item, the rest of it is looked for
+again in that document with pieces of half the length. An item is found if verified large parts make up half of it.
 
 The items are sent to all tasks; their number and size is checked (MAX_ITEM_CHARS), beyond it the items are taken in groups.
 """
@@ -12,7 +17,7 @@ The items are sent to all tasks; their number and size is checked (MAX_ITEM_CHAR
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,13 +28,13 @@ from pyspark.sql import DataFrame, functions as F
 from corvane.llm.codepoints import flat, slices
 from corvane.llm.lookalike import base_table
 
-#: Pieces of half an item, places that edits may spoil in it, and pieces that then remain whole: half of an item in two
-#: parts covers all of its PIECES but those cut by the four ends, no more than three in sum.
-PIECES, ERRORS = 12, 6
-REMAIN = PIECES - 3 - ERRORS
-#: Largest share of edits in a part; smallest part that counts, least sum of parts and most drift in a part, as shares of
-#: the item; failing blocks between two that hold.
-RATE, LARGE, NEEDED, SLACK, GAP = 0.25, 0.15, 0.5, 0.06, 2
+#: Edits in the error budget, a sign: of alphabetic and of other scripts.
+BUDGET = {True: 1 / 16, False: 1 / 10}
+#: Lengths of pieces in use: each costs a pass over the corpus, and a shorter piece than the budget asks for is a safe choice.
+LENGTHS = (2, 3, 4, 5, 6, 8, 10, 12, 16)
+#: Largest share of edits in a part; smallest part that counts and least sum of parts, as shares of the item; what an edit
+#: costs in signs while a part is drawn out, and how far the balance may then fall.
+RATE, LARGE, NEEDED, COST, DROP = 0.25, 0.15, 0.5, 3, 16
 MAX_ITEM_CHARS = 4_000_000
 
 
@@ -55,22 +60,29 @@ def fold(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return to[at], at
 
 
-def fold_text(text: str) -> str:
+def _no_ligatures(text: str) -> str:
     for k in range(0xFB00, 0xFB07):
         if chr(k) in text:
             text = text.replace(chr(k), unicodedata.normalize("NFKC", chr(k)))
-    return fold(np.frombuffer(text.encode("utf-32-le"), np.uint32))[0].tobytes().decode("utf-32-le")
+    return text
+
+
+def fold_text(text: str) -> str:
+    return fold(np.frombuffer(_no_ligatures(text).encode("utf-32-le"), np.uint32))[0].tobytes().decode("utf-32-le")
 
 
-def myers(pattern: str, text: str) -> tuple[int, int]:
-    """The smallest edit distance of pattern to any part of text, and where that part ends (the first such end)."""
+def myers(pattern: str, text: str, begins: bool = False, most: int | None = None) -> tuple[int, int]:
+    """The smallest edit distance of pattern to any part of text, and where that part ends (the first such end).
+
+    begins: only parts that begin where text does. most: a distance up to it is returned as soon as it is met.
+    """
     m = len(pattern)
     if not m:
         return 0, 0
     masks: dict[str, int] = {}
     for k, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | 1 << k
-    full, top = (1 << m) - 1, 1 << (m - 1)
+    full, top, carry = (1 << m) - 1, 1 << (m - 1), 1 if begins else 0
     pv, mv, score, best, end = full, 0, m, m, 0
     for j, c in enumerate(text, 1):
         eq = masks.get(c, 0)
@@ -84,83 +96,144 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
             score -= 1
             if score < best:
                 best, end = score, j
-        ph = ph << 1 & full
+                if most is not None and best <= most:
+                    break
+        ph = (ph << 1 | carry) & full
         mh = mh << 1 & full
         pv = mh | (full & ~(xv | ph))
         mv = ph & xv
     return best, end
 
 
-def reach(item: str, text: str, drop: int) -> int:
-    """How many of the item's first signs the text's first signs hold: as many as give most signs less twice the edits.
+def _along(a: str, i: int, b: str, j: int) -> int:
+    """Where in a the signs from i on end to be those of b from j on."""
+    end = min(len(a), len(b) - j + i)
+    while i + 16 <= end and a[i : i + 16] == b[j : j + 16]:
+        i, j = i + 16, j + 16
+    while i < end and a[i] == b[j]:
+        i, j = i + 1, j + 1
+    return i
 
-    By furthest-reaching diagonals: of each number of edits and shift the last sign of the item that can be reached. It
-    ends where the balance is more than drop below the best.
-    """
 
-    def slide(i: int, shift: int) -> int:
-        while i < len(item) and i + shift < len(text) and item[i] == text[i + shift]:
-            i += 1
-        return i
-
-    row, edits, best, length = {0: slide(0, 0)}, 0, 0, 0
-    while True:
-        far = max(row.values(), default=0)
-        if far - 2 * edits > best:
-            best, length = far - 2 * edits, far
-        if far >= len(item) or far - 2 * edits < best - drop:
-            return length
+def reach(item: str, text: str, drop: int = DROP) -> tuple[int, int]:
+    """How many of the first signs of item and of text belong together: those that give most signs less COST times the edits.
+
+    By furthest-reaching diagonals: of each number of edits and shift the last sign of the item that can be reached. A
+    diagonal whose balance is more than drop below the best is given up, and it ends when none is left.
+    """
+    first = _along(item, 0, text, 0)
+    row, edits, best, at = {0: first}, 0, first, (first, first)
+    while row:
         edits += 1
-        new = {}
-        for shift in range(-edits, edits + 1):
-            i = min(len(item), len(text) - shift, max(row.get(shift, -1) + 1, row.get(shift - 1, -1), row.get(shift + 1, -1) + 1))
-            if i >= max(0, -shift):
-                new[shift] = slide(i, shift)
+        new: dict[int, int] = {}
+        for shift in range(min(row) - 1, max(row) + 2):
+            i = max(row.get(shift, -2) + 1, row.get(shift - 1, -2), row.get(shift + 1, -2) + 1)
+            if i < 0 or i > len(item) or i + shift > len(text) or i + shift < 0:
+                continue
+            i = _along(item, i, text, i + shift)
+            if i - COST * edits > best:
+                best, at = i - COST * edits, (i, i + shift)
+            if i - COST * edits >= best - drop:
+                new[shift] = i
         row = new
+    return at
 
 
 class Index:
-    """The items' pieces by hash, by length of piece."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = {i: fold_text(t) for i, t in items}
-        self.items = {i: t for i, t in self.items.items() if len(t) >= 2}
-        self.size = {i: self.piece(len(t)) for i, t in self.items.items()}
-        # Few lengths: each length in use costs a pass over the corpus; a shorter piece is a safe choice.
-        steps = sorted(set(self.size.values()))
-        keep = [s for k, s in enumerate(steps) if k == 0 or s in (4, 6, 8, 12, 16, 24, 32, 48, 64)]
-        self.size = {i: max(k for k in keep if k <= s) for i, s in self.size.items()}
-        self.tables = {}
-        for p in sorted(set(self.size.values())):
-            found = defaultdict(list)
-            for i, t in self.items.items():
-                if self.size[i] == p:
-                    for a in range(0, len(t) - p + 1, p):
-                        found[t[a : a + p]].append((i, a))
-            words = list(found)
-            h = _hashes(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), p)[::p]
+    """The items' pieces by hash, by length of piece, over all items laid end to end with blanks between them."""
+
+    def __init__(self, items: list[tuple[object, str]]):
+        folded = [(i, fold_text(t)) for i, t in items]
+        folded = [(i, t) for i, t in folded if len(t) >= 2]
+        self.ids, self.texts = [i for i, _ in folded], [t for _, t in folded]
+        self.size = [piece_length(t) for t in self.texts]
+        pad, at, rows = LENGTHS[-1] + 1, 0, []
+        self.begin = np.zeros(len(folded), np.int64)
+        for k, t in enumerate(self.texts):
+            rows += ["\0" * pad, t]
+            self.begin[k] = at + pad
+            at += pad + len(t)
+        self.signs = np.frombuffer("".join([*rows, "\0" * pad]).encode("utf-32-le"), np.uint32)
+        self.edits = np.array([budget(t)[1] for t in self.texts], np.int64)
+        self.tables, self.pieces = {}, {}
+        for p in sorted(set(self.size)):
+            own = [k for k, s in enumerate(self.size) if s == p]
+            place = np.concatenate([self.begin[k] + np.arange(0, len(self.texts[k]) - p + 1, p) for k in own])
+            item = np.repeat(own, [len(range(0, len(self.texts[k]) - p + 1, p)) for k in own])
+            h = _hashes_at(self.signs, p, place)
             order = np.argsort(h, kind="stable")
             front = np.zeros(1 << 16, bool)
-            front[_fronts(np.frombuffer("".join(w[:2] for w in words).encode("utf-32-le"), np.uint32))[::2]] = True
-            self.tables[p] = (front, h[order], [found[words[k]] for k in order], [words[k] for k in order])
-
-    @staticmethod
-    def piece(length: int) -> int:
-        return max(2, length // 2 // PIECES)
-
-    def hits(self, cps: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Position in cps, item and position in the item of each whole piece."""
-        for p, (front, table, places, words) in self.tables.items():
-            if len(cps) < p:
+            front[_fronts(self.signs)[place]] = True
+            self.tables[p] = (front, h[order], place[order], item[order])
+            self.pieces[p] = np.array([max(1, int((len(t) / 4 + 1) / p) - 1) for t in self.texts], np.int64)
+
+    def hits(self, signs: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of documents laid end to end, ending at limits: document, item, place in the document and place in the item of
+        each whole piece that has a neighbour which goes on with it."""
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+        for p, (front, table, place, item) in self.tables.items():
+            if len(signs) < p:
                 continue
-            at = np.flatnonzero(front[_fronts(cps)[: len(cps) - p + 1]])
-            h = _hashes_at(cps, p, at)
-            k = np.minimum(np.searchsorted(table, h), len(table) - 1)
-            good = table[k] == h
-            for pos, j in zip(at[good].tolist(), k[good].tolist()):
-                if cps[pos : pos + p].tobytes().decode("utf-32-le") == words[j]:
-                    for i, a in places[j]:
-                        yield pos, i, a
+            at = np.flatnonzero(front[_fronts(signs)[: len(signs) - p + 1]])
+            h = _hashes_at(signs, p, at)
+            lo = np.searchsorted(table, h)
+            there = np.flatnonzero(table[np.minimum(lo, len(table) - 1)] == h)
+            at, lo, n = at[there], lo[there], np.searchsorted(table, h[there], side="right") - lo[there]
+            k = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            pos, off, own = np.repeat(at, n), place[k], item[k]
+            doc = np.searchsorted(limits, pos, side="right") - 1
+            whole = pos + p <= limits[doc + 1]
+            pos, off, own, doc = pos[whole], off[whole], own[whole], doc[whole]
+            on = self._goes_on(signs, pos, off, own, p)
+            for column, values in zip(found, (doc, own, pos - limits[doc], off - self.begin[own])):
+                column.append(values[on])
+        return tuple(np.concatenate(c) for c in found)
+
+    def _goes_on(self, signs: np.ndarray, pos: np.ndarray, off: np.ndarray, own: np.ndarray, p: int) -> np.ndarray:
+        """Whether the pieces around the whole one go on with it as those of a quarter of the item within its budget do.
+
+        Going away from the whole piece, of each piece the signs that stand on one diagonal are counted, the last one or
+        one next to it. An edit takes half of a piece's signs from there at most, so this many remain in the quarter.
+        """
+        n, edits = self.pieces[p][own], self.edits[own]
+        most = int(n.max(initial=1))
+        equal = np.zeros((2 * most - 1, len(pos)), np.int16)
+        equal[most - 1] = p
+        for way in (-1, 1):
+            live, shift, bad = np.flatnonzero(n > 1), np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int64)
+            for step in range(1, most):
+                x, y = off[live] + way * step * p, pos[live] + way * step * p + shift[live]
+                best, turn = np.zeros(len(live), np.int16), np.zeros(len(live), np.int64)
+                for by in (0, -1, 1, -2, 2):
+                    on = np.zeros(len(live), np.int16)
+                    for j in range(p):
+                        on += signs[np.clip(y + by + j, 0, len(signs) - 1)] == self.signs[np.clip(x + j, 0, len(self.signs) - 1)]
+                    turn[on > best] = by
+                    best = np.maximum(best, on)
+                equal[most - 1 + way * step, live] = best
+                well = best >= p // 2
+                shift[live[well]] += turn[well]
+                bad[live] = np.where(well, 0, bad[live] + 1)
+                live = live[(2 * bad[live] <= edits[live]) & (n[live] > step + 1)]  # a piece that isn't well has two edits
+        upto = np.r_[np.zeros((1, len(pos)), np.int64), np.cumsum(equal, 0)]
+        enough, column = np.zeros(len(pos), bool), np.arange(len(pos))
+        for first in range(most):
+            last = np.minimum(first + n, 2 * most - 1)
+            inside = (first + n > most - 1) & (first + n <= 2 * most - 1)
+            enough |= inside & (upto[last, column] - upto[first] >= n * p - edits * (p + 1) / 2)
+        return enough
+
+
+@lru_cache(maxsize=4096)
+def budget(item: str) -> tuple[int, int]:
+    """The signs of a quarter of the item, and how many edits it may have."""
+    return len(item) // 4, int(BUDGET[2 * sum("a" <= c <= "z" for c in item) > len(item)] * len(item) / 4)
+
+
+def piece_length(item: str) -> int:
+    """The longest piece in use with which a quarter of the item holds two pieces more than its budget of edits."""
+    quarter, edits = budget(item)
+    return max([p for p in LENGTHS if p <= (quarter + 1) / (edits + 3)], default=LENGTHS[0])
 
 
 def _fronts(cps: np.ndarray) -> np.ndarray:
@@ -180,75 +253,98 @@ def _hashes_at(cps: np.ndarray, p: int, at: np.ndarray) -> np.ndarray:
     return h
 
 
-def _hashes(cps: np.ndarray, p: int) -> np.ndarray:
-    return _hashes_at(cps, p, np.arange(max(0, len(cps) - p + 1)))
+class _Parts:
+    """The parts of one item that one document holds."""
 
+    def __init__(self, item: str, doc: str):
+        self.item, self.doc, self.back = item, doc, item[::-1]
+        self.drawn: list[tuple[int, int, int, int]] = []
+        self.covered = np.zeros(len(item), bool)
 
-def holds(block: str, text: str) -> bool:
-    """Whether a part of the text is the block but for the edits allowed. Signs that the text lacks are an edit each."""
-    most, there = max(1, int(RATE * len(block))), set(text)
-    return sum(c not in there for c in block) <= most and myers(block, text)[0] <= most
+    def inside(self, pos: int, a: int, p: int) -> bool:
+        """Whether the piece lies in a part drawn out before."""
+        return any(x <= a and a + p <= y and d <= pos and pos + p <= e for x, y, d, e in self.drawn)
 
+    def add(self, pos: int, a: int, p: int) -> None:
+        """Draw out and verify the part around a whole piece."""
+        m, far = len(self.item), DROP + len(self.item) // 2
+        left, back = reach(self.back[m - a :], self.doc[max(0, pos - a - far) : pos][::-1])
+        right, on = reach(self.item[a + p :], self.doc[pos + p : pos + m - a + far])
+        x, y, d, e = a - left, a + p + right, pos - back, pos + p + on
+        self.drawn.append((x, y, d, e))
+        if y - x >= LARGE * m and not self.covered[x:y].all() and myers(self.item[x:y], self.doc[d:e])[0] <= RATE * (y - x):
+            self.covered[x:y] = True
+
+    @property
+    def share(self) -> float:
+        return float(self.covered.sum()) / len(self.item)
 
-def held(item: str, piece: int, doc: str, hits: list[tuple[int, int]]) -> float:
-    """The share of the item that the document holds in large parts; hits: (document position, item position) of pieces.
 
-    Pieces on one line, that is with about one shift between item and document, make a part. Fewer than REMAIN pieces on
-    any two lines can't be half of the item, see above.
+def beside(item: str, doc: str, pos: int, a: int, p: int) -> bool:
+    """Whether a side of a whole piece goes on within the budget of a quarter of the item.
+
+    A quarter with its budget of edits in which the piece lies stands out by half of the rest at least to one side.
     """
-    m = len(item)
-    slack = max(4, int(SLACK * m))
-    lines: list[tuple[int, int, dict[int, list[int]]]] = []
-    for shift, a in sorted((d - a, a) for d, a in hits):
-        if not lines or shift - lines[-1][1] > slack:
-            lines.append((shift, shift, {}))
-        lines[-1][2].setdefault(a // piece, []).append(a + shift)
-        lines[-1] = (lines[-1][0], shift, lines[-1][2])
-    if sum(sorted(len(x[2]) for x in lines)[-2:]) < REMAIN:
-        return 0.0
-    n, far = -(-m // piece), 2 * piece  # far: how far an end is looked for in the blocks that don't hold
-    parts = []
-    bound = np.zeros(m, bool)
-    for low, high, exact in lines:
-        where = lambda a, b: doc[max(0, a + low - slack) : max(0, b + high + slack)]
-        runs: list[list[int]] = []
-        for k in sorted(exact):
-            if runs and k - runs[-1][1] <= GAP + 1:
-                runs[-1][1] = k
-            else:
-                runs.append([k, k])
-        for first, last in runs:
-            for way, k in ((-1, first), (1, last)):  # further, as long as blocks hold
-                missed = 0
-                while 0 <= k + way < n and missed <= GAP:
-                    k += way
-                    block = item[k * piece : (k + 1) * piece]
-                    if k in exact or holds(block, where(k * piece, k * piece + len(block))):
-                        first, last, missed = min(first, k), max(last, k), 0
-                    else:
-                        missed += 1
-            a, b = first * piece, min(m, (last + 1) * piece)
-            if b - a + 2 * far >= LARGE * m:
-                parts.append((low, high, exact, a, b))
-                bound[max(0, a - far) : b + far] = True
-    if bound.sum() < NEEDED * m:
-        return 0.0
-    covered = np.zeros(m, bool)
-    for low, high, exact, a, b in parts:
-        window = lambda a, b: (max(0, a + low - slack), max(0, b + high + slack))
-        where = lambda a, b: doc[slice(*window(a, b))]
-        first, last = a // piece, (b - 1) // piece
-        if a:  # from where the first block that holds stands in the document
-            right = min(window(a, a + piece)[1], len(doc))
-            starts = exact.get(first) or [right - myers(item[a : a + piece][::-1], where(a, a + piece)[::-1])[1]]
-            a -= max(reach(item[max(0, a - far) : a][::-1], doc[max(0, d - 2 * far) : d][::-1], piece) for d in starts)
-        if b < m:
-            left = window(b - piece, b)[0]
-            ends = [d + piece for d in exact.get(last, [])] or [left + myers(item[b - piece : b], where(b - piece, b))[1]]
-            b += max(reach(item[b : b + far], doc[d : d + 2 * far], piece) for d in ends)
-        if b - a >= LARGE * m and not covered[a:b].all() and myers(item[a:b], where(a, b))[0] <= RATE * (b - a):
-            covered[a:b] = True
-    return float(covered.sum()) / m
+    quarter, edits = budget(item)
+    half = -(-(quarter - p) // 2)
+    if half <= edits:
+        return True
+    return (
+        a + p + half <= len(item) and myers(item[a + p : a + p + half], doc[pos + p : pos + p + half + edits], True, edits)[0] <= edits
+        or half <= a and myers(item[a - half : a][::-1], doc[max(0, pos - half - edits) : pos][::-1], True, edits)[0] <= edits
+    )
+
+
+def held(item: str, piece: int, doc: str, hits: list[tuple[int, int]]) -> float:
+    """The share of the item that the document holds in large parts; hits: (place in the document, in the item) of pieces."""
+    parts = _Parts(item, doc)
+    for pos, a in hits:
+        if not parts.inside(pos, a, piece) and beside(item, doc, pos, a, piece):
+            parts.add(pos, a, piece)
+    if parts.covered.any() and parts.share < NEEDED:
+        fine = max(2, piece // 2)
+        for a in range(0, len(item) - fine + 1, fine):
+            if not parts.covered[a : a + fine].any():
+                word, pos = item[a : a + fine], -1
+                while (pos := doc.find(word, pos + 1)) >= 0:
+                    near = sum(x == y for x, y in zip(item[a + fine : a + 3 * fine], doc[pos + fine : pos + 3 * fine]))
+                    near += sum(x == y for x, y in zip(item[max(0, a - 2 * fine) : a][::-1], doc[max(0, pos - 2 * fine) : pos][::-1]))
+                    if near >= fine and not parts.inside(pos, a, fine):
+                        parts.add(pos, a, fine)
+    return parts.share
+
+
+_INDEX: dict[str, Index] = {}
+
+
+def _index(token: str, items) -> Index:
+    """The index of a set of items, made once in each worker process."""
+    if token not in _INDEX:
+        _INDEX.clear()
+        _INDEX[token] = Index(items.value)
+    return _INDEX[token]
+
+
+def _leaks_of(part: pa.RecordBatch, index: Index) -> list[tuple[int, int, float]]:
+    """(item, document, share) of the items found in a batch of documents, by their numbers."""
+    values, cps, bounds = flat(part.column(1))
+    if ((cps >= 0xFB00) & (cps < 0xFB07)).any():
+        values, cps, bounds = flat(pa.array([_no_ligatures(v) if v else v for v in values], pa.string()))
+    signs, at = fold(cps)
+    limits = np.searchsorted(at, bounds)
+    doc, item, pos, a = index.hits(signs, limits)
+    order = np.lexsort((a, pos, item, doc))
+    doc, item, pos, a = doc[order], item[order], pos[order].tolist(), a[order].tolist()
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]) if len(doc) else []
+    rows, text, last = [], "", -1
+    for x, y in zip(first, [*first[1:], len(doc)]):
+        d, i = int(doc[x]), int(item[x])
+        if d != last:
+            last, text = d, signs[limits[d] : limits[d + 1]].tobytes().decode("utf-32-le")
+        share = held(index.texts[i], index.size[i], text, list(zip(pos[x:y], a[x:y])))
+        if share >= NEEDED:
+            rows.append((i, d, share))
+    return rows
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, share: bool = False) -> DataFrame:
@@ -260,47 +356,27 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str, doc_text: s
     key count once in the result; null keys are left out. Other columns are ignored. documents is read once for each
     group of items (one, as long as the items together have no more than MAX_ITEM_CHARS code points).
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     kept = items.filter(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).alias("i"), F.col(item_text).alias("t"))
     total = kept.agg(F.sum(F.length("t"))).first()[0] or 0
     groups = max(1, -(-total // MAX_ITEM_CHARS))
     spark = documents.sparkSession
     doc_kind, item_kind = documents.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+    id_type = to_arrow_type(items.schema[item_key].dataType)
     out = None
     for g in range(groups):
         own = kept if groups == 1 else kept.filter(F.pmod(F.xxhash64("i"), F.lit(groups)) == g)
-        shared = spark.sparkContext.broadcast([tuple(r) for r in own.distinct().toLocalIterator()])
+        shared, token = spark.sparkContext.broadcast([tuple(r) for r in own.distinct().toLocalIterator()]), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, token=token) -> Iterator[pa.RecordBatch]:
+            index = _index(token, shared)
             for batch in batches:
                 for part in slices(batch, 1):
-                    texts = part.column(1)
-                    values, cps, bounds = flat(texts)
-                    if any(chr(k) in v for k in range(0xFB00, 0xFB07) for v in values if v):
-                        values = [v and "".join(unicodedata.normalize("NFKC", c) if 0xFB00 <= ord(c) < 0xFB07 else c for c in v) for v in values]
-                        values, cps, bounds = flat(pa.array(values, pa.string()))
-                    signs, at = fold(cps)
-                    limits = np.searchsorted(at, bounds)
-                    by: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-                    found = list(index.hits(signs))
-                    if found:
-                        docs = np.searchsorted(limits, [f[0] for f in found], side="right") - 1
-                        for (pos, i, a), d in zip(found, docs.tolist()):
-                            if pos + index.size[i] <= limits[d + 1]:
-                                by[d, i].append((pos - int(limits[d]), a))
-                    rows = []
-                    keys = part.column(0)
-                    folded: dict[int, str] = {}
-                    for (d, i), hits in by.items():
-                        p, t = index.size[i], index.items[i]
-                        if len(hits) < REMAIN:
-                            continue
-                        if d not in folded:
-                            folded = {d: signs[limits[d] : limits[d + 1]].tobytes().decode("utf-32-le")}
-                        part_held = held(t, p, folded[d], hits)
-                        if part_held >= NEEDED:
-                            rows.append((i, d, part_held))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]).cast(pa.int64()) if item_kind == "bigint" else pa.array([r[0] for r in rows]), keys.take(pa.array([r[1] for r in rows], pa.int32())), pa.array([r[2] for r in rows], pa.float64())], ["item_id", "doc_id", "share"])
+                    rows = _leaks_of(part, index) if index.ids else []
+                    ids = pa.array([index.ids[r[0]] for r in rows], id_type)
+                    docs = part.column(0).take(pa.array([r[1] for r in rows], pa.int32()))
+                    yield pa.RecordBatch.from_arrays([ids, docs, pa.array([r[2] for r in rows], pa.float64())], ["item_id", "doc_id", "share"])
 
         one = documents.select(doc_key, doc_text).filter(F.col(doc_key).isNotNull()).mapInArrow(run, f"item_id {item_kind}, doc_id {doc_kind}, share double")
         out = one if out is None else out.unionByName(one)

@@ -274,6 +274,29 @@ def test_groups_of_items_give_the_same(spark, monkeypatch):
     assert sorted(tuple(x) for x in leakage.find_leaks(d, i, "doc_id", "text", "item_id", "text").collect()) == [(k, k) for k in range(6)]
 
 
+@pytest.mark.parametrize("size", [140, 200, 1000, 4000])
+def test_recall_does_not_depend_on_the_number_of_edits(size):
+    """Items held to 60 % with edits in up to the stated tenth of the signs, spread evenly or at random, in one part or two."""
+    r = random.Random(size)
+    sign = lambda: chr(0x4E00 + r.randrange(3000))
+
+    def edited(part, edits, even):
+        places = {int((k + 0.5) * len(part) / edits) for k in range(edits)} if even else set(r.sample(range(len(part)), edits))
+        return "".join({0: "", 1: sign(), 2: c + sign()}[r.randrange(3)] if k in places else c for k, c in enumerate(part))
+
+    lost = tried = 0
+    for _ in range(12):
+        item = "".join(sign() for _ in range(size))
+        index = leakage.Index([(1, item)])
+        for cuts in (((0.2, 0.8),), ((0.0, 0.3), (0.65, 0.95))):
+            for even in (True, False):
+                parts = [item[int(a * size) : int(b * size)] for a, b in cuts]
+                doc = "".join("".join(sign() for _ in range(200)) + edited(p, len(p) // 10, even) for p in parts) + "".join(sign() for _ in range(200))
+                batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([doc])], ["d", "t"])
+                tried, lost = tried + 1, lost + (not leakage._leaks_of(batch, index))
+    assert lost <= 0.1 * tried
+
+
 # --- reading level ---------------------------------------------------------------------------------------------------
 def test_reading_edges(spark):
     easy, hard = "小猫爱吃鱼。小狗爱跑步。", "构成要件该当性竞合，抗辩权之援引即告阻断，庶几无违先诉抗辩之规范目的。"
