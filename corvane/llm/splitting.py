@@ -2,7 +2,7 @@
 
 A text is parsed into a tree of headings, list levels, blocks and lines. Sibling subtrees are merged to the limit; only a
 node that is too large by itself is descended into, first into its structure, then into sentences, clauses, words and at
-last into characters (never inside a combined sign). Every piece after the first begins with the last code points of the
+last into characters (never inside a combined sign). A heading goes with what follows it. Every piece after the first begins with the last code points of the
 piece before it, so a piece's own part is at most the limit less the overlap.
 """
 
@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corvane.llm.codepoints import slices
+
 # Forms of headings and list items, outermost first.
 HEADINGS = (
     r"#{1}\s", r"#{2}\s", r"#{3,6}\s", r"<h[1-6]\b",
@@ -33,6 +35,11 @@ _CLAUSE = re.compile(r"[；;]+\s*|[，,：:、]+[ 　]*")
 _WORD = re.compile(r"\s+|(?<=\|)")
 _JOINED = re.compile("[̀-ͯ᪰-᫿‍⃐-⃿︀-️\U000e0100-\U000e01ef\U0001f3fb-\U0001f3ff]")
 
+# Signs that end a line of text, which a heading is not.
+_STOPS = tuple("。；！？：，、.;!?:,")
+#: Code points of the longest line that is taken for a heading.
+HEADING = 60
+
 Span = tuple[int, int]
 
 
@@ -128,22 +135,43 @@ def _merge(spans: list[Span], cap: int) -> list[Span]:
     return out
 
 
-def _pack(text: str, root: Node, cap: int) -> list[Span]:
-    """Spans within cap that cover root, from the bottom up: a node that fits stays whole."""
-    packed: dict[int, list[Span]] = {}
-    stack = [(root, False)]
-    while stack:  # no recursion: lists may be nested deeply
-        node, ready = stack.pop()
-        if node.b - node.a <= cap:
-            packed[id(node)] = [(node.a, node.b)]
-        elif not node.kids:
-            packed[id(node)] = _small(text, node.a, node.b, cap)
-        elif ready:
-            packed[id(node)] = _merge([s for kid in node.kids for s in packed.pop(id(kid))], cap)
+def _bare(text: str, node: Node) -> bool:
+    """Whether the node is a line that only announces what follows: a form of heading, short and not ended by a stop."""
+    m = _LEVEL.match(text, node.a, node.b)
+    line = text[node.a : node.b].strip()
+    return bool(m) and m.lastindex <= len(HEADINGS) and not node.kids and len(line) <= HEADING and not line.endswith(_STOPS)
+
+
+def _pack(text: str, nodes: list[Node], cap: int, lead: int | None = None) -> tuple[list[Span], int | None]:
+    """Spans within cap that cover the siblings: whole ones are put together as long as they fit, and only one that is too
+    large by itself is descended into. What comes out of it isn't put together with its neighbours.
+
+    lead: where headings begin that stand before the first node and go with it. The second value is the same for
+    headings at the end, which go with what follows the siblings.
+    """
+    out: list[Span] = []
+    open_: Span | None = None
+    for node in nodes:
+        a = node.a if lead is None else lead
+        if node.b - a <= cap // 2 and _bare(text, node):
+            lead = a
+            continue
+        lead = None
+        if node.b - a <= cap:
+            if open_ and node.b - open_[0] <= cap:
+                open_ = (open_[0], node.b)
+            else:
+                out += [open_] if open_ else []
+                open_ = (a, node.b)
+            continue
+        out += [open_] if open_ else []
+        open_ = None
+        if node.kids:
+            parts, lead = _pack(text, node.kids, cap, a if a < node.a else None)
+            out += parts
         else:
-            stack.append((node, True))
-            stack += [(kid, False) for kid in node.kids]
-    return packed[id(root)]
+            out += _small(text, a, node.b, cap)
+    return out + ([open_] if open_ else []), lead
 
 
 def split(text: str, limit: int, overlap: int) -> list[Span]:
@@ -153,7 +181,9 @@ def split(text: str, limit: int, overlap: int) -> list[Span]:
         raise ValueError("overlap must be at least 0 and below limit")
     if len(text) <= limit:
         return [(0, len(text))]
-    own = _pack(text, parse(text), limit - overlap)
+    own, lead = _pack(text, [parse(text)], limit - overlap)
+    if lead is not None:  # headings that nothing follows
+        own = _merge([*own, (lead, len(text))], limit - overlap) if own and len(text) - own[-1][0] <= limit - overlap else [*own, (lead, len(text))]
     # A first part shorter than the overlap would leave the second piece nothing to repeat.
     while len(own) > 1 and own[0][1] - own[0][0] < overlap:
         room = limit - (own[0][1] - own[0][0])
@@ -176,12 +206,13 @@ def split_oversized(df: DataFrame, kind: str, key: str, text: str, limit: int, o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                spans = split(t, limit, overlap)
-                n = len(spans)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * n), pa.array([k] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array([a for a, _ in spans], pa.int32()), pa.array([b for _, b in spans], pa.int32()), pa.array([t[a:b] for a, b in spans])],
-                    ["kind", "item_key", "window_index", "start_char", "end_char", "piece"],
-                )
+            for part in slices(batch, 1):
+                texts = part.column(1).to_pylist()
+                spans = [split(t, limit, overlap) for t in texts]
+                row = pa.array([k for k, own in enumerate(spans) for _ in own], pa.int32())
+                index = pa.array([j for own in spans for j in range(len(own))], pa.int32())
+                start, end = (pa.array([x[side] for own in spans for x in own], pa.int32()) for side in (0, 1))
+                pieces = pa.array([t[a:b] for t, own in zip(texts, spans) for a, b in own], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(row), pa.string()), part.column(0).take(row), index, start, end, pieces], ["kind", "item_key", "window_index", "start_char", "end_char", "piece"])
 
     return big.mapInArrow(run, "kind string, item_key string, window_index int, start_char int, end_char int, piece string")
