@@ -18,7 +18,10 @@ def p1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, targets = mixing.plan_inputs(table(spark, sf_dir, "sft_candidate"), table(spark, sf_dir, "clean_scale_plan"))
     mixed = materialize(mixing.mix(records, targets), "mixed")
     shares = mixing.report(mixed, targets).select("plan", "source", "target_share", "actual_share")
-    out = mixed.join(shares, ["plan", "source"])
+    # One plan's slice may hold a third of the mix: its rows are spread by a salt, and its one share is given to each.
+    salts = 16
+    shares = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    out = mixed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(shares, ["plan", "source", "salt"])
     return out.select(F.col("plan").alias("plan_id"), F.col("position").cast("long").alias("position"), F.col("source").alias("slice"), "id", "use", "target_share", "actual_share")
 
 

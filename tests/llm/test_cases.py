@@ -29,6 +29,35 @@ def test_mix_by_size_repeats_small_sources_and_keeps_order(spark):
     assert [(r.id, r.use) for r in again] == [(r.id, r.use) for r in got]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_mix_is_the_merged_queue_cut_at_the_budget(spark, seed):
+    """Against a queue merged and cut in plain Python, over the order and sizes of the operator's own queues."""
+    r = random.Random(seed)
+    rec = [(1, s, f"{s}{k}", r.randint(1, 4)) for s, n in (("a", 5), ("b", 40), ("c", 90)) for k in range(n)]
+    plans = [(f"p{k}", {s: r.randint(0, 60) for s in "abcd"}, r.randint(1, 4)) for k in range(5)]
+    tgt = [(p, 1, s, 7, t, m) for p, want, m in plans for s, t in want.items()]
+    rec_df, tgt_df = spark.createDataFrame(rec, RECORDS), spark.createDataFrame(tgt, TARGETS)
+    queue = {s: [(x.id, x.size) for x in mixing.mix(rec_df, spark.createDataFrame([("q", 1, s, 7, sum(x[3] for x in rec if x[1] == s), 1)], TARGETS)).orderBy("position").collect()] for s in "abc"}
+    got = {}
+    for x in mixing.mix(rec_df, tgt_df).orderBy("plan", "position").collect():
+        got.setdefault(x.plan, []).append((x.source, x.id, x.use))
+    for p, want, m in plans:
+        merged = []
+        for s in "abc":
+            upto = 0
+            for use in range(m):
+                for i, size in queue[s] if want[s] else ():
+                    upto += size
+                    merged.append((upto / want[s], s, i, use + 1, size))
+        mine, held = [], 0
+        for _, s, i, use, size in sorted(merged):
+            held += size
+            if held > sum(want.values()):
+                break
+            mine.append((s, i, use))
+        assert got.get(p, []) == mine
+
+
 def test_mix_edges(spark):
     rec = spark.createDataFrame([(1, "a", "x", 1), (1, "a", "x", 1), (1, "a", "y", None), (1, "a", None, 1), (None, "a", "z", 1), (1, "a", "w", -3)], RECORDS)
     tgt = spark.createDataFrame([("p", 1, "a", None, 5, None), ("q", 1, "a", 1, None, 3), ("r", 1, "none", 1, 4, 1), ("s", 1, "a", 1, -2, 1), ("t", None, "a", 1, 2, 1)], TARGETS)
@@ -41,7 +70,7 @@ def test_mix_edges(spark):
 
 def test_prefix_over_one_hot_group(spark):
     df = spark.range(5000).select(F.lit("g").alias("g"), F.col("id"), F.floor(F.col("id") / 100).alias("b"))
-    got = mixing.prefix_in_order(df, ["g"], "b", [F.asc("id")], F.lit(2), "upto")
+    got = mixing.prefix_in_order(df, ["g"], "b", [F.asc("id")], {"upto": F.lit(2)})
     assert got.filter("upto <> 2 * (id + 1)").count() == 0
 
 
@@ -219,6 +248,25 @@ def test_natural_boundaries():
         splitting.split("a", 5, 5)
 
 
+def test_headings_go_with_what_follows_and_loose_ends_stay_apart():
+    text = "第一章 甲\n" + "甲" * 90 + "。\n第二章 乙\n" + ("乙" * 40 + "。\n") * 5 + "第三章 丙\n" + ("丙" * 60 + "。\n") * 4
+    own = [text[a:b] for a, b in splitting.split(text, 200, 0)]
+    assert "".join(own) == text and [p.split("\n")[0] for p in own if p.startswith("第")] == ["第一章 甲", "第二章 乙", "第三章 丙"]
+    assert not any("乙。" in p and "第三章" in p for p in own)
+    r = random.Random(5)
+    for _ in range(200):
+        lines = []
+        for k in range(r.randint(2, 9)):
+            lines += r.choice([[f"# 标题{k}"], [f"第{k}章 总则"], [f"## Part {k}"], [f"# A{k}", f"## B{k}"]])
+            lines += ["".join(r.choice("甲乙丙，。") for _ in range(r.randint(1, 120))) + "。" for _ in range(r.randint(1, 6))]
+        text = "\n".join(lines)
+        pieces = [text[a:b] for a, b in splitting.split(text, 150, 0)]
+        assert "".join(pieces) == text and all(len(p) <= 150 for p in pieces)
+        for p in pieces:
+            last = p.rstrip("\n").rsplit("\n", 1)[-1]
+            assert not (last.startswith(("#", "第")) and not last.endswith("。")), (last, pieces)
+
+
 def test_split_table_edges(spark):
     df = spark.createDataFrame([("a", "x" * 50), ("a", "x" * 50), ("b", None), ("c", ""), ("d", "y" * 10), (None, "z" * 11)], "k string, t string").withColumn("piece", F.lit(1)).withColumn("text", F.lit("clash"))
     got = splitting.split_oversized(df, "unit", "k", "t", 10, 2)

@@ -19,25 +19,29 @@ def test_against_sql(spark, duck, name):
 def test_mix_stays_within_its_bounds(spark, duck):
     rows = queries.p1_mix(spark, DATA).collect()
     plans = {r[0]: r for r in duck.execute("select distinct plan_id, clean_count, coalesce(hard_negative_count, 0), paired_clean_count, max_repeat from clean_scale_plan").fetchall()}
+    short = {tuple(r) for r in queries.p1_found(spark, DATA).collect()}
     by, uses = defaultdict(list), defaultdict(int)
     for r in rows:
         by[r.plan_id].append(r)
         uses[r.plan_id, r.id] += 1
     assert by and all(n <= plans[p][4] for (p, _), n in uses.items())
     for p, own in by.items():
-        _, clean, hard, paired, _ = plans[p]
+        _, clean, hard, paired, repeat = plans[p]
         asked = {"paired_clean": paired, "unpaired_clean": clean - paired, "hard_negative": hard}
-        assert sorted(r.position for r in own) == list(range(1, len(own) + 1))
-        shares = {}
+        own.sort(key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(1, len(own) + 1)) and len(own) <= sum(asked.values())
+        dry = {name for name in asked if (p, name) in short}
+        assert len(own) == sum(asked.values()) or all(asked[n] == 0 or n in dry or {uses[p, r.id] for r in own if r.slice == n} == {repeat} for n in asked)
         for name, n in asked.items():
             mine = [r for r in own if r.slice == name]
-            assert len(mine) <= n
             assert all(abs(r.actual_share - len(mine) / len(own)) < 1e-9 for r in mine)
-            shares[name] = len(mine) == n
-        if all(shares.values()):  # then every front part of the mix is in proportion, too
-            half = sorted(own, key=lambda r: r.position)[: len(own) // 2]
+            assert (len(mine) < n) == (name in dry) and (name not in dry or all(uses[p, r.id] == repeat for r in mine))
+        # Before a slice is used up, every front part of the mix is in proportion.
+        ends = [max((r.position for r in own if r.slice == name), default=0) for name in dry]
+        front = own[: min([len(own), *ends])]
+        for k in range(1, len(front) + 1):
             for name, n in asked.items():
-                assert abs(sum(r.slice == name for r in half) - n * len(half) / len(own)) <= 2
+                assert abs(sum(r.slice == name for r in front[:k]) - n * k / sum(asked.values())) <= 2
 
 
 def test_token_totals(spark, duck):
