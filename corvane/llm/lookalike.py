@@ -18,6 +18,12 @@ from corvane.runtime import materialize
 LOOK_ALIKE = (
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo ϹC ϲc ϳj "
     "АA ВB ЕE КK МM НH ОO РP СC ТT ХX ЅS ІI ЈJ ҮY ԌG ԚQ ԜW аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ѵv "
+    "νv ρp υu αa γy ӏl ӀI гr пn ьb "
+    # Cherokee, Lisu and small capitals, which are drawn as Latin letters
+    "ᎠD ᎡR ᎢT ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᏀG ᏃZ ᏟC ᏢP ᏙV ᏚS ᏞL ᏦK ᏴB ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU "
+    "ᴄc ᴏo ᴠv ᴡw ᴢz ꜱs "
+    # points, primes and strokes
+    "∶: ꞉: ꞏ· ‧· ∙· ⋅· ‚, ‘' ’' ʹ' ʼ' ′' ⁄/ ∕/ ∼~ ˗- "
     "ՕO օo ɡg ɑa ⅠI ⅤV ⅩX ⅬL ⅭC ⅮD ⅯM ⅰi ⅴv ⅹx ⅼl ⅽc ⅾd ⅿm ‐- ‑- −- ◯〇 ○〇 "
     # radicals that are drawn as the character
     "⺁厂 ⺄乙 ⺅亻 ⺇几 ⺉刂 ⺌小 ⺎兀 ⺏尣 ⺐尢 ⺒巳 ⺓幺 ⺔彑 ⺖忄 ⺘扌 ⺙攵 ⺛旡 ⺜日 ⺝月 ⺞歺 ⺟母 ⺠民 ⺡氵 ⺢氺 ⺣灬 ⺤爫 ⺥爫 ⺦丬 "
@@ -83,6 +89,9 @@ def base_table() -> dict[str, str]:
     for cp in [*range(0xC0, 0x3100), *range(0xFB1D, 0xFB50), *range(0x11000, 0x11940), *range(0x1D100, 0x1D200)]:
         for mark in unicodedata.normalize("NFD", chr(cp))[1:]:  # vowel signs and the like, which no class marks as combining
             table[mark] = ""
+    for k in range(19 * 21 * 28):  # a Hangul syllable goes by its leading letter, as its single letters do
+        table[chr(0xAC00 + k)] = chr(0x1100 + k // (21 * 28))
+    table |= {chr(cp): "" for cp in [*range(0x1160, 0x1200), *range(0xD7B0, 0xD800)]}
     for sign, to in table.items():  # what a sign is drawn like may itself be accented, or an accent
         base = unicodedata.normalize("NFD", to)[:1]
         table[sign] = "" if base and unicodedata.combining(base) else table.get(base, base)
@@ -99,11 +108,6 @@ def _ranges(cps: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _collated(df: DataFrame) -> DataFrame:
-    """df (kind, key, raw) with look: raw as mapped, under the accent- and case-sensitive Unicode collation."""
-    return df.filter("raw is not null").select("kind", "key", "raw", F.collate(mapped("raw"), "UNICODE").alias("look"))
-
-
 def canonical(values: DataFrame) -> DataFrame:
     """kind, key, raw and canonical of values (kind, key, raw), raw being any text; null stays null.
 
@@ -112,26 +116,44 @@ def canonical(values: DataFrame) -> DataFrame:
     Empty and blank texts are values like any other. A key that stands there more than once counts once; null is a key. Other columns are ignored.
     """
     values = values.select("kind", "key", "raw")
-    classes = _candidates(values).select("kind", "key", "canonical")
+    named, forms = _classes(values)
+    classes = named.join(forms.filter("f = c").select("c", F.col("raw").alias("canonical")), "c").select("kind", "key", "canonical")
     return values.dropDuplicates(["kind", "key"]).join(classes, ["kind", "key"], "left").select("kind", "key", "raw", F.coalesce("canonical", "raw").alias("canonical"))
 
 
-def _candidates(values: DataFrame) -> DataFrame:
-    """kind, key, raw and the class's canonical form of the rows of values, each key once, in classes that may have more forms.
+def _classes(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """named: kind, key, f and c, the numbers of its form and of its class, of the rows of values in classes that may have
+    more forms, each key once; forms: kind, f, c and raw. The canonical form of a class is the one with f = c.
 
     Strings that the collation holds equal have the same base signs, so a hash of these brings every class together. Only
-    hashes are exchanged to learn which classes have several forms; what is in those is written, and all that follows,
-    the collation first of all, works on that.
+    hashes are exchanged to learn which classes have several forms. Of what is in those, the distinct texts are collated,
+    however often each stands there, and keys then go by numbers.
     """
     there = values.select("kind", "key", "raw").filter("raw is not null and key is not null")
     hashes = materialize(there.select("kind", "key", F.xxhash64("kind", _translated("raw", base_table())).alias("h"), F.xxhash64("raw").alias("r")), "looks")
     various = hashes.groupBy("h").agg(F.min("r").alias("a"), F.max("r").alias("b")).filter("a <> b").select("h")
     keys = hashes.join(various, "h", "left_semi").select("kind", "key").distinct()
     kept = materialize(there.join(keys, ["kind", "key"], "left_semi"), "lookalike").dropDuplicates(["kind", "key"])
-    rows = _collated(kept)
-    plain = F.struct((F.col("raw") != F.collate("look", "UTF8_BINARY")).alias("changed"), F.col("raw").alias("raw"))
-    classes = rows.groupBy("kind", "look").agg(F.min(plain)["raw"].alias("canonical"))
-    return materialize(rows.join(classes, ["kind", "look"]).select("kind", "key", "raw", "canonical"), "forms")
+    texts = materialize(kept.select("kind", "raw").distinct().withColumn("f", F.monotonically_increasing_id()), "texts")
+    looks = texts.withColumn("look", F.collate(mapped("raw"), "UNICODE"))
+    first = F.struct((F.col("raw") != F.collate("look", "UTF8_BINARY")).alias("changed"), "raw", "f")
+    classes = looks.groupBy("kind", "look").agg(F.min(first)["f"].alias("c"))
+    forms = materialize(looks.join(classes, ["kind", "look"]).select("kind", "raw", "f", "c"), "forms")
+    return materialize(kept.join(forms, ["kind", "raw"]).select("kind", "key", "f", "c"), "named"), forms
+
+
+def _pairs(named: DataFrame) -> DataFrame:
+    """Pairs of keys of one kind and class with other forms, once each: the forms are paired, then their keys."""
+    forms = named.select("c", "f").distinct()
+    pairs = forms.withColumnRenamed("f", "f_a").join(forms.withColumnRenamed("f", "f_b"), "c").filter("f_a < f_b").drop("c")
+    a, b = named.select("kind", F.col("f").alias("f_a"), F.col("key").alias("a")), named.select(F.col("f").alias("f_b"), F.col("key").alias("b"))
+    return pairs.join(a, "f_a").join(b, "f_b").select("kind", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
+
+
+def _across(named: DataFrame) -> DataFrame:
+    """Pairs of a key of the clean side and one of the other side, told by the first sign of the key, of one class."""
+    side = lambda s: named.filter(F.col("key").startswith(s)).select("kind", "c", F.substring("key", 2, 1 << 30).alias(f"key_{s}"), F.col("f").alias(f"f_{s}"))
+    return side("a").join(side("b"), ["kind", "c"]).filter("f_a <> f_b").select("kind", "key_a", "key_b")
 
 
 def same_look_pairs(values: DataFrame) -> DataFrame:
@@ -141,18 +163,21 @@ def same_look_pairs(values: DataFrame) -> DataFrame:
     the classes are paired form by form, so copies are only expanded into what the result holds. A key that stands there
     more than once counts once.
     """
-    named = _candidates(values)
-    forms = named.select("kind", "canonical", "raw").distinct()
-    pairs = forms.withColumnRenamed("raw", "raw_a").join(forms.withColumnRenamed("raw", "raw_b"), ["kind", "canonical"]).filter("raw_a < raw_b").drop("canonical")
-    a = named.select("kind", F.col("raw").alias("raw_a"), F.col("key").alias("a"))
-    b = named.select("kind", F.col("raw").alias("raw_b"), F.col("key").alias("b"))
-    both = pairs.join(a, ["kind", "raw_a"]).join(b, ["kind", "raw_b"])
-    return both.select("kind", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
+    return _pairs(_classes(values)[0])
 
 
 def same_look_as(values: DataFrame, clean: DataFrame) -> DataFrame:
     """kind, key_a, key_b: keys of clean (kind, key, raw) and of values with a text that looks the same but isn't the same."""
-    marked = lambda df, side: df.withColumn("key", F.concat(F.lit(side), "key"))
-    named = _candidates(marked(clean, "a").unionByName(marked(values, "b")))
-    side = lambda s: named.filter(F.col("key").startswith(s)).select("kind", "canonical", F.substring("key", 2, 1 << 30).alias(f"key_{s}"), F.col("raw").alias(f"raw_{s}"))
-    return side("a").join(side("b"), ["kind", "canonical"]).filter("raw_a <> raw_b").select("kind", "key_a", "key_b")
+    return _across(_classes(_sides(values, clean))[0])
+
+
+def _sides(values: DataFrame, clean: DataFrame) -> DataFrame:
+    marked = lambda df, side: df.select("kind", F.concat(F.lit(side), "key").alias("key"), "raw")
+    return marked(clean, "a").unionByName(marked(values, "b"))
+
+
+def same_look(texts: DataFrame, values: DataFrame, clean: DataFrame) -> DataFrame:
+    """same_look_pairs(texts) and same_look_as(values, clean) in one pass; the kinds of texts must be others."""
+    named, _ = _classes(texts.select("kind", F.concat(F.lit("t"), "key").alias("key"), "raw").unionByName(_sides(values, clean)))
+    own = named.filter(F.col("key").startswith("t")).withColumn("key", F.substring("key", 2, 1 << 30))
+    return _pairs(own).unionByName(_across(named.filter(~F.col("key").startswith("t"))))

@@ -77,10 +77,9 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corvane.llm.lookalike import same_look_as, same_look_pairs
+    from corvane.llm.lookalike import same_look
 
-    texts, names, register = _p4_values(spark, sf_dir)
-    return same_look_pairs(texts).unionByName(same_look_as(names, register))
+    return same_look(*_p4_values(spark, sf_dir))
 
 
 def _p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
