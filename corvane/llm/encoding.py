@@ -1,11 +1,13 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer, by reuse of content-defined chunks.
 
-A rolling hash over the code points cuts every text into chunks that depend on the content only, so equal passages give
-equal chunks wherever they stand. A chunk that was encoded before is looked up. A cut may fall inside a pre-token; such a
-join is repaired: the text from the last sure boundary before it to the first one after it is taken out of both chunks and
-encoded again as one piece, and if a chunk holds no sure boundary, the piece goes on into the next chunk. A boundary is
-sure if the tokenizer's pattern must end a pre-token there whatever stands before and after; the ids of pieces between
-sure boundaries are thus exactly those of the whole text.
+A rolling hash over the code points cuts every text into chunks of some hundreds of code points that depend on the content
+only, so equal passages give equal chunks wherever they stand. Chunks are brought together by their hash over the whole
+cluster, each distinct one is encoded once, and the ids go back to all places of the chunk.
+
+A cut may fall inside a pre-token; such a join is repaired. A boundary is sure if the tokenizer's pattern must end a
+pre-token there whatever stands before and after. What stands between the last sure boundary before the join and the first
+one after it is taken out of both chunks and encoded again; if a chunk holds no sure boundary, the piece goes on into the
+next chunk. Up to such a boundary, and from it on, the ids of a chunk are those of the whole text, so all ids agree.
 """
 
 from __future__ import annotations
@@ -14,17 +16,16 @@ import base64
 import os
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from corvane.llm.codepoints import classes, flat, slices
+from corvane.runtime import materialize
 
-WINDOW, AVERAGE = 4, 16
-#: Code points of chunks a worker process remembers.
-MEMORY = 8_000_000
+#: Code points that the rolling hash looks at, and of a chunk on average.
+WINDOW, AVERAGE = 16, 512
 
 
 def tokenizer_dir() -> str:
@@ -66,67 +67,73 @@ def _marks(cps: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(AVERAGE)) == 0
 
 
-def pieces(cps: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Positions at which the texts laid end to end are cut: all ends of texts, and the sure boundaries around each mark."""
-    if not len(cps):
-        return np.zeros(0, np.int64)
-    # A boundary judged across two texts is the end of one, which is a boundary anyway.
-    allowed = np.zeros(len(cps) + 1, bool)
-    allowed[1:-1] = sure(cps)
-    allowed[bounds] = True
-    ok = np.flatnonzero(allowed)
-    at = np.flatnonzero(_marks(cps)) + 1
-    k = np.searchsorted(ok, at)
-    cut = np.zeros(len(cps) + 1, bool)
-    cut[bounds] = True
-    cut[ok[k]] = True  # the first sure boundary at or after the mark
-    cut[ok[np.where(ok[k] == at, k, k - 1)]] = True  # the last one at or before it
-    return np.flatnonzero(cut)
-
-
-class Encoder:
-    """Encodes batches of texts; remembers pieces until they fill its memory, then begins anew."""
-
-    def __init__(self, ranks_file: str, pattern: str = PATTERN):
-        self.encode = _encoder(ranks_file, pattern).encode_ordinary
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.held = 0
-        self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        lists = [self.encode(p) for p in new]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.begin = np.r_[self.begin, self.begin[-1] + np.cumsum(sizes)]
-        self.ids = np.r_[self.ids, ids]
-        self.held += sum(map(len, new))
-
-    def lists(self, texts: pa.Array) -> pa.Array:
-        values, cps, bounds = flat(texts)
-        joined = "".join(v for v in values if v)
-        cut = pieces(cps, bounds)
-        at = cut.tolist()
-        own = [joined[a:b] for a, b in zip(at, at[1:])]
-        if self.held > MEMORY:
-            self._forget()
-        new = [p for p in dict.fromkeys(own) if p not in self.known]
-        if new:
-            self._learn(new)
-        number = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
-        first = self.begin[number]
-        size = self.begin[number + 1] - first
-        upto = np.r_[0, np.cumsum(size)]
-        ids = self.ids[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])]
-        offsets = upto[np.searchsorted(cut, bounds)] if len(cut) else np.zeros(len(bounds), np.int64)
-        null = np.array([v is None for v in values] + [False])
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), pa.int32(), mask=null if null.any() else None), pa.array(ids, pa.int32()))
-
-
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of the texts: row, key, seq, the two halves of the chunk's hash and the chunk; one null chunk for a null text."""
+    import xxhash
+
+    for batch in batches:
+        for part in slices(batch, 2):
+            values, cps, bounds = flat(part.column(2))
+            at = np.flatnonzero(_marks(cps)) + 1 if len(cps) else np.zeros(0, np.int64)
+            low, high = np.searchsorted(at, bounds[:-1], side="right"), np.searchsorted(at, bounds[1:])
+            row, seq, chunks = [], [], []
+            for k, (v, a, b, first) in enumerate(zip(values, low.tolist(), high.tolist(), bounds.tolist())):
+                ends = [0, *(at[a:b] - first).tolist(), len(v or "")] if a < b else None
+                own = [v] if ends is None else [v[x:y] for x, y in zip(ends, ends[1:])]
+                row += [k] * len(own)
+                seq += range(len(own))
+                chunks += own
+            raw = [b"" if c is None else c.encode() for c in chunks]
+            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r) for r in raw), ">i8").astype(np.int64).reshape(-1, 2)
+            take = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(seq, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(chunks, pa.string())], ["row", "key", "seq", "h1", "h2", "chunk"])
+
+
+def _encode_chunks(encode, chunks: list[str]) -> list[list]:
+    """ids of each chunk; its first and last sure boundary, as the text and the number of ids before and behind them. A chunk
+    without a sure boundary has all of its text before it."""
+    cps = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(c) for c in chunks])
+    ok = np.flatnonzero(sure(cps)) + 1 if len(cps) > 1 else np.zeros(0, np.int64)
+    begin = ends - [len(c) for c in chunks]
+    a, b = np.searchsorted(ok, begin, side="right"), np.searchsorted(ok, ends)
+    out: list[list] = [[], [], [], [], []]
+    for c, x, i, j in zip(chunks, begin.tolist(), a.tolist(), b.tolist()):
+        ids = encode(c)
+        head, tail = (c[: ok[i] - x], c[ok[j - 1] - x :]) if i < j else (c, None)
+        for column, value in zip(out, (ids, head, len(encode(head)) if i < j else len(ids), tail, len(encode(tail)) if i < j else 0)):
+            column.append(value)
+    return out
+
+
+def _apart(first: str, second: str) -> bool:
+    """Whether a pre-token must end between two signs."""
+    return bool(sure(np.array([ord(first), ord(second)], np.uint32))[0])
+
+
+def _assemble(encode, parts: list[tuple]) -> np.ndarray:
+    """The ids of a text from its chunks (ids, head, head_n, tail, tail_n) in order, with the joins repaired."""
+    out: list[np.ndarray] = []
+    loose = ""  # text behind the last sure boundary, whose ids are still open
+    for k, (ids, head, head_n, tail, tail_n) in enumerate(parts):
+        last = k == len(parts) - 1
+        if loose and not _apart(loose[-1], head[0]):
+            loose, begin = loose + head, head_n
+            if tail is None:  # no sure boundary here: on into the next chunk
+                continue
+            out.append(np.array(encode(loose), np.int32))
+        else:
+            if loose:
+                out.append(np.array(encode(loose), np.int32))
+            begin = 0
+            if tail is None:
+                loose = head
+                continue
+        loose = "" if last else tail
+        out.append(ids[begin : len(ids) if last else len(ids) - tail_n])
+    if loose:
+        out.append(np.array(encode(loose), np.int32))
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 def encode_corpus(df: DataFrame, key: str, text: str, ranks_file: str | None = None, pattern: str = PATTERN) -> DataFrame:
@@ -134,15 +141,51 @@ def encode_corpus(df: DataFrame, key: str, text: str, ranks_file: str | None = N
 
     Empty text gives an empty list, null text gives null. The strings of special tokens are ordinary text. Rows stay as
     they are delivered: repeated or null keys are kept. Other columns of df are ignored. ranks_file must be at the same
-    path on every executor.
+    path on every executor. A task holds no more than a slice of chunks or one text.
     """
     file = ranks_file or f"{tokenizer_dir()}/byte_bpe_50k.tiktoken"
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    chunks = materialize(rows.mapInArrow(_cut, f"row long, key {kind}, seq int, h1 long, h2 long, chunk string"), "chunks")
+
+    def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoder(file, pattern).encode_ordinary
+        for batch in batches:
+            for part in slices(batch, 2):
+                ids, head, head_n, tail, tail_n = _encode_chunks(encode, part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(head, pa.string()), pa.array(head_n, pa.int32()), pa.array(tail, pa.string()), pa.array(tail_n, pa.int32())], ["h1", "h2", "ids", "head", "head_n", "tail", "tail_n"])
+
+    def assemble_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoder(file, pattern).encode_ordinary
+        for batch in batches:
+            lists = batch.column(1)
+            bounds, fields = lists.offsets.to_numpy(), lists.values.flatten()
+            ids, at = fields[1].values.to_numpy(zero_copy_only=False), fields[1].offsets.to_numpy()
+            head, head_n, tail, tail_n = (f.to_pylist() for f in fields[2:])
+            whole = [[(ids[at[k] : at[k + 1]], head[k], head_n[k], tail[k], tail_n[k]) for k in range(x, y)] for x, y in zip(bounds, bounds[1:])]
+            done = [p[0][0] if len(p) == 1 else _assemble(encode, p) for p in whole]
+            offsets = np.r_[0, np.cumsum([len(d) for d in done])].astype(np.int32)
+            values = pa.array(np.concatenate(done) if done else np.zeros(0, np.int32), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], [key, "ids"])
+
+    there = chunks.filter("chunk is not null")
+    once = there.groupBy("h1", "h2").agg(F.first("chunk").alias("chunk"))
+    encoded = once.mapInArrow(encode_all, "h1 long, h2 long, ids array<int>, head string, head_n int, tail string, tail_n int")
+    placed = there.select("row", "key", "seq", "h1", "h2").join(encoded, ["h1", "h2"])
+    texts = placed.groupBy("row").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("seq", "ids", "head", "head_n", "tail", "tail_n"))).alias("parts"))
+    out = texts.select("key", "parts").mapInArrow(assemble_all, f"`{key}` {kind}, ids array<int>")
+    return out.unionByName(chunks.filter("chunk is null").select(F.col("key").alias(key), F.lit(None).cast("array<int>").alias("ids")))
+
+
+def encode_directly(df: DataFrame, key: str, text: str, ranks_file: str | None = None, pattern: str = PATTERN) -> DataFrame:
+    """The same result without reuse: every text is encoded where it lies. What encode_corpus is measured against."""
+    file = ranks_file or f"{tokenizer_dir()}/byte_bpe_50k.tiktoken"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault((file, pattern), Encoder(file, pattern))
+        encode = _encoder(file, pattern).encode_ordinary
         for batch in batches:
             for part in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), encoder.lists(part.column(1))], [key, "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if t is None else encode(t) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))], [key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")

@@ -163,12 +163,39 @@ def test_ids_of_odd_texts(spark):
     assert encoding.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_shared_passages_are_encoded_once():
-    e = encoding.Encoder(f"{encoding.tokenizer_dir()}/byte_bpe_50k.tiktoken")
-    passage = "承运人应当在十日内书面答复，逾期未处理的视为同意；" * 1 + "The parcel was lost in Pellow Bay, and nobody answered. " * 3
-    texts = [f"{k} " + passage + f"尾{k}" for k in range(200)]
-    e.lists(pa.array(texts))
-    assert len(e.known) < 200 * 5
+def test_shared_passages_are_encoded_once_and_joins_are_repaired(spark, monkeypatch):
+    monkeypatch.setattr(encoding, "AVERAGE", 24)
+    encode = encoding._encoder(f"{encoding.tokenizer_dir()}/byte_bpe_50k.tiktoken", encoding.PATTERN).encode_ordinary
+    passage = "承运人应当在十日内书面答复，逾期未处理的视为同意；" * 3 + "The parcel was lost in Pellow Bay, and nobody answered. " * 3
+    texts = [f"{k} " + passage + f"尾{k}" for k in range(200)] + ["aaaa" * 500, "it's the 'll 're" * 40, "  \n " * 90]
+    part = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], ["row", "key", "text"])
+    (out,) = encoding._cut(iter([part]))
+    rows = out.to_pydict()
+    assert len(set(rows["h1"])) < 0.3 * len(rows["h1"])
+    repaired = 0
+    for k, t in enumerate(texts):
+        own = [c for r, c in zip(rows["row"], rows["chunk"]) if r == k]
+        assert "".join(own) == t
+        parts = [(np.array(i, np.int32), *x) for i, *x in zip(*encoding._encode_chunks(encode, own))]
+        assert encoding._assemble(encode, parts).tolist() == encode(t)
+        repaired += sum(len(p[0]) for p in parts) != len(encode(t))
+    assert repaired > 0
+
+
+@pytest.mark.parametrize("average", [2, 5, 40])
+def test_ids_of_random_texts_with_many_cuts(average, monkeypatch):
+    monkeypatch.setattr(encoding, "AVERAGE", average)
+    encode = encoding._encoder(f"{encoding.tokenizer_dir()}/byte_bpe_50k.tiktoken", encoding.PATTERN).encode_ordinary
+    r = random.Random(average)
+    signs = "ab'sdlvrmt  \n\t　 é中文。，１２Ⅷ½́‍\U0001f3fd_-<|endoftext|>͸"
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 300))) for _ in range(400)]
+    part = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], ["row", "key", "text"])
+    (out,) = encoding._cut(iter([part]))
+    rows = out.to_pydict()
+    for k, t in enumerate(texts):
+        own = [c for x, c in zip(rows["row"], rows["chunk"]) if x == k]
+        parts = [(np.array(i, np.int32), *x) for i, *x in zip(*encoding._encode_chunks(encode, own))]
+        assert encoding._assemble(encode, parts).tolist() == encode(t)
 
 
 # --- look-alikes -----------------------------------------------------------------------------------------------------
