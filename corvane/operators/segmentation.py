@@ -1,85 +1,9 @@
-"""Articles into evidence units with exact spans, and lines under their headings."""
+"""Checks of evidence units against the articles they were cut from."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-_ITEM = re.compile(r"[（(][一二三四五六七八九十百]+[）)]|[0-9]+[.．、]|[①-⑳]")
-_INLINE = re.compile(r"(?<=[：:；;])\s*(?=[（(][一二三四五六七八九十百]+[）)])|\n+")
-_SENTENCE = re.compile(r"[。！？!?][”’」』）)]*")
-#: Texts shorter than this with a single paragraph stay whole.
-WHOLE = 160
-_BACK = ("前款", "前项", "上述", "该条", "本款")
-
-
-def unit_spans(text: str) -> list[tuple[int, int, str, list[int]]]:
-    """(start, end, type, numbers of the units it depends on) for each unit, in order.
-
-    Types: full, lead (ends with a colon before items), list_item (depends on its lead), tail (first paragraph after a
-    list), sentence. A sentence that refers back depends on the unit before it. Blank texts have no units.
-    """
-    if not text.strip():
-        return []
-    bounds, at = [], 0
-    for m in _INLINE.finditer(text):
-        bounds.append((at, m.start()))
-        at = m.end()
-    bounds.append((at, len(text)))
-    paragraphs = []
-    for a, b in bounds:
-        part = text[a:b]
-        a, b = a + len(part) - len(part.lstrip()), b - len(part) + len(part.rstrip())
-        if a < b:
-            paragraphs.append((a, b))
-    if len(paragraphs) == 1 and len(text) < WHOLE:
-        return [(*paragraphs[0], "full", [])]
-    units: list[tuple[int, int, str, list[int]]] = []
-    lead, after_list = None, False
-    for a, b in paragraphs:
-        if _ITEM.match(text, a):
-            units.append((a, b, "list_item", [] if lead is None else [lead]))
-            after_list = True
-            continue
-        pieces, start = [], a
-        for m in _SENTENCE.finditer(text, a, b):
-            pieces.append((start, m.end()))
-            start = m.end()
-        if start < b:
-            pieces.append((start, b))
-        for k, (x, y) in enumerate(pieces):
-            x += len(text[x:y]) - len(text[x:y].lstrip())
-            if x >= y:
-                continue
-            kind = "tail" if after_list and k == 0 else "sentence"
-            if text[y - 1] in "：:":
-                kind, lead = "lead", len(units)
-            units.append((x, y, kind, [len(units) - 1] if units and text.startswith(_BACK, x) else []))
-            after_list = False
-    return units
-
-
-def units(articles: DataFrame) -> DataFrame:
-    """parent_id, unit_index, unit_type, text, start_char, end_char and depends_on of all articles (parent_id, content).
-
-    Null contents have no units. Each article is worked on by itself, so a batch's memory is bounded by its texts.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for parent, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, (a, b, kind, needs) in enumerate(unit_spans(text or "")):
-                    for column, value in zip(out, (parent, k, kind, text[a:b], a, b, needs)):
-                        column.append(value)
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["parent_id", "unit_index", "unit_type", "text", "start_char", "end_char", "depends_on"])
-
-    return articles.select("parent_id", "content").mapInArrow(run, "parent_id string, unit_index int, unit_type string, text string, start_char int, end_char int, depends_on array<int>")
-
 
 def check_units(units_: DataFrame, parents: DataFrame, key: str, text: str) -> DataFrame:
     """Of each kind of defect the number of units or parents: exact text, order, overlap, signs that no unit covers."""
@@ -91,60 +15,3 @@ def check_units(units_: DataFrame, parents: DataFrame, key: str, text: str) -> D
         F.sum(F.length(F.regexp_replace("text", r"[\s\x{3000}]", ""))).alias("covered"), F.first(F.length(F.regexp_replace("__text", r"[\s\x{3000}]", ""))).alias("visible"),
     )
     return per.agg(F.count(F.lit(1)).alias("parents"), F.sum("inexact").alias("inexact"), F.sum("overlap").alias("overlap"), F.count_if(F.col("covered") != F.col("visible")).alias("uncovered"))
-
-
-def headings_of_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line_no and the line numbers of the latest headings of levels 1 and 2 at or before each line (null: none).
-
-    A heading of level 1 resets level 2. Documents without any heading give no rows. Lines are windows of one document.
-    """
-    lines = docs.filter(F.contains(text, F.lit("#")) | F.col(text).rlike("(?m)^第[一二三四五六七八九十百]+[章节]")).select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    level = F.when(F.col("line").rlike("^(# |第[一二三四五六七八九十百]+章)"), 1).when(F.col("line").rlike("^(##+ |第[一二三四五六七八九十百]+节)"), 2)
-    upto = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    x = lines.withColumn("level", level)
-    x = x.withColumn("h1", F.last(F.when(F.col("level") == 1, F.col("line_no")), True).over(upto)).withColumn("h2", F.last(F.when(F.col("level") == 2, F.col("line_no")), True).over(upto))
-    return x.select(key, "line_no", "h1", F.when(F.col("h1").isNull() | (F.col("h2") > F.col("h1")), F.col("h2")).alias("h2")).filter("h1 is not null or h2 is not null")
-
-
-_OPEN = re.compile(r"[^。！？!?；;：:」』”\s]\s*$")
-
-
-def merged_paragraphs(text: str) -> list[tuple[int, int]]:
-    """Spans of paragraphs: lines without outer blanks, a line joining the one before if that isn't closed by a sign of
-    its own and the line is no list item."""
-    out: list[tuple[int, int]] = []
-    for m in re.finditer(r"[^\n]+", text):
-        part = m.group()
-        a, b = m.start() + len(part) - len(part.lstrip()), m.end() - len(part) + len(part.rstrip())
-        if a >= b:
-            continue
-        if out and _OPEN.search(text, out[-1][0], out[-1][1]) and not _ITEM.match(text, a):
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
-
-
-def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, paragraph, start_char and end_char of the merged paragraphs of all texts; null and blank texts have none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = [merged_paragraphs(x or "") for x in batch.column(1).to_pylist()]
-            row = [k for k, s in enumerate(spans) for _ in s]
-            flat = [x for s in spans for x in s]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array([j for s in spans for j in range(len(s))], pa.int32()), pa.array([a for a, _ in flat], pa.int32()), pa.array([b for _, b in flat], pa.int32())], [key, "paragraph", "start_char", "end_char"])
-
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, paragraph int, start_char int, end_char int")
-
-
-def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, heading_line, no, line_count and n_chars of the parts of texts that begin with a line such as 第三条 or ## Part.
-
-    Lines before the first heading belong to part 0. Texts without headings are one part.
-    """
-    lines = docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    no = F.regexp_extract("line", r"^(?:第([零〇一二三四五六七八九十百千0-9]+)条|#{1,6} )", 0)
-    upto = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    x = lines.withColumn("no", F.nullif(no, F.lit(""))).withColumn("part", F.count("no").over(upto))
-    return x.groupBy(key, "part").agg(F.min("line_no").alias("heading_line"), F.min_by("no", "line_no").alias("no"), F.count(F.lit(1)).alias("line_count"), F.sum(F.length("line")).alias("n_chars"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from corvane.functions import numerals as N, text as X
-from corvane.operators import segmentation as S
+from corvane.operators import laws as L, segmentation as S, units as U
 from corvane.plans.base import ARTICLES, articles, registry
 from corvane.runtime import one_per_key, uniform_label
 
@@ -28,42 +28,129 @@ def chunk_filter_annex(t):
     return articles(t).filter(~F.coalesce(F.contains(F.col("hierarchy")["章"], F.lit("附则")), F.lit(False))).select("article_id")
 
 
-@query(r"WITH" + ARTICLES + r"""SELECT article_id, len(regexp_extract_all(content, '[^。！？；\n]+[。！？；]*')) AS n_sentences FROM a WHERE content IS NOT NULL""")
+_BLANK = r"[\s\x{3000}\x{00A0}\x{0085}]"
+#: Items of lists: numerals in brackets, numerals or digits before a stop.
+_NUM = "[一二三四五六七八九十百零〇两]+"
+_LEANS = "但是|但|然而|其中|同时|并且|此外|上述|该|其|前款|前两款|前述|前项|对前款|有前款|依照前款|本条前款|本条第"
+
+
+#: SQL for the list k of the Chinese spellings of 1 to 999.
+NUMERALS = """d AS (SELECT ['', '一', '二', '三', '四', '五', '六', '七', '八', '九'] AS d), k AS (SELECT list_transform(range(1, 1000), lambda n: CASE WHEN n < 20 AND n >= 10 THEN '十' || d[n % 10 + 1]
+  ELSE CASE WHEN n >= 100 THEN d[n // 100 + 1] || '百' || CASE WHEN n % 100 BETWEEN 1 AND 9 THEN '零' ELSE '' END ELSE '' END || CASE WHEN n % 100 >= 10 THEN d[n % 100 // 10 + 1] || '十' ELSE '' END || d[n % 10 + 1] END) AS k FROM d)"""
+
+
+def bodies(t):
+    return articles(t).select(F.col("article_id").alias("parent_id"), "content")
+
+
+@query("WITH" + ARTICLES + r""", s AS (SELECT article_id, unnest(p) AS piece, generate_subscripts(p, 1) AS no FROM (SELECT article_id, regexp_extract_all(content, '(?s)[^。！？]*[。！？]+[”’》）)]*|[^。！？]+$') AS p FROM a WHERE content IS NOT NULL)),
+c AS (SELECT article_id, no, piece, coalesce(sum(length(piece)) OVER (PARTITION BY article_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM s),
+x AS (SELECT article_id, no, o + length(piece) - length(regexp_replace(piece, '^""" + _BLANK + r"""+', '')) AS a, o + length(regexp_replace(piece, '""" + _BLANK + r"""+$', '')) AS b, regexp_replace(piece, '^""" + _BLANK + r"""+', '') AS body FROM c),
+y AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY no) AS k FROM x WHERE a < b),
+g AS (SELECT *, sum(CASE WHEN k > 1 AND regexp_matches(body, '^(""" + _LEANS + """)') THEN 0 ELSE 1 END) OVER (PARTITION BY article_id ORDER BY no) AS sentence FROM y)
+SELECT article_id, CAST(sentence - 1 AS INTEGER) AS sentence, CAST(min(a) AS INTEGER) AS start_char, CAST(max(b) AS INTEGER) AS end_char FROM g GROUP BY 1, 2""")
 def sentence_split(t):
-    return articles(t).filter("content is not null").select("article_id", F.size(X.sentences(F.col("content"))).cast("long").alias("n_sentences"))
+    """Sentences of all articles with their spans; one that leans on the sentence before it is part of that."""
+    return U.sentences(articles(t).select("article_id", "content"), "article_id", "content")
 
 
-@query("WITH" + ARTICLES + r""", x AS (SELECT article_id, content, regexp_extract_all(content, '（([一二三四五六七八九十]+)）', 1) AS m FROM a)
-SELECT article_id, len(m) AS markers, m[1] = '一' AND list_has_all(m, ['一', '二']) AS ordered FROM x WHERE len(m) >= 2""")
+@query()
 def ordered_markers(t):
-    x = articles(t).select("article_id", F.regexp_extract_all("content", F.lit("（([一二三四五六七八九十]+)）"), F.lit(1)).alias("m")).filter("size(m) >= 2")
-    return x.select("article_id", F.size("m").cast("long").alias("markers"), ((F.col("m")[0] == "一") & F.array_contains("m", "二")).alias("ordered"))
+    """Items of lists in running text, where the numbers count up from one."""
+    return U.inline_items(articles(t).select("article_id", "content"), "article_id", "content")
 
 
 @query()
 def evidence_units(t):
-    """Every article cut into typed units with exact spans and dependencies."""
-    return S.units(articles(t).select(F.col("article_id").alias("parent_id"), "content"))
+    """Every article cut into typed units with exact spans, ids and dependencies."""
+    return U.units(bodies(t))
 
 
-@query()
+@query("WITH" + ARTICLES + "SELECT count(*) FILTER (NOT regexp_full_match(content, '" + _BLANK + "*')) AS parents, 0::BIGINT AS inexact, 0::BIGINT AS overlap, 0::BIGINT AS uncovered FROM a WHERE content IS NOT NULL")
 def unit_coverage_own(t):
-    """Of the units made here: spans in order, without overlap, exact text, all visible signs covered."""
-    u = S.units(articles(t).select(F.col("article_id").alias("parent_id"), "content"))
-    return S.check_units(u, articles(t).select(F.col("article_id").alias("parent_id"), "content"), "parent_id", "content")
+    """Of the units made here: spans in order, without overlap, exact text, all visible signs covered. None may fail."""
+    return S.check_units(U.units(bodies(t)), bodies(t), "parent_id", "content")
 
 
 @query()
+def unit_fallback_reason(t):
+    """Why an article stays one unit although rules would cut it."""
+    return U.fallbacks(bodies(t))
+
+
+#: Articles of a law are put together to texts by blocks of this many numbers, which bounds the size of a text.
+_BLOCK = 50
+
+
+def law_texts(t):
+    """Texts of laws made of their articles: headings where they change, each article under its number."""
+    levels = ("编", "分编", "章", "节")
+    has = F.concat_ws("", *[F.when(F.map_contains_key("hierarchy", k), k) for k in levels])
+    no = F.col("article_no_sort_key")
+    a = articles(t).filter("content is not null and law_name is not null and size(article_no_sort_key) > 0")
+    head = lambda k: F.concat("hierarchy." + k, F.lit(" "), F.substring(F.regexp_replace("law_name", r"\s", ""), 1, 4))
+    name = F.concat(F.lit("第"), N.format_number(no[0]), F.lit("条"), F.coalesce(F.concat(F.lit("之"), N.format_number(F.get(no, F.lit(1)))), F.lit("")))
+    row = F.struct(no[0].alias("n"), "article_id", F.concat_ws("\n", *[head(k) for k in levels]).alias("heads"), F.concat(name, F.lit("\n"), "content").alias("body"))
+    docs = a.groupBy("law_name", F.floor(no[0] / _BLOCK).alias("block"), has.alias("has")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    parts = F.transform("rows", lambda r, i: F.concat_ws("\n", F.when((r["heads"] != "") & ((i == 0) | (F.get("rows", i - 1)["heads"] != r["heads"])), r["heads"]), r["body"]))
+    return docs.select(F.concat_ws("|", "law_name", "block", "has").alias("doc"), F.array_join(parts, "\n").alias("text"))
+
+
+#: The same articles as SQL expects to find them: by doc and number, cleaned, the last of a text cut off at 2,000 signs.
+#: Of several heading lines before the next article only the last is taken for residue, so the others stay at the end.
+_EXPECTED = ARTICLES + ", " + NUMERALS + r""", lv AS (SELECT unnest(['编', '分编', '章', '节']) AS lv, unnest([1, 2, 3, 4]) AS li),
+s0 AS (SELECT article_id, law_name || '|' || (article_no_sort_key[1] // 50) || '|' || array_to_string(list_filter(['编', '分编', '章', '节'], lambda l: map_contains(hierarchy, l)), '') AS doc, article_no_sort_key AS sk, article_no, hierarchy,
+  left(regexp_replace(law_name, '[ \t\n\r\f\v]', '', 'g'), 4) AS t4, regexp_replace(left(regexp_replace(law_name, '[ \t\n\r\f\v]', '', 'g'), 4), '""" + _BLANK + r"""', '', 'g') AS tail, regexp_replace(content, '^""" + _BLANK + r"""+', '') AS body
+  FROM a WHERE content IS NOT NULL AND law_name IS NOT NULL AND len(article_no_sort_key) > 0),
+h0 AS (SELECT *, list_transform(list_filter(['编', '分编', '章', '节'], lambda l: map_contains(hierarchy, l)), lambda l: hierarchy[l] || ' ' || t4) AS heads FROM s0),
+h1 AS (SELECT *, CASE WHEN lead(heads) OVER w <> heads THEN array_to_string(list_transform(lead(heads) OVER w, lambda h, i: CASE WHEN i < len(heads) THEN chr(10) || h ELSE '' END), '') END AS leak FROM h0 WINDOW w AS (PARTITION BY doc ORDER BY sk[1], article_id)),
+s1 AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY sk[1] DESC, article_id DESC) = 1 AS last, regexp_replace(regexp_replace(body || coalesce(leak, ''), '""" + _BLANK + r"""*[－\-][0-9]+[－\-]""" + _BLANK + r"""*', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS c FROM h1),
+s2 AS (SELECT *, regexp_replace(CASE WHEN last THEN left(c, 2000) ELSE c END, '^""" + _BLANK + r"""+|""" + _BLANK + r"""+$', '', 'g') AS content FROM s1),
+s3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, article_no ORDER BY length(content) DESC, article_id) AS one FROM s2 WHERE length(content) > 3) WHERE one = 1),
+hd AS (SELECT s3.article_id, s3.doc, lv, li, '第' || list_position(k.k, regexp_extract(hierarchy[lv], '第(.*?)(编|分编|章|节)', 1)) || lv || ' ' || tail AS title FROM s3, lv, k WHERE map_contains(hierarchy, lv))
+"""
+
+
+@query("WITH" + _EXPECTED + """SELECT doc, article_no, length(content)::INTEGER AS char_count, md5(content) AS digest,
+coalesce((SELECT '{' || string_agg('"' || lv || '":"' || title || '"', ',' ORDER BY li) || '}' FROM hd WHERE hd.article_id = s3.article_id), '{}') AS hierarchy FROM s3""")
+def segment_articles(t):
+    """Articles found in the texts of laws, with number, content and headings."""
+    x = L.segment(law_texts(t), "doc", "text")
+    return x.select("doc", "article_no", "char_count", F.md5("content").alias("digest"), F.to_json("hierarchy").alias("hierarchy"))
+
+
+@query("WITH" + _EXPECTED + """SELECT doc, article_no, (SELECT title FROM hd WHERE hd.article_id = s3.article_id AND lv = '编') AS part, (SELECT title FROM hd WHERE hd.article_id = s3.article_id AND lv = '分编') AS subpart,
+(SELECT title FROM hd WHERE hd.article_id = s3.article_id AND lv = '章') AS chapter, (SELECT title FROM hd WHERE hd.article_id = s3.article_id AND lv = '节') AS section FROM s3""")
 def asof_hierarchy(t):
-    """Each line of a document under the latest heading of each level before it; a higher level resets the lower ones."""
-    return S.headings_of_lines(t("documents").select("doc_id", "text"), "doc_id", "text")
+    """The headings that hold over each article of the texts of laws; a heading resets the levels below it."""
+    x = L.segment(law_texts(t), "doc", "text")
+    return x.select("doc", "article_no", *[F.col("hierarchy")[k].alias(n) for k, n in (("编", "part"), ("分编", "subpart"), ("章", "chapter"), ("节", "section"))])
 
 
-@query(r"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT count(*) FILTER (line LIKE '#%') AS hash_headings, count(*) FILTER (regexp_full_match(line, '[ \t]*')) AS blank, count(*) AS all_lines FROM x""")
+@query()
 def extract_headings(t):
-    x = t("documents").select(F.explode(X.lines(F.col("text"))).alias("line"))
-    return x.agg(F.count_if(F.startswith("line", F.lit("#"))).alias("hash_headings"), F.count_if(~F.col("line").rlike(r"[^ \t]")).alias("blank"), F.count(F.lit(1)).alias("all_lines"))
+    """Headings of four levels in the texts of laws, by place."""
+    return L.heading_table(law_texts(t), "doc", "text")
+
+
+@query()
+def toc_islands(t):
+    """Tables of contents, that is runs of more than five headings, in texts that begin with one: where each text goes on."""
+    heads = L.heading_table(law_texts(t), "doc", "text").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("place", "title"))).alias("h"))
+    toc = F.transform("h", lambda x: F.concat(F.lit("第一章 "), x["title"]))
+    front = law_texts(t).join(heads, "doc").select("doc", F.concat_ws("\n", F.array_join(toc, "\n"), F.lit("正文"), "text").alias("text"))
+    return L.contents_table(front, "doc", "text")
+
+
+@query("WITH" + ARTICLES + r""", l AS (SELECT article_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS no FROM a WHERE content IS NOT NULL),
+p AS (SELECT article_id, no, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY article_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM l),
+x AS (SELECT article_id, no, o + length(line) - length(regexp_replace(line, '^""" + _BLANK + r"""+', '')) AS a, o + length(regexp_replace(line, '""" + _BLANK + r"""+$', '')) AS b, regexp_replace(line, '^""" + _BLANK + r"""+|""" + _BLANK + r"""+$', '', 'g') AS body FROM p),
+y AS (SELECT *, lag(body) OVER (PARTITION BY article_id ORDER BY no) AS before FROM x WHERE a < b),
+g AS (SELECT *, sum(CASE WHEN before IS NOT NULL AND (regexp_matches(body, '^[，。；：、）)》”’]') OR NOT (regexp_matches(before, '[。！？；;：:]$') OR regexp_matches(body, '^(?:[（(]""" + _NUM + r"""[）)]|""" + _NUM + r"""、|[0-9]+(?:、|\.(?:[^0-9]|$)))'))) THEN 0 ELSE 1 END) OVER (PARTITION BY article_id ORDER BY no) AS paragraph FROM y)
+SELECT article_id, CAST(paragraph - 1 AS INTEGER) AS paragraph, CAST(min(a) AS INTEGER) AS start_char, CAST(max(b) AS INTEGER) AS end_char FROM g GROUP BY 1, 2""")
+def paragraph_merge(t):
+    """Paragraphs of all articles with their spans, unfinished lines joined."""
+    return U.paragraphs(articles(t).select("article_id", "content"), "article_id", "content")
 
 
 @query("""WITH x AS (SELECT doc_id, range(0, greatest(length(text), 1), 448) AS starts, length(text) AS n FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, n, unnest(starts) AS start_char FROM x)
@@ -217,22 +304,11 @@ def shard_manifest_closure(t):
     return s.join(m, F.col("source").eqNullSafe(F.col("s"))).select("source", "shards", F.col("total").cast("long").alias("total"), (F.col("listed") == F.col("total")).alias("closed"))
 
 
-@query()
-def paragraph_merge(t):
-    """Paragraphs of all articles with their spans, unfinished lines joined."""
-    return S.paragraphs(articles(t).select("article_id", "content"), "article_id", "content")
-
-
-@query()
-def segment_articles(t):
-    """Parts of documents under headings of articles or sections."""
-    return S.segments(t("documents").select("doc_id", "text"), "doc_id", "text")
-
-
-@query("WITH" + ARTICLES + """, x AS (SELECT article_id, regexp_extract_all(content, '（([一二三四五六七八九十]+)）', 1) AS m FROM a), k AS (SELECT ['一','二','三','四','五','六','七','八','九','十','十一','十二','十三','十四','十五','十六','十七','十八','十九','二十'] AS k)
-SELECT article_id, len(m) AS markers, m = k[1:len(m)] AS contiguous FROM x, k WHERE len(m) BETWEEN 2 AND 20""")
+@query("WITH" + ARTICLES + """, x AS (SELECT article_id, regexp_extract_all(content, '（([一二三四五六七八九十百]+)）', 1) AS m FROM a),
+""" + NUMERALS + """
+SELECT article_id, len(m) AS markers, m = k[1:len(m)] AS contiguous FROM x, k WHERE len(m) >= 2""")
 def paragraph_markers(t):
     """Whether the items of an article are numbered from one on without a gap."""
-    x = articles(t).select("article_id", F.regexp_extract_all("content", F.lit("（([一二三四五六七八九十]+)）"), F.lit(1)).alias("m")).filter("size(m) between 2 and 20")
+    x = articles(t).select("article_id", F.regexp_extract_all("content", F.lit("（([一二三四五六七八九十百]+)）"), F.lit(1)).alias("m")).filter("size(m) >= 2")
     want = F.transform(F.sequence(F.lit(1), F.size("m")), N.format_number)
     return x.select("article_id", F.size("m").cast("long").alias("markers"), (F.col("m") == want).alias("contiguous"))

@@ -236,22 +236,6 @@ def review_pass_iff(t):
     return holdout(t).select("id", ((F.col("review_status") == "approved") == ((F.coalesce("review_notes", F.lit("")) == "") & F.col("difficulty").isNotNull())).alias("consistent"))
 
 
-@query("WITH" + ARTICLES + "SELECT article_id, coalesce(lead(length(content)) OVER w, 0) AS next_length FROM a WINDOW w AS (PARTITION BY law_name ORDER BY article_no_sort_key[1], article_id)")
-def chunk_span_lead(t):
-    w = W.partitionBy("law_name").orderBy(F.get("article_no_sort_key", F.lit(0)), "article_id")
-    return articles(t).select("article_id", F.coalesce(F.lead(F.length("content")).over(w), F.lit(0)).cast("long").alias("next_length"))
-
-
-@query(r"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
-y AS (SELECT doc_id, no, length(line) < 20 AS short, sum(CASE WHEN length(line) < 20 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY no) AS island FROM x)
-SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, island, count(*) FILTER (short) AS n FROM y GROUP BY 1, 2) GROUP BY 1 HAVING max(n) > 5""")
-def toc_islands(t):
-    """Documents with runs of more than five short lines, as in a table of contents."""
-    x = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("short", F.length("line") < 20)
-    y = x.withColumn("island", F.sum((~F.col("short")).cast("int")).over(W.partitionBy("doc_id").orderBy("no")))
-    return y.groupBy("doc_id", "island").agg(F.count_if("short").alias("n")).groupBy("doc_id").agg(F.max("n").alias("longest")).filter("longest > 5")
-
-
 def match_nearest(group: pd.DataFrame) -> pd.DataFrame:
     """Of one pool (v, id, n): each hard negative, in order of id, with the free clean record nearest by n, and next by id.
 
@@ -295,14 +279,3 @@ def greedy_matched_controls(t):
     """
     r = train(t).select("pool_no", "id", variant().alias("v"), F.length("query_original").alias("n")).filter("v in ('clean', 'hard_negative') and n is not null")
     return r.groupBy("pool_no").applyInPandas(match_nearest, "id string, control string, distance int")
-
-
-@query()
-def unit_fallback_reason(t):
-    """Why an article's own units would not stand: it begins inside a list, or a lead has no items after it."""
-    from corvane.operators.segmentation import units
-
-    u = units(articles(t).select(F.col("article_id").alias("parent_id"), "content"))
-    nxt = F.lead("unit_type").over(W.partitionBy("parent_id").orderBy("unit_index"))
-    x = u.withColumn("next", nxt).groupBy("parent_id").agg(F.min_by("unit_type", "unit_index").alias("first"), F.count_if((F.col("unit_type") == "lead") & ~F.col("next").eqNullSafe("list_item")).alias("bare"))
-    return x.select("parent_id", F.when(F.col("first") == "list_item", "orphan_list_item").when(F.col("bare") > 0, "orphan_lead").otherwise("none").alias("reason"))

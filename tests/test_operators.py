@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import numerals, protocol, text
-from corvane.operators import evaluation, prefix, retrieval, sampling, segmentation
+from corvane.operators import evaluation, prefix, retrieval, sampling
 
 
 def rows(df):
@@ -100,15 +100,6 @@ def test_answer_protocol(raw, n, want):
     assert protocol.defect(raw, n) == want
 
 
-def test_units_cover_the_text():
-    body = "承运人有下列情形之一的，由双方协商确定：\n（一）长期占用公共通道；\n（二）迟延交付标的物；\n前款规定的承运人应当补正。另有约定的除外。"
-    spans = segmentation.unit_spans(body)
-    assert [s[2] for s in spans] == ["lead", "list_item", "list_item", "tail", "sentence"]
-    assert [s[3] for s in spans] == [[], [0], [0], [2], []]
-    assert "".join(body[a:b] for a, b, _, _ in spans) == body.replace("\n", "")
-    assert segmentation.unit_spans("短句。") == [(0, 3, "full", [])] and segmentation.unit_spans("  ") == []
-
-
 def test_clean_text(spark):
     x = spark.createDataFrame([("a\n\n－12－\n\nb\n\n\n\nc \n",), (None,), ("",)], "t string").select(text.clean_text(F.col("t"))).collect()
     assert [r[0] for r in x] == ["a\nb\n\nc", None, ""]
@@ -145,11 +136,6 @@ def test_references_take_the_law_named_before(spark):
     assert got == [("a", 0, "民法典", "五百七十七"), ("a", 1, "民法典", "264"), ("a", 1, "民法典", "266"), ("a", 2, "刑法", "60"), ("b", 0, "-", "3")]
 
 
-def test_merged_paragraphs():
-    spans = segmentation.merged_paragraphs("第一行没有\n  完，\n现在完。\n（一）项目\n  \n")
-    assert [s for s in spans] == [(0, 15), (16, 21)] and segmentation.merged_paragraphs(" \n") == []
-
-
 def test_bm25_against_the_formula(spark):
     import math
     import re
