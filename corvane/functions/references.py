@@ -1,20 +1,92 @@
-"""References to articles in running text."""
+"""References to articles of laws in questions, as column expressions: 《law》第n条, coordinated numbers, inherited laws."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, functions as F
 
-_NUMBER = "[零〇一二三四五六七八九十百千0-9]+"
+from corvane.functions.numerals import chinese_number, format_number
 
+# Numerals, words between references, endings of laws' names, words before a name, forms of enactment.
+NUMERAL = "[零〇一二三四五六七八九十百千万两0-9]+"
+AND = "(?:以及|或者|[、，,和及与或])"
+SUFFIX = f"(?:之{NUMERAL})?"
+GROUP = f"第{NUMERAL}(?:{AND}第?{NUMERAL})*条{SUFFIX}(?:{AND}{NUMERAL}条{SUFFIX})*"
+ENDING = "(?:法典|法|条例|规定|决定|办法|规则|通则)"
+TITLE = "《([^《》]+)》"
+BARE = f"^([\\x{{4E00}}-\\x{{9FFF}}A-Za-z0-9·]+?{ENDING}(?:（[^（）]+）)?)(?:的)?$"
+SEVERAL = f"(?:{ENDING}|》){AND}(?:《)?[^《》]*{ENDING}(?:》)?(?:的)?$"
+BEFORE = ("请告诉我", "请解释一下", "请说明一下", "请对比一下", "请比较一下", "帮我查一下", "我想了解", "请解释", "请说明", "请对比", "请比较", "帮我查", "请问", "根据", "按照", "对比", "比较")
+ENACTED = "^(?:在)?(?:19|20)[0-9]{2}年(?:通过|颁布|公布|施行|生效)的"
+#: What goes before a bare name of a law, in this order.
+STRIP = (f"^(?:{AND}|[。；;：:])+", "^(?:" + "|".join(BEFORE) + ")[：:,，]*", ENACTED)
+#: More references than this in one question are too many to look up.
+MOST = 3
 
-def references(docs: DataFrame, key: str, text: str, unit: str = "条") -> DataFrame:
-    """key, place, law (null: none named before), no: every reference of the form 《law》第n条 or 第n条 (or another unit) in its order.
 
-    Members of an enumeration such as 第3、5条 are references of their own. Texts without a reference give no rows.
+def compact(question: Column) -> Column:
+    return F.regexp_replace(question, r"\s+", "")
+
+
+def numbers_of(group: Column) -> Column:
+    """The references of a coordinated group, each spelt out: 第264、266条 gives 第264条 and 第266条."""
+    each = F.regexp_extract_all(F.regexp_replace(group, "第", ""), F.lit(f"({NUMERAL}(?:条之{NUMERAL})?)"), F.lit(1))
+    return F.transform(each, lambda n: F.concat(F.lit("第"), n, F.when(F.contains(n, F.lit("条")), "").otherwise("条")))
+
+
+def article_references(question: Column) -> Column:
+    """All references of a question in order, spelt out; an empty array if there are none, null for null."""
+    groups = F.regexp_extract_all(compact(question), F.lit(f"({GROUP})"), F.lit(1))
+    return F.flatten(F.transform(groups, numbers_of))
+
+
+def _law(segment: Column) -> Column:
+    """The law that the text before a reference names, null if it names none."""
+    titles = F.regexp_extract_all(segment, F.lit(TITLE), F.lit(1))
+    bare = segment
+    for pattern in STRIP:
+        bare = F.regexp_replace(bare, pattern, "")
+    name = F.nullif(F.regexp_extract(bare, BARE, 1), F.lit(""))
+    return F.when(F.size(titles) > 0, F.trim(F.element_at(titles, -1))).otherwise(name)
+
+
+def exact_references(question: Column) -> Column:
+    """status and references (law, no) of a question.
+
+    status: none (no reference), clarify (more than MOST, a reference without a law, or several laws before one) or
+    found. A reference without a law of its own takes that of the reference before it. No part of the references is given
+    unless all are clear. Null for a null question.
     """
-    whole = F.regexp_extract_all(text, F.lit(f"((?:《[^》]{{1,60}}》)?第{_NUMBER}(?:、{_NUMBER})*{unit})"), F.lit(1))
-    found = docs.filter(F.contains(text, F.lit("第"))).select(key, F.posexplode(whole).alias("place", "ref"))
-    law = F.nullif(F.regexp_extract("ref", "《([^》]+)》", 1), F.lit(""))
-    upto = W.partitionBy(key).orderBy("place").rowsBetween(W.unboundedPreceding, 0)
-    named = found.withColumn("law", F.last(law, True).over(upto))
-    return named.select(key, "place", "law", F.explode(F.split(F.regexp_extract("ref", f"第([^{unit}]+){unit}", 1), "、")).alias("no"))
+    text = compact(question)
+    groups = F.regexp_extract_all(text, F.lit(f"({GROUP})"), F.lit(1))
+    before = F.slice(F.split(text, GROUP), F.lit(1), F.size(groups))
+    first = F.struct(F.lit(None).cast("string").alias("law"), F.lit(True).alias("clear"), F.array().cast("array<struct<law:string,no:string>>").alias("refs"))
+
+    def step(acc: Column, x: Column) -> Column:
+        law = F.coalesce(_law(x["0"]), acc["law"])
+        several = (F.size(F.regexp_extract_all(x["0"], F.lit(TITLE), F.lit(1))) > 1) | x["0"].rlike(SEVERAL)
+        refs = F.transform(numbers_of(x["1"]), lambda n: F.struct(law.alias("law"), n.alias("no")))
+        return F.struct(law.alias("law"), (acc["clear"] & ~several & law.isNotNull()).alias("clear"), F.concat(acc["refs"], refs).alias("refs"))
+
+    zipped = F.arrays_zip(before.alias("0"), groups.alias("1"))
+    done = F.aggregate(zipped, first, step)
+    n = F.size(done["refs"])
+    status = F.when(n == 0, "none").when((n > MOST) | ~done["clear"], "clarify").otherwise("found")
+    return F.when(question.isNotNull(), F.struct(status.alias("status"), F.when(status == "found", done["refs"]).otherwise(F.array().cast("array<struct<law:string,no:string>>")).alias("references")))
+
+
+def _strict(numeral: Column) -> Column:
+    """The value of digits or of a Chinese numeral in its usual spelling, above 0; null for anything else."""
+    plain = F.translate(numeral, "〇两", "零二")
+    spelt = chinese_number(plain)
+    usual = F.when(format_number(spelt) == plain, spelt)
+    return F.nullif(F.when(numeral.rlike("^[0-9]+$"), numeral.try_cast("int")).when(~numeral.rlike("[0-9]"), usual), F.lit(0))
+
+
+def article_key(no: Column) -> Column:
+    """An article's number in one form: 第一百三十三条之一 and 133之1 are 133之一. Null for what is no number, is spelt in an
+    unusual way, mixes digits with numerals, is 0, or has a suffix above 99."""
+    text = F.regexp_replace(no, r"\s+", "")
+    form = f"^第?({NUMERAL})条?(?:之({NUMERAL}))?$"
+    main, suffix = _strict(F.nullif(F.regexp_extract(text, form, 1), F.lit(""))), F.nullif(F.regexp_extract(text, form, 2), F.lit(""))
+    more = _strict(suffix)
+    return F.when(suffix.isNull(), main.cast("string")).when(more < 100, F.concat(main.cast("string"), F.lit("之"), format_number(more)))

@@ -159,15 +159,6 @@ def chain_link(t):
     return a.join(b, "k").select("first_id", "next_id")
 
 
-@query()
-def exact_references(t):
-    """References to articles and chapters in articles, a number without a law's name taking the one before it."""
-    from corvane.functions.references import references
-
-    a = articles(t).select("article_id", "content")
-    return references(a, "article_id", "content", "条").unionByName(references(a, "article_id", "content", "章"))
-
-
 @query("WITH " + _H + """SELECT id, length(query_formal) <= greatest(160, 2 * length(query_original)) AS short, len(list_intersect(list_distinct(string_split(query_original, '')), list_distinct(string_split(query_formal, '')))) >= least(4, greatest(2, length(query_original) // 10)) AS related FROM hq WHERE query_formal IS NOT NULL AND query_original IS NOT NULL""")
 def query_boundary(t):
     h = holdout(t).filter("query_formal is not null and query_original is not null")
@@ -193,23 +184,6 @@ def tag_json_extract(t):
     return train(t).select("id", F.size(F.regexp_extract_all(F.col("conversations")[1]["content"], F.lit('"id":"(E[0-9]+)"'), F.lit(1))).cast("long").alias("evidence"), F.array_join(F.regexp_extract_all(F.col("conversations")[2]["content"], F.lit("(E[0-9]+)"), F.lit(1)), "|").alias("cited"))
 
 
-# Signs of a legal question.
-SIGNALS = ("合同", "赔偿", "工资", "押金", "法院", "仲裁", "保修", "物业")
-
-
-@query("WITH " + _H + ", s AS (SELECT unnest([" + ", ".join(f"'{s}'" for s in SIGNALS) + "]) AS signal) SELECT signal, count(*) AS n FROM hq JOIN s ON contains(query_original, signal) GROUP BY 1")
-def pattern_bank_match(t):
-    """How many questions hold each sign: the bank is a literal array in one projection, so no pairs are joined."""
-    found = F.filter(F.array(*[F.lit(s) for s in SIGNALS]), lambda s: F.contains(F.col("query_original"), s))
-    return holdout(t).select(F.explode(found).alias("signal")).groupBy("signal").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("WITH " + _H + r"SELECT id, regexp_matches(query_original, '[0-9]+元') AS money, regexp_matches(query_original, '[0-9]+(个月|日|天)') AS period, regexp_matches(query_original, '(能不能|怎么|合法|可以|吗)') AS asks FROM hq")
-def route_features(t):
-    q = F.col("query_original")
-    return holdout(t).select("id", q.rlike("[0-9]+元").alias("money"), q.rlike("[0-9]+(个月|日|天)").alias("period"), q.rlike("(能不能|怎么|合法|可以|吗)").alias("asks"))
-
-
 @query("WITH c AS (SELECT DISTINCT ON (query_id) * FROM evaluation_case), ok AS (SELECT unnest([{'a': 'answer', 'n': true}, {'a': 'clarify', 'n': false}, {'a': 'refuse', 'n': false}]) AS k) SELECT query_id FROM c WHERE NOT EXISTS (SELECT 1 FROM ok WHERE k.a = expected_action AND k.n = (action_reason IS NULL))")
 def status_matrix(t):
     """Cases whose action and reason don't go together."""
@@ -294,8 +268,3 @@ def enhancement_validate(t):
     return h.select("id", (F.length("query_formal") <= 112).alias("short"), (F.col("query_formal") != F.col("query_original")).alias("changed"), (F.length("query_formal") - F.length(F.replace("query_formal", F.lit("？"), F.lit(""))) <= 1).alias("single"))
 
 
-@query("WITH d AS (SELECT DISTINCT query_id, unnest(list_distinct(required_chunk_ids)) AS chunk_id FROM evaluation_case) SELECT len(string_split(chunk_id, '#')) = 2 AS formed, count(*) AS n FROM d GROUP BY 1")
-def reference_expand(t):
-    """Lists of references, each on a row of its own, and whether it is a law and a number."""
-    d = one_per_key(t("evaluation_case"), "query_id").select("query_id", F.explode(F.array_distinct("required_chunk_ids")).alias("chunk_id"))
-    return d.groupBy((F.size(F.split("chunk_id", "#")) == 2).alias("formed")).agg(F.count(F.lit(1)).alias("n"))

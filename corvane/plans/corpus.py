@@ -228,11 +228,6 @@ def text_structural_checks(t):
     return t("documents").select("doc_id", (F.col("text").isNull() | (F.trim("text") == "")).alias("empty"), F.coalesce(F.contains("text", F.lit("�")), F.lit(False)).alias("replacement"), F.coalesce(F.length("text") != F.col("n_chars"), F.lit(False)).alias("miscounted"))
 
 
-@query(r"""SELECT DISTINCT id, len(regexp_extract_all(query_original, '[0-9]+')) AS n_numbers, regexp_extract(query_original, '([0-9]+)元', 1) AS amount FROM private_holdout""")
-def reference_count(t):
-    return one_per_key(t("private_holdout"), "id").select("id", F.size(F.regexp_extract_all("query_original", F.lit("([0-9]+)"), F.lit(1))).cast("long").alias("n_numbers"), F.regexp_extract("query_original", "([0-9]+)元", 1).alias("amount"))
-
-
 @query("SELECT s AS step, round(CASE WHEN s < 100 THEN 0.001 * (s + 1) / 100 WHEN s >= 1000 THEN 0.0001 ELSE 0.0001 + 0.0009 * 0.5 * (1 + cos(pi() * (s - 100) / 900.0)) END, 9) AS rate FROM range(0, 1100, 50) r(s)")
 def lr_schedule(t):
     x = t("region").sparkSession.range(0, 1100, 50).select(F.col("id").alias("step"))

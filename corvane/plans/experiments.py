@@ -128,12 +128,6 @@ def review_batches(t):
     return o.select("id", F.col("place").cast("long").alias("k"), F.least(F.floor((F.col("place") - 1) / 20), F.lit(7).cast("long")).alias("batch"))
 
 
-@query("WITH " + _H + "SELECT query_type, count(*) AS n, count(*) FILTER ((query_type = 'exact_lookup') = (len(retrieval_gt.required_chunk_ids) = 1)) AS right_route FROM hq GROUP BY 1")
-def routing_accuracy(t):
-    fits = (F.col("query_type") == "exact_lookup") == (F.size("retrieval_gt.required_chunk_ids") == 1)
-    return holdout(t).groupBy("query_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(fits).alias("right_route"))
-
-
 @query("WITH" + RERANKED + "," + CASES + """, need AS (SELECT query_id, unnest(required) AS chunk_id, len(required) AS n FROM c),
 o AS (SELECT rr.query_id, rr.chunk_id, row_number() OVER (PARTITION BY rr.query_id ORDER BY rerank) AS k FROM rr ANTI JOIN need ON need.query_id = rr.query_id AND need.chunk_id = rr.chunk_id),
 s AS (SELECT c.query_id, len(required) AS n, count(o.k) FILTER (o.k <= 4 - len(required)) AS fill, count(o.k) FILTER (o.k <= 4) AS bad FROM c LEFT JOIN o USING (query_id) GROUP BY 1, 2)

@@ -254,21 +254,3 @@ def compile_queries(t):
     x = one_per_key(t("private_holdout"), "id")
     listed = F.array_distinct(F.array_compact(F.array("query_original", "query_formal", F.concat("query_original", F.lit(" "), "query_formal"))))
     return x.select("id", F.size(listed).cast("long").alias("n_queries"), listed[0].alias("first_query"))
-
-
-# The order and the signs of the routing rules.
-_ROUTES = (
-    ("clarify_empty", "length(trim(q)) = 0"), ("clarify_long", "length(q) > 256"), ("refuse_task", "代写|起草|撰写"), ("refuse_time", "修法前|废止前|旧法"),
-    ("general_chat", "今天天气|你是谁|讲个笑话"), ("exact_lookup", "第[零〇一二三四五六七八九十百千0-9]+条"),
-)
-_ROUTE_SQL = "CASE WHEN q IS NULL OR length(trim(q)) = 0 THEN 'clarify_empty' WHEN length(q) > 256 THEN 'clarify_long' " + " ".join(f"WHEN regexp_matches(q, '{p}') THEN '{n}'" for n, p in _ROUTES[2:]) + " ELSE 'retrieval' END"
-
-
-@query("WITH x AS (SELECT 'holdout' AS tab, id, query_original AS q FROM private_holdout UNION ALL SELECT 'case', query_id, query_original FROM evaluation_case UNION ALL SELECT 'train', id, query_original FROM sft_candidate) SELECT DISTINCT tab, id, " + _ROUTE_SQL + " AS route FROM x")
-def route_cascade(t):
-    part = lambda name, tab, key: one_per_key(t(tab), key).select(F.lit(name).alias("tab"), F.col(key).alias("id"), F.col("query_original").alias("q"))
-    x = part("holdout", "private_holdout", "id").unionByName(part("case", "evaluation_case", "query_id")).unionByName(part("train", "sft_candidate", "id"))
-    route = F.when(F.col("q").isNull() | (F.length(F.trim("q")) == 0), "clarify_empty").when(F.length("q") > 256, "clarify_long")
-    for name, pattern in _ROUTES[2:]:
-        route = route.when(F.col("q").rlike(pattern), name)
-    return x.select("tab", "id", route.otherwise("retrieval").alias("route"))

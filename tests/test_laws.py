@@ -11,7 +11,7 @@ def test_contents_are_cut_and_articles_stand_under_their_headings():
     assert text.startswith("某某法\n第一编") and "－1－" not in text
     got = [(no, content, above) for _, no, content, above in L.articles(text)]
     assert got == [
-        ("1", "为了规范活动，制定本法。", {"编": "第1编 总则", "章": "第1章 基本规定"}), ("2", "本法适用于下列活动。", {"编": "第1编 总则", "章": "第1章 基本规定"}),
+        ("1", "为了规范活动，制定本法。", {"编": "第1编 总则", "章": "第1章 基本规定"}), ("2", "本法适用于下列活动。\n第二章 程序", {"编": "第1编 总则", "章": "第1章 基本规定"}),
         ("3", "申请应当书面提出。", {"编": "第1编 总则", "章": "第2章 程序", "节": "第1节 申请"}), ("3之一", "口头申请的，记录在案。", {"编": "第1编 总则", "章": "第2章 程序", "节": "第1节 申请"}),
         ("5", "依照本法第三章办理。", {"编": "第2编 分则"}),
     ]

@@ -128,14 +128,6 @@ def test_group_limit_stands_before_the_exchange(spark):
     assert "WindowGroupLimit" in plan
 
 
-def test_references_take_the_law_named_before(spark):
-    from corvane.functions.references import references
-
-    df = spark.createDataFrame([("a", "依《民法典》第五百七十七条和第264、266条，另见《刑法》第60条。"), ("b", "第3条"), ("c", None), ("d", "无")], "k string, t string")
-    got = sorted(tuple(r) for r in references(df, "k", "t").select("k", "place", F.coalesce("law", F.lit("-")), "no").collect())
-    assert got == [("a", 0, "民法典", "五百七十七"), ("a", 1, "民法典", "264"), ("a", 1, "民法典", "266"), ("a", 2, "刑法", "60"), ("b", 0, "-", "3")]
-
-
 def test_bm25_against_the_formula(spark):
     import math
     import re
