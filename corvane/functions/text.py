@@ -43,3 +43,14 @@ def learning_rate(step: Column, total: int, warmup: int, top: float, floor: floa
     """Linear warm-up, then half a cosine down to floor."""
     done = (step - warmup) / F.lit(float(total - warmup))
     return F.when(step < warmup, top * (step + 1) / warmup).when(step >= total, floor).otherwise(floor + (top - floor) * 0.5 * (1 + F.cos(F.pi() * done)))
+
+
+def frozen(values: Column) -> Column:
+    """A map as JSON with its entries in the order of their keys, so that equal maps have one text; null stays null."""
+    entries = F.array_sort(F.transform(F.map_entries(values), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+    return F.to_json(F.map_from_entries(entries))
+
+
+def safe_path(path: Column, suffix: str) -> Column:
+    """Whether a path is relative, has no part that is empty or leads up, and ends with suffix; null stays null."""
+    return ~F.startswith(path, F.lit("/")) & ~path.rlike(r"(^|/)\.\.(/|$)") & ~F.contains(path, F.lit("//")) & F.endswith(path, F.lit(suffix))

@@ -152,13 +152,6 @@ def cross_dept_pick(t):
     return x.groupBy("query_id").agg(F.min_by("chunk_id", "rank").alias("first_id"), F.min_by(F.col("chunk_id"), F.when(F.col("department") != F.col("d1"), F.col("rank"))).alias("other_id"))
 
 
-@query("WITH " + _R + ", x AS (SELECT id, CAST(substr(id, 2) AS BIGINT) // 2 AS k, CAST(substr(id, 2) AS BIGINT) % 2 AS s FROM r) SELECT a.id AS first_id, b.id AS next_id FROM x a JOIN x b ON a.k = b.k AND a.s = 0 AND b.s = 1")
-def chain_link(t):
-    x = train(t).select("id", F.substring("id", 2, 20).cast("long").alias("n"))
-    a, b = x.filter("n % 2 = 0").select((F.col("n") / 2).cast("long").alias("k"), F.col("id").alias("first_id")), x.filter("n % 2 = 1").select(((F.col("n") - 1) / 2).cast("long").alias("k"), F.col("id").alias("next_id"))
-    return a.join(b, "k").select("first_id", "next_id")
-
-
 @query("WITH " + _H + """SELECT id, length(query_formal) <= greatest(160, 2 * length(query_original)) AS short, len(list_intersect(list_distinct(string_split(query_original, '')), list_distinct(string_split(query_formal, '')))) >= least(4, greatest(2, length(query_original) // 10)) AS related FROM hq WHERE query_formal IS NOT NULL AND query_original IS NOT NULL""")
 def query_boundary(t):
     h = holdout(t).filter("query_formal is not null and query_original is not null")
@@ -199,12 +192,6 @@ def assessment_validate(t):
     return one_per_key(t("evaluation_case"), "query_id").filter(q.isNotNull()).select("query_id", (F.length(q) <= 120).alias("short"), (marks == 1).alias("one_mark"), (F.endswith(q, F.lit("？")) | F.endswith(q, F.lit("?"))).alias("at_end"))
 
 
-@query("WITH " + _H + "SELECT id, CASE WHEN review_status = 'approved' AND coalesce(review_notes, '') = '' THEN 'accept' WHEN review_status = 'approved' THEN 'adjust' ELSE 'open' END AS decision FROM hq")
-def review_decision_validate(t):
-    none = F.coalesce("review_notes", F.lit("")) == ""
-    return holdout(t).select("id", F.when((F.col("review_status") == "approved") & none, "accept").when(F.col("review_status") == "approved", "adjust").otherwise("open").alias("decision"))
-
-
 @query()
 def package_json(t):
     """Question and evidence of each training record as compact JSON, evidence numbered in order."""
@@ -218,24 +205,6 @@ def render_text(t):
     return train(t).select("id", F.concat(reply, F.lit("\n依据："), F.array_join(F.filter("visible_chunk_ids", lambda x: F.array_contains("required_chunk_ids", x)), "；")).alias("message"))
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS kinds, bool_or(event_type = 'signup') AND bool_or(event_type = 'purchase') AS complete, arg_max(event_type, event_id) AS last_stage FROM events GROUP BY 1")
-def trace_completeness(t):
-    e = t("events")
-    return e.groupBy("user_id").agg(F.count_distinct("event_type").alias("kinds"), (F.bool_or(F.col("event_type") == "signup") & F.bool_or(F.col("event_type") == "purchase")).alias("complete"), F.max_by("event_type", "event_id").alias("last_stage"))
-
-
-@query("WITH x AS (SELECT user_id, min(event_id) FILTER (event_type = 'error') AS e, min(event_id) FILTER (event_type = 'purchase') AS p FROM events GROUP BY 1) SELECT user_id, CASE WHEN e IS NULL THEN 'completed' WHEN p IS NULL OR e < p THEN 'failed_before' ELSE 'failed_after' END AS code FROM x")
-def failure_code_case(t):
-    x = t("events").groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "error", F.col("event_id"))).alias("e"), F.min(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("p"))
-    return x.select("user_id", F.when(F.col("e").isNull(), "completed").when(F.col("p").isNull() | (F.col("e") < F.col("p")), "failed_before").otherwise("failed_after").alias("code"))
-
-
-@query("SELECT user_id, last(event_type ORDER BY event_id) FILTER (event_type IN ('purchase', 'signup')) AS mode FROM events GROUP BY 1")
-def answer_projection(t):
-    e = t("events")
-    return e.groupBy("user_id").agg(F.max_by("event_type", F.when(F.col("event_type").isin("purchase", "signup"), F.col("event_id"))).alias("mode"))
-
-
 @query("WITH " + _H + "SELECT id, unnest(['original', 'formal', 'both']) AS mode, unnest([query_original IS NOT NULL, query_formal IS NOT NULL, query_original IS NOT NULL AND query_formal IS NOT NULL]) AS possible FROM hq")
 def plan_modes(t):
     o, f = F.col("query_original").isNotNull(), F.col("query_formal").isNotNull()
@@ -250,12 +219,6 @@ def chat_augment(t):
     return train(t).select("id", drop.alias("dropped"), F.size(F.when(drop, F.filter("conversations", lambda c: c["role"] != "system")).otherwise(F.col("conversations"))).alias("turns"))
 
 
-@query("SELECT user_id, count(*) FILTER (event_type = 'click') AS searches, count(*) FILTER (event_type = 'click') > 50 AS over_limit FROM events GROUP BY 1")
-def tool_log_validate(t):
-    n = F.count_if(F.col("event_type") == "click")
-    return t("events").groupBy("user_id").agg(n.alias("searches"), (n > 50).alias("over_limit"))
-
-
 @query("WITH" + RERANKED + "SELECT chunk_id, count(*) AS queries, min(rerank) AS best, round(max(lexical), 6) AS top FROM rr GROUP BY 1")
 def shared_rerank(t):
     """Each candidate scored once for its query, whatever lists it stood in."""
@@ -266,5 +229,3 @@ def shared_rerank(t):
 def enhancement_validate(t):
     h = holdout(t).filter("query_formal is not null and query_original is not null")
     return h.select("id", (F.length("query_formal") <= 112).alias("short"), (F.col("query_formal") != F.col("query_original")).alias("changed"), (F.length("query_formal") - F.length(F.replace("query_formal", F.lit("？"), F.lit(""))) <= 1).alias("single"))
-
-

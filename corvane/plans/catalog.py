@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.runtime import table
 
-MODULES = ("retrieval", "questions", "answers", "evaluation", "experiments", "corpus", "integrity", "sampling", "relational", "streams")
+MODULES = ("retrieval", "questions", "contracts", "answers", "evaluation", "experiments", "corpus", "integrity", "sampling", "relational", "streams")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -115,12 +115,6 @@ def review_disagreements(t):
     return x.groupBy("id").agg(F.count(F.lit(1)).alias("variants"), F.count_if(~F.col("v.answer_gt.refuse").eqNullSafe(F.col("refuse"))).alias("different")).filter("different > 0")
 
 
-@query("WITH " + _H + "SELECT id, coalesce(nullif(review_notes, ''), review_status) AS final, nullif(review_notes, '') IS NOT NULL AS overridden FROM hq")
-def review_final_merge(t):
-    note = F.nullif("review_notes", F.lit(""))
-    return holdout(t).select("id", F.coalesce(note, "review_status").alias("final"), note.isNotNull().alias("overridden"))
-
-
 @query("WITH " + _H + ", o AS (SELECT id, row_number() OVER (ORDER BY sha256('review' || chr(0) || id), id) AS k FROM hq) SELECT id, k, least((k - 1) // 20, 7)::BIGINT AS batch FROM o WHERE k <= 158")
 def review_batches(t):
     """The first 158 questions in hash order, in seven batches of 20 and the rest."""
@@ -168,12 +162,6 @@ def chain_no_gap(t):
     return x.filter("not missing and gap").select("plan_id", "pool_no")
 
 
-@query("WITH " + _P + ", x AS (SELECT plan_group, {'c': clean_count, 'id': plan_id} AS s FROM pl) SELECT plan_group, max(s).id AS chosen, max(s).c AS clean_count FROM x GROUP BY 1")
-def non_degrading_select(t):
-    best = F.max(F.struct("clean_count", "plan_id"))
-    return plans(t).groupBy("plan_group").agg(best["plan_id"].alias("chosen"), best["clean_count"].alias("clean_count"))
-
-
 @query()
 def deterministic_shuffle(t, start: int = 0):
     """All records with their position, from 0, in the order of a seeded hash; a resumed run takes those from start on.
@@ -225,11 +213,6 @@ def authoring_rules(t):
     return holdout(t).select("id", (F.col("answerable") == F.col("unanswerable_reason").isNull()).alias("reasoned"), (F.col("query_formal").isNull() | (F.col("query_formal") != F.col("query_original"))).alias("reworded"))
 
 
-@query("WITH " + _H + "SELECT id, (review_status = 'approved') = (coalesce(review_notes, '') = '' AND difficulty IS NOT NULL) AS consistent FROM hq")
-def review_pass_iff(t):
-    return holdout(t).select("id", ((F.col("review_status") == "approved") == ((F.coalesce("review_notes", F.lit("")) == "") & F.col("difficulty").isNotNull())).alias("consistent"))
-
-
 def match_nearest(group: pd.DataFrame) -> pd.DataFrame:
     """Of one pool (v, id, n): each hard negative, in order of id, with the free clean record nearest by n, and next by id.
 

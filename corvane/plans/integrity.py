@@ -133,16 +133,6 @@ def protocol_validate(t):
     return r.select("id", answer_defect("raw", "n").alias("defect"))
 
 
-@query("""WITH h AS (SELECT DISTINCT ON (id) * FROM private_holdout)
-SELECT id, coalesce(answer_gt.refuse, false) <> answerable AS refuse_fits, coalesce(len(list_filter(answer_gt.cited_chunk_ids, lambda x: NOT list_contains(retrieval_gt.required_chunk_ids, x))), 0) AS foreign_citations,
-len(list_filter(evidence_variants, lambda v: len(v.ordered_chunk_ids) > len(retrieval_gt.required_chunk_ids))) AS wide_variants FROM h""")
-def holdout_rules(t):
-    h = one_per_key(t("private_holdout"), "id")
-    return h.select("id", (F.coalesce("answer_gt.refuse", F.lit(False)) != F.col("answerable")).alias("refuse_fits"),
-                    F.coalesce(F.size(F.filter("answer_gt.cited_chunk_ids", lambda x: ~F.array_contains("retrieval_gt.required_chunk_ids", x))), F.lit(0)).cast("long").alias("foreign_citations"),
-                    F.size(F.filter("evidence_variants", lambda v: F.size(v["ordered_chunk_ids"]) > F.size("retrieval_gt.required_chunk_ids"))).cast("long").alias("wide_variants"))
-
-
 @query("WITH" + ARTICLES + """, k AS (SELECT chunk_id, any_value(content) AS content FROM a GROUP BY 1 HAVING count(*) = 1), q AS (SELECT id, unnest(quotes) AS q FROM (SELECT DISTINCT ON (id) id, answer_gt.quotes AS quotes FROM private_holdout))
 SELECT id, q.chunk_id AS chunk_id, bool_and(contains(content, q.text)) AS quoted FROM q JOIN k ON k.chunk_id = q.chunk_id GROUP BY 1, 2""")
 def quote_substring_check(t):
@@ -183,21 +173,8 @@ def id_space_except(t):
     return count(a.subtract(b), "hit_not_in_cases").unionByName(count(b.subtract(a), "case_without_hit"))
 
 
-@query("""WITH k AS (SELECT event_id, json_keys(props) AS k FROM events) SELECT count(*) AS n, count(*) FILTER (k = ['k']) AS closed FROM k""")
-def closed_schema_check(t):
-    k = t("events").select(F.json_object_keys("props").alias("k"))
-    return k.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") == F.array(F.lit("k"))).alias("closed"))
-
-
 @query("""WITH x AS (SELECT query_id, rank, score, hit_id FROM ranked_hit WHERE leg = 'fused'), y AS (SELECT query_id, count(*) AS n, count(DISTINCT rank) AS ranks, max(rank) AS top, count(*) FILTER (rank IS NULL) AS missing FROM x GROUP BY 1)
 SELECT query_id, n, missing, ranks = n AND top = n AS closed FROM y""")
 def ranking_materialisation(t):
     y = t("ranked_hit").filter("leg = 'fused'").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rank").alias("ranks"), F.max("rank").alias("top"), F.count_if(F.col("rank").isNull()).alias("missing"))
     return y.select("query_id", "n", "missing", ((F.col("ranks") == F.col("n")) & (F.col("top") == F.col("n"))).alias("closed"))
-
-
-@query("""SELECT DISTINCT review_status, coalesce(review_notes, '') = '' AS plain, count(*) OVER (PARTITION BY review_status, coalesce(review_notes, '') = '') AS n
-FROM (SELECT DISTINCT id, review_status, review_notes FROM private_holdout)""")
-def append_gate(t):
-    h = one_per_key(t("private_holdout"), "id")
-    return h.groupBy("review_status", (F.coalesce("review_notes", F.lit("")) == "").alias("plain")).agg(F.count(F.lit(1)).alias("n"))

@@ -99,9 +99,3 @@ def asof_purchase(t):
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 4) AS median, count(DISTINCT user_id) AS users, json_extract_string(any_value(props), '$.k') IS NOT NULL AS keyed FROM events GROUP BY 1")
 def event_profile(t):
     return t("events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 4).alias("median"), F.count_distinct("user_id").alias("users"), F.get_json_object(F.any_value("props"), "$.k").isNotNull().alias("keyed"))
-
-
-@query("WITH x AS (SELECT event_id, (json_extract_string(props, '$.k'))::BIGINT AS k FROM events) SELECT k, count(*) AS n, max(event_id) AS last FROM x GROUP BY 1")
-def metric_log_last_run(t):
-    x = t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return x.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
