@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -20,9 +23,27 @@ def clean_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(no_pages, r"\n{3,}", "\n\n"), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
 
 
+#: White space as Python and Unicode have it, which is more than \s of the JVM.
+SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def nfc(text: Column) -> Column:
+    """The text in composed form (NFC). The JVM has no built-in function for it, so it runs in Arrow batches."""
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: unicodedata.normalize("NFC", v) if isinstance(v, str) else None)
+
+    return run(text)
+
+
+def normalized(text: Column) -> Column:
+    """The text composed, with runs of white space made one blank and none at its ends; null stays null."""
+    return F.regexp_replace(F.regexp_replace(nfc(text), SPACE, " "), "^ | $", "")
+
+
 def question_digest(text: Column) -> Column:
-    """SHA-256 of the text with runs of white space made one blank; null stays null. Composed forms are left as they are."""
-    return F.sha2(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\n\x{3000}]+", " "), r"^ | $", ""), 256)
+    """SHA-256 of the normalized text: equal for questions that differ in composition and white space only; null stays null."""
+    return F.sha2(normalized(text), 256)
 
 
 def law_aliases(name: Column) -> Column:
@@ -54,3 +75,13 @@ def frozen(values: Column) -> Column:
 def safe_path(path: Column, suffix: str) -> Column:
     """Whether a path is relative, has no part that is empty or leads up, and ends with suffix; null stays null."""
     return ~F.startswith(path, F.lit("/")) & ~path.rlike(r"(^|/)\.\.(/|$)") & ~F.contains(path, F.lit("//")) & F.endswith(path, F.lit(suffix))
+
+
+# What stands in the place of a deleted article.
+DELETED = ("（删去）", "(删去)", "删除", "（删除）")
+
+
+def is_deleted(content: Column) -> Column:
+    """Whether an article's text only says that it was deleted, or has no more than three signs; null counts as deleted."""
+    bare = F.trim(content)
+    return content.isNull() | bare.isin(*DELETED) | (F.length(bare) <= 3)

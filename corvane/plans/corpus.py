@@ -18,9 +18,16 @@ def clean_text_regex(t):
     return t("documents").select("doc_id", X.clean_text(F.col("text")).alias("c")).select("doc_id", F.length("c").cast("long").alias("n"), F.md5("c").alias("digest"))
 
 
-@query("WITH" + ARTICLES + "SELECT article_id FROM a WHERE content IS NULL OR length(trim(content)) <= 3")
+#: Every 25th article is put in as deleted, in different spellings, since the tables hold none.
+_PLANTED = """pl AS (SELECT article_id, CASE CAST(substr(article_id, 2) AS BIGINT) % 25 WHEN 0 THEN '（删去）' WHEN 1 THEN ' (删去) ' WHEN 2 THEN '删除' WHEN 3 THEN '（删除）' WHEN 4 THEN ' 略。 ' WHEN 5 THEN NULL WHEN 6 THEN '（删去）三' ELSE content END AS content FROM a)"""
+
+
+@query("WITH" + ARTICLES + ", " + _PLANTED + "SELECT article_id, content IS NULL OR trim(content) IN ('（删去）', '(删去)', '删除', '（删除）') OR length(trim(content)) <= 3 AS deleted FROM pl")
 def chunk_filter_deleted(t):
-    return articles(t).filter("content is null or length(trim(content)) <= 3").select("article_id")
+    """Articles that are only a place where one was deleted."""
+    k = F.substring("article_id", 2, 20).cast("long") % 25
+    planted = F.when(k == 0, "（删去）").when(k == 1, " (删去) ").when(k == 2, "删除").when(k == 3, "（删除）").when(k == 4, " 略。 ").when(k == 5, F.lit(None)).when(k == 6, "（删去）三").otherwise(F.col("content"))
+    return articles(t).select("article_id", planted.alias("content")).select("article_id", X.is_deleted(F.col("content")).alias("deleted"))
 
 
 @query("WITH" + ARTICLES + "SELECT article_id FROM a WHERE NOT coalesce(contains(hierarchy['章'], '附则'), false)")
@@ -189,20 +196,46 @@ def exact_lookup_alias(t):
     return articles(t).withColumn("alias", F.regexp_replace("law_name", r"[\s《》]", "")).join(alias, "alias", "left").select("article_id", "law_id")
 
 
-@query(r"""SELECT DISTINCT id, sha256(regexp_replace(regexp_replace(query_original, '[ \t\r\n\x{3000}]+', ' ', 'g'), '^ | $', '', 'g')) AS digest FROM private_holdout""")
+NORMAL = r"regexp_replace(regexp_replace(nfc_normalize({0}), '[\s\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+@query("SELECT DISTINCT id, sha256(" + NORMAL.format("query_original") + ") AS digest FROM private_holdout")
 def question_digest(t):
     return one_per_key(t("private_holdout"), "id").select("id", X.question_digest(F.col("query_original")).alias("digest"))
 
 
+@query("SELECT DISTINCT 'h:' || id AS id, " + NORMAL.format("query_original") + " AS q FROM private_holdout UNION ALL SELECT DISTINCT 'd:' || doc_id, " + NORMAL.format("title") + " FROM documents")
+def normalize_text(t):
+    """Questions and titles in composed form with single blanks."""
+    h = one_per_key(t("private_holdout"), "id").select(F.concat(F.lit("h:"), "id").alias("id"), F.col("query_original").alias("q"))
+    d = t("documents").select(F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("id"), F.col("title").alias("q"))
+    return h.unionByName(d).select("id", X.normalized(F.col("q")).alias("q"))
+
+
+@query("WITH n AS (SELECT doc_id, lower(" + NORMAL.format("title") + ") AS q FROM documents WHERE title IS NOT NULL) SELECT q, count(*) AS n, min(doc_id) AS first_id FROM n GROUP BY 1")
+def equality_prefilter(t):
+    """Titles that are one but for case, composition and white space, by a key computed before the exchange."""
+    x = t("documents").filter("title is not null").select("doc_id", F.lower(X.normalized(F.col("title"))).alias("q"))
+    return x.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+
+
 @query("SELECT DISTINCT unit_id, 'x' || lpad(start_char::VARCHAR, 6, '0') || '-' || lpad(end_char::VARCHAR, 6, '0') = 'x' || split_part(unit_id, '@', 2) AS formed FROM evidence_unit")
 def unit_id_format(t):
     u = one_per_key(t("evidence_unit"), "unit_id")
     return u.select("unit_id", (F.format_string("%06d-%06d", "start_char", "end_char") == F.substring_index("unit_id", "@", -1)).alias("formed"))
 
 
-@query("WITH" + ARTICLES + "SELECT article_id, TRY_CAST(effective_date AS DATE) IS NOT NULL AS dated, substr(effective_date, 1, 4) AS year FROM a")
+@query("WITH" + ARTICLES + r", f AS (SELECT article_id, law_name || CASE WHEN effective_date IS NULL THEN '' ELSE '_' || replace(effective_date, '-', '') END || CASE WHEN article_no_sort_key[1] % 9 = 0 THEN '.doc' ELSE '.docx' END AS file FROM a) SELECT article_id, TRY_CAST(strptime(nullif(regexp_extract(file, '_([0-9]{8})\.docx$', 1), ''), '%Y%m%d') AS DATE)::VARCHAR AS effective FROM f")
 def filename_date(t):
-    return articles(t).select("article_id", F.col("effective_date").try_cast("date").isNotNull().alias("dated"), F.substring("effective_date", 1, 4).alias("year"))
+    """The date in the name of a law's file, {law}_{yyyymmdd}.docx, as an ISO date; null where there is none."""
+    date = F.when(F.col("effective_date").isNull(), "").otherwise(F.concat(F.lit("_"), F.replace("effective_date", F.lit("-"), F.lit(""))))
+    file = F.concat("law_name", date, F.when(F.get("article_no_sort_key", F.lit(0)) % 9 == 0, ".doc").otherwise(".docx"))
+    return articles(t).select("article_id", F.try_to_timestamp(F.nullif(F.regexp_extract(file, r"_([0-9]{8})\.docx$", 1), F.lit("")), F.lit("yyyyMMdd")).cast("date").cast("string").alias("effective"))
+
+
+@query(r"SELECT doc_id, regexp_replace(title, '[\s\x{3000}]+', '', 'g') AS title FROM documents")
+def title_without_blanks(t):
+    return t("documents").select("doc_id", F.regexp_replace("title", r"[\s\x{3000}]+", "").alias("title"))
 
 
 @query("WITH" + ARTICLES + "SELECT article_id, '《' || law_name || '》第' || article_no || '条' AS citation FROM a")
@@ -210,6 +243,13 @@ def citation_format(t):
     return articles(t).select("article_id", F.concat(F.lit("《"), "law_name", F.lit("》第"), "article_no", F.lit("条")).alias("citation"))
 
 
+@query("WITH c AS (SELECT DISTINCT ON (query_id) query_id, gt_articles FROM evaluation_case) SELECT query_id, array_to_string(list_transform(gt_articles, lambda g: '《' || g.law_name || '》第' || g.article_no || '条'), '；') AS citation FROM c WHERE len(gt_articles) > 0")
+def citation_multi(t):
+    """All articles that a case refers to as one citation."""
+    one = F.transform("gt_articles", lambda g: F.concat(F.lit("《"), g["law_name"], F.lit("》第"), g["article_no"], F.lit("条")))
+    return one_per_key(t("evaluation_case"), "query_id").filter("size(gt_articles) > 0").select("query_id", F.array_join(one, "；").alias("citation"))
+
+
 @query("WITH" + ARTICLES + """SELECT article_id, md5(concat_ws(chr(10), '《' || law_name || '》第' || article_no || '条', hierarchy['编'], hierarchy['分编'], hierarchy['章'], hierarchy['节'], content)) AS digest FROM a""")
 def sparse_document_text(t):
     h = F.col("hierarchy")
@@ -223,9 +263,11 @@ def struct_signature(t):
     return articles(t).select("article_id", F.concat_ws("→", *levels, F.lit("条")).alias("signature"))
 
 
-@query("""SELECT doc_id, text IS NULL OR trim(text) = '' AS empty, coalesce(contains(text, chr(65533)), false) AS replacement, coalesce(length(text) <> n_chars, false) AS miscounted FROM documents""")
+@query("""SELECT doc_id, text IS NULL OR trim(text) = '' AS empty, coalesce(contains(text, chr(65533)), false) AS replacement, coalesce(contains(text, chr(1)), false) AS control, coalesce(contains(text, '<unk>'), false) AS unknown, coalesce(length(text) <> n_chars, false) AS miscounted FROM documents""")
 def text_structural_checks(t):
-    return t("documents").select("doc_id", (F.col("text").isNull() | (F.trim("text") == "")).alias("empty"), F.coalesce(F.contains("text", F.lit("�")), F.lit(False)).alias("replacement"), F.coalesce(F.length("text") != F.col("n_chars"), F.lit(False)).alias("miscounted"))
+    has = lambda sign: F.coalesce(F.contains("text", F.lit(sign)), F.lit(False))
+    nul = F.coalesce(F.contains("text", F.lit("\x00")) | F.contains("text", F.lit("\x01")), F.lit(False))
+    return t("documents").select("doc_id", (F.col("text").isNull() | (F.trim("text") == "")).alias("empty"), has("\ufffd").alias("replacement"), nul.alias("control"), has("<unk>").alias("unknown"), F.coalesce(F.length("text") != F.col("n_chars"), F.lit(False)).alias("miscounted"))
 
 
 @query("SELECT s AS step, round(CASE WHEN s < 100 THEN 0.001 * (s + 1) / 100 WHEN s >= 1000 THEN 0.0001 ELSE 0.0001 + 0.0009 * 0.5 * (1 + cos(pi() * (s - 100) / 900.0)) END, 9) AS rate FROM range(0, 1100, 50) r(s)")
@@ -241,9 +283,12 @@ def ngram_repetition(t):
     return one_per_key(t("sft_candidate"), "id").select("id", F.round(X.repetition(F.col("conversations")[1]["content"]), 6).alias("penalty"))
 
 
-@query("WITH" + ARTICLES + r"""SELECT law_name || '#' || article_no AS k, max(length(content)) AS longest, count(*) AS articles FROM a GROUP BY 1""")
+@query("WITH" + ARTICLES + r", x AS (SELECT *, regexp_replace(law_name, '（[^（）]*）$', '') || '#' || article_no AS k FROM a), y AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY coalesce(length(content), -1) DESC, article_id) AS n, count(*) OVER (PARTITION BY k) AS articles FROM x) SELECT k, article_id AS kept, length(content) AS longest, articles FROM y WHERE n = 1")
 def dedupe_longest(t):
-    return articles(t).groupBy(F.concat("law_name", F.lit("#"), "article_no").alias("k")).agg(F.max(F.length("content")).cast("long").alias("longest"), F.count(F.lit(1)).alias("articles"))
+    """Of the articles of one number of a law, its versions included, the longest; the first of several."""
+    key = F.concat(F.regexp_replace("law_name", "（[^（）]*）$", ""), F.lit("#"), "article_no")
+    best = F.min(F.struct((-F.coalesce(F.length("content"), F.lit(-1))).alias("n"), "article_id", F.length("content").cast("long").alias("len")))
+    return articles(t).groupBy(key.alias("k")).agg(best.alias("b"), F.count(F.lit(1)).alias("articles")).select("k", F.col("b.article_id").alias("kept"), F.col("b.len").alias("longest"), "articles")
 
 
 @query("WITH" + ARTICLES + "SELECT coalesce(department, 'overall') AS department, count(DISTINCT law_name) AS laws, count(*) AS articles FROM a WHERE department IS NOT NULL GROUP BY ROLLUP (department)")

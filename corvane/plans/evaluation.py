@@ -14,11 +14,11 @@ QUERIES, query = registry()
 
 
 def judged(t):
-    """Of each case the pool in rank order (none: empty) and the metrics at 4, 5 and 20."""
+    """Of each case the pool in rank order (none: empty) and the metrics at 4, 5, 10 and 20."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"])
     lists = pool(t).groupBy("query_id").agg(ids.alias("pool"))
     x = cases(t).join(lists, "query_id", "left").withColumn("pool", F.coalesce("pool", F.array().cast("array<string>")))
-    for k in (4, 5, 20):
+    for k in (4, 5, 10, 20):
         x = x.withColumn(f"m{k}", stage_metrics(F.col("required"), F.slice("pool", 1, k)))
     return x
 
@@ -36,12 +36,14 @@ def stage_macro_metrics(t):
     return judged(t).groupBy("query_type").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg(m["any_hit"].cast("double")), 6).alias("any5"), F.round(F.avg(m["coverage"]), 6).alias("recall5"), F.round(F.avg(m["complete"].cast("double")), 6).alias("complete5"), F.round(F.avg(m["rr"]), 6).alias("mrr5"))
 
 
-@query("WITH" + STAGE + """, k AS (SELECT unnest([4, 5, 20]) AS k), x AS (SELECT k, CASE k WHEN 4 THEN hit4 WHEN 5 THEN hit5 ELSE hit20 END AS hit, n FROM m, k)
-SELECT k, count(*) AS cases, sum(hit)::BIGINT AS matched, count(*) FILTER (hit = n) AS complete, round(sum(hit) / sum(n), 6) AS micro_recall FROM x GROUP BY 1""")
+@query("WITH" + STAGE + """, k AS (SELECT unnest([4, 5, 10]) AS k), hk AS (SELECT k, q.query_id, any_value(n) AS n, count(*) FILTER (rank <= k) AS hit, min(rank) FILTER (rank <= k) AS first FROM q CROSS JOIN k LEFT JOIN p USING (query_id, chunk_id) GROUP BY 1, 2)
+SELECT k, count(*) AS cases, sum(hit)::BIGINT AS matched, count(*) FILTER (hit > 0) AS any_hit, count(*) FILTER (hit = n) AS complete, round(avg(hit / n), 6) AS recall, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM hk GROUP BY 1""")
 def metrics_at_k(t):
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"m{k}.matched").alias("hit"), F.col(f"m{k}.complete").alias("complete")) for k in (4, 5, 20)])).alias("x")
-    x = judged(t).select(F.size("required").alias("n"), each)
-    return x.groupBy("x.k").agg(F.count(F.lit(1)).alias("cases"), F.sum("x.hit").alias("matched"), F.count_if("x.complete").alias("complete"), F.round(F.sum("x.hit") / F.sum("n"), 6).alias("micro_recall"))
+    """Counts, mean coverage and reciprocal rank at 4, 5 and 10; a case whose required ids aren't found counts as 0."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("m")) for k in (4, 5, 10)])).alias("x")
+    m = F.col("m")
+    out = judged(t).select(each).select("x.*").groupBy("k")
+    return out.agg(F.count(F.lit(1)).alias("cases"), F.sum(m["matched"]).alias("matched"), F.count_if(m["any_hit"]).alias("any_hit"), F.count_if(m["complete"]).alias("complete"), F.round(F.avg(m["coverage"]), 6).alias("recall"), F.round(F.avg(m["rr"]), 6).alias("mrr"))
 
 
 @query("WITH" + STAGE + "SELECT n > 1 AS several, count(*) AS cases, round(avg(hit5 / n), 6) AS recall5, count(*) FILTER (hit5 = n) AS complete5 FROM m GROUP BY 1")
@@ -161,10 +163,12 @@ def pair_metrics(t):
     return y.agg(F.count_if("clean").alias("clean_ok"), F.count_if("hard").alias("hard_ok"), F.count_if(F.col("clean") & F.col("hard")).alias("both_ok"))
 
 
-@query("SELECT coalesce(event_type, 'overall') AS source, count(*) AS n, round(sum(value * user_id) / sum(user_id), 4) AS weighted FROM events GROUP BY ROLLUP (event_type)")
+@query("SELECT coalesce(event_type, 'overall') AS source, count(*) AS n, round(sum(value * user_id) / sum(user_id), 4) AS weighted, round(exp(least(sum(value * user_id) / sum(user_id) / 10, 80)), 3) AS perplexity FROM events GROUP BY ROLLUP (event_type)")
 def weighted_loss_rollup(t):
-    """Weighted means of each source and of all: the rollup gives both in one pass."""
-    return t("events").rollup("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value") * F.col("user_id")) / F.sum("user_id"), 4).alias("weighted")).select(F.coalesce("event_type", F.lit("overall")).alias("source"), "n", "weighted")
+    """Weighted means of each source and of all, and the perplexity they stand for: the rollup gives both in one pass."""
+    mean = F.sum(F.col("value") * F.col("user_id")) / F.sum("user_id")
+    x = t("events").rollup("event_type").agg(F.count(F.lit(1)).alias("n"), mean.alias("m"))
+    return x.select(F.coalesce("event_type", F.lit("overall")).alias("source"), "n", F.round("m", 4).alias("weighted"), F.round(F.exp(F.least(F.col("m") / 10, F.lit(80.0))), 3).alias("perplexity"))
 
 
 @query("SELECT lang, count(*) AS docs, min(n_chars) AS least, max(n_chars) AS most, quantile_disc(n_chars, 0.5)::BIGINT AS p50, quantile_disc(n_chars, 0.95)::BIGINT AS p95 FROM documents WHERE n_chars IS NOT NULL GROUP BY 1")

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from corvane.functions import text as X
 from corvane.plans.base import ARTICLES, articles, registry
+from corvane.plans.corpus import NORMAL
 from corvane.plans.retrieval import units
 from corvane.runtime import one_per_key
 
@@ -23,23 +24,35 @@ def violations(df, key: str, rules: dict):
     return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("broken")) for n in rules])).alias("x")).select("x.*")
 
 
-@query("WITH" + ARTICLES + """SELECT unnest(['id', 'char_count', 'token_count', 'sort_key', 'hierarchy', 'no']) AS rule, unnest([
-count(*) FILTER (NOT coalesce(chunk_id = law_name || '#' || article_no, false)), count(*) FILTER (NOT coalesce(char_count = length(content), false)),
-count(*) FILTER (NOT coalesce(token_count >= 0, false)), count(*) FILTER (NOT coalesce(len(article_no_sort_key) > 0, false)),
-count(*) FILTER (NOT coalesce(len(list_filter(map_keys(hierarchy), lambda k: k NOT IN ('编', '分编', '章', '节'))) = 0, false)),
-count(*) FILTER (NOT coalesce(regexp_full_match(article_no, '[0-9]+(之[一二三四五六七八九十]+)?'), false))]) AS broken FROM a""")
+_RULES = {
+    "required": "trim(law_name) <> '' AND trim(article_no) <> '' AND trim(content) <> '' AND trim(department) <> ''", "id": "chunk_id = law_name || '#' || article_no", "unique_id": "copies = 1",
+    "no": "regexp_full_match(article_no, '[0-9]+(之[一二三四五六七八九十]+)?')", "date": "effective_date IS NULL OR regexp_full_match(effective_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}')", "sort_key": "len(article_no_sort_key) > 0 AND article_no_sort_key[1] = TRY_CAST(regexp_extract(article_no, '^[0-9]+') AS INTEGER)",
+    "hierarchy": "len(list_filter(map_keys(hierarchy), lambda k: k NOT IN ('编', '分编', '章', '节'))) = 0", "char_count": "char_count = length(content)", "token_count": "token_count >= 0",
+}
+
+
+@query("WITH" + ARTICLES + ", b AS (SELECT *, count(*) OVER (PARTITION BY chunk_id) AS copies FROM a) SELECT unnest([" + ", ".join(f"'{k}'" for k in _RULES) + "]) AS rule, unnest([" + ", ".join(f"count(*) FILTER (NOT coalesce({v}, false))" for v in _RULES.values()) + "]) AS broken FROM b")
 def validate_rules(t):
-    return violations(articles(t), "article_id", {
-        "id": F.col("chunk_id") == F.concat("law_name", F.lit("#"), "article_no"), "char_count": F.col("char_count") == F.length("content"),
-        "token_count": F.col("token_count") >= 0, "sort_key": F.size("article_no_sort_key") > 0,
-        "hierarchy": F.size(F.array_except(F.map_keys("hierarchy"), F.array(*[F.lit(x) for x in ("编", "分编", "章", "节")]))) == 0,
-        "no": F.col("article_no").rlike("^[0-9]+(之[一二三四五六七八九十]+)?$"),
+    """The nine rules of an article, with the number of articles that break each."""
+    a = articles(t)
+    copies = a.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("copies"))
+    full = lambda c: F.trim(c) != ""
+    first = F.get("article_no_sort_key", F.lit(0))
+    return violations(a.join(copies, "chunk_id", "left"), "article_id", {
+        "required": full("law_name") & full("article_no") & full("content") & full("department"), "id": F.col("chunk_id") == F.concat("law_name", F.lit("#"), "article_no"), "unique_id": F.col("copies") == 1,
+        "no": F.col("article_no").rlike("^[0-9]+(之[一二三四五六七八九十]+)?$"), "date": F.col("effective_date").isNull() | F.col("effective_date").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
+        "sort_key": (F.size("article_no_sort_key") > 0) & (first == F.regexp_extract("article_no", "^[0-9]+", 0).try_cast("int")),
+        "hierarchy": F.size(F.array_except(F.map_keys("hierarchy"), F.array(*[F.lit(x) for x in ("编", "分编", "章", "节")]))) == 0, "char_count": F.col("char_count") == F.length("content"), "token_count": F.col("token_count") >= 0,
     })
 
 
-@query("WITH" + ARTICLES + "SELECT law_name, article_no, count(*) AS n FROM a GROUP BY 1, 2 HAVING count(*) > 1")
+@query("WITH" + ARTICLES + r"SELECT regexp_replace(law_name, '（[^（）]*）$', '') AS law_name, regexp_extract(article_no, '^[0-9]+') AS article_no, count(*) AS n FROM a GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT law_name, article_no, count(*) FROM legal_article GROUP BY 1, 2 HAVING count(*) > 1")
 def unique_key_violations(t):
-    return articles(t).groupBy("law_name", "article_no").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """Keys that stand there more than once: laws without their version and numbers without their suffix, then all rows as
+    they were delivered."""
+    bare = articles(t).groupBy(F.regexp_replace("law_name", "（[^（）]*）$", "").alias("law_name"), F.regexp_extract("article_no", "^[0-9]+", 0).alias("article_no")).agg(F.count(F.lit(1)).alias("n"))
+    raw = t("legal_article").groupBy("law_name", "article_no").agg(F.count(F.lit(1)).alias("n"))
+    return bare.filter("n > 1").unionByName(raw.filter("n > 1"))
 
 
 @query("""SELECT query_id, leg, count(*) - count(DISTINCT chunk_id) AS repeated, count(*) FILTER (score IS NULL OR NOT isfinite(score)) AS not_finite FROM ranked_hit GROUP BY 1, 2
@@ -75,14 +88,12 @@ def index_integrity(t):
     return count(orphan, "unit_without_parent").unionByName(count(bare, "article_without_unit")).unionByName(count(u.filter("splitter_version is null"), "version_missing"))
 
 
-@query("""WITH h AS (SELECT DISTINCT id, regexp_replace(query_original, '[\\s\\x{3000}]+', '', 'g') AS q FROM private_holdout),
-d AS (SELECT DISTINCT regexp_replace(query_original, '[\\s\\x{3000}]+', '', 'g') AS q FROM sft_candidate UNION SELECT regexp_replace(query_original, '[\\s\\x{3000}]+', '', 'g') FROM evaluation_case)
-SELECT id FROM h WHERE q IN (SELECT q FROM d WHERE q IS NOT NULL)""")
+@query("WITH h AS (SELECT DISTINCT id, sha256(" + NORMAL.format("query_original") + ") AS q FROM private_holdout), d AS (SELECT sha256(" + NORMAL.format("query_original") + ") AS q FROM sft_candidate UNION SELECT sha256(" + NORMAL.format("query_original") + ") FROM evaluation_case) SELECT id FROM h WHERE q IN (SELECT q FROM d WHERE q IS NOT NULL)")
 def leakage_question_overlap(t):
-    plain = lambda df: df.select(F.sha2(F.regexp_replace("query_original", r"[\s\x{3000}]+", ""), 256).alias("digest")).filter("digest is not null")
-    reserved = plain(t("sft_candidate")).unionByName(plain(t("evaluation_case"))).distinct()
-    h = one_per_key(t("private_holdout"), "id").select("id", F.sha2(F.regexp_replace("query_original", r"[\s\x{3000}]+", ""), 256).alias("digest"))
-    return h.join(reserved, "digest", "left_semi").select("id")
+    """Reserved questions that are questions of the other tables too, composition and white space apart."""
+    digest = X.question_digest(F.col("query_original")).alias("digest")
+    reserved = t("sft_candidate").select(digest).unionByName(t("evaluation_case").select(digest)).filter("digest is not null").distinct()
+    return one_per_key(t("private_holdout"), "id").select("id", digest).join(reserved, "digest", "left_semi").select("id")
 
 
 @query("""WITH h AS (SELECT DISTINCT id, unnest(retrieval_gt.required_chunk_ids) AS chunk_id FROM private_holdout), s AS (SELECT DISTINCT unnest(required_chunk_ids) AS chunk_id, coalesce(source, 'none') AS source FROM sft_candidate)

@@ -87,14 +87,21 @@ def micro_batches(t):
     return t("events").select("event_id", "user_id", F.floor((F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1) / 8).alias("micro"))
 
 
-@query("""WITH x AS (SELECT event_id, user_id, sum(value) OVER w AS cur, sum(value) OVER w - value AS prev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
-SELECT event_id, user_id FROM x WHERE floor(cur / 500) > floor(prev / 500) AND abs(cur / 500 - round(cur / 500)) > 1e-9 AND abs(prev / 500 - round(prev / 500)) > 1e-9""")
+@query("""WITH c AS (SELECT event_id, user_id, CAST(round(value * 100) AS BIGINT) AS v FROM events), x AS (SELECT event_id, user_id, sum(v) OVER w AS cur, sum(v) OVER w - v AS prev FROM c WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, user_id, CASE WHEN cur // 250000 > prev // 250000 THEN 'full' ELSE 'quick' END AS kind FROM x WHERE cur // 50000 > prev // 50000""")
 def crossed_events(t):
-    """Events at which a user's running sum crosses a multiple of 500."""
-    cur = F.sum("value").over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0))
-    x = t("events").withColumn("cur", cur).withColumn("prev", F.col("cur") - F.col("value"))
-    off = lambda c: F.abs(F.col(c) / 500 - F.round(F.col(c) / 500)) > 1e-9
-    return x.filter((F.floor(F.col("cur") / 500) > F.floor(F.col("prev") / 500)) & off("cur") & off("prev")).select("event_id", "user_id")
+    """Events at which a user's running sum, in hundredths, comes to or over a multiple of 500; one of 2,500 is a full event
+    and no quick one. Sums go by spans of ids, so a user with many events isn't one task's work."""
+    x = t("events").select("event_id", "user_id", F.round(F.col("value") * 100).cast("long").alias("v"))
+    x = running_total(x, ["user_id"], "event_id", "v", "cur", span=65536).withColumn("prev", F.col("cur") - F.col("v"))
+    over = lambda n: F.floor(F.col("cur") / n) > F.floor(F.col("prev") / n)
+    return x.filter(over(50000)).select("event_id", "user_id", F.when(over(250000), "full").otherwise("quick").alias("kind"))
+
+
+@query("WITH b AS (SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 8 AS m FROM events) SELECT event_id, user_id, m - 3 AS micro FROM b WHERE m >= 3")
+def skip_batches(t):
+    """Batches of eight of each user's events without the first three, numbered from there."""
+    return micro_batches(t).filter("micro >= 3").select("event_id", "user_id", (F.col("micro") - 3).alias("micro"))
 
 
 @query("SELECT event_id, user_id, round((value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-4), 4) + 0.0 AS z FROM events WINDOW w AS (PARTITION BY user_id)")
@@ -120,16 +127,23 @@ def gae_reverse_fold(t):
     return x.groupBy("user_id").agg(back.alias("days")).select("user_id", F.explode("days").alias("d")).select("user_id", "d.day", F.round("d.advantage", 6).alias("advantage"))
 
 
-@query("SELECT source, doc_id, (sum(coalesce(n_chars, 0)) OVER (PARTITION BY source ORDER BY doc_id))::BIGINT AS upto, ((sum(coalesce(n_chars, 0)) OVER (PARTITION BY source ORDER BY doc_id)) // 100000)::BIGINT AS shard FROM documents")
+@query("""WITH d AS (SELECT source, doc_id, coalesce(n_chars, 0) AS n, sum(coalesce(n_chars, 0)) OVER (PARTITION BY source ORDER BY doc_id) AS upto FROM documents)
+SELECT source, doc_id, p AS position, p - (upto - n) AS place FROM (SELECT source, doc_id, n, upto, unnest(range(((upto - n + 9999) // 10000 * 10000)::BIGINT, upto::BIGINT, 10000)) AS p FROM d)""")
 def sequence_locator(t):
-    """Where each document ends in its source's stream, and the shard that holds its end."""
+    """Which document holds each 10,000th sign of its source's stream, and where in it: sums by spans, then each document
+    names the positions within it, so no range is searched."""
     d = t("documents").select("source", "doc_id", F.coalesce("n_chars", F.lit(0)).alias("n"))
-    return running_total(d, ["source"], "doc_id", "n", "upto", span=4096).select("source", "doc_id", F.col("upto").cast("long").alias("upto"), F.floor(F.col("upto") / 100000).alias("shard"))
+    x = running_total(d, ["source"], "doc_id", "n", "upto", span=4096).withColumn("begin", F.col("upto") - F.col("n"))
+    first = F.ceil(F.col("begin") / 10000) * 10000
+    x = x.filter(first < F.col("upto")).withColumn("position", F.explode(F.sequence(first, F.col("upto") - 1, F.lit(10000).cast("long"))))
+    return x.select("source", "doc_id", F.col("position").cast("long").alias("position"), (F.col("position") - F.col("begin")).cast("long").alias("place"))
 
 
-@query("SELECT event_id, (event_id // 1000)::BIGINT AS epoch, (event_id % 1000)::BIGINT AS position FROM events")
+@query("SELECT event_id, (event_id // 1000)::BIGINT AS epoch, (event_id % 1000)::BIGINT AS position, event_id // 1000 <> (event_id + 6) // 1000 AS crosses FROM events WHERE event_id % 7 = 0")
 def epoch_position(t):
-    return t("events").select("event_id", F.floor(F.col("event_id") / 1000).alias("epoch"), (F.col("event_id") % 1000).alias("position"))
+    """Epoch and position of each batch of seven, by its first event; one that crosses the end of an epoch is an error."""
+    i = F.col("event_id")
+    return t("events").filter(i % 7 == 0).select("event_id", F.floor(i / 1000).alias("epoch"), (i % 1000).alias("position"), (F.floor(i / 1000) != F.floor((i + 6) / 1000)).alias("crosses"))
 
 
 @query("WITH " + _R + "SELECT v, count(*) AS n, count(*) FILTER (len(visible_chunk_ids) >= 5) AS five, CASE WHEN count(*) > 0 THEN round(count(*) FILTER (len(visible_chunk_ids) >= 5) / count(*), 6) END AS ratio FROM r GROUP BY 1")
