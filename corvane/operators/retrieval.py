@@ -66,54 +66,84 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 20
     return cut(part, k, ["query_id"], "vec_id")
 
 
-def tokens(text: Column) -> Column:
-    """Search terms: article numbers kept whole, runs of Latin letters and digits, and pairs of neighbouring Han characters.
+_LOCKED = "第[零〇一二三四五六七八九十百千0-9]+条(?:之[一二三四五六七八九十]+)?"
+#: Terms of all questions that are sent to the tasks as one set; with more of them the postings are joined instead.
+SENT_TERMS = 200_000
 
-    Single characters would stand in most documents, so that a question's postings were the whole corpus.
-    """
+
+def tokens(text: Column) -> Column:
+    """Search terms: article numbers kept whole and, outside them, runs of Latin letters and digits and pairs of
+    neighbouring Han characters; a Han character that stands alone is a term of its own."""
     low = F.lower(text)
-    whole = F.regexp_extract_all(low, F.lit(r"(第[零〇一二三四五六七八九十百千0-9]+条(?:之[一二三四五六七八九十]+)?|[a-z0-9]+)"), F.lit(1))
+    rest = F.regexp_replace(low, _LOCKED, " ")
+
+    def of_run(run: Column) -> Column:
+        signs, n = F.split(run, ""), F.length(run)
+        return F.when(n == 1, F.array(run)).otherwise(F.zip_with(F.slice(signs, F.lit(1), n - 1), F.slice(signs, F.lit(2), n - 1), lambda a, b: F.concat(a, b)))
+
+    runs = F.regexp_extract_all(rest, F.lit(r"([\x{4E00}-\x{9FFF}]+)"), F.lit(1))
+    return F.concat(F.regexp_extract_all(low, F.lit(f"({_LOCKED})"), F.lit(1)), F.regexp_extract_all(rest, F.lit("([a-z0-9]+)"), F.lit(1)), F.flatten(F.transform(runs, of_run)))
 
-    def pairs(run: Column) -> Column:
-        signs = F.split(run, "")
-        n = F.size(signs)
-        return F.zip_with(F.slice(signs, F.lit(1), n - 1), F.slice(signs, F.lit(2), n - 1), lambda a, b: F.concat(a, b))
 
-    return F.concat(whole, F.flatten(F.transform(F.regexp_extract_all(low, F.lit(r"([\x{4E00}-\x{9FFF}]{2,})"), F.lit(1)), pairs)))
+def _counted(lists: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Of a batch of term lists: terms of each document, distinct terms, and number of list and of term of each entry."""
+    sizes = np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    return sizes, coded.dictionary, np.repeat(np.arange(len(sizes)), sizes), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def postings(docs: DataFrame, key: str, terms: Column) -> DataFrame:
+def postings(docs: DataFrame, key: str, terms: Column, only=None) -> DataFrame:
     """Postings (term, key, tf, len) of an inverted index, len being the document's number of terms. docs has one row for each key.
 
     A document's terms are counted where its row lies, in Arrow batches, so the terms aren't exchanged to be counted.
+    only: a broadcast list of the terms that are wanted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if only is None else pa.array(only.value, pa.string())
         for batch in batches:
-            lists = batch.column(1)
-            sizes = np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
-            coded = lists.flatten().dictionary_encode()
-            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            n = max(1, len(coded.dictionary))
-            pair, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + code, return_counts=True)
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(pair % n)), batch.column(0).take(pa.array(pair // n)), pa.array(tf.astype(np.int64)), pa.array(sizes[pair // n])], ["term", key, "tf", "len"])
+            sizes, words, row, code = _counted(batch.column(1))
+            if wanted is not None:
+                kept = pa.compute.is_in(words, wanted).to_numpy(zero_copy_only=False)[code] if len(words) else np.zeros(0, bool)
+                row, code = row[kept], code[kept]
+            n = max(1, len(words))
+            pair, tf = np.unique(row * n + code, return_counts=True)
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(pair % n)), batch.column(0).take(pa.array(pair // n)), pa.array(tf.astype(np.int64)), pa.array(sizes[pair // n])], ["term", key, "tf", "len"])
 
     return docs.select(key, terms.alias("terms")).mapInArrow(run, f"term string, `{key}` {docs.schema[key].dataType.simpleString()}, tf long, len long")
 
 
+def term_counts(docs: DataFrame, terms: Column) -> DataFrame:
+    """term and n, the documents that hold it, summed up by batch first; the row of the null term has n documents and all, their terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, words, row, code = _counted(batch.column(0))
+            n = max(1, len(words))
+            df = np.bincount(np.unique(row * n + code) % n, minlength=len(words))[: len(words)].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.cast(pa.string()), pa.array([None], pa.string())]), pa.array(np.r_[df, len(sizes)]), pa.array(np.r_[np.zeros(len(df), np.int64), sizes.sum()])], ["term", "n", "all"])
+
+    return docs.select(terms.alias("terms")).mapInArrow(run, "term string, n long, all long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, key: str, query: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Okapi BM25, the k best documents with a positive score for each query: query, key, score and rank.
 
     docs: key, text; queries: query, text. idf = ln((N - n + 0.5) / (n + 0.5)); negative ones count as a quarter of the
-    mean idf. Only the postings of the queries' terms take part in the join.
+    mean idf. A first pass over the documents counts in how many each term stands; a second one makes postings of the
+    queries' terms only.
     """
-    post = materialize(postings(docs, key, tokens(F.col("text"))), "postings")
-    stats = docs.agg(F.count(F.lit(1)).alias("docs")).crossJoin(post.agg(F.sum("tf").alias("all"))).select("docs", (F.col("all") / F.col("docs")).alias("avgdl"))  # one row
-    idf = post.groupBy("term").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(stats)).withColumn("raw", F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
+    spark = docs.sparkSession
+    terms = tokens(F.col("text"))
+    asked = materialize(queries.select(query, F.explode(terms).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("times")), "asked")
+    counts = materialize(term_counts(docs, terms), "terms")
+    stats = counts.filter("term is null").select(F.col("n").alias("docs"), (F.col("all") / F.col("n")).alias("avgdl"))  # one row
+    idf = counts.filter("term is not null").crossJoin(F.broadcast(stats)).withColumn("raw", F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
     mean = idf.agg(F.avg("raw").alias("mean"))
     idf = idf.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    asked = queries.select(query, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("times")).join(idf, "term")
-    rows = asked.join(post, "term")
+    words = asked.select("term").distinct()
+    only = spark.sparkContext.broadcast([r[0] for r in words.collect()]) if words.count() <= SENT_TERMS else None
+    rows = asked.join(idf, "term").join(postings(docs, key, terms, only), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     scored = rows.groupBy(query, key).agg(F.round(F.sum(part), 5).alias("score")).filter("score > 0")
     return cut(scored, k, [query], key)

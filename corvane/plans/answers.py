@@ -128,12 +128,20 @@ def citation_extract(t):
     return train(t).select("id", F.regexp_extract(c, '"chunk":"([^"#]+)#', 1).alias("law"), F.regexp_extract(c, '#([0-9]+)"', 1).alias("no"))
 
 
-@query("WITH" + ARTICLES + ", s AS (SELECT DISTINCT substr(law_name, 1, 4) AS p FROM a), n AS (SELECT DISTINCT law_id, law_name FROM law_register) SELECT p, min(law_name) AS resolved FROM s JOIN n ON starts_with(law_name, p) GROUP BY 1 HAVING count(*) = 1")
+@query("WITH" + ARTICLES + """, n AS (SELECT DISTINCT law_name FROM law_register), q AS (SELECT article_id, left(law_name, greatest(2, length(law_name) - CAST(substr(article_id, 2) AS BIGINT) % 7)) AS asked FROM a WHERE law_name IS NOT NULL),
+x AS (SELECT article_id, asked, count(*) FILTER (n.law_name = asked) AS exact, count(n.law_name) AS k, min(n.law_name) AS first FROM q LEFT JOIN n ON starts_with(n.law_name, asked) GROUP BY 1, 2)
+SELECT article_id, asked, CASE WHEN exact > 0 THEN asked WHEN k = 1 THEN first END AS resolved FROM x""")
 def prefix_resolve(t):
-    """Names by their first four signs, where only one registered law begins so; the prefix is an equal key, no scan of pairs."""
-    s = articles(t).select(F.substring("law_name", 1, 4).alias("p")).distinct()
-    n = t("law_register").select("law_id", "law_name").distinct().withColumn("p", F.substring("law_name", 1, 4))
-    return s.join(n, "p").groupBy("p").agg(F.min("law_name").alias("resolved"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    """Names as asked, cut off by up to six signs: the registered law of just that name, else the only one that begins so.
+
+    The register's names are spelt out to all their beginnings once, so that resolving is a join on equal keys.
+    """
+    n = t("law_register").select("law_name").distinct()
+    begin = n.select("law_name", F.explode(F.transform(F.sequence(F.lit(1), F.length("law_name")), lambda k: F.substring(F.col("law_name"), F.lit(1), k))).alias("asked"))
+    known = begin.groupBy("asked").agg(F.count(F.lit(1)).alias("k"), F.min("law_name").alias("first"), F.bool_or(F.col("law_name") == F.col("asked")).alias("exact"))
+    cut = F.substring(F.col("law_name"), F.lit(1), F.greatest(F.lit(2), F.length("law_name") - (F.substring("article_id", 2, 20).cast("long") % 7).cast("int")))
+    q = articles(t).filter("law_name is not null").select("article_id", cut.alias("asked"))
+    return q.join(known, "asked", "left").select("article_id", "asked", F.when(F.col("exact"), F.col("asked")).when(F.col("k") == 1, F.col("first")).alias("resolved"))
 
 
 @query("WITH" + ARTICLES + ", m AS (SELECT law_name, count(*) AS n, max(article_no_sort_key[1]) AS top FROM a GROUP BY 1), g AS (SELECT DISTINCT unnest(gt_articles).law_name AS law_name FROM evaluation_case) SELECT law_name, n, top::BIGINT AS top, top - n AS gaps FROM m JOIN g USING (law_name) WHERE top <> n")

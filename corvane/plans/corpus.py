@@ -162,7 +162,7 @@ def paragraph_merge(t):
 
 @query("""WITH x AS (SELECT doc_id, range(0, greatest(length(text), 1), 448) AS starts, length(text) AS n FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, n, unnest(starts) AS start_char FROM x)
 SELECT doc_id, start_char, least(start_char + 512, n) AS end_char FROM y WHERE start_char = 0 OR start_char + 64 < n""")
-def sliding_windows(t):
+def fixed_windows(t):
     """Windows of 512 with an overlap of 64, by position; none that holds only what the one before held."""
     x = t("documents").filter("text is not null").select("doc_id", F.length("text").cast("long").alias("n"))
     y = x.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n"), F.lit(1)) - 1, F.lit(448).cast("long"))).alias("start_char"))

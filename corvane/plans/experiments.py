@@ -56,16 +56,17 @@ def oriented_bootstrap(t):
 
 @query("WITH" + LEGS + "," + CASES + """, q AS (SELECT query_id, unnest(required) AS chunk_id, len(required) AS n FROM c), k AS (SELECT unnest([5, 10, 30]) AS depth),
 s AS (SELECT depth, q.query_id, any_value(n) AS n, count(DISTINCT l.chunk_id) AS hit FROM q CROSS JOIN k LEFT JOIN l ON l.query_id = q.query_id AND l.chunk_id = q.chunk_id AND l.rank <= depth GROUP BY 1, 2),
-x AS (SELECT depth, query_id, hit = n AS complete, lag(hit = n) OVER (PARTITION BY query_id ORDER BY depth) AS before FROM s)
-SELECT depth, count(*) FILTER (complete) AS complete, count(*) FILTER (complete AND NOT before) AS gained, count(*) FILTER (before AND NOT complete) AS lost FROM x GROUP BY 1""")
+x AS (SELECT depth, query_id, hit = n AS complete, first_value(hit = n) OVER w AS base, lag(hit = n) OVER w AS before FROM s WINDOW w AS (PARTITION BY query_id ORDER BY depth))
+SELECT query_id, depth, complete, complete AND base AS kept, complete AND NOT base AS newly_complete, coalesce(before AND NOT complete, false) AS lost FROM x""")
 def context_transition(t):
-    """How completeness changes as lists get deeper."""
+    """Of each case and depth whether it is complete, still complete as at the first depth, newly so, or lost since the one before."""
     need = cases(t).select("query_id", F.explode("required").alias("chunk_id"), F.size("required").alias("n"), F.array(F.lit(5), F.lit(10), F.lit(30)).alias("depths"))
     found = legs(t).groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"))
     x = need.join(found, ["query_id", "chunk_id"], "left").withColumn("depth", F.explode("depths"))
     s = x.groupBy("depth", "query_id").agg((F.count_if(F.col("rank") <= F.col("depth")) == F.first("n")).alias("complete"))
-    s = s.withColumn("before", F.lag("complete").over(W.partitionBy("query_id").orderBy("depth")))
-    return s.groupBy("depth").agg(F.count_if("complete").alias("complete"), F.count_if(F.col("complete") & ~F.col("before")).alias("gained"), F.count_if(F.col("before") & ~F.col("complete")).alias("lost"))
+    w = W.partitionBy("query_id").orderBy("depth")
+    s = s.withColumn("base", F.first("complete").over(w)).withColumn("before", F.lag("complete").over(w))
+    return s.select("query_id", "depth", "complete", (F.col("complete") & F.col("base")).alias("kept"), (F.col("complete") & ~F.col("base")).alias("newly_complete"), F.coalesce(F.col("before") & ~F.col("complete"), F.lit(False)).alias("lost"))
 
 
 @query()
@@ -181,14 +182,12 @@ def pad_sequence(t):
     return train(t).select("id", F.size("visible_chunk_ids").cast("long").alias("n"), F.array_join(F.slice(F.concat("visible_chunk_ids", F.array_repeat(F.lit("<pad>"), 6)), 1, 6), "|").alias("padded"))
 
 
-@query("WITH x AS (SELECT DISTINCT ON (id) id, query_original AS q FROM private_holdout WHERE query_original IS NOT NULL), y AS (SELECT unnest(list_transform(range(1, length(q)), lambda i: substr(q, i, 2))) AS p FROM x) SELECT p AS pair, count(*) AS n FROM y GROUP BY 1 HAVING count(*) >= 20")
+@query("WITH y AS (SELECT unnest(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) AS p FROM documents WHERE text IS NOT NULL) SELECT p AS pair, count(*) AS n FROM y GROUP BY 1")
 def pair_counts(t):
-    """Neighbouring signs of all questions, counted before the exchange."""
-    s = F.split("query_original", "")
-    n = F.size(s)
-    pairs = F.zip_with(F.slice(s, F.lit(1), n - 1), F.slice(s, F.lit(2), n - 1), lambda a, b: F.concat(a, b))
-    x = holdout(t).filter("length(query_original) > 1").select(F.explode(pairs).alias("pair"))
-    return x.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
+    """Neighbouring signs of the whole corpus, all of them: counted by batch in NumPy before the exchange."""
+    from corvane.operators.corpus import pair_counts as count
+
+    return count(t("documents"), "text")
 
 
 @query("WITH " + _R + "SELECT id, len(visible_chunk_ids) = len(list_distinct(visible_chunk_ids)) AS unique_ids, len(visible_chunk_ids) BETWEEN 1 AND 5 AS sized FROM r")

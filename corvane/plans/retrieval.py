@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corvane.operators import retrieval as R
 from corvane.plans.base import ARTICLES, CASES, FUSED, LEGS, POOL, RRF_K, TOP, articles, cases, legs, registry
+from corvane.operators.scoring import prompt_tokens, regex_tokens, rerank, retrieval_windows
 from corvane.runtime import materialize, one_per_key
 
 QUERIES, query = registry()
@@ -77,9 +78,10 @@ def dense_topk(t):
     return R.dense_search(e, e.filter("vec_id % 20 = 0"), 10).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+_LOCKED = "第[零〇一二三四五六七八九十百千0-9]+条(?:之[一二三四五六七八九十]+)?"
 _TOKENS = (
-    "list_concat(regexp_extract_all(lower({0}), '第[零〇一二三四五六七八九十百千0-9]+条(?:之[一二三四五六七八九十]+)?|[a-z0-9]+'), "
-    "flatten(list_transform(regexp_extract_all(lower({0}), '[\\x{{4E00}}-\\x{{9FFF}}]{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))))"
+    f"list_concat(regexp_extract_all(lower({{0}}), '{_LOCKED}'), regexp_extract_all(regexp_replace(lower({{0}}), '{_LOCKED}', ' ', 'g'), '[a-z0-9]+'), "
+    f"flatten(list_transform(regexp_extract_all(regexp_replace(lower({{0}}), '{_LOCKED}', ' ', 'g'), '[\\x{{{{4E00}}}}-\\x{{{{9FFF}}}}]+'), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END)))"
 )
 
 
@@ -151,16 +153,17 @@ def parent_rollup(t):
 
 
 def reranked(t) -> DataFrame:
-    """The pool in the order of a lexical scorer: the share of a query's characters that stand in the article's id."""
-    q = one_per_key(t("evaluation_case"), "query_id").select("query_id", F.array_distinct(F.split("query_original", "")).alias("q"))
-    x = pool(t).join(q, "query_id").withColumn("lexical", F.round(F.size(F.array_intersect("q", F.split("chunk_id", ""))) / F.size("q"), 6))
-    order = W.partitionBy("query_id").orderBy(F.desc("lexical"), "rank", "chunk_id")
-    return x.withColumn("rerank", F.row_number().over(order)).select("query_id", "chunk_id", "rank", "lexical", "rerank")
+    """The pool in the order of the reranker: the best window of each article by the share of the question's pairs of signs."""
+    q = one_per_key(t("evaluation_case"), "query_id").select("query_id", F.col("query_original").alias("text"))
+    texts = articles(t).groupBy("chunk_id").agg(F.min("content").alias("text"))
+    return rerank(pool(t).select("query_id", "chunk_id", "rank"), q, texts, "query_id", "chunk_id")
 
 
-RERANKED = FUSED + """, cq AS (SELECT DISTINCT query_id, list_distinct(string_split(query_original, '')) AS q FROM evaluation_case),
+RERANKED = FUSED + """, cq AS (SELECT DISTINCT query_id, list_distinct(list_transform(range(1, length(query_original)), lambda i: substr(query_original, i, 2))) AS q FROM evaluation_case),
+ra AS (SELECT chunk_id, min(content) AS content FROM legal_article GROUP BY 1),
 rr AS (SELECT query_id, chunk_id, rank, lexical, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, rank, chunk_id) AS rerank FROM (
-  SELECT query_id, chunk_id, rank, round(len(list_intersect(q, list_distinct(string_split(chunk_id, '')))) / len(q), 6) AS lexical FROM p JOIN cq USING (query_id)))
+  SELECT query_id, chunk_id, rank, round(coalesce(list_max(list_transform(list_filter(range(0, greatest(length(content), 1), 448), lambda s: s = 0 OR s + 64 < length(content)), lambda s: len(list_filter(q, lambda x: contains(substr(content, s + 1, 512), x))))), 0) / len(q), 6) AS lexical
+  FROM p JOIN cq USING (query_id) LEFT JOIN ra USING (chunk_id)))
 """
 
 
@@ -247,10 +250,32 @@ def dependency_closure(t):
     return known.groupBy("unit_id").agg(F.count(F.lit(1)).alias("needs"), F.min("dep").alias("first_dep"))
 
 
-@query("""WITH x AS (SELECT DISTINCT id, query_original, query_formal FROM private_holdout),
-y AS (SELECT id, list_filter([query_original, query_formal, query_original || ' ' || query_formal], lambda v: v IS NOT NULL) AS l FROM x)
-SELECT id, len(list_distinct(l)) AS n_queries, l[1] AS first_query FROM y""")
+@query("""WITH x AS (SELECT DISTINCT id, trim(query_original) AS o, trim(query_formal) AS f FROM private_holdout), y AS (SELECT id, unnest(list_concat([o, f, o || ' ' || f], string_split_regex(coalesce(f, o), '[，。？；]'))) AS v, generate_subscripts(list_concat([o, f, o || ' ' || f], string_split_regex(coalesce(f, o), '[，。？；]')), 1) AS k FROM x),
+z AS (SELECT id, v, min(k) AS k FROM y WHERE trim(v) <> '' GROUP BY 1, 2), w AS (SELECT id, v, row_number() OVER (PARTITION BY id ORDER BY k) AS n FROM z)
+SELECT id, count(*) AS n_queries, md5(string_agg(v, chr(10) ORDER BY n)) AS digest FROM w WHERE n <= 6 GROUP BY 1""")
 def compile_queries(t):
-    x = one_per_key(t("private_holdout"), "id")
-    listed = F.array_distinct(F.array_compact(F.array("query_original", "query_formal", F.concat("query_original", F.lit(" "), "query_formal"))))
-    return x.select("id", F.size(listed).cast("long").alias("n_queries"), listed[0].alias("first_query"))
+    """The searches for a question: as asked, as rewritten, both together, then the clauses of the rewriting; each once, in
+    the order in which they were first seen, six at most."""
+    x = one_per_key(t("private_holdout"), "id").select("id", F.trim("query_original").alias("o"), F.trim("query_formal").alias("f"))
+    every = F.concat(F.array("o", "f", F.concat("o", F.lit(" "), "f")), F.split(F.coalesce("f", "o"), "[，。？；]"))
+    listed = F.slice(F.array_distinct(F.filter(every, lambda v: F.trim(v) != "")), 1, 6)
+    return x.select("id", listed.alias("l")).filter("size(l) > 0").select("id", F.size("l").cast("long").alias("n_queries"), F.md5(F.array_join("l", "\n")).alias("digest"))
+
+
+@query("WITH" + ARTICLES + """, w AS (SELECT article_id, len(regexp_extract_all(content, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]')) AS tokens FROM a) SELECT article_id, tokens::INTEGER AS tokens FROM w WHERE tokens IS NOT NULL""")
+def article_tokens(t):
+    """Tokens of each article by the default counter."""
+    return articles(t).filter("content is not null").select("article_id", regex_tokens(F.col("content")).alias("tokens"))
+
+
+@query("""WITH r AS (SELECT DISTINCT ON (id) * FROM sft_candidate) SELECT id, list_sum(list_transform(conversations, lambda c: 4 + len(regexp_extract_all(c.role, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]')) + len(regexp_extract_all(c.content, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]'))))::INTEGER AS tokens FROM r""")
+def prompt_token_count(t):
+    """The length of each record's chat by the default counter."""
+    return one_per_key(t("sft_candidate"), "id").select("id", prompt_tokens(F.col("conversations")).alias("tokens"))
+
+
+@query()
+def sliding_windows(t):
+    """Retrieval windows of all articles: up to 512 tokens with the heading, ended at boundaries, overlapping by 64."""
+    head = F.concat(F.lit("《"), "law_name", F.lit("》第"), "article_no", F.lit("条"))
+    return retrieval_windows(articles(t).select("article_id", "content", head.alias("heading")), "article_id", "content", "heading")
