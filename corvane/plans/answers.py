@@ -7,6 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from corvane.functions import numerals as N
 from corvane.operators import retrieval as R
 from corvane.plans.base import ARTICLES, CASES, FUSED, LEGS, articles, cases, legs, registry
+from corvane.plans.corpus import NUMERALS
 from corvane.plans.retrieval import RERANKED, pool, reranked
 from corvane.runtime import one_per_key
 
@@ -108,7 +109,8 @@ def digest_union(t):
     return q[0].unionByName(q[1]).unionByName(q[2]).distinct().groupBy(F.substring("d", 1, 1).alias("head")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("WITH" + ARTICLES + ", " + NUMERALS + """, h AS (SELECT article_id, unnest(map_values(hierarchy)) AS h FROM a), x AS (SELECT article_id, nullif(regexp_extract(h, '第([零〇一二三四五六七八九十百千两]+)[编章节]', 1), '') AS s FROM h)
+SELECT article_id, s, list_position(k.k, s)::INTEGER AS value, list_position(k.k, s) IS NOT NULL AS canonical FROM x, k WHERE s IS NOT NULL""")
 def cn_numeral_strict(t):
     """Numerals in the headings of articles: read, and whether they are in canonical spelling, that is spelt again the same."""
     x = articles(t).select("article_id", F.explode(F.map_values("hierarchy")).alias("h")).select("article_id", F.nullif(F.regexp_extract("h", "第([零〇一二三四五六七八九十百千两]+)[编章节]", 1), F.lit("")).alias("s")).filter("s is not null")
@@ -167,10 +169,18 @@ def query_boundary(t):
     return h.select("id", (F.length("query_formal") <= F.greatest(F.lit(160), 2 * F.length("query_original"))).alias("short"), (shared >= F.least(F.lit(4), F.greatest(F.lit(2), F.floor(F.length("query_original") / 10)))).alias("related"))
 
 
-@query()
+_TAIL = "text || repeat(right(text, CAST(2 + doc_id % 9 AS INTEGER)), CAST(doc_id % 4 AS INTEGER))"
+
+
+@query(f"""WITH x AS (SELECT doc_id, {_TAIL} AS t FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, t, list_max(list_filter(range(2, 65), lambda n: length(t) >= 3 * n AND right(t, 3 * n) = repeat(right(t, n), 3))) AS n FROM x)
+SELECT doc_id, n::INTEGER AS n, (length(t) - CASE WHEN n IS NULL THEN 0 ELSE n * (list_max(list_filter(range(1, length(t) // n + 1), lambda k: right(t, n * k) = repeat(right(t, n), k::BIGINT))) - 2) END)::INTEGER AS kept FROM y""")
 def repeated_tail(t):
-    """Texts that end with the same 4 to 12 signs at least three times over."""
-    return t("documents").filter("text is not null").select("doc_id", F.expr("exists(sequence(4, 12), n -> length(right(text, 36)) >= 3 * n and right(text, n) = left(right(text, 2 * n), n) and right(text, n) = left(right(text, 3 * n), n))").alias("repeats"))
+    """Texts, some with their end said again: the longest run of 2 to 64 signs that stands at the end three times or more
+    (null: none), and the length that is kept when it is said twice."""
+    x = t("documents").filter("text is not null").select("doc_id", F.expr(_TAIL).alias("t"))
+    y = x.withColumn("n", F.array_max(F.expr("filter(sequence(2, 64), n -> length(t) >= 3 * n and right(t, 3 * n) = repeat(right(t, n), 3))")))
+    times = F.array_max(F.expr("filter(sequence(1, cast(length(t) div n as int)), k -> right(t, n * k) = repeat(right(t, n), k))"))
+    return y.select("doc_id", "n", F.when(F.col("n").isNull(), F.length("t")).otherwise(F.length("t") - F.col("n") * (times - 2)).alias("kept"))
 
 
 @query("WITH " + _R + """, x AS (SELECT id, conversations[3].content AS c FROM r) SELECT id, greatest(-3.0, least(3.0, CASE WHEN length(c) BETWEEN 20 AND 200 THEN 0.5 ELSE -0.5 END + CASE WHEN json_valid(c) THEN 1.0 ELSE -1.0 END + CASE WHEN contains(c, 'E1') THEN 0.25 ELSE 0 END))::DOUBLE AS reward FROM x""")
@@ -185,12 +195,14 @@ def tag_json_extract(t):
     return train(t).select("id", F.size(F.regexp_extract_all(F.col("conversations")[1]["content"], F.lit('"id":"(E[0-9]+)"'), F.lit(1))).cast("long").alias("evidence"), F.array_join(F.regexp_extract_all(F.col("conversations")[2]["content"], F.lit("(E[0-9]+)"), F.lit(1)), "|").alias("cited"))
 
 
-@query("WITH c AS (SELECT DISTINCT ON (query_id) * FROM evaluation_case), ok AS (SELECT unnest([{'a': 'answer', 'n': true}, {'a': 'clarify', 'n': false}, {'a': 'refuse', 'n': false}]) AS k) SELECT query_id FROM c WHERE NOT EXISTS (SELECT 1 FROM ok WHERE k.a = expected_action AND k.n = (action_reason IS NULL))")
+@query("WITH c AS (SELECT DISTINCT ON (query_id) * FROM evaluation_case), x AS (SELECT expected_action AS action, coalesce(action_reason, CASE WHEN CAST(regexp_extract(query_id, '[0-9]+$') AS BIGINT) % 11 = 0 THEN 'ambiguous' END) AS reason FROM c) SELECT action, coalesce(reason, '-') AS reason, coalesce((action = 'answer' AND reason IS NULL) OR (action IN ('clarify', 'refuse') AND reason IS NOT NULL), false) AS allowed, count(*) AS n FROM x GROUP BY 1, 2, 3")
 def status_matrix(t):
-    """Cases whose action and reason don't go together."""
-    a = F.col("expected_action")
-    fits = ((a == "answer") & F.col("action_reason").isNull()) | (a.isin("clarify", "refuse") & F.col("action_reason").isNotNull())
-    return one_per_key(t("evaluation_case"), "query_id").filter(~F.coalesce(fits, F.lit(False))).select("query_id")
+    """Actions with their reasons, and whether the two go together: only answers have none. Every eleventh case is given a
+    reason, so that some don't."""
+    planted = F.when(F.regexp_extract("query_id", "[0-9]+$", 0).cast("long") % 11 == 0, "ambiguous")
+    x = one_per_key(t("evaluation_case"), "query_id").select(F.col("expected_action").alias("action"), F.coalesce("action_reason", planted).alias("reason"))
+    fits = ((F.col("action") == "answer") & F.col("reason").isNull()) | (F.col("action").isin("clarify", "refuse") & F.col("reason").isNotNull())
+    return x.groupBy("action", F.coalesce("reason", F.lit("-")).alias("reason"), F.coalesce(fits, F.lit(False)).alias("allowed")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH c AS (SELECT DISTINCT ON (query_id) * FROM evaluation_case), x AS (SELECT query_id, query_original AS q FROM c WHERE query_original IS NOT NULL) SELECT query_id, length(q) <= 120 AS short, length(q) - length(replace(replace(q, '？', ''), '?', '')) = 1 AS one_mark, suffix(q, '？') OR suffix(q, '?') AS at_end FROM x")
@@ -200,7 +212,7 @@ def assessment_validate(t):
     return one_per_key(t("evaluation_case"), "query_id").filter(q.isNotNull()).select("query_id", (F.length(q) <= 120).alias("short"), (marks == 1).alias("one_mark"), (F.endswith(q, F.lit("？")) | F.endswith(q, F.lit("?"))).alias("at_end"))
 
 
-@query()
+@query("WITH " + _R + "SELECT id, to_json({'query': query_original, 'evidence': list_transform(visible_chunk_ids, lambda x, i: {'id': 'E' || i, 'chunk': x})})::VARCHAR AS package FROM r")
 def package_json(t):
     """Question and evidence of each training record as compact JSON, evidence numbered in order."""
     ev = F.transform("visible_chunk_ids", lambda x, i: F.struct(F.concat(F.lit("E"), (i + 1).cast("string")).alias("id"), x.alias("chunk")))
@@ -220,11 +232,12 @@ def plan_modes(t):
     return holdout(t).select("id", F.explode(each).alias("x")).select("id", "x.*")
 
 
-@query()
+@query("WITH " + _R + ", x AS (SELECT id, CAST('0x' || substr(sha256(id), 1, 8) AS BIGINT) % 1000 < 200 AS dropped, conversations AS c FROM r) SELECT id, dropped, len(CASE WHEN dropped THEN list_filter(c, lambda m: m.role <> 'system') ELSE c END)::INTEGER AS turns, CASE WHEN dropped THEN list_filter(c, lambda m: m.role <> 'system')[1].role ELSE c[1].role END AS first_role FROM x")
 def chat_augment(t):
     """A fifth of the records lose their system message, by a hash of the id."""
-    drop = F.pmod(F.xxhash64("id"), F.lit(1000)) < 200
-    return train(t).select("id", drop.alias("dropped"), F.size(F.when(drop, F.filter("conversations", lambda c: c["role"] != "system")).otherwise(F.col("conversations"))).alias("turns"))
+    drop = F.conv(F.substring(F.sha2("id", 256), 1, 8), 16, 10).cast("long") % 1000 < 200
+    left = F.when(drop, F.filter("conversations", lambda c: c["role"] != "system")).otherwise(F.col("conversations"))
+    return train(t).select("id", drop.alias("dropped"), F.size(left).alias("turns"), F.get(left, F.lit(0))["role"].alias("first_role"))
 
 
 @query("WITH" + RERANKED + "SELECT chunk_id, count(*) AS queries, min(rerank) AS best, round(max(lexical), 6) AS top FROM rr GROUP BY 1")

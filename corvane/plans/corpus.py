@@ -316,11 +316,11 @@ def table_identity(t):
     return t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
-@query()
+@query("WITH r AS (SELECT DISTINCT ON (id) * FROM sft_candidate), h AS (SELECT pool_no, sha256(to_json({'citations': citations, 'id': id, 'query_id': query_id, 'query_original': query_original, 'required_chunk_ids': required_chunk_ids, 'visible_chunk_ids': visible_chunk_ids})::VARCHAR) AS h FROM r) SELECT pool_no, count(*) AS records, sum(CAST('0x' || substr(h, 1, 12) AS BIGINT))::VARCHAR AS digest FROM h GROUP BY 1")
 def canonical_row_digest(t):
     """A digest of each record's canonical JSON, and by pool one of all its records that doesn't depend on their order."""
     r = one_per_key(t("sft_candidate"), "id").select("pool_no", F.sha2(F.to_json(F.struct("citations", "id", "query_id", "query_original", "required_chunk_ids", "visible_chunk_ids")), 256).alias("h"))
-    return r.groupBy("pool_no").agg(F.count(F.lit(1)).alias("records"), F.sum(F.conv(F.substring("h", 1, 12), 16, 10).cast("decimal(20,0)")).alias("digest"))
+    return r.groupBy("pool_no").agg(F.count(F.lit(1)).alias("records"), F.sum(F.conv(F.substring("h", 1, 12), 16, 10).cast("decimal(20,0)")).cast("string").alias("digest"))
 
 
 @query("SELECT doc_id, CASE WHEN lower(trim(lang)) LIKE 'zh%' THEN 'zh' WHEN lower(trim(lang)) LIKE 'en%' THEN 'en' END AS lang, regexp_replace(lower(trim(source)), '[\\s\\-]+', '_', 'g') AS source FROM documents")

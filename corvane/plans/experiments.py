@@ -69,7 +69,12 @@ def context_transition(t):
     return s.select("query_id", "depth", "complete", (F.col("complete") & F.col("base")).alias("kept"), (F.col("complete") & ~F.col("base")).alias("newly_complete"), F.coalesce(F.col("before") & ~F.col("complete"), F.lit(False)).alias("lost"))
 
 
-@query()
+_PACKED = """, z AS (SELECT chunk_id, max(coalesce(token_count, char_count, length(content)))::BIGINT AS tokens FROM a GROUP BY 1),
+it AS (SELECT query_id, list({'used': tokens, 'kept': [chunk_id]} ORDER BY rerank) AS items FROM rr JOIN z USING (chunk_id) WHERE rerank <= 5 GROUP BY 1)"""
+_FOLD = "list_reduce(items, lambda acc, x: CASE WHEN acc.used + x.used <= {0} THEN {{'used': acc.used + x.used, 'kept': list_concat(acc.kept, x.kept)}} ELSE acc END, {{'used': 0::BIGINT, 'kept': []::VARCHAR[]}})"
+
+
+@query("WITH" + RERANKED + "," + ARTICLES + _PACKED + ", b AS (SELECT unnest([200, 400, 600, 800]) AS budget) SELECT budget, sum(len(" + _FOLD.format("budget") + ".kept))::BIGINT AS kept, count(*) AS queries FROM it, b GROUP BY 1")
 def context_sweep(t):
     """How many of the top five fit budgets of 200 to 800 tokens."""
     from corvane.operators.retrieval import pack
@@ -163,18 +168,18 @@ def chain_no_gap(t):
     return x.filter("not missing and gap").select("plan_id", "pool_no")
 
 
-@query()
+@query("WITH " + _R + "SELECT id, row_number() OVER (ORDER BY sha256('43' || chr(0) || id), id) - 1 AS position FROM r")
 def deterministic_shuffle(t, start: int = 0):
     """All records with their position, from 0, in the order of a seeded hash; a resumed run takes those from start on.
 
-    The hash's upper bits are buckets in that order. Only rows of one bucket are sorted together; counts of the buckets
+    The hash's first digits are buckets in that order. Only rows of one bucket are sorted together; counts of the buckets
     before give the offset.
     """
-    r = train(t).select("id").withColumn("h", F.xxhash64(F.lit(43), "id")).withColumn("b", F.shiftright("h", 52))
+    r = train(t).select("id", S.hash_key("43", "id").alias("h")).withColumn("b", F.substring("h", 1, 3))
     before = F.coalesce(F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = r.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", before.alias("offset"))  # at most 4,096 rows
     placed = r.withColumn("place", F.row_number().over(W.partitionBy("b").orderBy("h", "id"))).join(offsets, "b")
-    return placed.select("id", (F.col("offset") + F.col("place") - 1).alias("position")).filter(F.col("position") >= start)
+    return placed.select("id", (F.col("offset") + F.col("place") - 1).cast("long").alias("position")).filter(F.col("position") >= start)
 
 
 @query("WITH " + _R + "SELECT id, len(visible_chunk_ids) AS n, array_to_string(list_resize(visible_chunk_ids, 6, '<pad>'), '|') AS padded FROM r")

@@ -104,10 +104,11 @@ def leakage_gold_overlap(t):
     return h.join(s, "chunk_id").select("id", "chunk_id", "sources")
 
 
-@query("WITH r AS (SELECT DISTINCT id, pool_no, query_id, " + _VARIANT + " AS v FROM sft_candidate) SELECT id FROM r WHERE v = 'hard_negative' AND NOT EXISTS (SELECT 1 FROM r c WHERE c.v = 'clean' AND c.pool_no = r.pool_no AND c.query_id = r.query_id)")
+@query("WITH r AS (SELECT DISTINCT id, pool_no, query_id, " + _VARIANT + " AS v FROM sft_candidate) SELECT id FROM r WHERE v = 'hard_negative' AND NOT EXISTS (SELECT 1 FROM r c WHERE c.v = 'clean' AND NOT suffix(c.id, '7') AND c.pool_no = r.pool_no AND c.query_id = r.query_id)")
 def hn_missing_clean(t):
+    """Hard negatives without a clean record of their question in the pool; clean ones whose id ends in 7 are taken as missing."""
     r = one_per_key(t("sft_candidate"), "id").select("id", "pool_no", "query_id", variant().alias("v"))
-    clean = r.filter("v = 'clean'").select("pool_no", "query_id").distinct()
+    clean = r.filter("v = 'clean' and not endswith(id, '7')").select("pool_no", "query_id").distinct()
     return r.filter("v = 'hard_negative'").join(clean, ["pool_no", "query_id"], "left_anti").select("id")
 
 

@@ -205,7 +205,10 @@ def merge_promoted(t):
     return y.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "chunk_id"))), lambda s: s["chunk_id"]), "|").alias("merged"))
 
 
-@query()
+@query("WITH" + RERANKED + "," + ARTICLES + """, z AS (SELECT chunk_id, max(coalesce(token_count, char_count, length(content)))::BIGINT AS tokens FROM a GROUP BY 1),
+it AS (SELECT query_id, list({'used': tokens, 'kept': [chunk_id]} ORDER BY rerank) AS items FROM rr JOIN z USING (chunk_id) WHERE rerank <= 5 GROUP BY 1),
+fo AS (SELECT query_id, list_reduce(items, lambda acc, x: CASE WHEN acc.used + x.used <= 400 THEN {'used': acc.used + x.used, 'kept': list_concat(acc.kept, x.kept)} ELSE acc END, {'used': 0::BIGINT, 'kept': []::VARCHAR[]}) AS x FROM it)
+SELECT query_id, x.used AS used, array_to_string(x.kept, '|') AS kept FROM fo""")
 def budget_pack_skip(t):
     """The best five of each query that fit 400 tokens, one after the other; what doesn't fit is skipped."""
     size = articles(t).groupBy("chunk_id").agg(F.max(F.coalesce("token_count", "char_count", F.length("content"))).alias("tokens"))

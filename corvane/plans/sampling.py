@@ -110,7 +110,9 @@ def group_standardize(t):
     return t("events").join(m, "user_id").select("event_id", "user_id", (F.round((F.col("value") - F.col("m")) / (F.col("s") + 1e-4), 4) + 0.0).alias("z"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE), event_id) AS i FROM events),
+s AS (SELECT user_id, day, i, sum(value * pow(0.95, i)) OVER (PARTITION BY user_id ORDER BY i DESC ROWS UNBOUNDED PRECEDING) / pow(0.95, i) AS advantage FROM e), f AS (SELECT user_id, day, min(i) AS i FROM s GROUP BY 1, 2)
+SELECT user_id, day, round(advantage + 1e-9, 6) AS advantage FROM s JOIN f USING (user_id, day, i)""")
 def gae_reverse_fold(t):
     """Of each user and day the discounted sum from the user's last event of all back to the first of the day.
 
@@ -124,7 +126,7 @@ def gae_reverse_fold(t):
     none = F.array().cast("array<struct<day:date,advantage:double>>")
     after = lambda acc: F.when(F.size(acc) == 0, 0.0).otherwise(F.try_element_at(acc, F.lit(-1))["advantage"])
     back = F.aggregate(days, none, lambda acc, d: F.concat(acc, F.array(F.struct(d["day"].alias("day"), (d["own"] + d["carry"] * after(acc)).alias("advantage")))))
-    return x.groupBy("user_id").agg(back.alias("days")).select("user_id", F.explode("days").alias("d")).select("user_id", "d.day", F.round("d.advantage", 6).alias("advantage"))
+    return x.groupBy("user_id").agg(back.alias("days")).select("user_id", F.explode("days").alias("d")).select("user_id", "d.day", F.round(F.col("d.advantage") + 1e-9, 6).alias("advantage"))
 
 
 @query("""WITH d AS (SELECT source, doc_id, coalesce(n_chars, 0) AS n, sum(coalesce(n_chars, 0)) OVER (PARTITION BY source ORDER BY doc_id) AS upto FROM documents)
@@ -159,7 +161,7 @@ def plan_summary(t):
     return x.groupBy("plan_group").agg(F.sum("clean_count").alias("records"), F.sum(n).alias("exposures"), F.sum(F.expr("-(-(clean_count * max_repeat) div 8)")).alias("floor_steps"))
 
 
-@query()
+@query("WITH " + _R + ", x AS (SELECT id, unnest(conversations) AS c, generate_subscripts(conversations, 1) - 1 AS turn FROM r), y AS (SELECT id, turn, c.role AS role, length(c.content) AS n, sum(length(c.content)) OVER (PARTITION BY id ORDER BY turn) AS upto FROM x) SELECT id, turn::INTEGER AS turn, (upto - n)::BIGINT AS start, upto::BIGINT AS end FROM y WHERE role = 'assistant'")
 def label_mask(t):
     """Characters of a conversation that are learnt: those of the assistant, marked by turn and span."""
     r = records(t).select("id", F.posexplode("conversations").alias("turn", "c")).select("id", "turn", "c.role", F.length("c.content").alias("n"))
