@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="corvane-")
@@ -55,11 +57,11 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
-def materialize(df: DataFrame, tag: str = "part") -> DataFrame:
+def materialize(df: DataFrame, tag: str = "part", compression: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: a cut of the lineage that survives the loss of executors."""
     spark = df.sparkSession
     path = work_path(spark, tag)
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
