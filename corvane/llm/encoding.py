@@ -2,7 +2,7 @@
 
 A rolling hash over the code points cuts every text into chunks of some hundreds of code points that depend on the content
 only, so equal passages give equal chunks wherever they stand. Chunks are brought together by their hash over the whole
-cluster, each distinct one is encoded once, and the ids go back to all places of the chunk.
+cluster; each that stands in several places is encoded once, and its ids go to the other places.
 
 A cut may fall inside a pre-token; such a join is repaired. A boundary is sure if the tokenizer's pattern must end a
 pre-token there whatever stands before and after. What stands between the last sure boundary before the join and the first
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.llm.codepoints import classes, flat, slices
-from corvane.runtime import materialize
+from corvane.runtime import materialize, work_path
 
 #: Code points that the rolling hash looks at, and of a chunk on average.
 WINDOW, AVERAGE = 16, 512
@@ -68,7 +68,7 @@ def _marks(cps: np.ndarray) -> np.ndarray:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of the texts: row, key, seq, the two halves of the chunk's hash and the chunk; one null chunk for a null text."""
+    """row, key and text of each text with the ends of its chunks and the two halves of each chunk's hash; null for null texts."""
     import xxhash
 
     for batch in batches:
@@ -76,17 +76,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, cps, bounds = flat(part.column(2))
             at = np.flatnonzero(_marks(cps)) + 1 if len(cps) else np.zeros(0, np.int64)
             low, high = np.searchsorted(at, bounds[:-1], side="right"), np.searchsorted(at, bounds[1:])
-            row, seq, chunks = [], [], []
-            for k, (v, a, b, first) in enumerate(zip(values, low.tolist(), high.tolist(), bounds.tolist())):
-                ends = [0, *(at[a:b] - first).tolist(), len(v or "")] if a < b else None
-                own = [v] if ends is None else [v[x:y] for x, y in zip(ends, ends[1:])]
-                row += [k] * len(own)
-                seq += range(len(own))
-                chunks += own
-            raw = [b"" if c is None else c.encode() for c in chunks]
-            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r) for r in raw), ">i8").astype(np.int64).reshape(-1, 2)
-            take = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(seq, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(chunks, pa.string())], ["row", "key", "seq", "h1", "h2", "chunk"])
+            ends: list[list[int] | None] = []
+            for v, a, b, first in zip(values, low.tolist(), high.tolist(), bounds.tolist()):
+                ends.append(None if v is None else [*(at[a:b] - first).tolist(), len(v)] if a < b else [len(v)])
+            digests = b"".join(xxhash.xxh3_128_digest(c.encode()) for v, e in zip(values, ends) if e for c in _chunks(v, e))
+            halves = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)
+            offsets = pa.array(np.r_[0, np.cumsum([len(e) if e else 0 for e in ends])].astype(np.int32), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(halves[:, k])) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(ends, pa.list_(pa.int32())), *lists], ["row", "key", "text", "ends", "h1", "h2"])
+
+
+def _chunks(text: str, ends: list[int]) -> list[str]:
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def _encode_chunks(encode, chunks: list[str]) -> list[list]:
@@ -136,45 +137,107 @@ def _assemble(encode, parts: list[tuple]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
+class _Shared:
+    """The shared chunks of some rows, read from the folder that holds them by the upper bits of the row."""
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.system, self.path = fs.FileSystem.from_uri(folder)
+        self.part, self.rows = -1, {}
+
+    def of(self, row: int) -> dict[int, bool] | None:
+        """Of a row's shared chunks by their number whether it is the one that encodes the chunk; null if it has none."""
+        if row >> 33 != self.part:
+            import pyarrow.parquet as pq
+            from pyarrow import fs
+
+            self.part, self.rows = row >> 33, {}
+            for info in self.system.get_file_info(fs.FileSelector(f"{self.path}/part={self.part}", allow_not_found=True)):
+                if info.base_name.endswith(".parquet"):
+                    t = pq.read_table(self.system.open_input_file(info.path), columns=["row", "seq", "own"])
+                    for r, s, own in zip(*(c.to_pylist() for c in t.columns)):
+                        self.rows.setdefault(r, {})[s] = own
+        return self.rows.get(row)
+
+
+_KINDS = "kind string, row long, key {0}, seq int, h1 long, h2 long, ids array<int>, head string, head_n int, tail string, tail_n int"
+
+
 def encode_corpus(df: DataFrame, key: str, text: str, ranks_file: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """key and ids (array of int, no special tokens) of every row: exactly the tokenizer's encoding of the whole text.
 
     Empty text gives an empty list, null text gives null. The strings of special tokens are ordinary text. Rows stay as
     they are delivered: repeated or null keys are kept. Other columns of df are ignored. ranks_file must be at the same
-    path on every executor. A task holds no more than a slice of chunks or one text.
+    path on every executor.
+
+    Only hashes are exchanged to learn which chunks stand in several places. Texts without such a chunk are encoded where
+    they lie. Of the others each text encodes its own chunks and those shared ones of which it is the first holder; the
+    ids of these are exchanged, and only texts with a chunk from elsewhere are put together from parts.
     """
     file = ranks_file or f"{tokenizer_dir()}/byte_bpe_50k.tiktoken"
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    chunks = materialize(rows.mapInArrow(_cut, f"row long, key {kind}, seq int, h1 long, h2 long, chunk string"), "chunks")
-
-    def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(file, pattern).encode_ordinary
+    texts = materialize(rows.mapInArrow(_cut, f"row long, key {kind}, text string, ends array<int>, h1 array<long>, h2 array<long>"), "texts", "zstd")
+    refs = texts.select("row", F.posexplode(F.arrays_zip("h1", "h2")).alias("seq", "h")).select("row", "seq", "h.h1", "h.h2")
+    shared = refs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "seq")).alias("first")).filter("n > 1").drop("n")
+    plan = refs.join(shared, ["h1", "h2"]).select("row", "seq", (F.struct("row", "seq") == F.col("first")).alias("own"), F.shiftright("row", 33).alias("part"))
+    folder = work_path(df.sparkSession, "shared")
+    plan.write.partitionBy("part").parquet(folder)
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, known = _encoder(file, pattern).encode_ordinary, _Shared(folder)
         for batch in batches:
             for part in slices(batch, 2):
-                ids, head, head_n, tail, tail_n = _encode_chunks(encode, part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(head, pa.string()), pa.array(head_n, pa.int32()), pa.array(tail, pa.string()), pa.array(tail_n, pa.int32())], ["h1", "h2", "ids", "head", "head_n", "tail", "tail_n"])
+                alone = pa.array([known.of(r) is None for r in part.column(0).to_pylist()])
+                own = part.filter(alone)
+                yield pa.RecordBatch.from_arrays([own.column(1), pa.array([None if t is None else encode(t) for t in own.column(2).to_pylist()], pa.list_(pa.int32()))], [key, "ids"])
 
-    def assemble_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, known = _encoder(file, pattern).encode_ordinary, _Shared(folder)
+        names = [x.split()[0] for x in _KINDS.split(", ")]
+        for batch in batches:
+            for part in slices(batch, 2):
+                marked = [known.of(r) for r in part.column(0).to_pylist()]
+                some = part.filter(pa.array([m is not None for m in marked]))
+                out: list[tuple] = []
+                for r, k, t, ends, h1, h2, m in zip(*(c.to_pylist() for c in some.columns), [m for m in marked if m is not None]):
+                    chunks = _chunks(t, ends)
+                    mine = [j for j in range(len(chunks)) if m.get(j, True)]
+                    made = dict(zip(mine, zip(*_encode_chunks(encode, [chunks[j] for j in mine])))) if mine else {}
+                    if len(mine) == len(chunks):
+                        ids = _assemble(encode, [(np.array(made[j][0], np.int32), *made[j][1:]) for j in mine])
+                        out.append(("done", r, k, 0, 0, 0, ids, None, 0, None, 0))
+                    else:
+                        out += [("part", r, k, j, h1[j], h2[j], *made[j]) if j in made else ("hole", r, k, j, h1[j], h2[j], None, None, 0, None, 0) for j in range(len(chunks))]
+                    out += [("shared", r, k, j, h1[j], h2[j], *made[j]) for j in mine if m.get(j, False)]
+                kinds = [pa.string(), pa.int64(), some.column(1).type, pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.int32(), pa.string(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kinds[j]) for j in range(11)], names)
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(file, pattern).encode_ordinary
         for batch in batches:
             lists = batch.column(1)
             bounds, fields = lists.offsets.to_numpy(), lists.values.flatten()
             ids, at = fields[1].values.to_numpy(zero_copy_only=False), fields[1].offsets.to_numpy()
             head, head_n, tail, tail_n = (f.to_pylist() for f in fields[2:])
-            whole = [[(ids[at[k] : at[k + 1]], head[k], head_n[k], tail[k], tail_n[k]) for k in range(x, y)] for x, y in zip(bounds, bounds[1:])]
-            done = [p[0][0] if len(p) == 1 else _assemble(encode, p) for p in whole]
-            offsets = np.r_[0, np.cumsum([len(d) for d in done])].astype(np.int32)
-            values = pa.array(np.concatenate(done) if done else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], [key, "ids"])
-
-    there = chunks.filter("chunk is not null")
-    once = there.groupBy("h1", "h2").agg(F.first("chunk").alias("chunk"))
-    encoded = once.mapInArrow(encode_all, "h1 long, h2 long, ids array<int>, head string, head_n int, tail string, tail_n int")
-    placed = there.select("row", "key", "seq", "h1", "h2").join(encoded, ["h1", "h2"])
-    texts = placed.groupBy("row").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("seq", "ids", "head", "head_n", "tail", "tail_n"))).alias("parts"))
-    out = texts.select("key", "parts").mapInArrow(assemble_all, f"`{key}` {kind}, ids array<int>")
-    return out.unionByName(chunks.filter("chunk is null").select(F.col("key").alias(key), F.lit(None).cast("array<int>").alias("ids")))
+            base = bounds[0]
+            whole = [[(ids[at[k] : at[k + 1]], head[k], head_n[k], tail[k], tail_n[k]) for k in range(x - base, y - base)] for x, y in zip(bounds, bounds[1:])]
+            made = [p[0][0] if len(p) == 1 else _assemble(encode, p) for p in whole]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32()))], [key, "ids"])
+
+    split = work_path(df.sparkSession, "encoded")
+    schema = _KINDS.format(kind)
+    texts.filter("text is not null").select("row", "key", "text", "ends", "h1", "h2").mapInArrow(involved, schema).write.option("compression", "zstd").partitionBy("kind").parquet(split)
+    parts = df.sparkSession.read.schema(schema).parquet(split)
+    fields = ["ids", "head", "head_n", "tail", "tail_n"]
+    ids = parts.filter("kind = 'shared'").select("h1", "h2", *fields)
+    filled = parts.filter("kind = 'hole'").select("row", "key", "seq", "h1", "h2").join(ids, ["h1", "h2"]).select("row", "key", "seq", *fields)
+    open_ = filled.unionByName(parts.filter("kind = 'part'").select("row", "key", "seq", *fields))
+    put = open_.groupBy("row").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("seq", *fields))).alias("parts"))
+    out_schema = f"`{key}` {kind}, ids array<int>"
+    out = texts.select("row", "key", "text").mapInArrow(done, out_schema).unionByName(put.select("key", "parts").mapInArrow(assemble, out_schema))
+    return out.unionByName(parts.filter("kind = 'done'").select(F.col("key").alias(key), "ids"))
 
 
 def encode_directly(df: DataFrame, key: str, text: str, ranks_file: str | None = None, pattern: str = PATTERN) -> DataFrame:

@@ -161,6 +161,11 @@ def test_ids_of_odd_texts(spark):
     got = sorted(((x.doc_id, x.ids) for x in encoding.encode_corpus(df, "doc_id", "text").collect()), key=str)
     assert got == sorted(((k % 500, None if t is None else encode(t)) for k, t in enumerate(texts)), key=str)
     assert encoding.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
+    # copies over many partitions, one of which holds a third of all rows
+    passage = "承运人应当在十日内书面答复，逾期未处理的视为同意；" * 40
+    many = [(k, passage * 2 if k % 3 == 0 else f"{k} " + passage * 2 + f"尾{k}" if k % 3 == 1 else f"单独的一段{k}。") for k in range(600)]
+    got = {x.doc_id: x.ids for x in encoding.encode_corpus(spark.createDataFrame(many, "doc_id long, text string").repartition(7), "doc_id", "text").collect()}
+    assert got == {k: encode(t) for k, t in many}
 
 
 def test_shared_passages_are_encoded_once_and_joins_are_repaired(spark, monkeypatch):
@@ -170,11 +175,12 @@ def test_shared_passages_are_encoded_once_and_joins_are_repaired(spark, monkeypa
     texts = [f"{k} " + passage + f"尾{k}" for k in range(200)] + ["aaaa" * 500, "it's the 'll 're" * 40, "  \n " * 90]
     part = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], ["row", "key", "text"])
     (out,) = encoding._cut(iter([part]))
-    rows = out.to_pydict()
-    assert len(set(rows["h1"])) < 0.3 * len(rows["h1"])
+    cut = [encoding._chunks(t, e) for t, e in zip(texts, out.column(3).to_pylist())]
+    hashes = [h for own in out.column(4).to_pylist() for h in own]
+    assert len(set(hashes)) < 0.3 * len(hashes)
     repaired = 0
     for k, t in enumerate(texts):
-        own = [c for r, c in zip(rows["row"], rows["chunk"]) if r == k]
+        own = cut[k]
         assert "".join(own) == t
         parts = [(np.array(i, np.int32), *x) for i, *x in zip(*encoding._encode_chunks(encode, own))]
         assert encoding._assemble(encode, parts).tolist() == encode(t)
@@ -191,9 +197,9 @@ def test_ids_of_random_texts_with_many_cuts(average, monkeypatch):
     texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 300))) for _ in range(400)]
     part = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], ["row", "key", "text"])
     (out,) = encoding._cut(iter([part]))
-    rows = out.to_pydict()
+    cut = [encoding._chunks(t, e) for t, e in zip(texts, out.column(3).to_pylist())]
     for k, t in enumerate(texts):
-        own = [c for x, c in zip(rows["row"], rows["chunk"]) if x == k]
+        own = cut[k]
         parts = [(np.array(i, np.int32), *x) for i, *x in zip(*encoding._encode_chunks(encode, own))]
         assert encoding._assemble(encode, parts).tolist() == encode(t)
 
