@@ -28,10 +28,22 @@ def _ids(listed):
     return F.array_join(F.transform(F.array_sort(listed), lambda x: x["chunk_id"]), "|")
 
 
-@query("WITH" + ARTICLES + "SELECT count(*) AS rows, count(*) FILTER (content IS NULL OR trim(content) = '') AS blank, count(*) FILTER (coalesce(source_type, 'legal_regulation') NOT IN ('legal_regulation', 'department_rule')) AS label FROM a")
+@query("WITH" + ARTICLES + """, x AS (SELECT CASE WHEN CAST(substr(article_id, 2) AS BIGINT) % 50 = 0 THEN 'no_json' WHEN CAST(substr(article_id, 2) AS BIGINT) % 50 = 1 OR content IS NULL OR trim(content) = '' OR law_name IS NULL OR trim(law_name) = '' THEN 'missing' ELSE 'record' END AS state FROM a) SELECT state, count(*) AS n FROM x GROUP BY 1""")
 def scan_strict_articles(t):
-    a = articles(t)
-    return a.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("content").isNull() | (F.trim("content") == "")).alias("blank"), F.count_if(~F.coalesce("source_type", F.lit("legal_regulation")).isin("legal_regulation", "department_rule")).alias("label"))
+    """Articles written as JSON lines, some broken and some without content, and read again by the strict scan."""
+    from pyspark.sql.types import StructType
+
+    from corvane.runtime import work_path
+    from corvane.sources import strict_json
+
+    k = F.substring("article_id", 2, 20).cast("long") % 50
+    a = articles(t).select("article_id", "law_name", F.when(k != 1, F.col("content")).alias("content"))
+    line = F.to_json(F.struct("article_id", "law_name", "content"))
+    path = work_path(a.sparkSession, "lines")
+    a.select(F.when(k == 0, F.substring(line, F.lit(1), F.length(line) - 3)).otherwise(line).alias("value")).write.text(path)
+    schema = StructType().add("article_id", "string").add("law_name", "string").add("content", "string")
+    good, bad = strict_json(a.sparkSession, path, schema, ["article_id", "law_name", "content"])
+    return good.agg(F.lit("record").alias("state"), F.count(F.lit(1)).alias("n")).unionByName(bad.groupBy(F.col("reason").alias("state")).agg(F.count(F.lit(1)).alias("n")))
 
 
 @query("""WITH u AS (SELECT DISTINCT ON (unit_id) unit_id, parent_chunk_id, unit_index, split_part(unit_id, '::', 1) AS article FROM evidence_unit),

@@ -335,13 +335,19 @@ def page_extract_stats(t):
     return t("documents").filter("text is not null").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(f"({tag})"), F.lit(1))).cast("long").alias("tags"), F.length(F.regexp_replace("text", tag, "")).cast("long").alias("visible"))
 
 
-@query("""WITH s AS (SELECT source, doc_id // 1000 AS shard, sum(coalesce(n_chars, 0)) AS tokens FROM documents GROUP BY 1, 2), m AS (SELECT source, sum(coalesce(n_chars, 0)) AS total FROM documents GROUP BY 1)
-SELECT s.source AS source, count(*) AS shards, any_value(total)::BIGINT AS total, sum(tokens) = any_value(total) AS closed FROM s JOIN m ON s.source IS NOT DISTINCT FROM m.source GROUP BY 1""")
+@query("SELECT count(*) AS records, true AS closed, true AS safe, true AS sized FROM documents")
 def shard_manifest_closure(t):
-    n = F.coalesce("n_chars", F.lit(0))
-    s = t("documents").groupBy("source", F.floor(F.col("doc_id") / 1000).alias("shard")).agg(F.sum(n).alias("tokens")).groupBy("source").agg(F.count(F.lit(1)).alias("shards"), F.sum("tokens").alias("listed"))
-    m = t("documents").groupBy(F.col("source").alias("s")).agg(F.sum(n).alias("total"))
-    return s.join(m, F.col("source").eqNullSafe(F.col("s"))).select("source", "shards", F.col("total").cast("long").alias("total"), (F.col("listed") == F.col("total")).alias("closed"))
+    """Shards of the documents written and listed: the manifest's records are all there are, its names safe and once each,
+    its bytes those of the files."""
+    from corvane.runtime import work_path
+    from corvane.sources import shard_manifest
+
+    d = t("documents")
+    path = work_path(d.sparkSession, "shards")
+    d.select("doc_id", "source", "text").repartition("source").write.parquet(path)
+    m = shard_manifest(d.sparkSession, path).agg(F.sum("records").alias("listed"), (F.count_distinct("file") == F.count(F.lit(1))).alias("once"), F.bool_and(X.safe_path(F.col("file"), ".parquet")).alias("safe"), F.bool_and(F.col("bytes") > 0).alias("sized"))
+    n = d.agg(F.count(F.lit(1)).alias("records"))
+    return n.crossJoin(F.broadcast(m)).select("records", ((F.col("records") == F.col("listed")) & F.col("once")).alias("closed"), "safe", "sized")  # one row each
 
 
 @query("WITH" + ARTICLES + """, x AS (SELECT article_id, regexp_extract_all(content, '（([一二三四五六七八九十百]+)）', 1) AS m FROM a),

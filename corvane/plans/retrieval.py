@@ -282,3 +282,29 @@ def sliding_windows(t):
     """Retrieval windows of all articles: up to 512 tokens with the heading, ended at boundaries, overlapping by 64."""
     head = F.concat(F.lit("《"), "law_name", F.lit("》第"), "article_no", F.lit("条"))
     return retrieval_windows(articles(t).select("article_id", "content", head.alias("heading")), "article_id", "content", "heading")
+
+
+@query("SELECT vec_id, len(embedding)::INTEGER AS dim, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) + 0.0 AS first, round(embedding[-1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) + 0.0 AS last FROM embeddings")
+def dense_index_build(t):
+    """A dense index built, published, loaded and validated: its vectors, of length 1."""
+    from corvane.runtime import work_path
+    from corvane.sources import indexes
+
+    spark = t("embeddings").sparkSession
+    path = work_path(spark, "dense-index")
+    indexes.save_dense(t("embeddings"), path)
+    v, _ = indexes.load_dense(spark, path)
+    return v.select("vec_id", F.size("embedding").alias("dim"), (F.round(F.get("embedding", F.lit(0)), 5) + 0.0).alias("first"), (F.round(F.element_at("embedding", -1), 5) + 0.0).alias("last"))
+
+
+@query("WITH" + ARTICLES + ", d AS (SELECT article_id, unnest(" + _TOKENS.format("content") + ") AS term FROM a), c AS (SELECT term, count(DISTINCT article_id) AS n FROM d GROUP BY 1) SELECT term, n, n AS postings FROM c")
+def sparse_index_build(t):
+    """A sparse index built, published, loaded and validated: documents of each term by its counts and by its postings."""
+    from corvane.runtime import work_path
+    from corvane.sources import indexes
+
+    a = articles(t).select("article_id", F.col("content").alias("text"))
+    path = work_path(a.sparkSession, "sparse-index")
+    indexes.save_sparse(a, path, "article_id")
+    postings, terms, _ = indexes.load_sparse(a.sparkSession, path)
+    return terms.filter("term is not null").select("term", "n").join(postings.groupBy("term").agg(F.count(F.lit(1)).alias("postings")), "term")
