@@ -109,20 +109,30 @@ def top_n_per_group(df: DataFrame, groups: list[str], item: str, score: str, n:
     inside = (F.col("g_min") == F.col("g_max")) & (F.col("g_max") == before) & F.col("s_max").isNotNull() & F.col("i_min").isNotNull()
     manifest = manifest.withColumn("inside", F.coalesce(inside, F.lit(False)))
     rest = manifest.filter("inside")
-    found = materialize(_best(_read(manifest.filter("not inside"), n), n), "topn-wave")
+    # active: groups that may still change; a group is closed, and not written again, when no row group of it is left to read.
+    active = materialize(_best(_read(manifest.filter("not inside"), n), n), "topn-wave")
+    parts: list[DataFrame] = []
     done: DataFrame | None = None
     wave = 1
     while True:
-        last = found.filter(F.col("rank") == n).select(F.col("g").alias("g_min"), F.col("score").alias("n_score"), F.col("item").alias("n_item"))
+        last = active.filter(F.col("rank") == n).select(F.col("g").alias("g_min"), F.col("score").alias("n_score"), F.col("item").alias("n_item"))
         open_ = rest if done is None else rest.join(done, ["file", "rg"], "left_anti")
         below = (F.col("s_max") < F.col("n_score")) | ((F.col("s_max") == F.col("n_score")) & (F.col("i_min") > F.col("n_item")))
         open_ = open_.join(last, "g_min", "left").filter(~F.coalesce(below, F.lit(False)))
         turn = F.row_number().over(W.partitionBy("g_min").orderBy(F.desc("s_max"), F.asc("file"), F.asc("rg")))
-        now = materialize(open_.withColumn("turn", turn).filter(F.col("turn") <= wave).select("file", "rg"), "topn-open")
+        now = materialize(open_.withColumn("turn", turn).filter(F.col("turn") <= wave).select("file", "rg", F.col("g_min").alias("g")), "topn-open")
         if now.isEmpty():
+            parts.append(active)
             break
-        found = materialize(_best(found.select("g", "item", "score").unionByName(_read(now, n)), n), "topn-wave")
-        done = now if done is None else done.unionByName(now)
+        groups = now.select("g").distinct()
+        parts.append(active.join(groups, "g", "left_anti"))
+        active = materialize(_best(active.join(groups, "g", "left_semi").select("g", "item", "score").unionByName(_read(now, n)), n), "topn-wave")
+        read = now.select("file", "rg")
+        done = read if done is None else done.unionByName(read)
+        rest = rest.join(groups.withColumnRenamed("g", "g_min"), "g_min", "left_semi")
         wave *= 2
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
     parsed = F.from_json("g", out, {"mode": "FAILFAST"})
     return found.select(*[parsed[c].alias(c) for c in groups], F.col("item").alias(item), F.col("score").alias(score), "rank")
