@@ -26,6 +26,10 @@ from corvane.llm.codepoints import flat, slices
 from corvane.llm.encoding import tokenizer_dir
 
 
+#: Code points of segments that are worked on at a time.
+BLOCK = 500_000
+
+
 class DoubleArray:
     """A trie over code points in two integer arrays: child of node s by symbol c is base[s] + c if check there is s."""
 
@@ -249,6 +253,15 @@ class Counter:
         out[segments_order] = count[np.arange(len(ordered)), size]
         return out
 
+    def _in_blocks(self, words: list[str]) -> list[int]:
+        """Counts of segments, a block of BLOCK code points at a time, so that the tables of a long text stay small."""
+        out: list[int] = []
+        part = np.cumsum([len(w) for w in words], dtype=np.int64) // BLOCK
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(words)]):
+            out += self.segments(words[a:b]).tolist()
+        return out
+
     def texts(self, cps: np.ndarray, bounds: np.ndarray, known: dict[str, int]) -> np.ndarray:
         """The number of tokens of each text of normalized code points; known keeps the counts of segments."""
         if not len(cps):
@@ -268,7 +281,7 @@ class Counter:
         text = cps.tobytes().decode("utf-32-le")
         words = [text[a:b] for a, b in zip(begin[longer].tolist(), end[longer].tolist())]
         new = [w for w in dict.fromkeys(words) if w not in known]
-        fresh = dict(zip(new, self.segments(new).tolist()))
+        fresh = dict(zip(new, self._in_blocks(new)))
         if len(known) > 500_000:
             known.clear()
         tokens[longer] = [known[w] if w in known else fresh[w] for w in words]
