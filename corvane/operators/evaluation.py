@@ -60,3 +60,30 @@ def hash_fraction(df: DataFrame, key: str, salt: str, fraction: float) -> DataFr
     full = hashed.join(marked, "__b").filter(F.col("__before") < F.col("__want"))
     rank = F.row_number().over(W.partitionBy("__b").orderBy("__h", key))
     return full.withColumn("__r", rank).filter(F.col("__before") + F.col("__r") <= F.col("__want")).select(key)
+
+
+def pair_metrics(records: DataFrame, key: str) -> DataFrame:
+    """One row of eight rates over records (key, variant, visible, required, summary, refuse, cited).
+
+    variant is sufficient or insufficient; a key with both is a pair. A rate without anything to count is 0. Recall of
+    required citations is over all ids together. A record's protocol holds if its summary is one line.
+    """
+    ids = lambda a, b: F.size(F.array_intersect(a, b))
+    enough, valid, told = F.col("variant") == "sufficient", ~F.contains("summary", F.lit("\n")), F.col("summary") != ""
+    within = F.size(F.array_except("cited", "visible")) == 0
+    hard = F.array_except("visible", "required")
+    x = records.withColumns({
+        "valid": valid, "within": within, "found": ids("required", "cited"), "n": F.size(F.array_distinct("required")), "tempting": F.size(hard) > 0, "tempted": ids(hard, "cited") > 0,
+        "refused": ~enough & valid & F.col("refuse"), "shaped": ~enough & valid & F.col("refuse") & ~told & (F.size("cited") == 0),
+    })
+    x = x.withColumn("success", enough & F.col("valid") & ~F.col("refuse") & told & F.col("within") & (F.col("found") == F.col("n")) & ~F.col("tempted"))
+    rate = lambda hit, of: F.coalesce(F.round(F.try_divide(F.count_if(hit & of), F.count_if(of)), 6), F.lit(0.0))
+    every = F.lit(True)
+    one = x.agg(
+        rate(F.col("valid"), every).alias("protocol_valid"), rate(F.col("success"), enough).alias("answer_success"), rate(F.col("refused"), ~enough).alias("refusal_correct"),
+        F.round(F.try_divide(F.sum(F.when(enough, F.col("found"))), F.sum(F.when(enough, F.col("n")))), 6).alias("citation_recall"), rate(~F.col("within"), every).alias("invalid_citation"),
+        rate(F.col("tempted"), enough & F.col("tempting")).alias("hard_negative_citation"), rate(F.col("shaped"), ~enough).alias("refusal_shape"),
+    )
+    pairs = x.groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.bool_or("success").alias("a"), F.bool_or("shaped").alias("b")).filter("k = 2")
+    paired = pairs.agg(F.coalesce(F.round(F.try_divide(F.count_if(F.col("a") & F.col("b")), F.count(F.lit(1))), 6), F.lit(0.0)).alias("paired_success"))
+    return one.crossJoin(F.broadcast(paired))  # one row each

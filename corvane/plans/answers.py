@@ -136,12 +136,6 @@ def prompt_dedupe(t):
     return x.groupBy("p").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select(F.md5("p").alias("prompt"), "id", "n")
 
 
-@query("WITH " + _R + r"SELECT id, regexp_extract(conversations[2].content, '\"chunk\":\"([^\"#]+)#', 1) AS law, regexp_extract(conversations[2].content, '#([0-9]+)\"', 1) AS no FROM r")
-def citation_extract(t):
-    c = F.col("conversations")[1]["content"]
-    return train(t).select("id", F.regexp_extract(c, '"chunk":"([^"#]+)#', 1).alias("law"), F.regexp_extract(c, '#([0-9]+)"', 1).alias("no"))
-
-
 @query("WITH" + ARTICLES + """, n AS (SELECT DISTINCT law_name FROM law_register), q AS (SELECT article_id, left(law_name, greatest(2, length(law_name) - CAST(substr(article_id, 2) AS BIGINT) % 7)) AS asked FROM a WHERE law_name IS NOT NULL),
 x AS (SELECT article_id, asked, count(*) FILTER (n.law_name = asked) AS exact, count(n.law_name) AS k, min(n.law_name) AS first FROM q LEFT JOIN n ON starts_with(n.law_name, asked) GROUP BY 1, 2)
 SELECT article_id, asked, CASE WHEN exact > 0 THEN asked WHEN k = 1 THEN first END AS resolved FROM x""")
@@ -158,13 +152,6 @@ def prefix_resolve(t):
     return q.join(known, "asked", "left").select("article_id", "asked", F.when(F.col("exact"), F.col("asked")).when(F.col("k") == 1, F.col("first")).alias("resolved"))
 
 
-@query("WITH" + ARTICLES + ", m AS (SELECT law_name, count(*) AS n, max(article_no_sort_key[1]) AS top FROM a GROUP BY 1), g AS (SELECT DISTINCT unnest(gt_articles).law_name AS law_name FROM evaluation_case) SELECT law_name, n, top::BIGINT AS top, top - n AS gaps FROM m JOIN g USING (law_name) WHERE top <> n")
-def missing_article(t):
-    m = articles(t).groupBy("law_name").agg(F.count(F.lit(1)).alias("n"), F.max(F.get("article_no_sort_key", F.lit(0))).cast("long").alias("top"))
-    g = t("evaluation_case").select(F.explode("gt_articles.law_name").alias("law_name")).distinct()
-    return m.join(g, "law_name", "left_semi").filter("top <> n").select("law_name", "n", "top", (F.col("top") - F.col("n")).alias("gaps"))
-
-
 @query("WITH" + FUSED + "," + ARTICLES + """, k AS (SELECT chunk_id, min(department) AS department FROM a GROUP BY 1 HAVING min(department) IS NOT NULL), x AS (SELECT p.query_id, p.rank, p.chunk_id, k.department FROM p JOIN k USING (chunk_id)),
 fd AS (SELECT *, first_value(department) OVER (PARTITION BY query_id ORDER BY rank) AS d1 FROM x) SELECT query_id, arg_min(chunk_id, rank) AS first_id, arg_min(chunk_id, rank) FILTER (department <> d1) AS other_id FROM fd GROUP BY 1""")
 def cross_dept_pick(t):
@@ -195,18 +182,6 @@ def repeated_tail(t):
     return y.select("doc_id", "n", F.when(F.col("n").isNull(), F.length("t")).otherwise(F.length("t") - F.col("n") * (times - 2)).alias("kept"))
 
 
-@query("WITH " + _R + """, x AS (SELECT id, conversations[3].content AS c FROM r) SELECT id, greatest(-3.0, least(3.0, CASE WHEN length(c) BETWEEN 20 AND 200 THEN 0.5 ELSE -0.5 END + CASE WHEN json_valid(c) THEN 1.0 ELSE -1.0 END + CASE WHEN contains(c, 'E1') THEN 0.25 ELSE 0 END))::DOUBLE AS reward FROM x""")
-def rule_reward(t):
-    c = F.col("conversations")[2]["content"]
-    valid = F.try_parse_json(c).isNotNull()
-    return train(t).select("id", F.greatest(F.lit(-3.0), F.least(F.lit(3.0), F.when(F.length(c).between(20, 200), 0.5).otherwise(-0.5) + F.when(valid, 1.0).otherwise(-1.0) + F.when(F.contains(c, F.lit("E1")), 0.25).otherwise(0.0))).alias("reward"))
-
-
-@query("WITH " + _R + r"SELECT id, len(regexp_extract_all(conversations[2].content, '\"id\":\"(E[0-9]+)\"', 1)) AS evidence, array_to_string(regexp_extract_all(conversations[3].content, '(E[0-9]+)', 1), '|') AS cited FROM r")
-def tag_json_extract(t):
-    return train(t).select("id", F.size(F.regexp_extract_all(F.col("conversations")[1]["content"], F.lit('"id":"(E[0-9]+)"'), F.lit(1))).cast("long").alias("evidence"), F.array_join(F.regexp_extract_all(F.col("conversations")[2]["content"], F.lit("(E[0-9]+)"), F.lit(1)), "|").alias("cited"))
-
-
 @query("WITH c AS (SELECT DISTINCT ON (query_id) * FROM evaluation_case), x AS (SELECT expected_action AS action, coalesce(action_reason, CASE WHEN CAST(regexp_extract(query_id, '[0-9]+$') AS BIGINT) % 11 = 0 THEN 'ambiguous' END) AS reason FROM c) SELECT action, coalesce(reason, '-') AS reason, coalesce((action = 'answer' AND reason IS NULL) OR (action IN ('clarify', 'refuse') AND reason IS NOT NULL), false) AS allowed, count(*) AS n FROM x GROUP BY 1, 2, 3")
 def status_matrix(t):
     """Actions with their reasons, and whether the two go together: only answers have none. Every eleventh case is given a
@@ -262,3 +237,45 @@ def shared_rerank(t):
 def enhancement_validate(t):
     h = holdout(t).filter("query_formal is not null and query_original is not null")
     return h.select("id", (F.length("query_formal") <= 112).alias("short"), (F.col("query_formal") != F.col("query_original")).alias("changed"), (F.length("query_formal") - F.length(F.replace("query_formal", F.lit("？"), F.lit(""))) <= 1).alias("single"))
+
+
+#: Responses made of each record: some with thoughts before the answer, some with too many, some without.
+_REPLY = "CASE CAST(substr(id, 2) AS BIGINT) % 4 WHEN 0 THEN conversations[3].content WHEN 1 THEN left(conversations[2].content, 60) || '</think>' || conversations[3].content WHEN 2 THEN '短</think>' || conversations[3].content || '</think>' ELSE '' END"
+
+
+def replies(t):
+    c = F.col("conversations")
+    k = F.substring("id", 2, 20).cast("long") % 4
+    made = F.when(k == 0, c[2]["content"]).when(k == 1, F.concat(F.substring(c[1]["content"], 1, 60), F.lit("</think>"), c[2]["content"])).when(k == 2, F.concat(F.lit("短</think>"), c[2]["content"], F.lit("</think>"))).otherwise("")
+    return train(t).select("id", made.alias("reply"))
+
+
+@query("WITH " + _R + f", x AS (SELECT id, {_REPLY} AS p FROM r), y AS (SELECT id, p, contains(p, '</think>') AS thinks, CASE WHEN contains(p, '</think>') THEN string_split(p, '</think>')[1] END AS thought, CASE WHEN contains(p, '</think>') THEN substr(p, strpos(p, '</think>') + 8) ELSE p END AS answer FROM x),"
+       + r""" w AS (SELECT *, regexp_extract_all(lower(answer), '[a-z0-9]+|[\x{4E00}-\x{9FFF}]') AS w FROM y), g AS (SELECT *, CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [] END AS g FROM w)
+SELECT id, round(greatest(-3.0, least(3.0, CASE WHEN length(trim(p)) BETWEEN 20 AND 800 THEN 0.5 ELSE -0.5 END + CASE WHEN NOT thinks THEN 0 ELSE CASE WHEN length(trim(thought)) BETWEEN 20 AND 300 THEN 1.0 ELSE -0.5 END + CASE WHEN len(string_split(p, '</think>')) = 2 THEN 0.25 ELSE -0.25 END END
+ - CASE WHEN len(g) > 0 THEN least(0.5, (len(g) - len(list_distinct(g))) * 1.0 / len(g)) ELSE 0 END)), 6)::DOUBLE AS reward FROM g""")
+def rule_reward(t):
+    """The rewards for length, thoughts and their closing, less the penalty for repetition in the answer, within 3 either way."""
+    from corvane.functions.text import repetition
+
+    p, tag = F.col("reply"), F.lit("</think>")
+    thinks = F.contains(p, tag)
+    thought, answer = F.split(p, "</think>")[0], F.when(thinks, F.expr("substring(reply, locate('</think>', reply) + 8)")).otherwise(p)
+    length = F.when(F.length(F.trim(p)).between(20, 800), 0.5).otherwise(-0.5)
+    think = F.when(~thinks, 0.0).otherwise(F.when(F.length(F.trim(thought)).between(20, 300), 1.0).otherwise(-0.5) + F.when(F.size(F.split(p, "</think>")) == 2, 0.25).otherwise(-0.25))
+    return replies(t).select("id", F.round(F.greatest(F.lit(-3.0), F.least(F.lit(3.0), length + think - repetition(answer))), 6).alias("reward"))
+
+
+_CALLS = "'想一想</think><tool_call>{\"name\":\"search\",\"arguments\":{\"q\":\"' || id || '\"}}</tool_call>' || CASE CAST(substr(id, 2) AS BIGINT) % 3 WHEN 0 THEN '<tool_call>{broken</tool_call>' WHEN 1 THEN chr(10) || '<tool_call>' || chr(10) || '{\"name\":\"lookup\"}' || chr(10) || '</tool_call>' ELSE '' END || '答'"
+
+
+@query("WITH " + _R + f", x AS (SELECT id, {_CALLS} AS p FROM r), y AS (SELECT id, p, regexp_extract_all(p, '(?s)<tool_call>(.*?)</tool_call>', 1) AS c FROM x) SELECT id, len(c) AS blocks, array_to_string(list_transform(list_filter(c, lambda j: json_valid(j)), lambda j: json_extract_string(j, '$.name')), '|') AS names, string_split(p, '</think>')[1] AS thought FROM y")
+def tag_json_extract(t):
+    """The tool calls of a response, those that aren't JSON left out, and the thoughts before its answer."""
+    k = F.substring("id", 2, 20).cast("long") % 3
+    call = F.concat(F.lit('想一想</think><tool_call>{"name":"search","arguments":{"q":"'), "id", F.lit('"}}</tool_call>'))
+    rest = F.when(k == 0, "<tool_call>{broken</tool_call>").when(k == 1, '\n<tool_call>\n{"name":"lookup"}\n</tool_call>').otherwise("")
+    p = F.concat(call, rest, F.lit("答"))
+    blocks = F.regexp_extract_all(p, F.lit("(?s)<tool_call>(.*?)</tool_call>"), F.lit(1))
+    names = F.array_compact(F.transform(blocks, lambda j: F.get_json_object(j, "$.name")))
+    return train(t).select("id", F.size(blocks).cast("long").alias("blocks"), F.array_join(names, "|").alias("names"), F.split(p, "</think>")[0].alias("thought"))

@@ -105,43 +105,46 @@ def strata_summary(t):
     return x.groupBy("stratum").agg(F.count(F.lit(1)).alias("cases"), F.count_if("complete").alias("complete"), F.round(F.count_if("complete") / F.count(F.lit(1)), 6).alias("rate"))
 
 
-_GRID = "WITH" + LEGS + """, g AS (SELECT dk, sk, rk FROM (SELECT unnest([10, 30]) AS dk), (SELECT unnest([10, 30]) AS sk), (SELECT unnest([4.0, 60.0]::DOUBLE[]) AS rk)),
-f AS (SELECT dk, sk, rk, query_id, chunk_id, round(sum(1.0 / (rk + rank)), 9) AS score FROM l, g WHERE rank <= CASE leg WHEN 'dense' THEN dk ELSE sk END GROUP BY 1, 2, 3, 4, 5),
-p AS (SELECT *, row_number() OVER (PARTITION BY dk, sk, rk, query_id ORDER BY score DESC, chunk_id) AS rank FROM f),""" + CASES + """, q AS (SELECT query_id, unnest(required) AS chunk_id, len(required) AS n FROM c),
-s AS (SELECT dk, sk, rk, q.query_id, any_value(n) AS n, count(*) AS hit FROM q JOIN p USING (query_id, chunk_id) WHERE rank <= 5 GROUP BY 1, 2, 3, 4),
-a AS (SELECT dk, sk, rk, count(*) FILTER (hit = n) AS complete, round(sum(hit / n), 6) AS recall_sum FROM s GROUP BY 1, 2, 3)
+_GRID = "WITH" + LEGS + """, g AS (SELECT dk, sk, rk, pk FROM (SELECT unnest([10, 30]) AS dk), (SELECT unnest([10, 30]) AS sk), (SELECT unnest([4.0, 60.0]::DOUBLE[]) AS rk), (SELECT unnest([5, 10]) AS pk)),
+f AS (SELECT dk, sk, rk, pk, query_id, chunk_id, round(sum(1.0 / (rk + rank)), 9) AS score FROM l, g WHERE rank <= CASE leg WHEN 'dense' THEN dk ELSE sk END GROUP BY 1, 2, 3, 4, 5, 6),
+p AS (SELECT *, row_number() OVER (PARTITION BY dk, sk, rk, pk, query_id ORDER BY score DESC, chunk_id) AS rank FROM f),""" + CASES + """, q AS (SELECT query_id, unnest(required) AS chunk_id, len(required) AS n FROM c),
+s AS (SELECT dk, sk, rk, pk, q.query_id, any_value(n) AS n, count(*) AS hit FROM q JOIN p USING (query_id, chunk_id) WHERE rank <= pk GROUP BY 1, 2, 3, 4, 5),
+a AS (SELECT dk, sk, rk, pk, count(*) FILTER (hit = n) AS complete, round(sum(hit / n), 6) AS recall_sum FROM s GROUP BY 1, 2, 3, 4)
 """
 
 
 def grid(t):
-    """Configurations of both cuts and the constant of the fusion, over lists that are ranked once."""
-    g = t("region").sparkSession.range(8).select(F.when(F.col("id") % 2 == 0, 10).otherwise(30).alias("dk"), F.when(F.floor(F.col("id") / 2) % 2 == 0, 10).otherwise(30).alias("sk"), F.when(F.col("id") < 4, 4.0).otherwise(60.0).alias("rk"))
+    """Sixteen configurations of both cuts, the constant of the fusion and the pool size, over lists that are ranked once."""
+    i = F.col("id")
+    of = lambda shift, low, high: F.when(F.floor(i / (1 << shift)) % 2 == 0, low).otherwise(high)
+    g = t("region").sparkSession.range(16).select(of(0, 10, 30).alias("dk"), of(1, 10, 30).alias("sk"), of(2, 4.0, 60.0).alias("rk"), of(3, 5, 10).alias("pk"))
+    by = ["dk", "sk", "rk", "pk"]
     x = legs(t).crossJoin(F.broadcast(g)).filter(F.col("rank") <= F.when(F.col("leg") == "dense", F.col("dk")).otherwise(F.col("sk")))
-    f = x.groupBy("dk", "sk", "rk", "query_id", "chunk_id").agg(F.round(F.sum(1.0 / (F.col("rk") + F.col("rank"))), 9).alias("score"))
-    order = W.partitionBy("dk", "sk", "rk", "query_id").orderBy(F.desc("score"), "chunk_id")
-    top = f.withColumn("rank", F.row_number().over(order)).filter("rank <= 5")
+    f = x.groupBy(*by, "query_id", "chunk_id").agg(F.round(F.sum(1.0 / (F.col("rk") + F.col("rank"))), 9).alias("score"))
+    order = W.partitionBy(*by, "query_id").orderBy(F.desc("score"), "chunk_id")
+    top = f.withColumn("rank", F.row_number().over(order)).filter("rank <= 10").filter("rank <= pk")
     need = cases(t).select("query_id", F.explode("required").alias("chunk_id"), F.size("required").alias("n"))
-    s = top.join(need, ["query_id", "chunk_id"]).groupBy("dk", "sk", "rk", "query_id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("hit"))
-    return s.groupBy("dk", "sk", "rk").agg(F.count_if(F.col("hit") == F.col("n")).alias("complete"), F.round(F.sum(F.col("hit") / F.col("n")), 6).alias("recall_sum"))
+    s = top.join(need, ["query_id", "chunk_id"]).groupBy(*by, "query_id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("hit"))
+    return s.groupBy(*by).agg(F.count_if(F.col("hit") == F.col("n")).alias("complete"), F.round(F.sum(F.col("hit") / F.col("n")), 6).alias("recall_sum"))
 
 
 @query(_GRID + "SELECT * FROM a")
 def parameter_grid(t):
-    return grid(t).select(F.col("dk"), F.col("sk"), F.col("rk"), "complete", "recall_sum")
+    return grid(t).select("dk", "sk", "rk", "pk", "complete", "recall_sum")
 
 
-@query(_GRID + "SELECT dk, sk, rk, complete, recall_sum FROM a ORDER BY complete DESC, recall_sum DESC, dk, sk, rk LIMIT 1")
+@query(_GRID + "SELECT dk, sk, rk, pk, complete, recall_sum FROM a ORDER BY complete DESC, recall_sum DESC, dk, sk, rk, pk LIMIT 1")
 def config_leader(t):
     """The best configuration by its tuple of metrics; ties go to the first."""
-    key = F.struct("complete", "recall_sum", (-F.col("dk")).alias("a"), (-F.col("sk")).alias("b"), (-F.col("rk")).alias("c"))
-    return grid(t).agg(F.max_by(F.struct("dk", "sk", "rk", "complete", "recall_sum"), key).alias("x")).select("x.*")
+    key = F.struct("complete", "recall_sum", (-F.col("dk")).alias("a"), (-F.col("sk")).alias("b"), (-F.col("rk")).alias("c"), (-F.col("pk")).alias("d"))
+    return grid(t).agg(F.max_by(F.struct("dk", "sk", "rk", "pk", "complete", "recall_sum"), key).alias("x")).select("x.*")
 
 
-@query(_GRID + """SELECT dk, sk, rk FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.complete >= a.complete AND b.recall_sum >= a.recall_sum AND b.dk + b.sk <= a.dk + a.sk
-AND (b.complete > a.complete OR b.recall_sum > a.recall_sum OR b.dk + b.sk < a.dk + a.sk))""")
+@query(_GRID + """SELECT dk, sk, rk, pk FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.complete >= a.complete AND b.recall_sum >= a.recall_sum AND b.dk + b.sk + b.pk <= a.dk + a.sk + a.pk
+AND (b.complete > a.complete OR b.recall_sum > a.recall_sum OR b.dk + b.sk + b.pk < a.dk + a.sk + a.pk))""")
 def pareto_front(t):
     """Configurations that no other beats: complete and recall up, list length down."""
-    return E.pareto(grid(t).withColumn("cost", F.col("dk") + F.col("sk")), ["complete", "recall_sum"], ["cost"]).select("dk", "sk", "rk")
+    return E.pareto(grid(t).withColumn("cost", F.col("dk") + F.col("sk") + F.col("pk")), ["complete", "recall_sum"], ["cost"]).select("dk", "sk", "rk", "pk")
 
 
 @query("""WITH x AS (SELECT DISTINCT ON (id) id, lower(regexp_replace(trim(variant), '[\\s\\-]+', '_', 'g')) AS variant, visible_chunk_ids AS v, required_chunk_ids AS r,
@@ -154,13 +157,27 @@ def citation_set_metrics(t):
     return y.groupBy("variant").agg(F.count(F.lit(1)).alias("records"), F.round(F.sum("hit") / F.sum("n"), 6).alias("recall"), F.round(F.sum("hit") / F.sum("m"), 6).alias("precision"), F.count_if((F.col("hit") == F.col("n")) & (F.col("m") == F.col("n"))).alias("exact"))
 
 
-@query("""WITH x AS (SELECT DISTINCT ON (id) id, pool_no, query_id, lower(regexp_replace(trim(variant), '[\\s\\-]+', '_', 'g')) AS variant, len(visible_chunk_ids) = len(required_chunk_ids) AS ok FROM sft_candidate),
-y AS (SELECT pool_no, query_id, bool_and(ok) FILTER (variant = 'clean') AS clean, bool_or(NOT ok) FILTER (variant = 'hard_negative') AS hard FROM x GROUP BY 1, 2)
-SELECT count(*) FILTER (clean) AS clean_ok, count(*) FILTER (hard) AS hard_ok, count(*) FILTER (clean AND hard) AS both_ok FROM y""")
+_PAIRS = """hq AS (SELECT DISTINCT ON (id) * FROM private_holdout WHERE answerable),
+pr AS (SELECT id, 'sufficient' AS variant, list_distinct(list_concat(retrieval_gt.required_chunk_ids, flatten(list_transform(evidence_variants, lambda v: v.ordered_chunk_ids)))) AS visible, retrieval_gt.required_chunk_ids AS required, answer_gt.summary AS summary, answer_gt.refuse AS refuse, answer_gt.cited_chunk_ids AS cited FROM hq
+  UNION ALL SELECT id, 'insufficient', v.ordered_chunk_ids, required, v.answer_gt.summary, v.answer_gt.refuse, v.answer_gt.cited_chunk_ids FROM (SELECT id, retrieval_gt.required_chunk_ids AS required, evidence_variants[1] AS v FROM hq WHERE len(evidence_variants) > 0)),
+rc AS (SELECT *, NOT contains(summary, chr(10)) AS valid, summary <> '' AS told, len(list_filter(cited, lambda c: NOT list_contains(visible, c))) = 0 AS within, len(list_distinct(list_intersect(required, cited))) AS found, len(list_distinct(required)) AS n,
+  len(list_filter(visible, lambda c: NOT list_contains(required, c))) > 0 AS tempting, len(list_filter(cited, lambda c: list_contains(visible, c) AND NOT list_contains(required, c))) > 0 AS tempted FROM pr),
+jd AS (SELECT *, variant = 'sufficient' AND valid AND NOT refuse AND told AND within AND found = n AND NOT tempted AS success, variant = 'insufficient' AND valid AND refuse AS refused, variant = 'insufficient' AND valid AND refuse AND NOT told AND len(cited) = 0 AS shaped FROM rc),
+pp AS (SELECT id, bool_or(success) AS success, bool_or(shaped) AS shaped FROM jd GROUP BY 1 HAVING count(*) = 2)"""
+
+
+@query("WITH " + _PAIRS + """ SELECT round(avg(valid::INT), 6) AS protocol_valid, round(avg(success::INT) FILTER (variant = 'sufficient'), 6) AS answer_success, coalesce(round(avg(refused::INT) FILTER (variant = 'insufficient'), 6), 0) AS refusal_correct,
+(SELECT coalesce(round(avg((success AND shaped)::INT), 6), 0) FROM pp) AS paired_success, round(sum(found) FILTER (variant = 'sufficient') / sum(n) FILTER (variant = 'sufficient'), 6) AS citation_recall, round(avg((NOT within)::INT), 6) AS invalid_citation,
+coalesce(round(avg(tempted::INT) FILTER (variant = 'sufficient' AND tempting), 6), 0) AS hard_negative_citation, coalesce(round(avg(shaped::INT) FILTER (variant = 'insufficient'), 6), 0) AS refusal_shape FROM jd""")
 def pair_metrics(t):
-    x = one_per_key(t("sft_candidate"), "id").select("pool_no", "query_id", F.lower(F.regexp_replace(F.trim("variant"), r"[\s\-]+", "_")).alias("variant"), (F.size("visible_chunk_ids") == F.size("required_chunk_ids")).alias("ok"))
-    y = x.groupBy("pool_no", "query_id").agg(F.bool_and(F.when(F.col("variant") == "clean", F.col("ok"))).alias("clean"), F.bool_or(F.when(F.col("variant") == "hard_negative", ~F.col("ok"))).alias("hard"))
-    return y.agg(F.count_if("clean").alias("clean_ok"), F.count_if("hard").alias("hard_ok"), F.count_if(F.col("clean") & F.col("hard")).alias("both_ok"))
+    """The eight metrics of answers to sufficient evidence and to the first insufficient variant of each question."""
+    h = one_per_key(t("private_holdout"), "id").filter("answerable")
+    req = F.col("retrieval_gt.required_chunk_ids")
+    every = F.array_distinct(F.concat(req, F.flatten("evidence_variants.ordered_chunk_ids")))
+    part = lambda name, visible, a: F.struct(F.lit(name).alias("variant"), visible.alias("visible"), a["summary"].alias("summary"), a["refuse"].alias("refuse"), a["cited_chunk_ids"].alias("cited"))
+    v = F.get("evidence_variants", F.lit(0))
+    both = F.array_compact(F.array(part("sufficient", every, F.col("answer_gt")), F.when(v.isNotNull(), part("insufficient", v["ordered_chunk_ids"], v["answer_gt"]))))
+    return E.pair_metrics(h.select("id", req.alias("required"), F.explode(both).alias("r")).select("id", "required", "r.*"), "id")
 
 
 @query("SELECT coalesce(event_type, 'overall') AS source, count(*) AS n, round(sum(value * user_id) / sum(user_id), 4) AS weighted, round(exp(least(sum(value * user_id) / sum(user_id) / 10, 80)), 3) AS perplexity FROM events GROUP BY ROLLUP (event_type)")

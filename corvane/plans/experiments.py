@@ -85,30 +85,6 @@ def context_sweep(t):
     return five.select(F.explode(each).alias("x")).groupBy("x.budget").agg(F.sum("x.kept").alias("kept"), F.count(F.lit(1)).alias("queries"))
 
 
-@query("WITH" + FUSED + ", " + """e AS (SELECT DISTINCT query_id, query_type FROM evaluation_case), u AS (SELECT DISTINCT ON (unit_id) unit_id, parent_chunk_id FROM evidence_unit),
-s AS (SELECT query_type, chunk_id, round(sum(1.0 / (4.0 + rank)), 6) AS score FROM p JOIN e USING (query_id) GROUP BY 1, 2), n AS (SELECT parent_chunk_id, count(*) AS units FROM u GROUP BY 1)
-SELECT query_type, chunk_id, score, coalesce(units, 0) AS units FROM s LEFT JOIN n ON n.parent_chunk_id = s.chunk_id""")
-def multi_query_parent_rrf(t):
-    """Parents over the lists of all questions of a kind; the number of units doesn't change a score."""
-    e = one_per_key(t("evaluation_case"), "query_id").select("query_id", "query_type")
-    s = pool(t).select("query_id", "chunk_id", "rank").join(e, "query_id").groupBy("query_type", "chunk_id").agg(F.round(F.sum(1.0 / (4 + F.col("rank"))), 6).alias("score"))
-    n = one_per_key(t("evidence_unit"), "unit_id").groupBy(F.col("parent_chunk_id").alias("chunk_id")).agg(F.count(F.lit(1)).alias("units"))
-    return s.join(n, "chunk_id", "left").na.fill(0, ["units"]).select("query_type", "chunk_id", "score", "units")
-
-
-@query("WITH " + _R + """SELECT v, count(*) AS n, count(*) FILTER (len(citations) = len(required_chunk_ids)) AS exact, CASE WHEN count(*) FILTER (len(visible_chunk_ids) > len(required_chunk_ids)) > 0
-THEN round(count(*) FILTER (len(visible_chunk_ids) > len(required_chunk_ids) AND len(citations) = len(required_chunk_ids)) / count(*) FILTER (len(visible_chunk_ids) > len(required_chunk_ids)), 6) END AS exact_of_hard FROM r GROUP BY 1""")
-def answer_summary_metrics(t):
-    r = train(t).withColumn("v", variant())
-    exact, hard = F.size("citations") == F.size("required_chunk_ids"), F.size("visible_chunk_ids") > F.size("required_chunk_ids")
-    return r.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.count_if(exact).alias("exact"), F.round(F.try_divide(F.count_if(hard & exact), F.count_if(hard)), 6).alias("exact_of_hard"))
-
-
-@query("WITH " + _P + "SELECT plan_group, subset_seed, count(*) AS trials, min(clean_count) AS low, max(clean_count) AS high, count(DISTINCT pool_no) = count(*) AS own_pools, min(plan_id) AS first_id, max(plan_id) AS last_id FROM pl GROUP BY 1, 2")
-def trial_metric_rollup(t):
-    return plans(t).groupBy("plan_group", "subset_seed").agg(F.count(F.lit(1)).alias("trials"), F.min("clean_count").alias("low"), F.max("clean_count").alias("high"), (F.count_distinct("pool_no") == F.count(F.lit(1))).alias("own_pools"), F.min("plan_id").alias("first_id"), F.max("plan_id").alias("last_id"))
-
-
 @query("WITH " + _H + "SELECT difficulty, count(*) AS n, sum(len(evidence_variants))::BIGINT AS variants, count(*) FILTER (answerable) AS answerable, CASE WHEN sum(len(evidence_variants)) > 0 THEN round(count(*) FILTER (answerable) / sum(len(evidence_variants)), 6) END AS ratio FROM hq GROUP BY 1")
 def review_metric_summary(t):
     n = F.sum(F.size("evidence_variants"))
@@ -260,3 +236,76 @@ def greedy_matched_controls(t):
     """
     r = train(t).select("pool_no", "id", variant().alias("v"), F.length("query_original").alias("n")).filter("v in ('clean', 'hard_negative') and n is not null")
     return r.groupBy("pool_no").applyInPandas(match_nearest, "id string, control string, distance int")
+
+
+@query("WITH " + _R + """, x AS (SELECT v, json_valid(conversations[3].content) AS valid, list_distinct(required_chunk_ids) AS req, list_distinct(list_filter(list_transform(citations, lambda c: visible_chunk_ids[CAST(substr(c, 2) AS INTEGER)]), lambda c: c IS NOT NULL)) AS cited, list_filter(visible_chunk_ids, lambda c: NOT list_contains(required_chunk_ids, c)) AS hard FROM r),
+y AS (SELECT *, len(list_intersect(req, cited)) AS found, len(list_intersect(hard, cited)) AS tempted FROM x)
+SELECT v, count(*) AS records, count(*) FILTER (valid) AS protocol_valid, count(*) FILTER (NOT valid) AS invalid, round(avg(CASE WHEN len(req) > 0 THEN found / len(req) ELSE 0 END), 6) AS recall, round(avg(CASE WHEN len(cited) > 0 THEN found / len(cited) ELSE 0 END), 6) AS precision,
+round(avg((found = len(req) AND len(cited) = len(req))::INT), 6) AS exact_set, sum(tempted)::BIGINT AS hard_citations, coalesce(round(count(*) FILTER (tempted > 0) / nullif(count(*) FILTER (len(hard) > 0), 0), 6), 0) AS hard_rate, sum(greatest(len(cited) - len(req), 0))::BIGINT AS over_citations FROM y GROUP BY 1""")
+def answer_summary_metrics(t):
+    """Records, protocol, citations and hard negatives cited, by variant; rates over records that have any."""
+    cited = F.array_distinct(F.array_compact(F.transform("citations", lambda c: F.get("visible_chunk_ids", F.substring(c, 2, 9).cast("int") - 1))))
+    x = train(t).select(variant().alias("v"), F.try_parse_json(F.col("conversations")[2]["content"]).isNotNull().alias("valid"), F.array_distinct("required_chunk_ids").alias("req"), cited.alias("cited"), F.array_except("visible_chunk_ids", "required_chunk_ids").alias("hard"))
+    y = x.withColumns({"found": F.size(F.array_intersect("req", "cited")), "tempted": F.size(F.array_intersect("hard", "cited"))})
+    part = lambda of: F.coalesce(F.try_divide(F.col("found"), F.size(of)), F.lit(0.0))
+    exact = (F.col("found") == F.size("req")) & (F.size("cited") == F.size("req"))
+    return y.groupBy("v").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if("valid").alias("protocol_valid"), F.count_if(~F.col("valid")).alias("invalid"), F.round(F.avg(part("req")), 6).alias("recall"), F.round(F.avg(part("cited")), 6).alias("precision"), F.round(F.avg(exact.cast("int")), 6).alias("exact_set"),
+        F.sum("tempted").alias("hard_citations"), F.coalesce(F.round(F.try_divide(F.count_if(F.col("tempted") > 0), F.count_if(F.size("hard") > 0)), 6), F.lit(0.0)).alias("hard_rate"), F.sum(F.greatest(F.size("cited") - F.size("req"), F.lit(0))).alias("over_citations"),
+    )
+
+
+@query("WITH " + _P + """, x AS (SELECT plan_group, pool_no % 2 AS phase, subset_seed, unnest(['clean', 'hard', 'paired']) AS metric, unnest([clean_count, coalesce(hard_negative_count, 0), paired_clean_count])::DOUBLE AS v, plan_id FROM pl),
+s AS (SELECT plan_group, phase, metric, subset_seed, avg(v) AS m, count(*) AS n FROM x GROUP BY 1, 2, 3, 4), g AS (SELECT plan_group, phase, metric, round(avg(v), 6) AS mean, min(v) AS low, max(v) AS high FROM x GROUP BY 1, 2, 3)
+SELECT g.*, by_seed, consistent FROM g JOIN (SELECT plan_group, phase, metric, string_agg(subset_seed || ':' || CAST(round(m, 2) AS DECIMAL(12, 2)), '|' ORDER BY subset_seed) AS by_seed, count(DISTINCT n) = 1 AS consistent FROM s GROUP BY 1, 2, 3) b USING (plan_group, phase, metric)""")
+def trial_metric_rollup(t):
+    """Mean, least and most of each metric by group and phase, the means by seed, and whether all seeds have as many trials."""
+    each = F.array(*[F.struct(F.lit(n).alias("metric"), c.cast("double").alias("v")) for n, c in (("clean", F.col("clean_count")), ("hard", F.coalesce("hard_negative_count", F.lit(0))), ("paired", F.col("paired_clean_count")))])
+    x = plans(t).select("plan_group", (F.col("pool_no") % 2).alias("phase"), "subset_seed", F.explode(each).alias("x")).select("plan_group", "phase", "subset_seed", "x.*")
+    s = x.groupBy("plan_group", "phase", "metric", "subset_seed").agg(F.sum("v").alias("sum"), F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    seeds = F.transform(F.array_sort(F.collect_list(F.struct("subset_seed", (F.col("sum") / F.col("n")).alias("m")))), lambda p: F.concat(p["subset_seed"].cast("string"), F.lit(":"), F.round(p["m"], 2).cast("decimal(12,2)").cast("string")))
+    return s.groupBy("plan_group", "phase", "metric").agg(F.round(F.sum("sum") / F.sum("n"), 6).alias("mean"), F.min("low").alias("low"), F.max("high").alias("high"), F.array_join(seeds, "|").alias("by_seed"), (F.count_distinct("n") == 1).alias("consistent"))
+
+
+_UNITS = "u AS (SELECT DISTINCT ON (unit_id) unit_id, parent_chunk_id, text, start_char FROM evidence_unit)"
+_UNIT_HITS = FUSED + ", " + _UNITS + """, cq AS (SELECT DISTINCT query_id, query_type, list_distinct(list_transform(range(1, length(query_original)), lambda i: substr(query_original, i, 2))) AS q FROM evaluation_case),
+uh AS (SELECT p.query_id, cq.query_type, u.parent_chunk_id, u.unit_id, p.rank, u.start_char, round(len(list_filter(q, lambda x: contains(u.text, x))) / len(q), 6) AS score FROM p JOIN u ON u.parent_chunk_id = p.chunk_id JOIN cq ON cq.query_id = p.query_id),
+ur AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_chunk_id ORDER BY score DESC, start_char, unit_id) AS n FROM uh)"""
+
+
+def unit_hits(t):
+    """The units of the pool's parents with their score for the question, and their place within the parent."""
+    from corvane.operators.scoring import coverage
+
+    q = one_per_key(t("evaluation_case"), "query_id").select("query_id", "query_type", "query_original")
+    u = one_per_key(t("evidence_unit"), "unit_id").select("unit_id", "parent_chunk_id", "text", "start_char")
+    x = pool(t).select("query_id", F.col("chunk_id").alias("parent_chunk_id"), "rank").join(q, "query_id").join(u, "parent_chunk_id").withColumn("score", F.round(coverage(F.col("query_original"), F.col("text")), 6))
+    order = W.partitionBy("query_id", "parent_chunk_id").orderBy(F.desc("score"), "start_char", "unit_id")
+    return x.withColumn("n", F.row_number().over(order)).select("query_id", "query_type", "parent_chunk_id", "unit_id", "rank", "start_char", "score", "n")
+
+
+@query("WITH" + _UNIT_HITS + " SELECT query_id, parent_chunk_id, unit_id, score, n AS place FROM ur WHERE n <= 2")
+def unit_seeds(t):
+    """The two units of each parent that answer best: by score, then by place in the article."""
+    return unit_hits(t).filter("n <= 2").select("query_id", "parent_chunk_id", "unit_id", "score", F.col("n").cast("long").alias("place"))
+
+
+@query("WITH" + _UNIT_HITS + " SELECT query_id, parent_chunk_id, min(rank) AS rank, max(score) AS score, count(*) AS n_units, string_agg(unit_id, '|' ORDER BY n) AS units FROM ur WHERE n <= 3 GROUP BY 1, 2")
+def parent_rollup(t):
+    """The pool's parents with up to three of their units; rank and score are those of the best, with no bonus for many units."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "unit_id"))), lambda s: s["unit_id"])
+    x = unit_hits(t).filter("n <= 3").groupBy("query_id", "parent_chunk_id")
+    return x.agg(F.min("rank").cast("long").alias("rank"), F.max("score").alias("score"), F.count(F.lit(1)).alias("n_units"), F.array_join(listed, "|").alias("units"))
+
+
+@query("WITH" + _UNIT_HITS + """, g AS (SELECT query_type, parent_chunk_id, round(sum(DISTINCT_RR), 6) AS score FROM (SELECT query_type, parent_chunk_id, query_id, 1.0 / (4.0 + min(rank)) AS DISTINCT_RR FROM ur GROUP BY 1, 2, 3) GROUP BY 1, 2),
+f AS (SELECT query_type, parent_chunk_id, unit_id, min({'q': query_id, 'n': n}) AS seen FROM ur WHERE n <= 3 GROUP BY 1, 2, 3), o AS (SELECT *, row_number() OVER (PARTITION BY query_type, parent_chunk_id ORDER BY seen) AS k FROM f)
+SELECT g.query_type, g.parent_chunk_id, g.score, string_agg(unit_id, '|' ORDER BY k) AS units FROM g JOIN o ON o.query_type = g.query_type AND o.parent_chunk_id = g.parent_chunk_id WHERE k <= 3 GROUP BY 1, 2, 3""".replace("f AS (SELECT query_type", "fs AS (SELECT query_type").replace("FROM f)", "FROM fs)"))
+def multi_query_parent_rrf(t):
+    """Parents over the lists of all questions of a kind, with up to three distinct units in the order in which they were first seen."""
+    x = unit_hits(t)
+    g = x.groupBy("query_type", "parent_chunk_id", "query_id").agg((1.0 / (4.0 + F.min("rank"))).alias("rr")).groupBy("query_type", "parent_chunk_id").agg(F.round(F.sum("rr"), 6).alias("score"))
+    f = x.filter("n <= 3").groupBy("query_type", "parent_chunk_id", "unit_id").agg(F.min(F.struct("query_id", "n")).alias("seen"))
+    o = f.withColumn("k", F.row_number().over(W.partitionBy("query_type", "parent_chunk_id").orderBy("seen"))).filter("k <= 3")
+    units = o.groupBy("query_type", "parent_chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "unit_id"))), lambda s: s["unit_id"]), "|").alias("units"))
+    return g.join(units, ["query_type", "parent_chunk_id"]).select("query_type", "parent_chunk_id", "score", "units")

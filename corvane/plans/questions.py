@@ -163,3 +163,24 @@ def routing_accuracy(t):
     """The expected action of each evaluation case against the route its question takes."""
     want = one_per_key(t("evaluation_case"), "query_id").select("expected_action", F.concat(F.lit("c:"), "query_id").alias("id"))
     return want.join(route_cascade(t), "id").groupBy("expected_action", "route").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_Q} SELECT id, nullif(regexp_extract(t, '《([^《》]+)》第({R.NUMERAL})条', 1), '') AS law, nullif(regexp_extract(t, '《([^《》]+)》第({R.NUMERAL})条', 2), '') AS no FROM qc WHERE q IS NOT NULL")
+def citation_extract(t):
+    """The first citation of each question, 《law》第n条."""
+    text, form = R.compact(F.col("q")), f"《([^《》]+)》第({R.NUMERAL})条"
+    return questions(t).filter("q is not null").select("id", F.nullif(F.regexp_extract(text, form, 1), F.lit("")).alias("law"), F.nullif(F.regexp_extract(text, form, 2), F.lit("")).alias("no"))
+
+
+@query("WITH" + ARTICLES + ", n AS (SELECT law_name, count(*) AS articles FROM a WHERE law_name IS NOT NULL GROUP BY 1), g AS (SELECT DISTINCT unnest(gt_articles).law_name AS law_name FROM evaluation_case), q AS (SELECT law_name, unnest([1, 2, 997, 998, 999]) AS no FROM g) "
+       + "SELECT q.law_name, q.no, CASE WHEN n.law_name IS NULL THEN 'no_law' WHEN EXISTS (SELECT 1 FROM a WHERE a.law_name = q.law_name AND a.article_no = q.no::VARCHAR) THEN 'exists' ELSE '《' || q.law_name || '》第' || q.no || '条不存在，《' || q.law_name || '》共' || n.articles || '条，请您核实条号是否正确。' END AS answer FROM q LEFT JOIN n ON n.law_name = q.law_name")
+def missing_article(t):
+    """Numbers asked of the laws that cases refer to: where there is no such article, a refusal that tells how many there are."""
+    a = articles(t).filter("law_name is not null")
+    n = a.groupBy("law_name").agg(F.count(F.lit(1)).alias("articles"))
+    g = t("evaluation_case").select(F.explode("gt_articles.law_name").alias("law_name")).distinct()
+    q = g.select("law_name", F.explode(F.array(*[F.lit(k) for k in (1, 2, 997, 998, 999)])).alias("no"))
+    there = a.select("law_name", F.col("article_no").try_cast("int").alias("no")).filter("no is not null").distinct().withColumn("there", F.lit(True))
+    x = q.join(n, "law_name", "left").join(there, ["law_name", "no"], "left")
+    cite = F.concat(F.lit("《"), "law_name", F.lit("》第"), F.col("no").cast("string"), F.lit("条不存在，《"), "law_name", F.lit("》共"), F.col("articles").cast("string"), F.lit("条，请您核实条号是否正确。"))
+    return x.select("law_name", "no", F.when(F.col("articles").isNull(), "no_law").when(F.col("there"), "exists").otherwise(cite).alias("answer"))

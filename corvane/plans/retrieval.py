@@ -133,25 +133,6 @@ def units(t) -> DataFrame:
     return one_per_key(t("evidence_unit").drop("recorded_at", "ingested_at"), "unit_id")
 
 
-@query("WITH " + _U + """, s AS (SELECT unit_id, parent_chunk_id, start_char, length(text) AS score FROM u)
-SELECT parent_chunk_id, unit_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY parent_chunk_id ORDER BY score DESC, start_char, unit_id) AS rank FROM s) WHERE rank <= 2""")
-def unit_seeds(t):
-    order = W.partitionBy("parent_chunk_id").orderBy(F.desc(F.length("text")), "start_char", "unit_id")
-    return units(t).withColumn("rank", F.row_number().over(order).cast("long")).filter("rank <= 2").select("parent_chunk_id", "unit_id", "rank")
-
-
-@query("WITH" + FUSED + ", " + _U + """, x AS (SELECT p.query_id, u.parent_chunk_id, u.unit_id, p.rank, u.unit_index,
-  row_number() OVER (PARTITION BY p.query_id, u.parent_chunk_id ORDER BY length(u.text) DESC, u.start_char, u.unit_id) AS n
-  FROM p JOIN u ON u.parent_chunk_id = p.chunk_id)
-SELECT query_id, parent_chunk_id, min(rank) AS rank, count(*) AS n_units, string_agg(unit_id, '|' ORDER BY n) AS units FROM x WHERE n <= 3 GROUP BY 1, 2""")
-def parent_rollup(t):
-    """The pool's parents with up to three of their units; a parent's rank has no bonus for many units."""
-    order = W.partitionBy("query_id", "parent_chunk_id").orderBy(F.desc(F.length("text")), "start_char", "unit_id")
-    x = pool(t).select("query_id", F.col("chunk_id").alias("parent_chunk_id"), "rank").join(units(t), "parent_chunk_id").withColumn("n", F.row_number().over(order)).filter("n <= 3")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "unit_id"))), lambda s: s["unit_id"])
-    return x.groupBy("query_id", "parent_chunk_id").agg(F.min("rank").cast("long").alias("rank"), F.count(F.lit(1)).alias("n_units"), F.array_join(listed, "|").alias("units"))
-
-
 def reranked(t) -> DataFrame:
     """The pool in the order of the reranker: the best window of each article by the share of the question's pairs of signs."""
     q = one_per_key(t("evaluation_case"), "query_id").select("query_id", F.col("query_original").alias("text"))
