@@ -87,3 +87,21 @@ def pair_metrics(records: DataFrame, key: str) -> DataFrame:
     pairs = x.groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.bool_or("success").alias("a"), F.bool_or("shaped").alias("b")).filter("k = 2")
     paired = pairs.agg(F.coalesce(F.round(F.try_divide(F.count_if(F.col("a") & F.col("b")), F.count(F.lit(1))), 6), F.lit(0.0)).alias("paired_success"))
     return one.crossJoin(F.broadcast(paired))  # one row each
+
+
+def exact_percentile(df: DataFrame, group: str, value: str, fraction: float, width: float) -> DataFrame:
+    """group and the percentile of its values, interpolated between neighbours; null and NaN values don't count.
+
+    Values are counted by buckets of the given width first; only the one or two buckets that hold the wanted ranks are put
+    in order, so no task sees all values of a group.
+    """
+    x = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).withColumn("b", F.floor(F.col("v") / width))
+    counts = x.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"))
+    of = W.partitionBy("g")
+    at = F.lit(fraction) * (F.sum("n").over(of) - 1)
+    counts = counts.withColumn("upto", F.sum("n").over(of.orderBy("b"))).withColumn("low", F.floor(at)).withColumn("high", F.ceil(at)).withColumn("part", at - F.floor(at))
+    counts = counts.withColumn("before", F.col("upto") - F.col("n")).filter("low < upto and high >= before")
+    ranked = x.join(counts.select("g", "b", "before", "low", "high", "part"), ["g", "b"]).withColumn("k", F.col("before") + F.row_number().over(W.partitionBy("g", "b").orderBy("v")) - 1)
+    pick = lambda c: F.max(F.when(F.col("k") == F.col(c), F.col("v")))
+    out = ranked.filter("k = low or k = high").groupBy("g").agg(pick("low").alias("a"), pick("high").alias("z"), F.first("part").alias("part"))
+    return out.select(F.col("g").alias(group), (F.col("a") + (F.col("z") - F.col("a")) * F.col("part")).alias("percentile"))

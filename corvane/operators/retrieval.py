@@ -36,7 +36,11 @@ def cut(scored: DataFrame, k: int, keys: list[str], item: str = "chunk_id") -> D
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+#: Vectors of a task that are worked on together; the queries are read once for each such block.
+VECTOR_BLOCK = 20_000
+
+
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
     """Exact inner-product search: query_id, vec_id, score (5 decimals) and rank of the k best vectors for each query.
 
     vectors, queries: vec_id, embedding. The queries lie in the shared folder and are taken block by block in every task,
@@ -48,12 +52,19 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 20
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        for batch in batches:
-            own = batch.filter(batch.column(1).is_valid())
-            if not own.num_rows:
-                continue
+        def blocks() -> Iterator[pa.Table]:
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                held.append(batch.filter(batch.column(1).is_valid()))
+                if sum(b.num_rows for b in held) >= VECTOR_BLOCK:
+                    yield pa.Table.from_batches(held)
+                    held = []
+            if any(b.num_rows for b in held):
+                yield pa.Table.from_batches(held)
+
+        for own in blocks():
             ids = own.column(0).to_numpy()
-            m = np.array(own.column(1).flatten(), np.float64).reshape(len(ids), -1)
+            m = np.concatenate([np.array(c.flatten(), np.float64) for c in own.column(1).chunks]).reshape(len(ids), -1)
             for uri in path:
                 system, name = fs.FileSystem.from_uri(uri)
                 for q in pq.ParquetFile(system.open_input_file(name)).iter_batches(block):

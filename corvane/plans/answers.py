@@ -161,11 +161,23 @@ def cross_dept_pick(t):
     return x.groupBy("query_id").agg(F.min_by("chunk_id", "rank").alias("first_id"), F.min_by(F.col("chunk_id"), F.when(F.col("department") != F.col("d1"), F.col("rank"))).alias("other_id"))
 
 
-@query("WITH " + _H + """SELECT id, length(query_formal) <= greatest(160, 2 * length(query_original)) AS short, len(list_intersect(list_distinct(string_split(query_original, '')), list_distinct(string_split(query_formal, '')))) >= least(4, greatest(2, length(query_original) // 10)) AS related FROM hq WHERE query_formal IS NOT NULL AND query_original IS NOT NULL""")
+# Phrases that ask for the law of another time.
+OTHER_TIME = ("历史版本", "废止前", "失效前", "未来施行", "以前怎么", "当时怎么")
+
+
+@query("WITH " + _H + """, x AS (SELECT id, regexp_replace(query_original, '\\s+', '', 'g') AS o, regexp_replace(CASE WHEN CAST(substr(id, 2) AS BIGINT) % 10 = 0 THEN '废止前' || query_formal WHEN CAST(substr(id, 2) AS BIGINT) % 10 = 1 THEN repeat(query_formal, 5) WHEN CAST(substr(id, 2) AS BIGINT) % 10 = 2 THEN 'abc' ELSE query_formal END, '\\s+', '', 'g') AS c FROM hq)
+SELECT id, CASE WHEN c IS NULL OR c = '' THEN 'empty' WHEN length(c) > greatest(160, 2 * length(o)) THEN 'too_long' WHEN len(list_filter(['""" + "', '".join(OTHER_TIME) + """'], lambda m: contains(c, m) AND NOT contains(o, m))) > 0 THEN 'other_time'
+WHEN len(list_intersect(list_distinct(string_split(o, '')), list_distinct(string_split(c, '')))) < least(4, greatest(2, length(o) // 10)) THEN 'unrelated' ELSE 'valid' END AS verdict FROM x WHERE o IS NOT NULL""")
 def query_boundary(t):
-    h = holdout(t).filter("query_formal is not null and query_original is not null")
-    shared = F.size(F.array_intersect(F.split("query_original", ""), F.split("query_formal", "")))
-    return h.select("id", (F.length("query_formal") <= F.greatest(F.lit(160), 2 * F.length("query_original"))).alias("short"), (shared >= F.least(F.lit(4), F.greatest(F.lit(2), F.floor(F.length("query_original") / 10)))).alias("related"))
+    """Whether a supplementary search stays within its question: not much longer, about no other time, sharing signs with it.
+    Some are changed so that they don't."""
+    k, f = F.substring("id", 2, 20).cast("long") % 10, F.col("query_formal")
+    made = F.when(k == 0, F.concat(F.lit("废止前"), f)).when(k == 1, F.repeat(f, 5)).when(k == 2, "abc").otherwise(f)
+    x = holdout(t).filter("query_original is not null").select("id", F.regexp_replace("query_original", r"\s+", "").alias("o"), F.regexp_replace(made, r"\s+", "").alias("c"))
+    other = F.exists(F.array(*[F.lit(m) for m in OTHER_TIME]), lambda m: F.contains(F.col("c"), m) & ~F.contains(F.col("o"), m))
+    shared = F.size(F.array_intersect(F.split("o", ""), F.split("c", "")))
+    verdict = F.when(F.col("c").isNull() | (F.col("c") == ""), "empty").when(F.length("c") > F.greatest(F.lit(160), 2 * F.length("o")), "too_long").when(other, "other_time")
+    return x.select("id", verdict.when(shared < F.least(F.lit(4), F.greatest(F.lit(2), F.floor(F.length("o") / 10))), "unrelated").otherwise("valid").alias("verdict"))
 
 
 _TAIL = "text || repeat(right(text, CAST(2 + doc_id % 9 AS INTEGER)), CAST(doc_id % 4 AS INTEGER))"

@@ -98,4 +98,8 @@ def asof_purchase(t):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 4) AS median, count(DISTINCT user_id) AS users, json_extract_string(any_value(props), '$.k') IS NOT NULL AS keyed FROM events GROUP BY 1")
 def event_profile(t):
-    return t("events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 4).alias("median"), F.count_distinct("user_id").alias("users"), F.get_json_object(F.any_value("props"), "$.k").isNotNull().alias("keyed"))
+    from corvane.operators.evaluation import exact_percentile
+
+    e = t("events")
+    facts = e.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.get_json_object(F.any_value("props"), "$.k").isNotNull().alias("keyed"))
+    return facts.join(exact_percentile(e, "event_type", "value", 0.5, 1.0), "event_type").select("event_type", F.round("percentile", 4).alias("median"), "users", "keyed")

@@ -163,17 +163,35 @@ def rank_fusion_weights(t):
     return s.withColumn("place", F.row_number().over(order).cast("long")).filter("place <= 5").select("w", "query_id", "chunk_id", "score", "place")
 
 
-@query("WITH" + RERANKED + """, k AS (SELECT query_id, max(lexical) FILTER (rerank = 5) AS s5, max(rank) FILTER (rerank = 5) AS r5 FROM rr GROUP BY 1),
-ch AS (SELECT rr.query_id, rr.chunk_id, row_number() OVER (PARTITION BY rr.query_id ORDER BY rr.rank, rr.rerank, rr.chunk_id) AS n
-       FROM rr JOIN k USING (query_id) WHERE rerank BETWEEN 6 AND 10 AND s5 - lexical <= 0.05 + 1e-12 AND rank < r5)
-SELECT rr.query_id, coalesce(ch.chunk_id, rr.chunk_id) AS fifth, ch.chunk_id IS NOT NULL AS changed FROM rr LEFT JOIN ch ON ch.query_id = rr.query_id AND ch.n = 1 WHERE rerank = 5""")
+# The policies for the last places: weights of the reranker in a fusion, and gaps within which the fifth yields.
+FUSED_AT, GAPS = (1.0, 0.975, 0.95, 0.9), (0.005, 0.01, 0.02, 0.05)
+
+
+@query("WITH" + RERANKED + f""", wt AS (SELECT unnest({list(FUSED_AT)}::DOUBLE[]) AS value), gp AS (SELECT unnest({list(GAPS)}::DOUBLE[]) AS value),
+fu AS (SELECT 'fusion' AS kind, value, query_id, chunk_id, row_number() OVER (PARTITION BY value, query_id ORDER BY round(value / (60.0 + rerank) + (1 - value) / (60.0 + rank), 9) DESC, rerank, rank, chunk_id) AS place FROM rr, wt),
+k5 AS (SELECT query_id, lexical AS s5, rank AS r5 FROM rr WHERE rerank = 5),
+ch AS (SELECT value, query_id, min({{'r': rank, 'k': rerank}}).k AS up FROM rr JOIN k5 USING (query_id), gp WHERE rerank BETWEEN 6 AND 10 AND s5 - lexical <= value + 1e-12 AND rank < r5 GROUP BY 1, 2),
+bo AS (SELECT 'boundary' AS kind, gp.value, rr.query_id, rr.chunk_id, CASE WHEN rerank = up THEN 5 WHEN up IS NOT NULL AND rerank BETWEEN 5 AND up - 1 THEN rerank + 1 ELSE rerank END AS place FROM rr CROSS JOIN gp LEFT JOIN ch ON ch.query_id = rr.query_id AND ch.value = gp.value),
+al AS (SELECT * FROM fu UNION ALL SELECT * FROM bo) SELECT kind, value, query_id, string_agg(chunk_id, '|' ORDER BY place) AS top FROM al WHERE place <= 5 GROUP BY 1, 2, 3""")
 def boundary_policy(t):
-    """The fifth place goes to one of the next five if its score is close enough and its pool rank better."""
-    rr = reranked(t).filter("rerank between 5 and 10")
-    fifth = rr.filter("rerank = 5").select("query_id", F.col("chunk_id").alias("c5"), F.col("lexical").alias("s5"), F.col("rank").alias("r5"))
-    rival = rr.filter("rerank > 5").join(fifth, "query_id").filter("s5 - lexical <= 0.05 + 1e-12 and rank < r5")
-    best = rival.groupBy("query_id").agg(F.min(F.struct("rank", "rerank", "chunk_id"))["chunk_id"].alias("rival"))
-    return fifth.join(best, "query_id", "left").select("query_id", F.coalesce("rival", "c5").alias("fifth"), F.col("rival").isNotNull().alias("changed"))
+    """The best five under each of eight policies: fusion with the pool's order at four weights (1: the reranker alone), and
+    four gaps within which the fifth gives way to the one of the next five that stands highest in the pool."""
+    rr = reranked(t)
+    w = F.explode(F.array(*[F.lit(x) for x in FUSED_AT])).alias("value")
+    mixed = F.round(F.col("value") / (60.0 + F.col("rerank")) + (1 - F.col("value")) / (60.0 + F.col("rank")), 9)
+    order = W.partitionBy("value", "query_id").orderBy(F.desc("mixed"), "rerank", "rank", "chunk_id")
+    fusion = rr.select("*", w).withColumn("mixed", mixed).withColumn("place", F.row_number().over(order)).filter("place <= 5").select(F.lit("fusion").alias("kind"), "value", "query_id", "chunk_id", "place")
+    ten = rr.filter("rerank <= 10").select("*", F.explode(F.array(*[F.lit(x) for x in GAPS])).alias("value"))
+    of = W.partitionBy("value", "query_id")
+    fifth = lambda c: F.max(F.when(F.col("rerank") == 5, F.col(c))).over(of)
+    ten = ten.withColumns({"s5": fifth("lexical"), "r5": fifth("rank")})
+    rival = (F.col("rerank") > 5) & (F.col("s5") - F.col("lexical") <= F.col("value") + 1e-12) & (F.col("rank") < F.col("r5"))
+    up = F.min(F.when(rival, F.struct("rank", "rerank"))).over(of)["rerank"]
+    k = F.col("rerank")
+    ten = ten.withColumn("up", up).withColumn("place", F.when(k == F.col("up"), 5).when((k >= 5) & (k < F.col("up")), k + 1).otherwise(k))
+    every = fusion.unionByName(ten.filter("place <= 5").select(F.lit("boundary").alias("kind"), "value", "query_id", "chunk_id", "place"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x["chunk_id"])
+    return every.groupBy("kind", "value", "query_id").agg(F.array_join(listed, "|").alias("top"))
 
 
 @query("WITH" + RERANKED + """, x AS (SELECT query_id, chunk_id, rerank, CASE WHEN rerank <= 2 THEN 0 WHEN rerank > 5 AND rank <= 5 THEN 1 ELSE 2 END AS part FROM rr),

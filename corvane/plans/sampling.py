@@ -23,9 +23,13 @@ def sha_order_sample(t):
     return S.first_by_hash(records(t).filter("v is not null").select("id", "v"), ["v"], "id", "42", 100).select("id", "v", F.col("place").cast("long").alias("place"))
 
 
-@query("WITH " + _R + "SELECT id, v, len(required_chunk_ids) AS n_required, len(visible_chunk_ids) AS n_visible, length(query_original) // 16 AS bucket FROM r")
+@query("WITH " + _R + """SELECT id, v, len(required_chunk_ids) AS n_required, len(visible_chunk_ids) AS n_visible, array_to_string(list_sort(list_distinct(list_transform(required_chunk_ids, lambda c: regexp_replace(c, '#[^#]*$', '')))), '|') AS laws,
+(list_sum(list_transform(conversations, lambda c: length(c.content))) // 256)::BIGINT AS bucket FROM r""")
 def stratum_key(t):
-    return records(t).select("id", "v", F.size("required_chunk_ids").cast("long").alias("n_required"), F.size("visible_chunk_ids").cast("long").alias("n_visible"), F.floor(F.length("query_original") / 16).alias("bucket"))
+    """What a record is drawn by: variant, numbers of required and visible articles, the laws it needs, and its length by 256."""
+    laws = F.array_sort(F.array_distinct(F.transform("required_chunk_ids", lambda c: F.regexp_replace(c, "#[^#]*$", ""))))
+    n = F.aggregate("conversations", F.lit(0).cast("long"), lambda s, c: s + F.length(c["content"]))
+    return records(t).select("id", "v", F.size("required_chunk_ids").cast("long").alias("n_required"), F.size("visible_chunk_ids").cast("long").alias("n_visible"), F.array_join(laws, "|").alias("laws"), F.floor(n / 256).alias("bucket"))
 
 
 @query("WITH " + _R + """, s AS (SELECT v, len(required_chunk_ids) AS k, count(*) AS n FROM r WHERE v IS NOT NULL GROUP BY 1, 2), a AS (SELECT *, sum(n) OVER () AS total FROM s),
@@ -66,10 +70,20 @@ def sequence_packing(t):
     return S.packed_sequences(t("documents"), "source", "n_chars", 2048)
 
 
-@query("WITH x AS (SELECT source, coalesce(sum(n_chars), 0) AS n FROM documents GROUP BY 1) SELECT source, n::BIGINT AS once, (n * CASE WHEN source LIKE 'court%' THEN 3 ELSE 1 END)::BIGINT AS exposed FROM x")
+_SHARES = "CASE WHEN source LIKE 'court%' THEN 3 WHEN source IS NULL THEN 0 ELSE 1 END"
+
+
+@query(f"WITH x AS (SELECT source, coalesce(sum(n_chars), 0)::BIGINT AS n, {_SHARES} AS w FROM documents GROUP BY 1), y AS (SELECT *, sum(n) OVER () AS total, sum(w) OVER () AS weights FROM x), z AS (SELECT source, n, (total * w // weights)::BIGINT AS target FROM y) "
+       "SELECT source, n AS once, target, CASE WHEN n > 0 THEN least(target // n, 4) END::BIGINT AS whole_uses, CASE WHEN n > 0 THEN least(target, 4 * n) ELSE 0 END::BIGINT AS exposed, (target - CASE WHEN n > 0 THEN least(target, 4 * n) ELSE 0 END)::BIGINT AS short FROM z")
 def source_mix_exposure(t):
-    x = t("documents").groupBy("source").agg(F.coalesce(F.sum("n_chars"), F.lit(0)).cast("long").alias("once"))
-    return x.select("source", "once", (F.col("once") * F.when(F.startswith("source", F.lit("court")), 3).otherwise(1)).alias("exposed"))
+    """Signs of each source once, its target by weight out of all signs, how often it is used whole, at most four times, and
+    what it stays short: exposed and short close to the target."""
+    w = F.when(F.startswith("source", F.lit("court")), 3).when(F.col("source").isNull(), 0).otherwise(1)
+    x = t("documents").groupBy("source").agg(F.coalesce(F.sum("n_chars"), F.lit(0)).cast("long").alias("n")).withColumn("w", w)
+    every = x.agg(F.sum("n").alias("total"), F.sum("w").alias("weights"))  # one row
+    z = x.crossJoin(F.broadcast(every)).select("source", "n", F.expr("cast(total * w div weights as bigint)").alias("target"))
+    exposed = F.when(F.col("n") > 0, F.least("target", 4 * F.col("n"))).otherwise(F.lit(0).cast("long"))
+    return z.select("source", F.col("n").alias("once"), "target", F.when(F.col("n") > 0, F.least(F.expr("target div n"), F.lit(4).cast("long"))).alias("whole_uses"), exposed.alias("exposed"), (F.col("target") - exposed).alias("short"))
 
 
 @query("""WITH f AS (SELECT DISTINCT ON (p) lower(regexp_replace(trim(query_original), '\\s+', ' ', 'g')) AS p, min(id) OVER (PARTITION BY lower(regexp_replace(trim(query_original), '\\s+', ' ', 'g'))) AS id, query_type FROM private_holdout ORDER BY p, id)
@@ -84,7 +98,9 @@ def generation_set(t):
 
 @query("SELECT event_id, user_id, xxx.m AS micro FROM (SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 8 AS m FROM events) xxx")
 def micro_batches(t):
-    return t("events").select("event_id", "user_id", F.floor((F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1) / 8).alias("micro"))
+    """Batches of eight of each user's events, the last one as it is; places go by spans of ids, so that no user is one task's work."""
+    x = running_total(t("events").select("event_id", "user_id", F.lit(1).alias("one")), ["user_id"], "event_id", "one", "place", span=65536)
+    return x.select("event_id", "user_id", F.floor((F.col("place") - 1) / 8).alias("micro"))
 
 
 @query("""WITH c AS (SELECT event_id, user_id, CAST(round(value * 100) AS BIGINT) AS v FROM events), x AS (SELECT event_id, user_id, sum(v) OVER w AS cur, sum(v) OVER w - v AS prev FROM c WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))

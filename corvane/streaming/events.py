@@ -27,15 +27,16 @@ def once(events: DataFrame, late: str, key: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", out: str | None = None, state: str | None = None) -> DataFrame:
     """Run the stream over all that is there and give what it wrote. Each batch goes to a folder of its own that a repeat
-    of the batch overwrites, so a restart writes nothing twice."""
+    of the batch overwrites, so a restart writes nothing twice. With the same out and state a later run goes on where the
+    one before it ended."""
     spark = stream.sparkSession
-    out = work_path(spark, "stream")
+    out, state = out or work_path(spark, "stream"), state or work_path(spark, "state")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", work_path(spark, "state")).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out).drop("batch")

@@ -122,6 +122,30 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert sorted((r.window.start, r.n) for r in out.collect())[0] == (at, 1)  # event 3 came too late for the first window
 
 
+def test_restarted_stream_goes_on_and_writes_nothing_twice(spark, tmp_path):
+    import datetime
+
+    from corvane.streaming import events
+
+    at = datetime.datetime(2024, 1, 1)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    put = lambda *ids: spark.createDataFrame([(k, at + datetime.timedelta(minutes=k), 1, "a", 1.0) for k in ids], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: events.drain(events.once(events.event_stream(spark, str(tmp_path / "in")), "1 hour", "event_id"), "append", str(tmp_path / "out"), str(tmp_path / "state"))
+    put(1, 2)
+    assert sorted(r.event_id for r in run().collect()) == [1, 2]
+    assert sorted(r.event_id for r in run().collect()) == [1, 2]  # nothing new
+    put(2, 3)  # 2 comes again, within the watermark
+    assert sorted(r.event_id for r in run().collect()) == [1, 2, 3]
+
+
+def test_exact_percentile(spark):
+    import statistics
+
+    data = [("a", float(k * k % 97)) for k in range(50)] + [("b", 3.5)] + [("c", None), ("c", float("nan"))] + [("d", -7.25), ("d", 8.0)]
+    got = {r.g: r.percentile for r in evaluation.exact_percentile(spark.createDataFrame(data, "g string, v double"), "g", "v", 0.5, 10.0).collect()}
+    assert got == {"a": statistics.median(v for g, v in data if g == "a"), "b": 3.5, "d": 0.375}
+
+
 def test_group_limit_stands_before_the_exchange(spark):
     hits = spark.range(1000).select((F.col("id") % 3).alias("query_id"), F.col("id").cast("string").alias("chunk_id"), F.rand(1).alias("score"))
     plan = retrieval.rank_lists(hits, 5, ["query_id"])._jdf.queryExecution().executedPlan().toString()
