@@ -77,12 +77,6 @@ def eval_case_filter(t):
     return cases(t).filter("query_type <> 'exact_lookup'").select("query_id", "split", "query_type", F.size("required").cast("long").alias("n"))
 
 
-@query("WITH " + _R + """, x AS (SELECT id, list_sum(list_transform(conversations, lambda c: length(c.content)))::BIGINT AS n FROM r) SELECT id, n, CASE WHEN n > 160 THEN 'over' WHEN n > 120 THEN 'near' ELSE 'fits' END AS state FROM x""")
-def length_budget_audit(t):
-    n = F.aggregate("conversations", F.lit(0).cast("long"), lambda s, c: s + F.length(c["content"]))
-    return train(t).select("id", n.alias("n")).select("id", "n", F.when(F.col("n") > 160, "over").when(F.col("n") > 120, "near").otherwise("fits").alias("state"))
-
-
 @query("WITH " + _H + "SELECT id, query_type, difficulty, answer_gt.refuse AS refuse, len(answer_gt.cited_chunk_ids) AS cited FROM hq")
 def redacted_results(t):
     """What may be shown of a reserved record: no text of question or answer at any depth."""
@@ -108,13 +102,6 @@ def hard_negative_mining(t):
     return x.filter("place <= 4 - n").select("query_id", "chunk_id", "place")
 
 
-@query("WITH" + LEGS + "SELECT query_id, len(list_filter(sp, lambda x: NOT list_contains(de, x))) AS added FROM (SELECT query_id, list(chunk_id) FILTER (leg = 'dense' AND rank <= 10) AS de, list(chunk_id) FILTER (leg = 'sparse' AND rank <= 10) AS sp FROM l GROUP BY 1) WHERE de IS NOT NULL AND sp IS NOT NULL")
-def audit_added_hits(t):
-    """What the second leg adds to the first."""
-    x = legs(t, 10).groupBy("query_id").agg(F.collect_list(F.when(F.col("leg") == "dense", F.col("chunk_id"))).alias("de"), F.collect_list(F.when(F.col("leg") == "sparse", F.col("chunk_id"))).alias("sp"))
-    return x.filter("size(de) > 0 and size(sp) > 0").select("query_id", F.size(F.array_except("sp", "de")).cast("long").alias("added"))
-
-
 @query("WITH d AS (SELECT query_original AS q FROM private_holdout UNION SELECT query_original FROM evaluation_case UNION SELECT query_original FROM sft_candidate) SELECT substr(sha256(q), 1, 1) AS head, count(*) AS n FROM d GROUP BY 1")
 def digest_union(t):
     q = [t(n).select(F.sha2("query_original", 256).alias("d")) for n in ("private_holdout", "evaluation_case", "sft_candidate")]

@@ -358,3 +358,34 @@ def paragraph_markers(t):
     x = articles(t).select("article_id", F.regexp_extract_all("content", F.lit("（([一二三四五六七八九十百]+)）"), F.lit(1)).alias("m")).filter("size(m) >= 2")
     want = F.transform(F.sequence(F.lit(1), F.size("m")), N.format_number)
     return x.select("article_id", F.size("m").cast("long").alias("markers"), (F.col("m") == want).alias("contiguous"))
+
+
+@query("WITH" + ARTICLES + r""", s AS (SELECT department, count(DISTINCT law_name) AS laws, count(*) AS articles FROM a WHERE department IS NOT NULL GROUP BY 1)
+SELECT '{' || string_agg('"' || department || '":{"laws":' || laws || ',"articles":' || articles || '}', ',' ORDER BY department) || '}' AS stats FROM s""")
+def dept_stats_json(t):
+    """Laws and articles of each department as one JSON object, its keys in order; there are as many as departments."""
+    s = articles(t).filter("department is not null").groupBy("department").agg(F.count_distinct("law_name").alias("laws"), F.count(F.lit(1)).alias("articles"))
+    return s.agg(F.array_sort(F.collect_list(F.struct(F.col("department").alias("key"), F.struct("laws", "articles").alias("value")))).alias("m")).select(F.to_json(F.map_from_entries("m")).alias("stats"))
+
+
+@query("WITH" + ARTICLES + "SELECT article_id, law_name || '#' || article_no AS chunk_id, (law_name || '#' || article_no) || '::span-v1@' || lpad('0', 6, '0') || '-' || lpad(length(content)::VARCHAR, 6, '0') AS unit_id FROM a")
+def chunk_id_build(t):
+    """Ids of articles, and of the unit that is the whole article, by their parts."""
+    chunk = F.concat("law_name", F.lit("#"), "article_no")
+    return articles(t).select("article_id", chunk.alias("chunk_id"), F.concat(chunk, F.lit("::span-v1@"), F.format_string("%06d-%06d", F.lit(0), F.length("content"))).alias("unit_id"))
+
+
+@query("WITH r AS (SELECT DISTINCT ON (id) * FROM sft_candidate), x AS (SELECT id, list_concat(visible_chunk_ids, CASE CAST(substr(id, 2) AS BIGINT) % 4 WHEN 0 THEN visible_chunk_ids WHEN 1 THEN [' '] ELSE [] END) AS ids FROM r) SELECT id, CASE WHEN len(ids) NOT BETWEEN 1 AND 10 THEN 'size' WHEN len(list_distinct(ids)) <> len(ids) THEN 'repeated' WHEN len(list_filter(ids, lambda i: trim(i) = '')) > 0 THEN 'blank' WHEN len(ids) > 5 THEN 'long' ELSE 'valid' END AS verdict FROM x")
+def finalize_arguments(t):
+    """Ids with which a tool run is closed: one to ten, each once, none blank, and preferably no more than five."""
+    k = F.substring("id", 2, 20).cast("long") % 4
+    ids = F.concat("visible_chunk_ids", F.when(k == 0, F.col("visible_chunk_ids")).when(k == 1, F.array(F.lit(" "))).otherwise(F.array().cast("array<string>")))
+    x = one_per_key(t("sft_candidate"), "id").select("id", ids.alias("ids"))
+    n = F.size("ids")
+    return x.select("id", F.when(~n.between(1, 10), "size").when(F.size(F.array_distinct("ids")) != n, "repeated").when(F.exists("ids", lambda i: F.trim(i) == ""), "blank").when(n > 5, "long").otherwise("valid").alias("verdict"))
+
+
+@query("WITH" + ARTICLES + "SELECT article_id, law_name AS law, article_no AS no, md5(content) AS content, coalesce(department, '-') AS department FROM a")
+def evidence_projection(t):
+    """Articles as evidence: what is shown of them, without the ids and times they are kept under."""
+    return articles(t).select("article_id", F.struct(F.col("law_name").alias("law"), F.col("article_no").alias("no"), F.md5("content").alias("content"), F.coalesce("department", F.lit("-")).alias("department")).alias("e")).select("article_id", "e.*")

@@ -25,12 +25,6 @@ def plans(t):
     return one_per_key(t("clean_scale_plan"), "plan_id")
 
 
-@query("WITH" + STAGE + "SELECT 'fused' AS mode, count(*) AS cases, round(avg(hit5 / n), 6) AS recall5, CASE WHEN count(*) > 0 THEN round(count(*) FILTER (hit5 = n) / count(*), 6) END AS complete5, count(*) FILTER (first IS NULL) AS without FROM m")
-def mode_summary(t):
-    first = F.size(F.array_intersect("required", "pool"))
-    return judged(t).agg(F.lit("fused").alias("mode"), F.count(F.lit(1)).alias("cases"), F.round(F.avg("m5.coverage"), 6).alias("recall5"), F.round(F.try_divide(F.count_if("m5.complete"), F.count(F.lit(1))), 6).alias("complete5"), F.count_if(first == 0).alias("without"))
-
-
 @query("WITH" + RERANKED + "," + CASES + """, q AS (SELECT query_id, unnest(required) AS chunk_id FROM c)
 SELECT q.query_id, q.chunk_id, CASE WHEN rr.rerank IS NULL THEN 'missing_from_pool' WHEN rr.rerank > 5 THEN 'demoted' ELSE 'kept' END AS outcome FROM q LEFT JOIN rr USING (query_id, chunk_id)""")
 def rerank_failure_class(t):
@@ -85,12 +79,6 @@ def context_sweep(t):
     return five.select(F.explode(each).alias("x")).groupBy("x.budget").agg(F.sum("x.kept").alias("kept"), F.count(F.lit(1)).alias("queries"))
 
 
-@query("WITH " + _H + "SELECT difficulty, count(*) AS n, sum(len(evidence_variants))::BIGINT AS variants, count(*) FILTER (answerable) AS answerable, CASE WHEN sum(len(evidence_variants)) > 0 THEN round(count(*) FILTER (answerable) / sum(len(evidence_variants)), 6) END AS ratio FROM hq GROUP BY 1")
-def review_metric_summary(t):
-    n = F.sum(F.size("evidence_variants"))
-    return holdout(t).groupBy("difficulty").agg(F.count(F.lit(1)).alias("n"), n.alias("variants"), F.count_if("answerable").alias("answerable"), F.round(F.try_divide(F.count_if("answerable"), n), 6).alias("ratio"))
-
-
 @query("WITH " + _H + ", x AS (SELECT id, unnest(evidence_variants) AS v, answer_gt.refuse AS refuse FROM hq) SELECT id, count(*) AS variants, count(*) FILTER (v.answer_gt.refuse IS DISTINCT FROM refuse) AS different FROM x GROUP BY 1 HAVING count(*) FILTER (v.answer_gt.refuse IS DISTINCT FROM refuse) > 0")
 def review_disagreements(t):
     x = holdout(t).select("id", F.col("answer_gt.refuse").alias("refuse"), F.explode("evidence_variants").alias("v"))
@@ -309,3 +297,34 @@ def multi_query_parent_rrf(t):
     o = f.withColumn("k", F.row_number().over(W.partitionBy("query_type", "parent_chunk_id").orderBy("seen"))).filter("k <= 3")
     units = o.groupBy("query_type", "parent_chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "unit_id"))), lambda s: s["unit_id"]), "|").alias("units"))
     return g.join(units, ["query_type", "parent_chunk_id"]).select("query_type", "parent_chunk_id", "score", "units")
+
+
+@query("WITH" + FUSED + "," + CASES + """, q AS (SELECT query_id, unnest(required) AS chunk_id, len(required) AS n FROM c), md AS (SELECT leg AS mode, query_id, chunk_id, rank FROM l UNION ALL SELECT 'fused', query_id, chunk_id, rank FROM p),
+ms AS (SELECT unnest(['dense', 'sparse', 'fused']) AS mode), h AS (SELECT ms.mode, q.query_id, any_value(n) AS n, count(*) FILTER (md.rank <= 5) AS hit, count(md.rank) AS pool, min(md.rank) AS first FROM q CROSS JOIN ms LEFT JOIN md ON md.mode = ms.mode AND md.query_id = q.query_id AND md.chunk_id = q.chunk_id GROUP BY 1, 2)
+SELECT mode, count(*) AS cases, round(avg(hit / n), 6) AS recall5, round(avg((hit = n)::INT), 6) AS complete5, round(avg((pool = n)::INT), 6) AS in_pool, round(avg(coalesce(CASE WHEN first <= 5 THEN 1.0 / first END, 0)), 6) AS mrr5 FROM h GROUP BY 1""".replace("h AS (SELECT ms.mode", "hm AS (SELECT ms.mode").replace("FROM h GROUP BY 1", "FROM hm GROUP BY 1"))
+def mode_summary(t):
+    """Recall, completeness and reciprocal rank of each mode: both legs and their fusion."""
+    need = cases(t).select("query_id", F.explode("required").alias("chunk_id"), F.size("required").alias("n"))
+    need = need.select("*", F.explode(F.array(*[F.lit(m) for m in ("dense", "sparse", "fused")])).alias("mode"))
+    lists = legs(t).select(F.col("leg").alias("mode"), "query_id", "chunk_id", "rank").unionByName(pool(t).select(F.lit("fused").alias("mode"), "query_id", "chunk_id", "rank"))
+    h = need.join(lists, ["mode", "query_id", "chunk_id"], "left").groupBy("mode", "query_id").agg(F.first("n").alias("n"), F.count_if(F.col("rank") <= 5).alias("hit"), F.count("rank").alias("pool"), F.min("rank").alias("first"))
+    rr = F.coalesce(F.when(F.col("first") <= 5, 1.0 / F.col("first")), F.lit(0.0))
+    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    return h.groupBy("mode").agg(F.count(F.lit(1)).alias("cases"), mean(F.col("hit") / F.col("n"), "recall5"), mean((F.col("hit") == F.col("n")).cast("int"), "complete5"), mean((F.col("pool") == F.col("n")).cast("int"), "in_pool"), mean(rr, "mrr5"))
+
+
+@query("WITH " + _H + """, v AS (SELECT difficulty, v.variant_type AS kind, v.answer_gt.refuse AS refuse, len(v.answer_gt.quotes) AS quotes, len(v.answer_gt.cited_chunk_ids) AS cited FROM (SELECT difficulty, unnest(evidence_variants) AS v FROM hq))
+SELECT difficulty, (SELECT count(*) FROM hq WHERE hq.difficulty = d.difficulty) AS records, (SELECT count(*) FILTER (review_status = 'approved') FROM hq WHERE hq.difficulty = d.difficulty) AS approved, count(v.kind) AS variants, count(*) FILTER (kind = 'partial_evidence') AS partial,
+round(count(*) FILTER (refuse) / nullif(count(v.kind), 0), 6) AS refusal_rate, round(count(*) FILTER (NOT refuse AND quotes >= cited) / nullif(count(*) FILTER (NOT refuse), 0), 6) AS quoted_rate FROM (SELECT DISTINCT difficulty FROM hq) d LEFT JOIN v USING (difficulty) GROUP BY 1""")
+def review_metric_summary(t):
+    """Counts of records and variants by difficulty, and rates over the variants' answers; null where there is nothing to count."""
+    h = holdout(t)
+    var = F.coalesce("evidence_variants", F.array().cast(h.schema["evidence_variants"].dataType))
+    n = lambda ok: F.sum(F.size(F.filter(var, ok)))
+    told = lambda v: ~v["answer_gt"]["refuse"]
+    every = F.sum(F.size(var))
+    return h.groupBy("difficulty").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("review_status") == "approved").alias("approved"), every.alias("variants"), n(lambda v: v["variant_type"] == "partial_evidence").alias("partial"),
+        F.round(F.try_divide(n(lambda v: v["answer_gt"]["refuse"]), every), 6).alias("refusal_rate"),
+        F.round(F.try_divide(n(lambda v: told(v) & (F.size(v["answer_gt"]["quotes"]) >= F.size(v["answer_gt"]["cited_chunk_ids"]))), n(told)), 6).alias("quoted_rate"),
+    )

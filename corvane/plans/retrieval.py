@@ -233,25 +233,6 @@ def budget_best_subset(t):
     return m.withColumn("used", used).filter("used <= 400").groupBy("query_id").agg(F.max(rank).alias("inclusion"))
 
 
-@query("""WITH RECURSIVE u AS (SELECT DISTINCT unit_id, dependency_unit_ids FROM evidence_unit),
-e AS (SELECT DISTINCT unit_id, unnest(dependency_unit_ids) AS dep FROM u),
-c(unit_id, dep) AS (SELECT unit_id, dep FROM e UNION SELECT c.unit_id, e.dep FROM c JOIN e ON e.unit_id = c.dep)
-SELECT unit_id, count(*) AS needs, min(dep) AS first_dep FROM c GROUP BY 1""")
-def dependency_closure(t):
-    """All units a unit depends on, directly or not: joins that double the reach each round, until nothing is new."""
-    edges = one_per_key(t("evidence_unit"), "unit_id").select("unit_id", F.explode("dependency_unit_ids").alias("dep")).distinct()
-    known = materialize(edges, "closure")
-    n = known.count()
-    while True:
-        step = known.join(known.select(F.col("unit_id").alias("dep"), F.col("dep").alias("far")), "dep").select("unit_id", F.col("far").alias("dep"))
-        known = materialize(known.unionByName(step).distinct(), "closure")
-        m = known.count()
-        if m == n:
-            break
-        n = m
-    return known.groupBy("unit_id").agg(F.count(F.lit(1)).alias("needs"), F.min("dep").alias("first_dep"))
-
-
 @query("""WITH x AS (SELECT DISTINCT id, trim(query_original) AS o, trim(query_formal) AS f FROM private_holdout), y AS (SELECT id, unnest(list_concat([o, f, o || ' ' || f], string_split_regex(coalesce(f, o), '[，。？；]'))) AS v, generate_subscripts(list_concat([o, f, o || ' ' || f], string_split_regex(coalesce(f, o), '[，。？；]')), 1) AS k FROM x),
 z AS (SELECT id, v, min(k) AS k FROM y WHERE trim(v) <> '' GROUP BY 1, 2), w AS (SELECT id, v, row_number() OVER (PARTITION BY id ORDER BY k) AS n FROM z)
 SELECT id, count(*) AS n_queries, md5(string_agg(v, chr(10) ORDER BY n)) AS digest FROM w WHERE n <= 6 GROUP BY 1""")
@@ -307,3 +288,62 @@ def sparse_index_build(t):
     indexes.save_sparse(a, path, "article_id")
     postings, terms, _ = indexes.load_sparse(a.sparkSession, path)
     return terms.filter("term is not null").select("term", "n").join(postings.groupBy("term").agg(F.count(F.lit(1)).alias("postings")), "term")
+
+
+@query("WITH" + LEGS + """, b AS (SELECT query_id, count(*) AS n, max(chunk_id) FILTER (rank = 1) AS best FROM l WHERE leg = 'dense' GROUP BY 1), c AS (SELECT query_id, count(*) AS n, max(chunk_id) FILTER (rank = 1) AS best FROM l WHERE leg = 'sparse' GROUP BY 1)
+SELECT coalesce(b.query_id, c.query_id) AS query_id, b.best AS baseline, c.best AS candidate, CASE WHEN b.query_id IS NULL THEN 'no_baseline' WHEN c.query_id IS NULL THEN 'no_candidate' ELSE 'paired' END AS state FROM b FULL JOIN c ON b.query_id = c.query_id""")
+def paired_join_complete(t):
+    """Records of a baseline and of a candidate by question, and whether both are there: none may be missing in silence."""
+    best = lambda leg, name: legs(t, 1).filter(F.col("leg") == leg).select("query_id", F.col("chunk_id").alias(name))
+    x = best("dense", "baseline").join(best("sparse", "candidate"), "query_id", "full")
+    return x.select("query_id", "baseline", "candidate", F.when(F.col("baseline").isNull(), "no_baseline").when(F.col("candidate").isNull(), "no_candidate").otherwise("paired").alias("state"))
+
+
+@query("WITH" + LEGS + ", x AS (SELECT query_id, chunk_id, max(rank) FILTER (leg = 'dense') AS d, max(rank) FILTER (leg = 'sparse') AS s FROM l WHERE rank <= 10 GROUP BY 1, 2) SELECT query_id, chunk_id, s AS rank, EXISTS (SELECT 1 FROM l WHERE l.query_id = x.query_id AND l.leg = 'dense') AS compared FROM x WHERE d IS NULL")
+def audit_added_hits(t):
+    """The ids that the second leg adds to the first one's ten, with their rank there, and whether there was a first one."""
+    x = legs(t, 10).groupBy("query_id", "chunk_id").agg(F.max(F.when(F.col("leg") == "dense", F.col("rank"))).alias("d"), F.max(F.when(F.col("leg") == "sparse", F.col("rank"))).alias("s"))
+    first = legs(t, 1).filter("leg = 'dense'").select("query_id", F.lit(True).alias("there"))
+    return x.filter("d is null").join(first, "query_id", "left").select("query_id", "chunk_id", F.col("s").cast("long").alias("rank"), F.coalesce("there", F.lit(False)).alias("compared"))
+
+
+_PROMPT = "list_sum(list_transform(conversations, lambda c: 4 + len(regexp_extract_all(c.role, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]')) + len(regexp_extract_all(c.content, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]'))))"
+
+
+@query("WITH r AS (SELECT DISTINCT ON (id) * FROM sft_candidate), x AS (SELECT id, " + _PROMPT + "::INTEGER AS tokens FROM r) SELECT id, tokens, greatest(tokens + 60 - 220, 0) AS overflow, tokens + 60 <= 220 AS fits FROM x")
+def length_budget_audit(t):
+    """Prompts that leave no room for 60 new tokens in a sequence of 220, and by how much they are too long."""
+    n = prompt_tokens(F.col("conversations"))
+    return one_per_key(t("sft_candidate"), "id").select("id", n.alias("tokens")).select("id", "tokens", F.greatest(F.col("tokens") + 60 - 220, F.lit(0)).alias("overflow"), (F.col("tokens") + 60 <= 220).alias("fits"))
+
+
+@query("""WITH w AS (SELECT query_id, chunk_id, score, window_index FROM ranked_hit WHERE leg = 'dense' AND score IS NOT NULL AND isfinite(score) AND chunk_id IS NOT NULL AND window_index IS NOT NULL),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, window_index) AS n, count(*) OVER (PARTITION BY query_id, chunk_id) AS windows FROM w)
+SELECT query_id, chunk_id, score, window_index, windows, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b WHERE n = 1) WHERE rank <= 10""")
+def dense_window_topk(t):
+    """The ten best chunks of each dense list of windows, each by its best window; all windows are looked at, so no list of
+    windows has to be fetched again for want of chunks."""
+    d = t("ranked_hit").filter("leg = 'dense' and score is not null and not isnan(score) and abs(score) < double('inf') and chunk_id is not null and window_index is not null")
+    b = d.groupBy("query_id", "chunk_id").agg(F.max(F.struct("score", (-F.col("window_index")).alias("w"))).alias("x"), F.count(F.lit(1)).alias("windows"))
+    order = W.partitionBy("query_id").orderBy(F.desc("x.score"), "chunk_id")
+    return b.withColumn("rank", F.row_number().over(order)).filter("rank <= 10").select("query_id", "chunk_id", "x.score", (-F.col("x.w")).alias("window_index"), "windows", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH RECURSIVE u AS (SELECT DISTINCT unit_id, dependency_unit_ids FROM evidence_unit), e0 AS (SELECT DISTINCT unit_id, unnest(dependency_unit_ids) AS dep FROM u),
+e AS (SELECT unit_id, dep FROM e0 UNION SELECT dep, unit_id FROM e0 WHERE suffix(unit_id, '7')), c(unit_id, dep) AS (SELECT unit_id, dep FROM e UNION SELECT c.unit_id, e.dep FROM c JOIN e ON e.unit_id = c.dep)
+SELECT unit_id, count(*) AS needs, min(dep) AS first_dep, bool_or(dep = unit_id) AS cyclic FROM c GROUP BY 1""")
+def dependency_closure(t):
+    """All units a unit depends on, directly or not, and whether it depends on itself: joins that double the reach each
+    round, until nothing is new. Dependencies of units whose id ends in 7 are put in the other way round too, as cycles."""
+    edges = one_per_key(t("evidence_unit"), "unit_id").select("unit_id", F.explode("dependency_unit_ids").alias("dep"))
+    back = edges.filter("endswith(unit_id, '7')").select(F.col("dep").alias("unit_id"), F.col("unit_id").alias("dep"))
+    known = materialize(edges.unionByName(back).distinct(), "closure")
+    n = known.count()
+    while True:
+        step = known.join(known.select(F.col("unit_id").alias("dep"), F.col("dep").alias("far")), "dep").select("unit_id", F.col("far").alias("dep"))
+        known = materialize(known.unionByName(step).distinct(), "closure")
+        m = known.count()
+        if m == n:
+            break
+        n = m
+    return known.groupBy("unit_id").agg(F.count(F.lit(1)).alias("needs"), F.min("dep").alias("first_dep"), F.bool_or(F.col("dep") == F.col("unit_id")).alias("cyclic"))

@@ -32,22 +32,6 @@ def stratum_key(t):
     return records(t).select("id", "v", F.size("required_chunk_ids").cast("long").alias("n_required"), F.size("visible_chunk_ids").cast("long").alias("n_visible"), F.array_join(laws, "|").alias("laws"), F.floor(n / 256).alias("bucket"))
 
 
-@query("WITH " + _R + """, s AS (SELECT v, len(required_chunk_ids) AS k, count(*) AS n FROM r WHERE v IS NOT NULL GROUP BY 1, 2), a AS (SELECT *, sum(n) OVER () AS total FROM s),
-b AS (SELECT *, (n * 200 // total)::BIGINT AS q, (n * 200) % total AS rest FROM a), c AS (SELECT *, row_number() OVER (ORDER BY rest DESC, sha256(v || chr(0) || k)) AS place, 200 - sum(q) OVER () AS spare FROM b)
-SELECT v, k::BIGINT AS k, n, (q + CASE WHEN place <= spare THEN 1 ELSE 0 END)::BIGINT AS quota FROM c""")
-def stratified_quota(t):
-    s = records(t).filter("v is not null").groupBy("v", F.size("required_chunk_ids").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    return S.quotas(s, ["v", "k"], "n", 200).select("v", "k", "n", "quota")
-
-
-@query("WITH " + _R + """, p AS (SELECT pool_no, id, row_number() OVER (PARTITION BY pool_no ORDER BY sha256('nest' || chr(0) || id), id) AS place FROM r WHERE v = 'clean')
-SELECT pool_no, id, CASE WHEN place <= 5 THEN 1 WHEN place <= 10 THEN 2 ELSE 3 END AS level FROM p WHERE place <= 20""")
-def nested_subsets(t):
-    """Subsets of 5, 10 and 20 of each pool, each within the next: level is the smallest that a record belongs to."""
-    p = S.first_by_hash(records(t).filter("v = 'clean'").select("pool_no", "id"), ["pool_no"], "id", "nest", 20)
-    return p.select("pool_no", "id", F.when(F.col("place") <= 5, 1).when(F.col("place") <= 10, 2).otherwise(3).alias("level"))
-
-
 @query("WITH " + _R + """, n AS (SELECT pool_no, count(*) AS n FROM r WHERE v = 'clean' GROUP BY 1), x AS (SELECT pool_no, id, n, unnest(range(0, 100 // n + 1)) AS cycle FROM r JOIN n USING (pool_no) WHERE v = 'clean')
 SELECT pool_no, id, count(*) AS uses FROM (SELECT *, row_number() OVER (PARTITION BY pool_no ORDER BY cycle, sha256(cycle || chr(0) || id), id) AS place FROM x) WHERE place <= 100 GROUP BY 1, 2""")
 def balanced_exposure(t):
@@ -188,3 +172,49 @@ def label_mask(t):
 @query("WITH " + _R + "SELECT id, array_to_string(list_transform(conversations, lambda c: '<' || c.role || '>' || c.content), chr(10)) AS prompt FROM r")
 def chat_render(t):
     return records(t).select("id", F.array_join(F.transform("conversations", lambda c: F.concat(F.lit("<"), c["role"], F.lit(">"), c["content"])), "\n").alias("prompt"))
+
+
+_QUOTA = _R + """, s AS (SELECT v, len(required_chunk_ids) AS k, count(*) AS n FROM r WHERE v IS NOT NULL GROUP BY 1, 2), a AS (SELECT *, sum(n) OVER () AS total FROM s),
+b AS (SELECT *, (n * 200 // total)::BIGINT AS q, (n * 200) % total AS rest FROM a), c AS (SELECT *, row_number() OVER (ORDER BY rest DESC, sha256(v || chr(0) || k)) AS place, 200 - sum(q) OVER () AS spare FROM b),
+qt AS (SELECT v, k::BIGINT AS k, n, (q + CASE WHEN place <= spare THEN 1 ELSE 0 END)::BIGINT AS quota FROM c)"""
+
+
+def quota_table(t):
+    s = records(t).filter("v is not null").groupBy("v", F.size("required_chunk_ids").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return S.quotas(s, ["v", "k"], "n", 200).select("v", "k", "n", "quota")
+
+
+@query("WITH " + _QUOTA + " SELECT v, k, n, quota FROM qt")
+def stratified_quota(t):
+    return quota_table(t)
+
+
+@query("WITH " + _QUOTA + ", o AS (SELECT id, v, len(required_chunk_ids)::BIGINT AS k, row_number() OVER (PARTITION BY v, len(required_chunk_ids) ORDER BY sha256('strata' || chr(0) || id), id) AS place FROM r WHERE v IS NOT NULL) SELECT o.v, o.k, id, place FROM o JOIN qt ON qt.v = o.v AND qt.k = o.k WHERE place <= quota")
+def stratified_select(t):
+    """The records drawn from each stratum up to its quota, in hash order. No quota is above the total, so the lists are cut
+    there before they meet their quotas."""
+    r = records(t).filter("v is not null").select("id", "v", F.size("required_chunk_ids").cast("long").alias("k"))
+    first = S.first_by_hash(r, ["v", "k"], "id", "strata", 200)
+    return first.join(F.broadcast(quota_table(t)), ["v", "k"]).filter("place <= quota").select("v", "k", "id", F.col("place").cast("long").alias("place"))
+
+
+@query("WITH " + _R + """, hn AS (SELECT DISTINCT pool_no, query_id FROM r WHERE v = 'hard_negative'), c AS (SELECT r.pool_no, r.id, hn.query_id IS NOT NULL AS paired FROM r LEFT JOIN hn USING (pool_no, query_id) WHERE v = 'clean'),
+n AS (SELECT pool_no, count(*) AS n, count(*) FILTER (paired) AS p FROM c GROUP BY 1), o AS (SELECT pool_no, id, paired, row_number() OVER (PARTITION BY pool_no ORDER BY paired DESC, sha256('nest' || chr(0) || id), id) AS place FROM c)
+SELECT pool_no, id, paired, CASE WHEN place <= greatest(p, n // 5) THEN 1 WHEN place <= greatest(p, 2 * n // 5) THEN 2 WHEN place <= greatest(p, 4 * n // 5) THEN 3 ELSE 4 END AS level FROM o JOIN n USING (pool_no)""")
+def nested_subsets(t):
+    """Nested subsets of each pool's clean records, of a fifth, two, four fifths and all: each holds the one before, and all
+    hold the records that are paired with a hard negative. level is the smallest that a record belongs to.
+
+    Places go by hash buckets: counts of the buckets before give the offset, so no pool is put in order in one task.
+    """
+    r = records(t)
+    hard = r.filter("v = 'hard_negative'").select("pool_no", "query_id").distinct().withColumn("hit", F.lit(True))
+    c = r.filter("v = 'clean'").join(hard, ["pool_no", "query_id"], "left").select("pool_no", "id", F.coalesce("hit", F.lit(False)).alias("paired"), S.hash_key("nest", "id").alias("h"))
+    c = c.withColumn("b", F.conv(F.substring("h", 1, 3), 16, 10).cast("long") + F.when(F.col("paired"), 0).otherwise(4096))
+    counts = c.groupBy("pool_no", "b").agg(F.count(F.lit(1)).alias("k"))
+    before = F.coalesce(F.sum("k").over(W.partitionBy("pool_no").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = c.withColumn("i", F.row_number().over(W.partitionBy("pool_no", "b").orderBy("h", "id"))).join(counts.select("pool_no", "b", before.alias("o")), ["pool_no", "b"])
+    n = c.groupBy("pool_no").agg(F.count(F.lit(1)).alias("n"), F.count_if("paired").alias("p"))
+    place = F.col("o") + F.col("i")
+    upto = lambda part: place <= F.greatest(F.col("p"), F.expr(f"{part} * n div 5"))
+    return placed.join(n, "pool_no").select("pool_no", "id", "paired", F.when(upto(1), 1).when(upto(2), 2).when(upto(4), 3).otherwise(4).alias("level"))
