@@ -159,11 +159,6 @@ def pair_counts(t):
     return count(t("documents"), "text")
 
 
-@query("WITH " + _R + "SELECT id, len(visible_chunk_ids) = len(list_distinct(visible_chunk_ids)) AS unique_ids, len(visible_chunk_ids) BETWEEN 1 AND 5 AS sized FROM r")
-def package_identity(t):
-    return train(t).select("id", (F.size("visible_chunk_ids") == F.size(F.array_distinct("visible_chunk_ids"))).alias("unique_ids"), F.size("visible_chunk_ids").between(1, 5).alias("sized"))
-
-
 @query("WITH " + _H + ", x AS (SELECT id, unnest(answer_gt.quotes).chunk_id AS c, generate_subscripts(answer_gt.quotes, 1) AS k FROM hq) SELECT id, string_agg(c, '|' ORDER BY k) AS derived FROM (SELECT id, c, min(k) AS k FROM x GROUP BY 1, 2) GROUP BY 1")
 def derive_required_gt(t):
     """Required ids in the order in which quotes first support them."""

@@ -66,17 +66,6 @@ def dup_hits(t):
 _U = "u AS (SELECT DISTINCT ON (unit_id) * FROM evidence_unit)"
 
 
-@query("WITH" + ARTICLES + ", " + _U + """, k AS (SELECT chunk_id, any_value(content) AS content FROM a GROUP BY 1 HAVING count(*) = 1),
-x AS (SELECT u.unit_id, u.text = substr(k.content, u.start_char + 1, u.end_char - u.start_char) AS exact, u.start_char < coalesce(lag(end_char) OVER (PARTITION BY parent_chunk_id, split_part(unit_id, '::', 1) ORDER BY unit_index, unit_id), 0) AS crossed
-      FROM u JOIN k ON k.chunk_id = u.parent_chunk_id)
-SELECT count(*) AS units, count(*) FILTER (NOT exact) AS inexact, count(*) FILTER (crossed) AS overlapping FROM x""")
-def unit_coverage_check(t):
-    k = articles(t).groupBy("chunk_id").agg(F.any_value("content").alias("content"), F.count(F.lit(1)).alias("n")).filter("n = 1").select(F.col("chunk_id").alias("parent_chunk_id"), "content")
-    order = W.partitionBy("parent_chunk_id", F.substring_index("unit_id", "::", 1)).orderBy("unit_index", "unit_id")
-    x = units(t).join(k, "parent_chunk_id").select((F.col("text") == F.expr("substring(content, start_char + 1, end_char - start_char)")).alias("exact"), (F.col("start_char") < F.coalesce(F.lag("end_char").over(order), F.lit(0))).alias("overlaps"))
-    return x.agg(F.count(F.lit(1)).alias("units"), F.count_if(~F.col("exact")).alias("inexact"), F.count_if("overlaps").alias("overlapping"))
-
-
 @query("WITH" + ARTICLES + ", " + _U + """SELECT 'unit_without_parent' AS defect, count(*) AS n FROM u WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.chunk_id = u.parent_chunk_id)
 UNION ALL SELECT 'article_without_unit', count(*) FROM a WHERE NOT EXISTS (SELECT 1 FROM u WHERE a.chunk_id = u.parent_chunk_id)
 UNION ALL SELECT 'version_missing', count(*) FROM u WHERE splitter_version IS NULL""")
@@ -126,16 +115,6 @@ def derive_citations(t):
     return r.select("id", F.array_join(made, "|").alias("derived"), (F.array_sort("citations") == F.array_sort(made)).alias("agrees"))
 
 
-@query("""WITH r AS (SELECT DISTINCT ON (id) id, conversations AS c FROM sft_candidate)
-SELECT id, len(c) = 3 AND c[1].role = 'system' AND c[2].role = 'user' AND c[3].role = 'assistant' AS roles, json_extract_string(c[2].content, '$.query') AS query, json_array_length(c[2].content, '$.evidence') AS evidence, json_extract_string(c[3].content, '$.summary') AS summary FROM r""")
-def conversation_contract(t):
-    r = one_per_key(t("sft_candidate"), "id").select("id", F.col("conversations").alias("c"))
-    user = F.from_json(F.col("c")[1]["content"], "query string, evidence array<struct<id string, chunk string>>")
-    reply = F.from_json(F.col("c")[2]["content"], "summary string, citations array<string>")
-    roles = F.transform("c", lambda x: x["role"]) == F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))
-    return r.select("id", roles.alias("roles"), user["query"].alias("query"), F.size(user["evidence"]).cast("decimal(20,0)").cast("long").alias("evidence"), reply["summary"].alias("summary"))
-
-
 @query()
 def protocol_validate(t):
     """Answers as strict JSON: two fields, each once, a summary of one line, citations unique and among the evidence."""
@@ -153,14 +132,6 @@ def quote_substring_check(t):
     return q.join(k, "chunk_id").groupBy("id", "chunk_id").agg(F.bool_and(F.contains("content", F.col("text"))).alias("quoted"))
 
 
-@query("""WITH c AS (SELECT DISTINCT ON (query_id) * FROM evaluation_case)
-SELECT expected_action, coalesce(action_reason, 'none') AS reason, count(*) AS n, count(*) FILTER (expected_action = 'answer' AND (required_chunk_ids IS NULL OR len(list_distinct(required_chunk_ids)) NOT BETWEEN 1 AND 3)) AS bad_gt, count(*) FILTER (len(required_chunk_ids) <> len(list_distinct(required_chunk_ids))) AS repeated FROM c GROUP BY 1, 2""")
-def eval_contract(t):
-    c = one_per_key(t("evaluation_case"), "query_id")
-    n = F.size(F.array_distinct("required_chunk_ids"))
-    return c.groupBy("expected_action", F.coalesce("action_reason", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("expected_action") == "answer") & (F.col("required_chunk_ids").isNull() | ~n.between(1, 3))).alias("bad_gt"), F.count_if(F.size("required_chunk_ids") != n).alias("repeated"))
-
-
 @query("WITH" + ARTICLES + """, c AS (SELECT DISTINCT ON (query_id) query_id, gt_articles FROM evaluation_case), g AS (SELECT query_id, unnest(gt_articles) AS g FROM c), k AS (SELECT DISTINCT chunk_id FROM a)
 SELECT query_id, g.law_name || '#' || g.article_no AS chunk_id, k.chunk_id IS NOT NULL AS resolved FROM g LEFT JOIN k ON k.chunk_id = g.law_name || '#' || g.article_no""")
 def gt_resolution(t):
@@ -190,3 +161,92 @@ SELECT query_id, n, missing, ranks = n AND top = n AS closed FROM y""")
 def ranking_materialisation(t):
     y = t("ranked_hit").filter("leg = 'fused'").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rank").alias("ranks"), F.max("rank").alias("top"), F.count_if(F.col("rank").isNull()).alias("missing"))
     return y.select("query_id", "n", "missing", ((F.col("ranks") == F.col("n")) & (F.col("top") == F.col("n"))).alias("closed"))
+
+
+@query("WITH" + ARTICLES + ", " + _U + """, k AS (SELECT chunk_id, any_value(content) AS content FROM a GROUP BY 1 HAVING count(*) = 1), ux AS (SELECT *, split_part(unit_id, '::', 1) AS article FROM u),
+x AS (SELECT ux.unit_id, ux.article, unit_index, start_char, end_char, ux.text = substr(k.content, ux.start_char + 1, ux.end_char - ux.start_char) AS exact, length(regexp_replace(ux.text, '[\\s\\x{3000}]', '', 'g')) AS seen, length(regexp_replace(k.content, '[\\s\\x{3000}]', '', 'g')) AS visible,
+  start_char < coalesce(lag(end_char) OVER w, 0) AS crossed, unit_index <> row_number() OVER w - 1 AS misplaced FROM ux JOIN k ON k.chunk_id = ux.parent_chunk_id WINDOW w AS (PARTITION BY ux.article ORDER BY unit_index, ux.unit_id)),
+d AS (SELECT unit_id, article, unnest(dependency_unit_ids) AS dep FROM ux), un AS (SELECT count(*) AS n FROM d WHERE NOT EXISTS (SELECT 1 FROM ux WHERE ux.unit_id = d.dep AND ux.article = d.article)),
+g AS (SELECT article, sum(seen) AS seen, any_value(visible) AS visible FROM x GROUP BY 1)
+SELECT count(*) AS units, count(*) FILTER (NOT exact) AS inexact, count(*) FILTER (crossed) AS overlapping, count(*) FILTER (misplaced) AS misplaced, (SELECT n FROM un) AS unknown_needs, (SELECT count(*) FROM g WHERE seen <> visible) AS uncovered FROM x""")
+def unit_coverage_check(t):
+    """Of the delivered units: text that isn't the article's at their span, overlaps, indexes that don't count from 0, needs
+    that name no unit of the article, and articles whose visible signs aren't all covered once."""
+    k = articles(t).groupBy("chunk_id").agg(F.any_value("content").alias("content"), F.count(F.lit(1)).alias("n")).filter("n = 1").select(F.col("chunk_id").alias("parent_chunk_id"), "content")
+    u = units(t).withColumn("article", F.substring_index("unit_id", "::", 1))
+    order = W.partitionBy("article").orderBy("unit_index", "unit_id")
+    bare = lambda c: F.length(F.regexp_replace(c, r"[\s\x{3000}]", ""))
+    x = u.join(k, "parent_chunk_id").select(
+        "article", (F.col("text") == F.expr("substring(content, start_char + 1, end_char - start_char)")).alias("exact"), bare("text").alias("seen"), bare("content").alias("visible"),
+        (F.col("start_char") < F.coalesce(F.lag("end_char").over(order), F.lit(0))).alias("overlaps"), (F.col("unit_index") != F.row_number().over(order) - 1).alias("misplaced"),
+    )
+    needs = u.select("article", F.explode("dependency_unit_ids").alias("unit_id")).join(u.select("article", "unit_id"), ["article", "unit_id"], "left_anti").agg(F.count(F.lit(1)).alias("unknown_needs"))
+    gone = x.groupBy("article").agg(F.sum("seen").alias("seen"), F.first("visible").alias("visible")).agg(F.count_if(F.col("seen") != F.col("visible")).alias("uncovered"))
+    out = x.agg(F.count(F.lit(1)).alias("units"), F.count_if(~F.col("exact")).alias("inexact"), F.count_if("overlaps").alias("overlapping"), F.count_if("misplaced").alias("misplaced"))
+    return out.crossJoin(F.broadcast(needs)).crossJoin(F.broadcast(gone))  # one row each
+
+
+_CASE_RULES = {
+    "id": "regexp_full_match(query_id, '[A-Z][0-9]+')", "type": "query_type IN ('semantic_search', 'exact_lookup', 'scenario_advice')", "action": "expected_action IN ('answer', 'clarify', 'refuse')",
+    "reason": "(expected_action = 'answer') = (action_reason IS NULL)", "original": "trim(query_original) <> ''", "formal": "trim(query_formal) <> ''", "one_to_three": "expected_action <> 'answer' OR len(list_distinct(required_chunk_ids)) BETWEEN 1 AND 3",
+    "once_each": "coalesce(len(list_distinct(required_chunk_ids)) = len(required_chunk_ids), true)", "none_if_no_answer": "expected_action = 'answer' OR coalesce(len(required_chunk_ids), 0) = 0",
+    "same_articles": "list_sort(list_distinct(list_transform(coalesce(gt_articles, []), lambda g: g.law_name || '#' || g.article_no))) = list_sort(list_distinct(coalesce(required_chunk_ids, [])))", "departments": "list_sort(coalesce(departments, [])) = list_sort(coalesce(derived, []))",
+}
+
+
+@query("WITH" + ARTICLES + """, c AS (SELECT DISTINCT ON (query_id) * FROM evaluation_case), k AS (SELECT chunk_id, min(department) AS department FROM a GROUP BY 1), g AS (SELECT DISTINCT query_id, unnest(required_chunk_ids) AS chunk_id FROM c),
+dv AS (SELECT query_id, list(DISTINCT department) AS derived FROM g JOIN k USING (chunk_id) WHERE department IS NOT NULL GROUP BY 1), x AS (SELECT c.*, dv.derived FROM c LEFT JOIN dv USING (query_id))
+SELECT unnest([""" + ", ".join(f"'{k}'" for k in _CASE_RULES) + "]) AS rule, unnest([" + ", ".join(f"count(*) FILTER (NOT coalesce({v}, false))" for v in _CASE_RULES.values()) + "]) AS broken FROM x")
+def eval_contract(t):
+    """The rules of an evaluation case, with the number of cases that break each; departments are derived from the articles."""
+    c = one_per_key(t("evaluation_case"), "query_id")
+    k = articles(t).groupBy("chunk_id").agg(F.min("department").alias("department")).filter("department is not null")
+    derived = c.select("query_id", F.explode(F.array_distinct("required_chunk_ids")).alias("chunk_id")).join(k, "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_set("department")).alias("derived"))
+    none = F.array().cast("array<string>")
+    req, answer = F.coalesce("required_chunk_ids", none), F.col("expected_action") == "answer"
+    n = F.size(F.array_distinct(req))
+    named = F.coalesce(F.transform("gt_articles", lambda g: F.concat(g["law_name"], F.lit("#"), g["article_no"])), none)
+    same = lambda a, b: F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+    return violations(c.join(derived, "query_id", "left"), "query_id", {
+        "id": F.col("query_id").rlike("^[A-Z][0-9]+$"), "type": F.col("query_type").isin("semantic_search", "exact_lookup", "scenario_advice"), "action": F.col("expected_action").isin("answer", "clarify", "refuse"),
+        "reason": answer == F.col("action_reason").isNull(), "original": F.trim("query_original") != "", "formal": F.trim("query_formal") != "", "one_to_three": ~answer | n.between(1, 3), "once_each": n == F.size(req),
+        "none_if_no_answer": answer | (F.size(req) == 0), "same_articles": same(named, req), "departments": F.array_sort(F.coalesce("departments", none)) == F.array_sort(F.coalesce("derived", none)),
+    })
+
+
+_R3 = "r AS (SELECT DISTINCT ON (id) * FROM sft_candidate)"
+_TALK_RULES = {
+    "three_turns": "len(c) = 3 AND c[1].role = 'system' AND c[2].role = 'user' AND c[3].role = 'assistant'", "no_blank_turn": "len(list_filter(c, lambda m: NOT coalesce(trim(m.content) <> '', false))) = 0",
+    "query": "json_extract_string(c[2].content, '$.query') = query_original", "evidence_order": "json_extract_string(c[2].content, '$.evidence[*].chunk') = visible_chunk_ids",
+    "evidence_labels": "json_extract_string(c[2].content, '$.evidence[*].id') = list_transform(range(1, len(visible_chunk_ids) + 1), lambda i: 'E' || i)", "one_to_five": "len(visible_chunk_ids) BETWEEN 1 AND 5",
+    "once_each": "len(list_distinct(visible_chunk_ids)) = len(visible_chunk_ids)", "required_visible": "len(list_filter(required_chunk_ids, lambda x: NOT list_contains(visible_chunk_ids, x))) = 0",
+    "summary": "trim(json_extract_string(c[3].content, '$.summary')) <> '' AND NOT contains(json_extract_string(c[3].content, '$.summary'), chr(10))", "citations_told": "json_extract_string(c[3].content, '$.citations[*]') = citations",
+    "citations_known": "len(list_filter(citations, lambda x: NOT list_contains(list_transform(range(1, len(visible_chunk_ids) + 1), lambda i: 'E' || i), x))) = 0",
+}
+
+
+@query(f"WITH {_R3}, x AS (SELECT *, conversations AS c FROM r) SELECT unnest([" + ", ".join(f"'{k}'" for k in _TALK_RULES) + "]) AS rule, unnest([" + ", ".join(f"count(*) FILTER (NOT coalesce({v}, false))" for v in _TALK_RULES.values()) + "]) AS broken FROM x")
+def conversation_contract(t):
+    """The rules of a training conversation and of the evidence in it, with the number of records that break each."""
+    r = one_per_key(t("sft_candidate"), "id").withColumn("c", F.col("conversations"))
+    user = F.from_json(F.get("c", F.lit(1))["content"], "query string, evidence array<struct<id string, chunk string>>")
+    reply = F.from_json(F.get("c", F.lit(2))["content"], "summary string, citations array<string>")
+    r = r.withColumns({"u": user, "a": reply})
+    vis, req = F.col("visible_chunk_ids"), F.col("required_chunk_ids")
+    labels = F.transform(vis, lambda _, i: F.concat(F.lit("E"), (i + 1).cast("string")))
+    return violations(r, "id", {
+        "three_turns": F.transform("c", lambda x: x["role"]) == F.array(F.lit("system"), F.lit("user"), F.lit("assistant")), "no_blank_turn": F.forall("c", lambda m: F.coalesce(F.trim(m["content"]) != "", F.lit(False))),
+        "query": F.col("u.query") == F.col("query_original"), "evidence_order": F.col("u.evidence.chunk") == vis, "evidence_labels": F.col("u.evidence.id") == labels, "one_to_five": F.size(vis).between(1, 5),
+        "once_each": F.size(F.array_distinct(vis)) == F.size(vis), "required_visible": F.size(F.array_except(req, vis)) == 0, "summary": (F.trim("a.summary") != "") & ~F.contains("a.summary", F.lit("\n")),
+        "citations_told": F.col("a.citations") == F.col("citations"), "citations_known": F.size(F.array_except("citations", labels)) == 0,
+    })
+
+
+@query(f"WITH {_R3}, x AS (SELECT id, unnest(visible_chunk_ids) AS chunk_id, generate_subscripts(visible_chunk_ids, 1) AS place, json_extract_string(conversations[2].content, '$.evidence[*].chunk') AS told FROM r) SELECT id, 'E' || place AS label, chunk_id, coalesce(told[place] = chunk_id, false) AS aligned, count(*) OVER (PARTITION BY id, chunk_id) = 1 AS single FROM x")
+def package_identity(t):
+    """Each piece of evidence of a package: whether it is the one that the message tells at its label, and there once only."""
+    r = one_per_key(t("sft_candidate"), "id")
+    told = F.from_json(F.col("conversations")[1]["content"], "evidence array<struct<id string, chunk string>>")["evidence"]["chunk"]
+    x = r.select("id", told.alias("told"), F.col("visible_chunk_ids").alias("v"), F.posexplode("visible_chunk_ids").alias("p", "chunk_id"))
+    same = F.size(F.filter("v", lambda c: c == F.col("chunk_id")))
+    return x.select("id", F.concat(F.lit("E"), (F.col("p") + 1).cast("string")).alias("label"), "chunk_id", F.coalesce(F.get("told", F.col("p")) == F.col("chunk_id"), F.lit(False)).alias("aligned"), (same == 1).alias("single"))
