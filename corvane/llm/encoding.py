@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.llm.codepoints import classes, flat, slices
+from corvane.llm.skew import hot_join
 from corvane.runtime import materialize, work_path
 
 #: Code points that the rolling hash looks at, and of a chunk on average.
@@ -180,8 +181,8 @@ def encode_corpus(df: DataFrame, key: str, text: str, ranks_file: str | None = N
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     texts = materialize(rows.mapInArrow(_cut, f"row long, key {kind}, text string, ends array<int>, h1 array<long>, h2 array<long>"), "texts", "zstd")
     refs = texts.select("row", F.posexplode(F.arrays_zip("h1", "h2")).alias("seq", "h")).select("row", "seq", "h.h1", "h.h2")
-    shared = refs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "seq")).alias("first")).filter("n > 1").drop("n")
-    plan = refs.join(shared, ["h1", "h2"]).select("row", "seq", (F.struct("row", "seq") == F.col("first")).alias("own"), F.shiftright("row", 33).alias("part"))
+    shared = refs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "seq")).alias("first")).filter("n > 1")
+    plan = hot_join(refs, shared, ["h1", "h2"], "n", F.col("row")).select("row", "seq", (F.struct("row", "seq") == F.col("first")).alias("own"), F.shiftright("row", 33).alias("part"))
     folder = work_path(df.sparkSession, "shared")
     plan.write.partitionBy("part").parquet(folder)
 
@@ -232,7 +233,9 @@ def encode_corpus(df: DataFrame, key: str, text: str, ranks_file: str | None = N
     parts = df.sparkSession.read.schema(schema).parquet(split)
     fields = ["ids", "head", "head_n", "tail", "tail_n"]
     ids = parts.filter("kind = 'shared'").select("h1", "h2", *fields)
-    filled = parts.filter("kind = 'hole'").select("row", "key", "seq", "h1", "h2").join(ids, ["h1", "h2"]).select("row", "key", "seq", *fields)
+    holes = parts.filter("kind = 'hole'").select("row", "key", "seq", "h1", "h2")
+    asked = holes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    filled = hot_join(holes, ids.join(asked, ["h1", "h2"]), ["h1", "h2"], "n", F.col("row")).select("row", "key", "seq", *fields)
     open_ = filled.unionByName(parts.filter("kind = 'part'").select("row", "key", "seq", *fields))
     put = open_.groupBy("row").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("seq", *fields))).alias("parts"))
     out_schema = f"`{key}` {kind}, ids array<int>"

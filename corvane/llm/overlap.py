@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corvane.llm.codepoints import flat, slices
 from corvane.llm.leakage import fold
+from corvane.llm.skew import hot_join
 from corvane.runtime import materialize
 
 #: Cosine from which two questions with the same numbers are the same. Light changes of wording leave 0.5 or more in
@@ -70,8 +71,10 @@ def prepared(rows: DataFrame) -> DataFrame:
 def _fronts(vectors: DataFrame, threshold: float) -> DataFrame:
     """The rows (side, v, term) of the vectors' fronts. vectors: side, v, term, idf and the norm of the row's vector."""
     # A term's highest weight on a side is its idf by the smallest norm there.
-    least = vectors.groupBy("side", "term").agg(F.min("norm").alias("least")).select((1 - F.col("side")).cast("tinyint").alias("side"), "term", "least")
-    x = vectors.join(least, ["side", "term"])  # a term that the other side doesn't have adds to no product
+    least = vectors.groupBy("term", "side").agg(F.min("norm").alias("least"), F.count(F.lit(1)).alias("n"))
+    both = least.groupBy("term").agg(*[F.max(F.when(F.col("side") == k, F.col("least"))).alias(f"least_{k}") for k in (0, 1)], F.sum("n").alias("n")).filter("least_0 is not null and least_1 is not null")
+    # a term that the other side doesn't have adds to no product
+    x = hot_join(vectors, both, ["term"], "n", F.col("v")).withColumn("least", F.when(F.col("side") == 0, F.col("least_1")).otherwise(F.col("least_0"))).drop("least_0", "least_1", "n")
     behind = W.partitionBy("v").orderBy("idf", F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
     w = F.col("idf") / F.col("norm")
     x = x.withColumn("rest", F.sqrt(F.sum(w * w).over(behind))).withColumn("reach", F.sum(w * F.col("idf") / F.col("least")).over(behind))
@@ -93,13 +96,13 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD,
     both = side(left, 0).unionByName(side(right, 1)).filter("d is not null and block is not null and text is not null")
     # Rows go by a number from here on, which is fixed as it is written with them.
     both = materialize(prepared(both).withColumn("v", F.monotonically_increasing_id()), "prepared")
-    lists = both.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    lists = materialize(both.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "lists")
     total = both.count()
     # Only rows whose block is on the other side too can have a partner; the frequencies above count all rows.
     hashed = both.withColumn("b", F.xxhash64("block", "numbers") if equal_numbers else F.xxhash64("block"))
     blocks = hashed.groupBy("b").agg(F.min("side").alias("x"), F.max("side").alias("y")).filter("x = 0 and y = 1").select("b")
     rows = hashed.join(blocks, "b", "left_semi").select(F.col("side").cast("tinyint").alias("side"), "v", F.explode("terms").alias("term"))
-    raw = rows.join(lists, "term").withColumn("idf", F.log1p(total / F.col("n"))).drop("n")
+    raw = hot_join(rows, lists, ["term"], "n", F.col("v")).withColumn("idf", F.log1p(total / F.col("n"))).drop("n")
     vectors = raw.withColumn("norm", F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(W.partitionBy("v"))))
     vectors = materialize(vectors.select("side", "v", "term", "idf", "norm"), "vectors")
     fronts = _fronts(vectors, threshold).join(hashed.select("v", "b"), "v")

@@ -235,6 +235,18 @@ def test_base_signs_bring_all_codings_together(spark):
     assert got == {("a", "b"), ("c", "d"), ("e", "f")} | {(f"l{k}", "m") for k in range(300)}
 
 
+def test_hot_keys_are_spread(spark, monkeypatch):
+    from corvane.llm import skew
+
+    monkeypatch.setattr(skew, "HOT", 50)
+    big = spark.createDataFrame([(1 if k % 3 else k, k) for k in range(600)] + [(None, 7)], "key long, v long")
+    small = big.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("key is not null").withColumn("name", F.concat(F.lit("k"), F.col("key")))
+    got = skew.hot_join(big, small, ["key"], "n", F.col("v"))
+    assert sorted((r.key, r.v, r.name) for r in got.collect()) == sorted((k, v, f"k{k}") for k, v in ((1 if k % 3 else k, k) for k in range(600)))
+    assert got.withColumn("part", F.spark_partition_id()).columns == ["key", "v", "n", "name", "part"]
+    assert skew.hot_join(big.limit(0), small, ["key"], "n", F.col("v")).count() == 0
+
+
 # --- overlap ---------------------------------------------------------------------------------------------------------
 def test_cosine_join_is_complete(spark):
     r = random.Random(4)
