@@ -72,9 +72,11 @@ def percent_report(t):
     return y.select("source", F.coalesce(F.format_string("%.2f%%", 100.0 * F.col("long") / F.col("n")), F.lit("不适用")).alias("share"))
 
 
-@query("WITH" + CASES + "SELECT query_id, split, query_type, len(required) AS n FROM c WHERE query_type <> 'exact_lookup'")
+@query("WITH c AS (SELECT DISTINCT ON (query_id) * FROM evaluation_case) SELECT query_id, split, query_type, len(list_distinct(required_chunk_ids)) AS n FROM c WHERE query_type IN ('semantic_search', 'scenario_advice') AND expected_action = 'answer'")
 def eval_case_filter(t):
-    return cases(t).filter("query_type <> 'exact_lookup'").select("query_id", "split", "query_type", F.size("required").cast("long").alias("n"))
+    """Cases that ask about the law and are to be answered: what retrieval is measured on."""
+    c = one_per_key(t("evaluation_case"), "query_id").filter(F.col("query_type").isin("semantic_search", "scenario_advice") & (F.col("expected_action") == "answer"))
+    return c.select("query_id", "split", "query_type", F.when(F.col("required_chunk_ids").isNotNull(), F.size(F.array_distinct("required_chunk_ids"))).cast("long").alias("n"))
 
 
 @query("WITH " + _H + "SELECT id, query_type, difficulty, answer_gt.refuse AS refuse, len(answer_gt.cited_chunk_ids) AS cited FROM hq")

@@ -206,11 +206,13 @@ def distribution_grouping_sets(t):
     return d.groupingSets([["difficulty", "query_type"], ["difficulty"]], "difficulty", "query_type").agg(F.count(F.lit(1)).alias("n")).select("difficulty", F.coalesce("query_type", F.lit("all")).alias("query_type"), "n")
 
 
-@query("""SELECT difficulty, count(*) FILTER (review_status = 'approved') AS approved, count(*) FILTER (review_status <> 'approved') AS other
-FROM (SELECT DISTINCT id, difficulty, review_status FROM private_holdout) GROUP BY 1""")
+@query("""WITH x AS (SELECT DISTINCT id, difficulty, review_status, query_type, answerable FROM private_holdout), u AS (SELECT difficulty, unnest(['status', 'type', 'answerable']) AS field, unnest([review_status, query_type, answerable::VARCHAR]) AS value FROM x)
+SELECT difficulty, field, coalesce(value, '-') AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY difficulty, field), 6) AS share FROM u GROUP BY 1, 2, 3""")
 def review_counter_pivot(t):
-    d = one_per_key(t("private_holdout"), "id").withColumn("state", F.when(F.col("review_status") == "approved", "approved").when(F.col("review_status").isNotNull(), "other"))
-    return d.groupBy("difficulty").pivot("state", ["approved", "other"]).count().na.fill(0, ["approved", "other"])
+    """Counts of every value of three fields by difficulty, unpivoted in one pass, with each value's share."""
+    each = F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("-")).alias("value")) for n, c in (("status", "review_status"), ("type", "query_type"), ("answerable", "answerable"))])
+    x = one_per_key(t("private_holdout"), "id").select("difficulty", F.explode(each).alias("x")).groupBy("difficulty", "x.field", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    return x.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("difficulty", "field")), 6))
 
 
 @query("""WITH x AS (SELECT DISTINCT id FROM private_holdout), h AS (SELECT id, sha256('42:' || id) AS h FROM x), n AS (SELECT count(*) AS n FROM h)

@@ -36,10 +36,19 @@ _ARMS = STAGE + """, dl AS (SELECT q.query_id, count(*) FILTER (l.rank <= 5) AS
 d AS (SELECT m.query_id, hit5 / n - hit / n AS delta FROM m JOIN dl USING (query_id))"""
 
 
-@query("WITH" + _ARMS + "SELECT count(*) FILTER (delta > 1e-12) - count(*) FILTER (delta < -1e-12) AS net, count(*) FILTER (delta > 1e-12) - count(*) FILTER (delta < -1e-12) >= 3 AND avg(delta) >= 0 AS accepted FROM d")
+@query("WITH" + STAGE + """, ds AS (SELECT q.query_id, count(*) FILTER (l.rank <= 5) AS d5, count(*) FILTER (l.rank <= 4) AS d4 FROM q LEFT JOIN l ON l.query_id = q.query_id AND l.chunk_id = q.chunk_id AND l.leg = 'dense' GROUP BY 1),
+x AS (SELECT *, count(*) FILTER (hit5 = n AND d5 < n) OVER () - count(*) FILTER (hit5 < n AND d5 = n) OVER () AS net FROM m JOIN ds USING (query_id))
+SELECT any_value(net) AS net_gain, any_value(net) >= 3 AS gains, sum(hit5)::BIGINT >= sum(d5)::BIGINT AS covers, count(*) FILTER (hit4 = n) >= count(*) FILTER (d4 = n) AS packs, any_value(net) >= 3 AND sum(hit5)::BIGINT >= sum(d5)::BIGINT AND count(*) FILTER (hit4 = n) >= count(*) FILTER (d4 = n) AS accepted FROM x""")
 def acceptance_gate(t):
-    net = F.count_if(F.col("delta") > 1e-12) - F.count_if(F.col("delta") < -1e-12)
-    return deltas(t).agg(net.alias("net"), ((net >= 3) & (F.avg("delta") >= 0)).alias("accepted"))
+    """Whether the fused list may replace the dense one: at least three more cases complete than lost, no less of what is
+    required in the five, and no fewer cases complete in the four that are packed."""
+    dense = legs(t, 5).filter("leg = 'dense'").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("d"))
+    x = judged(t).join(dense, "query_id", "left").withColumn("d", F.coalesce(F.transform("d", lambda s: s["chunk_id"]), F.array().cast("array<string>")))
+    n = F.size("required")
+    x = x.select(n.alias("n"), F.col("m5.matched").alias("f5"), F.col("m4.complete").alias("f4"), F.size(F.array_intersect("required", "d")).alias("d5"), (F.size(F.array_intersect("required", F.slice("d", 1, 4))) == n).alias("d4"))
+    net = F.count_if((F.col("f5") == F.col("n")) & (F.col("d5") < F.col("n"))) - F.count_if((F.col("f5") < F.col("n")) & (F.col("d5") == F.col("n")))
+    y = x.agg(net.alias("net_gain"), (F.sum("f5") >= F.sum("d5")).alias("covers"), (F.count_if("f4") >= F.count_if("d4")).alias("packs"))
+    return y.select("net_gain", (F.col("net_gain") >= 3).alias("gains"), "covers", "packs", ((F.col("net_gain") >= 3) & F.col("covers") & F.col("packs")).alias("accepted"))
 
 
 @query()
