@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it: higher-order functions, which folds are, aren't
+    recognized as common subexpressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # Digits and units of Chinese numerals.
 DIGITS, UNITS = "零一二三四五六七八九", {"十": 10, "百": 100, "千": 1000}
 

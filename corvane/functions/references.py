@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from corvane.functions.numerals import chinese_number, format_number
+from corvane.functions.numerals import chinese_number, format_number, let
 
 # Numerals, words between references, endings of laws' names, words before a name, forms of enactment.
 NUMERAL = "[零〇一二三四五六七八九十百千万两0-9]+"
@@ -41,12 +41,11 @@ def article_references(question: Column) -> Column:
 
 def _law(segment: Column) -> Column:
     """The law that the text before a reference names, null if it names none."""
-    titles = F.regexp_extract_all(segment, F.lit(TITLE), F.lit(1))
     bare = segment
     for pattern in STRIP:
         bare = F.regexp_replace(bare, pattern, "")
-    name = F.nullif(F.regexp_extract(bare, BARE, 1), F.lit(""))
-    return F.when(F.size(titles) > 0, F.trim(F.element_at(titles, -1))).otherwise(name)
+    titles = F.regexp_extract_all(segment, F.lit(TITLE), F.lit(1))
+    return let(titles, lambda found: F.when(F.size(found) > 0, F.trim(F.element_at(found, -1))).otherwise(let(F.regexp_extract(bare, BARE, 1), lambda name: F.nullif(name, F.lit("")))))
 
 
 def exact_references(question: Column) -> Column:
@@ -62,23 +61,24 @@ def exact_references(question: Column) -> Column:
     first = F.struct(F.lit(None).cast("string").alias("law"), F.lit(True).alias("clear"), F.array().cast("array<struct<law:string,no:string>>").alias("refs"))
 
     def step(acc: Column, x: Column) -> Column:
-        law = F.coalesce(_law(x["0"]), acc["law"])
         several = (F.size(F.regexp_extract_all(x["0"], F.lit(TITLE), F.lit(1))) > 1) | x["0"].rlike(SEVERAL)
-        refs = F.transform(numbers_of(x["1"]), lambda n: F.struct(law.alias("law"), n.alias("no")))
-        return F.struct(law.alias("law"), (acc["clear"] & ~several & law.isNotNull()).alias("clear"), F.concat(acc["refs"], refs).alias("refs"))
+        refs = lambda law: F.transform(numbers_of(x["1"]), lambda n: F.struct(law.alias("law"), n.alias("no")))
+        return let(F.coalesce(_law(x["0"]), acc["law"]), lambda law: F.struct(law.alias("law"), (acc["clear"] & ~several & law.isNotNull()).alias("clear"), F.concat(acc["refs"], refs(law)).alias("refs")))
+
+    def verdict(done: Column) -> Column:
+        n = F.size(done["refs"])
+        status = F.when(n == 0, "none").when((n > MOST) | ~done["clear"], "clarify").otherwise("found")
+        kept = F.when((n > 0) & (n <= MOST) & done["clear"], done["refs"]).otherwise(F.array().cast("array<struct<law:string,no:string>>"))
+        return F.struct(status.alias("status"), kept.alias("references"))
 
     zipped = F.arrays_zip(before.alias("0"), groups.alias("1"))
-    done = F.aggregate(zipped, first, step)
-    n = F.size(done["refs"])
-    status = F.when(n == 0, "none").when((n > MOST) | ~done["clear"], "clarify").otherwise("found")
-    return F.when(question.isNotNull(), F.struct(status.alias("status"), F.when(status == "found", done["refs"]).otherwise(F.array().cast("array<struct<law:string,no:string>>")).alias("references")))
+    return F.when(question.isNotNull(), let(F.aggregate(zipped, first, step), verdict))
 
 
 def _strict(numeral: Column) -> Column:
     """The value of digits or of a Chinese numeral in its usual spelling, above 0; null for anything else."""
     plain = F.translate(numeral, "〇两", "零二")
-    spelt = chinese_number(plain)
-    usual = F.when(format_number(spelt) == plain, spelt)
+    usual = let(chinese_number(plain), lambda v: F.when(format_number(v) == plain, v))
     return F.nullif(F.when(numeral.rlike("^[0-9]+$"), numeral.try_cast("int")).when(~numeral.rlike("[0-9]"), usual), F.lit(0))
 
 
@@ -87,6 +87,6 @@ def article_key(no: Column) -> Column:
     unusual way, mixes digits with numerals, is 0, or has a suffix above 99."""
     text = F.regexp_replace(no, r"\s+", "")
     form = f"^第?({NUMERAL})条?(?:之({NUMERAL}))?$"
-    main, suffix = _strict(F.nullif(F.regexp_extract(text, form, 1), F.lit(""))), F.nullif(F.regexp_extract(text, form, 2), F.lit(""))
-    more = _strict(suffix)
-    return F.when(suffix.isNull(), main.cast("string")).when(more < 100, F.concat(main.cast("string"), F.lit("之"), format_number(more)))
+    part = lambda k: F.nullif(F.regexp_extract(text, form, k), F.lit(""))
+    with_suffix = lambda main: let(_strict(part(2)), lambda more: F.when(more < 100, F.concat(main.cast("string"), F.lit("之"), format_number(more))))
+    return let(_strict(part(1)), lambda main: F.when(part(2).isNull(), main.cast("string")).otherwise(with_suffix(main)))

@@ -115,8 +115,8 @@ SELECT article_id, s, list_position(k.k, s)::INTEGER AS value, list_position(k.k
 def cn_numeral_strict(t):
     """Numerals in the headings of articles: read, and whether they are in canonical spelling, that is spelt again the same."""
     x = articles(t).select("article_id", F.explode(F.map_values("hierarchy")).alias("h")).select("article_id", F.nullif(F.regexp_extract("h", "第([零〇一二三四五六七八九十百千两]+)[编章节]", 1), F.lit("")).alias("s")).filter("s is not null")
-    v = N.chinese_number(F.col("s"))
-    return x.select("article_id", "s", v.alias("value"), F.coalesce(N.format_number(v) == F.col("s"), F.lit(False)).alias("canonical"))
+    v = N.let(N.chinese_number(F.col("s")), lambda v: F.struct(v.alias("value"), F.coalesce(N.format_number(v) == F.col("s"), F.lit(False)).alias("canonical")))
+    return x.select("article_id", "s", v.alias("v")).select("article_id", "s", "v.*")
 
 
 @query(r"WITH x AS (SELECT id, lower(trim(regexp_replace(query_original, '\s+', ' ', 'g'))) AS p FROM (SELECT DISTINCT id, query_original FROM sft_candidate)) SELECT md5(p) AS prompt, min(id) AS id, count(*) AS n FROM x GROUP BY p")

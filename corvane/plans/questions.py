@@ -104,7 +104,8 @@ def article_no_key(t):
        + "SELECT lk.id, law, no, ky.article_id FROM lk LEFT JOIN ky ON ky.law_name = lk.law_name AND ky.article_no = lk.key")
 def exact_lookup_article(t):
     """The article of each clear reference: the law by its name or alias, if that is one law's only, the number in one form."""
-    refs = questions(t).select("id", R.exact_references(F.col("q")).alias("x")).filter("x.status = 'found'").select("id", F.explode("x.references").alias("r")).select("id", "r.law", "r.no")
+    # A filter by status would be pushed below the references and have them computed twice; unclear ones have none anyway.
+    refs = questions(t).select("id", F.explode(R.exact_references(F.col("q"))["references"]).alias("r")).select("id", "r.law", "r.no")
     a = articles(t)
     alias = a.select("law_name").distinct().select("law_name", F.explode(X.law_aliases(F.col("law_name"))).alias("alias")).groupBy("alias").agg(F.min("law_name").alias("law_name"), F.count_distinct("law_name").alias("n")).filter("n = 1").drop("n")
     keys = a.groupBy("law_name", F.col("article_no").alias("key")).agg(F.min("article_id").alias("article_id"))
