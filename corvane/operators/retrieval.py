@@ -137,24 +137,50 @@ def term_counts(docs: DataFrame, terms: Column) -> DataFrame:
     return docs.select(terms.alias("terms")).mapInArrow(run, "term string, n long, all long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
 
 
+def postings_and_counts(docs: DataFrame, key: str, terms: Column, only=None) -> DataFrame:
+    """Both postings (of the wanted terms) and term_counts (by batch, not yet summed up) in one pass over the documents:
+    term, key, tf, len, n, all. Rows of postings have no n, rows of counts no key, tf and len."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if only is None else pa.array(only.value, pa.string())
+        for batch in batches:
+            sizes, words, row, code = _counted(batch.column(1))
+            n = max(1, len(words))
+            pair, tf = np.unique(row * n + code, return_counts=True)
+            df = np.bincount(pair % n, minlength=len(words))[: len(words)].astype(np.int64)
+            if wanted is not None:
+                kept = pa.compute.is_in(words, wanted).to_numpy(zero_copy_only=False)[pair % n] if len(words) else np.zeros(0, bool)
+                pair, tf = pair[kept], tf[kept]
+            none = lambda count, kind: pa.nulls(count, kind)
+            found, terms_ = len(pair), len(words) + 1
+            yield pa.RecordBatch.from_arrays([
+                pa.concat_arrays([words.take(pa.array(pair % n)).cast(pa.string()), words.cast(pa.string()), pa.array([None], pa.string())]),
+                pa.concat_arrays([batch.column(0).take(pa.array(pair // n)), none(terms_, batch.column(0).type)]),
+                pa.concat_arrays([pa.array(tf.astype(np.int64)), none(terms_, pa.int64())]), pa.concat_arrays([pa.array(sizes[pair // n]), none(terms_, pa.int64())]),
+                pa.concat_arrays([none(found, pa.int64()), pa.array(np.r_[df, len(sizes)])]), pa.concat_arrays([none(found, pa.int64()), pa.array(np.r_[np.zeros(len(df), np.int64), sizes.sum()])]),
+            ], ["term", key, "tf", "len", "n", "all"])
+
+    return docs.select(key, terms.alias("terms")).mapInArrow(run, f"term string, `{key}` {docs.schema[key].dataType.simpleString()}, tf long, len long, n long, all long")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, key: str, query: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Okapi BM25, the k best documents with a positive score for each query: query, key, score and rank.
 
     docs: key, text; queries: query, text. idf = ln((N - n + 0.5) / (n + 0.5)); negative ones count as a quarter of the
-    mean idf. A first pass over the documents counts in how many each term stands; a second one makes postings of the
-    queries' terms only.
+    mean idf. One pass over the documents counts in how many each term stands and makes postings of the queries' terms only.
     """
     spark = docs.sparkSession
     terms = tokens(F.col("text"))
     asked = materialize(queries.select(query, F.explode(terms).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("times")), "asked")
-    counts = materialize(term_counts(docs, terms), "terms")
+    words = asked.select("term").distinct()
+    only = spark.sparkContext.broadcast([r[0] for r in words.collect()]) if words.count() <= SENT_TERMS else None
+    scanned = materialize(postings_and_counts(docs, key, terms, only), "terms")
+    counts = scanned.filter("n is not null").groupBy("term").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
     stats = counts.filter("term is null").select(F.col("n").alias("docs"), (F.col("all") / F.col("n")).alias("avgdl"))  # one row
     idf = counts.filter("term is not null").crossJoin(F.broadcast(stats)).withColumn("raw", F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
     mean = idf.agg(F.avg("raw").alias("mean"))
     idf = idf.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    words = asked.select("term").distinct()
-    only = spark.sparkContext.broadcast([r[0] for r in words.collect()]) if words.count() <= SENT_TERMS else None
-    rows = asked.join(idf, "term").join(postings(docs, key, terms, only), "term")
+    rows = asked.join(idf, "term").join(scanned.filter("n is null").select("term", key, "tf", "len"), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     scored = rows.groupBy(query, key).agg(F.round(F.sum(part), 5).alias("score")).filter("score > 0")
     return cut(scored, k, [query], key)
